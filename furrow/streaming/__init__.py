@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+Every source of this engine is read with a closed date range; late or partial
+data is handled by re-running and replacing partitions
+(``furrow.sources.sinks``).
+"""
