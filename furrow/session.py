@@ -45,3 +45,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for tables written and read back."""
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/furrow-{name}-{uuid.uuid4().hex}"
