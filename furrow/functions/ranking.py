@@ -136,3 +136,18 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     wb = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     cum = F.col("__before") + F.sum("__c").over(wb)
     return j.select(*keys, F.col("__v").alias(value), (cum - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))
+
+
+def attach_scalar(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table (a global aggregate) on every row."""
+    key = "__one"
+    return df.withColumn(key, F.lit(0)).join(F.broadcast(one.withColumn(key, F.lit(0))), key).drop(key)
+
+
+def column_medians(df: DataFrame, keys: Sequence[str], cols: Mapping[str, str]) -> DataFrame:
+    """Exact medians of several columns in one plan: {column: output name}."""
+    keys = list(keys)
+    items = F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.col(c).cast("double").alias("v")) for c, n in cols.items()]))
+    long = df.select(*keys, items.alias("__i")).select(*keys, F.col("__i.s").alias("__s"), F.col("__i.v").alias("__x"))
+    med = exact_quantiles(long, [*keys, "__s"], "__x", {"__m": 0.5})
+    return med.groupBy(*keys).agg(*[F.max(F.when(F.col("__s") == n, F.col("__m"))).alias(n) for n in cols.values()])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.ranking import exact_quantiles, join_on
+from furrow.functions.ranking import column_medians, exact_quantiles, join_on
 from furrow.functions.scalar import C, dekad_index
 from furrow.session import cut_lineage
 
@@ -85,11 +85,7 @@ def windowed_aggregates(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, t
             plain.append(getattr(F, fn)(v).alias(name))
     out = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
     if medians:
-        # one long table of (key, series, value) so that all medians share the plan
-        items = F.array(*[F.struct(F.lit(n).alias("s"), v.cast("double").alias("v")) for n, v in medians.items()])
-        long = df.select(*keys, F.explode(items).alias("i")).select(*keys, "i.s", "i.v").where("v is not null")
-        med = exact_quantiles(long, [*keys, "s"], "v", {"m": 0.5})
-        wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("s") == n, F.col("m"))).alias(n) for n in medians])
+        wide = column_medians(df.withColumns({f"__{n}": v for n, v in medians.items()}), keys, {f"__{n}": n for n in medians})
         out = join_on(out, wide, list(keys), "left")
     return out.drop("__n")
 

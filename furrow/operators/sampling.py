@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.ranking import exact_row_number, join_on
+from furrow.functions.ranking import attach_scalar, exact_row_number, join_on
 from furrow.functions.scalar import hash_bin, hash_key
 
 
@@ -30,7 +30,8 @@ def hash_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: in
 def stratified_split(df: DataFrame, strata: Sequence[str], key: Sequence[str], train_share: float, seed: int = 42) -> DataFrame:
     """Exact share per stratum: the first ceil(share*n) rows in hash order train."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    r = join_on(hash_rank(df, strata, key, seed, "__rn"), sizes, list(strata)) if strata else hash_rank(df, [], key, seed, "__rn").crossJoin(sizes)
+    ranked = hash_rank(df, strata, key, seed, "__rn")
+    r = join_on(ranked, sizes, list(strata)) if strata else attach_scalar(ranked, sizes)
     return r.withColumn("is_train", F.col("__rn") <= F.ceil(F.col("__n") * F.lit(train_share))).drop("__rn", "__n")
 
 

@@ -99,7 +99,7 @@ def near_duplicates(points: DataFrame, keys: Sequence[str], point_id: str, radiu
     p = p.withColumn("__cx", F.floor(F.col("lon") / width(F.col("__row"))).cast("long"))
     cell = [*keys, "__row", "__cx"]
     counts = p.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
-    crowded = join_on(p, counts.where("__n > 1").drop("__n"), cell, "left_semi") if not keys else p.join(counts.where("__n > 1"), cell, "left_semi")
+    crowded = p.join(counts.where("__n > 1"), cell, "left_semi")
     single = p.join(counts.where("__n = 1"), cell, "left_semi")
     reach_lon = F.lit(reach_lat) / F.cos(F.radians(F.least(F.abs("lat") + reach_lat, F.lit(89.9))))
     rows = single.withColumn(
