@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,22 +102,22 @@ def _lift(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p2(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return _lift(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p2(t: pd.Series, df: pd.Series) -> pd.Series:
     return _lift(t_sf2, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return _lift(t_ppf, p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _lift(chi2_sf, x, df)

@@ -27,7 +27,7 @@ from furrow.sources import sinks as W
     c AS (SELECT metric, v, count(*) AS cnt FROM pn GROUP BY 1, 2), mm AS (SELECT metric, sum(cnt)::BIGINT AS n, count(*) AS nu, max(cnt) / sum(cnt) AS ms FROM c GROUP BY 1),
     w AS (SELECT * FROM (VALUES ('p25', 100, 160), ('p50', 220, 260), ('p75', 300, 340)) t(metric, lo, hi)), md AS (SELECT metric, median(v) AS med FROM pn GROUP BY 1),
     px AS (SELECT max(poor) AS worst FROM (SELECT unit, avg(CASE WHEN share > 0.4 THEN 1.0 ELSE 0.0 END) AS poor FROM (SELECT DISTINCT unit, year, share FROM long) GROUP BY 1)),
-    r AS (SELECT metric, 'A_rows' AS "check", n::DOUBLE AS observed, n >= 48 AS ok FROM mm UNION ALL SELECT metric, 'A_unique', nu::DOUBLE, nu >= 20 FROM mm UNION ALL SELECT metric, 'A_mode_share', ms, ms <= 0.2 FROM m
+    r AS (SELECT metric, 'A_rows' AS "check", n::DOUBLE AS observed, n >= 48 AS ok FROM mm UNION ALL SELECT metric, 'A_unique', nu::DOUBLE, nu >= 20 FROM mm UNION ALL SELECT metric, 'A_mode_share', ms, ms <= 0.2 FROM mm
       UNION ALL SELECT metric, 'B_window', med, med BETWEEN lo AND hi FROM md JOIN w USING (metric) UNION ALL SELECT metric, 'C_fit', worst, worst <= 0.5 FROM mm, px)
     SELECT metric, "check", round(observed, 6) + 0.0 AS observed, ok FROM r""",
 )

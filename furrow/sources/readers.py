@@ -33,7 +33,7 @@ def read_panel(spark: SparkSession, path: str, schema: str, required: Sequence[s
     """Owned panel CSV: columns are asserted, rows must match the schema; NaN becomes NULL."""
     cols = header_of(spark, path)
     require_columns(cols, required)
-    declared = {f.name: f for f in T._parse_datatype_string(schema).fields}
+    declared = {f.name: f for f in T.StructType.fromDDL(schema).fields}
     full = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in cols])
     df = spark.read.schema(full).option("header", True).option("mode", "FAILFAST").option("nullValue", "").csv(path)
     doubles = [f.name for f in full.fields if isinstance(f.dataType, T.DoubleType)]
