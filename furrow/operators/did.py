@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from furrow.functions.distributions import chi2_p, normal_p2, t_p2
 from furrow.functions.ranking import join_on
 from furrow.functions.scalar import C
+from furrow.session import cut_lineage
 
 Z95 = 1.959963984540054
 
@@ -215,6 +216,8 @@ def panel_blocks(df: DataFrame, cell: Sequence[str], unit: str, cluster: str, pe
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields if f.name in keys)
     part = units.mapInArrow(_block_partials(keys, p, len(periods), absorb), f"{kinds}, block array<double>")
     long = part.select(*keys, F.posexplode("block").alias("pos", "val")).groupBy(*keys, "pos").agg(F.sum("val").alias("val"))
+    # solving and scoring both start here: written once, so the panel itself is read once
+    long = cut_lineage(long)
     return Blocks(long, cell, "__c", terms, len(periods), absorb)
 
 

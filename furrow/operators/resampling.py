@@ -26,6 +26,7 @@ from furrow.operators.did import (
     solve_cells,
     unit_contrasts,
 )
+from furrow.session import cut_lineage
 
 MAX_ENUMERATED = 20
 
@@ -191,7 +192,7 @@ def cluster_influence(b: Blocks) -> DataFrame:
     keys = [*b.cell, b.cluster]
     inf = j.mapInPandas(_influence(b.k), _cell_schema(j, keys, "th0 double, th1 double, q0 array<double>, q1 array<double>, r array<double>"))
     base = sol.select(*b.cell, F.col("coef")[0].alias("tau_hat"), "n_obs", F.col("rank").alias("k"), F.col("own")[0].alias("own"))
-    return join_on(inf, base, b.cell)
+    return cut_lineage(join_on(inf, base, b.cell))
 
 
 def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, seed: int) -> DataFrame:
