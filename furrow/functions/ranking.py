@@ -28,22 +28,14 @@ def value_bin(v) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * BIN_ORIGIN) * BINS_PER_E).cast("long")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on keys that may be NULL, keeping the left copy of the keys."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+    """Equi join on same-named keys, keeping one copy of them.
+
+    Grouping keys are identifiers and never NULL.  Plain equality lets a side
+    that was just grouped by the same keys keep its partitioning, so the join
+    adds no shuffle for it; a null-safe comparison would hash other expressions.
+    """
+    return left.join(right, list(keys), how)
 
 
 def exact_row_number(df: DataFrame, keys: Sequence[str], order: Sequence, bin_col, name: str = "rn") -> DataFrame:

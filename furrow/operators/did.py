@@ -320,9 +320,12 @@ def panel_ols(b: Blocks, small_sample: str = "cr1") -> DataFrame:
 
 
 def classical_within(b: Blocks) -> DataFrame:
-    """Homoskedastic error of a single regressor after absorbing both effects; df = n - rank."""
+    """Homoskedastic error of a single regressor after absorbing both effects.
+
+    Degrees of freedom count the absorbed effects only: n - G - T + 1.
+    """
     sol = solve_cells(b)
-    dof = F.greatest(F.col("n_obs") - F.col("rank"), F.lit(1))
+    dof = F.greatest(F.col("n_obs") - F.col("rank") + 1, F.lit(1))
     ok = F.col("own")[0]
     se = F.sqrt(F.col("ssr") / dof * F.col("bread")[0])
     return sol.select(*b.cell, F.when(ok, F.col("coef")[0]).alias("est"), F.when(ok, se).alias("se"), "n_obs", dof.alias("dof"), F.when(ok, "ok").otherwise("not_estimable").alias("status"))

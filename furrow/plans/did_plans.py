@@ -323,7 +323,7 @@ def e18(s, d):
     "e19_dose_response",
     f"""WITH {LONG_PANEL}, t AS (SELECT *, y - avg(y) OVER (PARTITION BY metric, unit) AS y1, share - avg(share) OVER (PARTITION BY metric, unit) AS f1 FROM long WHERE product = 'raw' AND treat = 1 AND post = 1),
     w AS (SELECT *, y1 - avg(y1) OVER (PARTITION BY metric, year) AS yw, f1 - avg(f1) OVER (PARTITION BY metric, year) AS fw FROM t), b AS (SELECT metric, sum(yw * fw) / sum(fw * fw) AS beta, sum(fw * fw) AS sxx, count(*) AS nb, count(DISTINCT unit) AS g, count(DISTINCT year) AS ty FROM w GROUP BY 1),
-    r AS (SELECT metric, any_value(beta) AS beta, any_value(nb) AS n, any_value(nb - g - ty) AS dof, sqrt(sum(pow(yw - beta * fw, 2)) / any_value(nb - g - ty) / any_value(sxx)) AS se FROM w JOIN b USING (metric) GROUP BY 1)
+    r AS (SELECT metric, any_value(beta) AS beta, any_value(nb) AS n, any_value(nb - g - ty + 1) AS dof, sqrt(sum(pow(yw - beta * fw, 2)) / any_value(nb - g - ty + 1) / any_value(sxx)) AS se FROM w JOIN b USING (metric) GROUP BY 1)
     SELECT metric, round(beta, 3) + 0.0 AS beta, round(se, 3) + 0.0 AS se, n AS n_obs, CAST(dof AS BIGINT) AS dof, beta - 2 * se <= 14 AND 14 <= beta + 2 * se AS consistent FROM r""",
 )
 def e19(s, d):
