@@ -135,6 +135,6 @@ def hash_uniform(*cols, seed: int | str = 42) -> Column:
     return F.conv(h, 16, 10).cast("double") / float(16**13)
 
 
-def hash_bin(*cols, seed: int | str = 42, digits: int = 3) -> Column:
+def hash_bin(*cols, seed: int | str = 42, digits: int = 4) -> Column:
     """Leading hex digits of the md5 as an integer: monotone in ``hash_key``."""
     return F.conv(F.substring(hash_key(*cols, seed=seed), 1, digits), 16, 10).cast("int")

@@ -32,22 +32,24 @@ Z95 = 1.959963984540054
 # --- balanced tables ----------------------------------------------------------------
 
 
-def unit_contrasts(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, post: str) -> DataFrame:
+def unit_contrasts(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, post: str, treat: str | None = None) -> DataFrame:
     """Per (cell, unit): A, plus the cell's period moments and a balance flag.
 
-    ``post`` is a 0/1 column that depends on the period only.
+    ``post`` is a 0/1 column that depends on the period only, ``treat`` one that
+    depends on the unit only.
     """
     cell = list(cell)
-    t = df.groupBy(*cell, unit, period).agg(F.avg(y).alias("__y"), F.max(post).alias("__p"), F.count(F.lit(1)).alias("__rows"))
+    more = [F.max(treat).alias(treat)] if treat else []
+    t = df.groupBy(*cell, unit, period).agg(F.avg(y).alias("__y"), F.max(post).alias("__p"), F.count(F.lit(1)).alias("__rows"), *more)
     per = t.groupBy(*cell, period).agg(F.max("__p").alias("__p")).groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n_periods"), F.avg("__p").alias("pbar")
     )
     g = t.groupBy(*cell, unit).agg(
-        F.sum(F.col("__p") * F.col("__y")).alias("__py"), F.sum("__y").alias("__sy"), F.count("__y").alias("__n"), F.sum("__rows").alias("n_rows")
+        F.sum(F.col("__p") * F.col("__y")).alias("__py"), F.sum("__y").alias("__sy"), F.count("__y").alias("__n"), F.sum("__rows").alias("n_rows"), *more
     )
     g = join_on(g, per, cell)
     return g.select(
-        *cell, unit, (F.col("__py") - F.col("pbar") * F.col("__sy")).alias("A"), "n_periods", "n_rows",
+        *cell, unit, *([treat] if treat else []), (F.col("__py") - F.col("pbar") * F.col("__sy")).alias("A"), "n_periods", "n_rows",
         (F.col("n_periods") * F.col("pbar") * (1 - F.col("pbar"))).alias("Q"), (F.col("__n") == F.col("n_periods")).alias("complete"),
     )
 
@@ -86,9 +88,7 @@ def did_from_contrasts(c: DataFrame, keys: Sequence[str], treat: str, small_samp
 
 
 def balanced_did(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, treat: str, post: str, small_sample: str = "cr1") -> DataFrame:
-    c = unit_contrasts(df, cell, unit, period, y, post)
-    roster = df.groupBy(*cell, unit).agg(F.max(treat).alias(treat))
-    return did_from_contrasts(join_on(c, roster, [*cell, unit]), cell, treat, small_sample)
+    return did_from_contrasts(unit_contrasts(df, cell, unit, period, y, post, treat), cell, treat, small_sample)
 
 
 def with_inference(df: DataFrame, est: str = "tau", se: str = "se", dist: str = "normal", df_col: Column | None = None) -> DataFrame:

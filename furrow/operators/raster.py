@@ -223,14 +223,11 @@ def merge_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that has not settled within ``max_rounds`` raises instead of returning a
     partial answer.
     """
-    e = edges.select("a", "b").where("a <> b").distinct()
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = cut_lineage(e)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            sym = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            sym = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        sym = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         j = sym.join(low, "a")
         if large:
@@ -239,12 +236,16 @@ def merge_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    def settled(e: DataFrame) -> bool:
+        """Every node hangs on exactly one root that hangs on nothing itself."""
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        deg = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return deg.where("up + down > 1 and up > 0").isEmpty()
+
     for _ in range(max_rounds):
-        nxt = cut_lineage(star(star(e, True), False))
-        moved = nxt.exceptAll(e).limit(1).count() + e.exceptAll(nxt).limit(1).count()
-        e = nxt
-        if moved == 0:
+        if settled(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        e = cut_lineage(star(star(e, True), False))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 

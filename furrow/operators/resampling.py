@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.distributions import t_quantile
-from furrow.functions.ranking import join_on
+from furrow.functions.ranking import exact_quantiles, join_on
 from furrow.functions.scalar import hash_uniform
 from furrow.operators.did import (
     Blocks,
@@ -46,8 +46,8 @@ def in_space_placebo(df: DataFrame, cell: Sequence[str], unit: str, period: str,
     the panel has shrunk to one row per unit.
     """
     cell = list(cell)
-    roster = df.groupBy(*cell, unit).agg(F.max(treat).cast("int").alias("real"))
-    c = indexed_units(join_on(unit_contrasts(df, cell, unit, period, y, post), roster, [*cell, unit]), cell, unit)
+    c = unit_contrasts(df, cell, unit, period, y, post, treat).withColumn("real", F.col(treat).cast("int"))
+    c = indexed_units(c, cell, unit)
     wc = Window.partitionBy(*cell)
     c = c.withColumn("n_treated", F.sum("real").over(wc)).withColumn("real_mask", F.sum(F.call_function("shiftleft", F.col("real"), F.col("idx"))).over(wc))
     masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("g").cast("int")) - 1), lambda m: F.bit_count(m) == F.col("n_treated"))
@@ -85,8 +85,7 @@ def leave_unit_out(df: DataFrame, cell: Sequence[str], unit: str, period: str, y
     squared scores expand into cell-level sums: no unit pairs are formed.
     """
     cell = list(cell)
-    roster = df.groupBy(*cell, unit).agg(F.max(treat).cast("double").alias("s"))
-    c = join_on(unit_contrasts(df, cell, unit, period, y, post), roster, [*cell, unit])
+    c = unit_contrasts(df, cell, unit, period, y, post, treat).withColumn("s", F.col(treat).cast("double")).drop(treat)
     a, s = F.col("A"), F.col("s")
     m = c.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("G"), F.max("n_periods").alias("T"), F.max("Q").alias("q"), F.min("complete").alias("full"),
@@ -203,7 +202,7 @@ def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, s
     n = F.when(exact, F.pow(F.lit(2.0), F.col("g"))).otherwise(F.lit(float(draws))).cast("int")
     e = i.withColumn("n_draws", n).withColumn("exact", exact).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n_draws") - 1)))
     bit = F.expr("shiftright(draw, CAST(least(idx, 30) AS INT)) & 1")
-    coin = (hash_uniform(cluster, "draw", seed=seed) < 0.5).cast("int")
+    coin = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(2))
     return e.withColumn("w", F.when(F.col("exact"), bit).otherwise(coin) * 2.0 - 1.0)
 
 
@@ -347,6 +346,15 @@ def selection_bounds(est: DataFrame, tau: str, missing: str, sigma: str) -> Data
     return out.withColumn("null_worst", covers("worst_lo", "worst_hi")).withColumn("null_narrow", covers("narrow_lo", "narrow_hi"))
 
 
+def trimmed(df: DataFrame, cell: Sequence[str], y: str, group: Column, share: float, side: str) -> DataFrame:
+    """Drop the top (``lower`` bound) or bottom (``upper`` bound) share of a group's outcomes."""
+    q = 1 - share if side == "lower" else share
+    cut = exact_quantiles(df.where(group), cell, y, {"__cut": q})
+    j = df.join(cut, list(cell), "left")
+    keep = F.col(y) <= F.col("__cut") if side == "lower" else F.col(y) >= F.col("__cut")
+    return j.where(~group | keep).drop("__cut")
+
+
 def baci_contrast(df: DataFrame, cell: Sequence[str], y: str, treat: str, post: str) -> DataFrame:
     """(treated after - treated before) - (control after - control before) of group means."""
     m = lambda a, b: F.avg(F.when((F.col(treat) == a) & (F.col(post) == b), F.col(y)))

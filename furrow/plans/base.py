@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.scalar import rnd  # noqa: F401  (re-exported for the plans)
+from furrow.session import cut_lineage
 
 GRID_WIDTH = 15
 BANDS = {"view": "b8", "click": "b4", "purchase": "b3", "error": "b11", "signup": "vh"}
@@ -172,6 +173,11 @@ long AS (SELECT *, CASE WHEN region <= 1 THEN 1 ELSE 0 END AS treat,
 )
 
 
+def stored(panel_of, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel written once: estimators read it several times, the observations once."""
+    return cut_lineage(panel_of(spark, sf_dir))
+
+
 def tier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten units (region x balance tier) x year: few clusters, exact enumeration."""
     return (

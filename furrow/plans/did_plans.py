@@ -21,10 +21,10 @@ from furrow.plans.base import (
     nation_panel,
     orders_located,
     rnd,
+    stored,
     tier_panel,
 )
 from furrow.plans.registry import query
-from furrow.session import cut_lineage
 
 CELL = ["product", "metric"]
 
@@ -50,7 +50,7 @@ ALL = "SELECT 'all' AS cell, * FROM panel"
 
 @query("e02_did_balanced", f"WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau, 4) + 0.0 AS tau, round(se, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
 def e02(s, d):
-    r = D.balanced_did(one_cell(nation_panel(s, d)), ["cell"], "unit", "year", "y", "treat", "post")
+    r = D.balanced_did(one_cell(stored(nation_panel, s, d)), ["cell"], "unit", "year", "y", "treat", "post")
     return r.select("cell", rnd("tau", 4).alias("tau"), rnd("se", 4).alias("se"), "n_obs", "n_units", "status")
 
 
@@ -159,7 +159,7 @@ LOO_U = f""", lu AS (SELECT l.*, x.unit AS dropped FROM long l JOIN (SELECT DIST
 
 
 def loo_units(s, d):
-    return R.leave_unit_out(long_panel(s, d), CELL, "unit", "year", "y", "treat", "post")
+    return R.leave_unit_out(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
 
 
 @query(
@@ -176,7 +176,7 @@ def e09(s, d):
     SELECT product, metric, dropped, round(tau, 3) + 0.0 AS tau_loo, round(se, 3) + 0.0 AS se_loo, 'ok' AS note FROM lo""",
 )
 def e09_period(s, d):
-    r = R.leave_period_out(long_panel(s, d), CELL, "unit", "year", "y", "treat", "post")
+    r = R.leave_period_out(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
     return r.select(*CELL, "dropped", rnd("tau_loo", 3).alias("tau_loo"), rnd("se_loo", 3).alias("se_loo"), "note")
 
 
@@ -201,7 +201,7 @@ PLACEBO = f""", pm AS (SELECT r.range AS mask, p.year, p.unit, p.y, p.post, CAST
 
 
 def placebo(s, d):
-    return R.in_space_placebo(one_cell(tier_panel(s, d)), ["cell"], "unit", "year", "y", "treat", "post")
+    return R.in_space_placebo(one_cell(stored(tier_panel, s, d)), ["cell"], "unit", "year", "y", "treat", "post")
 
 
 @query("e11_in_space_placebo", f"WITH {TIER_PANEL} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
@@ -227,7 +227,7 @@ def e12(s, d):
     SELECT product, metric, '1996' AS fake_post, round(tau, 3) + 0.0 AS tau_pseudo, round(se, 3) + 0.0 AS se_pseudo FROM did""",
 )
 def e13(s, d):
-    p = long_panel(s, d).where(~F.col("year").isin(POST)).withColumn("post", (F.col("year") == 1996).cast("int"))
+    p = stored(long_panel, s, d).where(~F.col("year").isin(POST)).withColumn("post", (F.col("year") == 1996).cast("int"))
     r = D.balanced_did(p, CELL, "unit", "year", "y", "treat", "post", small_sample="g")
     return r.select(*CELL, F.lit("1996").alias("fake_post"), rnd("tau", 3).alias("tau_pseudo"), rnd("se", 3).alias("se_pseudo"))
 
@@ -262,13 +262,13 @@ def e14_balanced(s, d):
     f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, round(2.8 * se, 2) + 0.0 AS mde, CASE WHEN abs(tau) >= 2.8 * se THEN 'yes' ELSE 'no' END AS detectable FROM did""",
 )
 def e15(s, d):
-    r = D.balanced_did(long_panel(s, d), CELL, "unit", "year", "y", "treat", "post").withColumn("mde", R.rule_of_thumb_mde(F.col("se")))
+    r = D.balanced_did(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post").withColumn("mde", R.rule_of_thumb_mde(F.col("se")))
     return r.select(*CELL, rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), rnd("mde", 2).alias("mde"), F.when(F.abs("tau") >= F.col("mde"), "yes").otherwise("no").alias("detectable"))
 
 
 @query("e15_minimum_detectable_effect_t")
 def e15_t(s, d):
-    r = D.balanced_did(long_panel(s, d), CELL, "unit", "year", "y", "treat", "post")
+    r = D.balanced_did(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
     return R.minimum_detectable(r, "tau", "se", "n_units").select(*CELL, "tau", "se", "mde_two", "mde_one", "tau_over_mde", "detectable")
 
 
@@ -285,12 +285,12 @@ CRIT = {4: round(t_ppf(0.975, 3), 9), 8: round(t_ppf(0.975, 7), 9)}
     SELECT CAST(g AS INTEGER) AS "G", tau_true::DOUBLE AS tau_true, round(avg(CASE WHEN abs(tau) > CASE g WHEN 4 THEN {CRIT[4]} ELSE {CRIT[8]} END * se THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS power, count(*) AS n_reps FROM v GROUP BY 1, 2""",
 )
 def e16(s, d):
-    r = R.power_curve(one_cell(tier_panel(s, d)), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
+    r = R.power_curve(one_cell(stored(tier_panel, s, d)), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
     return r.select("G", "tau_true", rnd("power").alias("power"), "n_reps")
 
 
 def nation_deltas(s, d):
-    p = nation_panel(s, d)
+    p = stored(nation_panel, s, d)
     est = D.balanced_did(one_cell(p), ["cell"], "unit", "year", "y", "treat", "post").select("tau", "se")
     return attach_scalar(baseline_delta(p, ["unit"], "year", "y", [1995, 1996], 1998), est)
 
@@ -351,7 +351,7 @@ def e20(s, d):
       tau - f * sigma < 0 AND tau + f * sigma > 0 AS null_worst, tau - sqrt(f) * sigma < 0 AND tau + sqrt(f) * sigma > 0 AS null_narrow FROM did JOIN sg USING (product, metric)""",
 )
 def e21(s, d):
-    lp = cut_lineage(long_panel(s, d))
+    lp = stored(long_panel, s, d)
     est = D.balanced_did(lp, CELL, "unit", "year", "y", "treat", "post")
     sg = lp.groupBy(*CELL).agg(F.stddev_samp("y").alias("sigma"), F.avg("share").alias("f"))
     r = R.selection_bounds(join_on(est, sg, CELL), "tau", "f", "sigma")
@@ -368,9 +368,20 @@ def e22(s, d):
 
 @query("e22_contrast_with_components")
 def e22_full(s, d):
-    lp = cut_lineage(long_panel(s, d))
+    lp = stored(long_panel, s, d)
     c = R.baci_contrast(lp, CELL, "y", "treat", "post").select(*CELL, "n_obs", "contrast")
     v = P.variance_components(lp, CELL, "unit", "year", "y").select(*CELL, (F.col("sigma_u") ** 2).alias("var_unit"), (F.col("sigma_t") ** 2).alias("var_period"))
     b = D.panel_blocks(lp, CELL, "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
     w = R.wild_bootstrap_p(b, draws=199).select(*CELL, "p_wcb")
     return join_on(join_on(c, v, CELL), w, CELL)
+
+
+@query("e21_trimmed_bounds")
+def e21_trimmed(s, d):
+    lp = stored(long_panel, s, d)
+    out = None
+    for side in ("lower", "upper"):
+        kept = R.trimmed(lp, CELL, "y", (F.col("treat") == 1) & (F.col("post") == 1), 0.1, side)
+        r = D.static_did(kept, CELL, "unit", "year", YEARS, "y", "treat", "post").select(*CELL, F.lit(side).alias("bound"), "tau", "se", "n_obs", "status")
+        out = r if out is None else out.unionByName(r)
+    return out

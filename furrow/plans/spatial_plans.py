@@ -193,7 +193,7 @@ def a15(s, d):
 )
 def w10(s, d):
     e = table(s, d, "events").select("event_type", "event_id")
-    out = M.sequential_ids(e, ["event_type"], ["event_id"], F.floor(F.col("event_id") / 4096))
+    out = M.sequential_ids(e, ["event_type"], ["event_id"], F.floor(F.col("event_id") / 2**20))
     return out.withColumn("cell_id", M.padded_id(F.col("event_type"), F.col("idx")))
 
 

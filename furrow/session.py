@@ -32,12 +32,17 @@ def build_session(app: str = "furrow", master: str | None = None, **conf: str) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if unset."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="furrow-ckpt-", dir=os.environ.get("TMPDIR"))
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="furrow-ckpt-", dir=os.environ.get("TMPDIR"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
