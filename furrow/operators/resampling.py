@@ -206,16 +206,36 @@ def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, s
     return e.withColumn("w", F.when(F.col("exact"), bit).otherwise(coin) * 2.0 - 1.0)
 
 
-def _bootstrap_rows(e: DataFrame, keys: list[str], kk: int) -> DataFrame:
-    """Estimate and error of each replicate; ``q`` and ``th`` are already at the tested value."""
-    v = e.groupBy(*keys).agg(F.array(*[F.sum(F.col("w") * F.col("q")[i]) for i in range(kk)]).alias("v"), F.sum(F.col("w") * F.col("th")).alias("shift"))
+def _draw_moments(e: DataFrame, keys: list[str], kk: int) -> DataFrame:
+    """Per draw: the shift of the estimate and the squared scores as polynomials in the tested value.
+
+    Scores are s0 - tau0*s1 in every cluster, so their sum of squares needs
+    three sums per draw and any number of tested values costs no further pass
+    over the clusters.
+    """
+    w = F.col("w")
+
+    def weighted(q: str) -> Column:
+        return F.array(*[F.sum(w * F.col(q)[i]) for i in range(kk)])
+
+    v = e.groupBy(*keys).agg(weighted("q0").alias("v0"), weighted("q1").alias("v1"), F.sum(w * F.col("th0")).alias("shift0"), F.sum(w * F.col("th1")).alias("shift1"))
     j = join_on(e, v, keys)
-    dot = F.aggregate(F.zip_with("r", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
-    score = F.col("w") * F.col("th") - dot
+
+    def dot(v_: str) -> Column:
+        return F.aggregate(F.zip_with("r", v_, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
+
+    j = j.withColumn("s0", w * F.col("th0") - dot("v0")).withColumn("s1", w * F.col("th1") - dot("v1"))
     g, n, k = F.col("g"), F.col("n_obs"), F.col("k")
     return j.groupBy(*keys).agg(
-        F.max("shift").alias("shift"), F.sum(score * score).alias("ss"), F.max(g / (g - 1) * (n - 1) / (n - k)).alias("factor"), F.max("exact").alias("exact")
-    ).withColumn("se", F.sqrt(F.col("ss") * F.col("factor")))
+        F.max("shift0").alias("shift0"), F.max("shift1").alias("shift1"), F.sum(F.col("s0") * F.col("s0")).alias("s00"), F.sum(F.col("s0") * F.col("s1")).alias("s01"),
+        F.sum(F.col("s1") * F.col("s1")).alias("s11"), F.max(g / (g - 1) * (n - 1) / (n - k)).alias("factor"), F.max("exact").alias("exact"),
+    )
+
+
+def _replicate(tau0: Column) -> tuple[Column, Column]:
+    """Shift and error of a replicate generated under ``tau0``."""
+    ss = F.col("s00") - 2 * tau0 * F.col("s01") + tau0 * tau0 * F.col("s11")
+    return F.col("shift0") - tau0 * F.col("shift1"), F.sqrt(F.greatest(ss, F.lit(0.0)) * F.col("factor"))
 
 
 def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42) -> DataFrame:
@@ -225,9 +245,10 @@ def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42) -> DataFrame:
     (1 + extreme)/(1 + draws).
     """
     inf = cluster_influence(b)
-    e = _with_signs(inf, b.cell, b.cluster, draws, seed).withColumnsRenamed({"q0": "q", "th0": "th"})
+    e = _with_signs(inf, b.cell, b.cluster, draws, seed)
     obs = _observed(b)
-    rep = _bootstrap_rows(e, [*b.cell, "draw"], b.k - 1).withColumn("t", F.try_divide("shift", "se"))
+    shift, se = _replicate(F.lit(0.0))
+    rep = _draw_moments(e, [*b.cell, "draw"], b.k - 1).withColumn("t", F.try_divide(shift, se))
     j = join_on(rep, obs, b.cell)
     g = j.groupBy(*b.cell).agg(
         F.max("tau").alias("tau"), F.max("t_obs").alias("t_obs"), F.count("t").alias("n_draws"), F.max("exact").alias("exact"),
@@ -245,25 +266,20 @@ def _observed(b: Blocks) -> DataFrame:
 def wild_bootstrap_ci(b: Blocks, draws: int = 999, seed: int = 42, alpha: float = 0.05, n_grid: int = 41, half_width: float = 8.0, studentise_at: str = "tau0") -> DataFrame:
     """Interval of values the bootstrap test does not reject, on a grid of +-half_width errors.
 
-    The replicate scores are linear in the tested value, so the grid reuses one
-    set of cluster rows.  ``studentise_at='zero'`` centres both statistics at
+    The grid multiplies per-draw sums only, never cluster rows.  ``studentise_at='zero'`` centres both statistics at
     zero and only serves to reproduce intervals computed that way.
     """
     inf = cluster_influence(b)
     obs = _observed(b).where("se_obs > 0")
-    e = _with_signs(inf, b.cell, b.cluster, draws, seed)
-    e = join_on(e, obs, b.cell)
     step = 2.0 * half_width / (n_grid - 1)
-    e = e.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-    tau0 = F.col("tau") + (F.col("gi") * step - half_width) * F.col("se_obs")
-    e = e.withColumn("tau0", tau0).withColumn("th", F.col("th0") - F.col("tau0") * F.col("th1"))
-    e = e.withColumn("q", F.transform(F.arrays_zip("q0", "q1"), lambda z: z["q0"] - F.col("tau0") * z["q1"]))
-    rep = join_on(_bootstrap_rows(e, [*b.cell, "gi", "draw"], b.k - 1), obs, b.cell)
+    rep = join_on(_draw_moments(_with_signs(inf, b.cell, b.cluster, draws, seed), [*b.cell, "draw"], b.k - 1), obs, b.cell)
+    rep = rep.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
     t0 = F.col("tau") + (F.col("gi") * step - half_width) * F.col("se_obs")
+    shift, se = _replicate(t0)
     if studentise_at == "tau0":
-        t_star, t_obs = F.try_divide("shift", "se"), (F.col("tau") - t0) / F.col("se_obs")
+        t_star, t_obs = F.try_divide(shift, se), (F.col("tau") - t0) / F.col("se_obs")
     else:
-        t_star, t_obs = F.try_divide(t0 + F.col("shift"), F.col("se")), F.col("t_obs")
+        t_star, t_obs = F.try_divide(t0 + shift, se), F.col("t_obs")
     hit = F.abs(t_star) >= F.abs(t_obs) - 1e-9
     acc = rep.groupBy(*b.cell, "gi").agg(
         F.max(t0).alias("tau0"), F.count(t_star).alias("n"), F.count(F.when(hit, 1)).alias("m"), F.max("exact").alias("exact"), F.max("tau").alias("tau"), F.max("se_obs").alias("se")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from furrow.functions.scalar import rnd  # noqa: F401  (re-exported for the plans)
 from furrow.session import cut_lineage
@@ -16,8 +17,15 @@ GRID_WIDTH = 15
 BANDS = {"view": "b8", "click": "b4", "purchase": "b3", "error": "b11", "signup": "vh"}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is inferred on first use only."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # --- pixel observations from the event table -----------------------------------

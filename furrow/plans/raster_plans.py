@@ -473,7 +473,7 @@ def a12(s, d):
 )
 def a13(s, d):
     cells = image(s, d).where("v > 50").select("x", "y")
-    return R.region_table(cells, 0.09, 0.18, tile=8)
+    return R.region_table(cells, 0.09, 0.18, tile=32)
 
 
 @query(
