@@ -131,9 +131,9 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
 
 
 def attach_scalar(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Put the columns of a one-row table (a global aggregate) on every row."""
-    key = "__one"
-    return df.withColumn(key, F.lit(0)).join(F.broadcast(one.withColumn(key, F.lit(0))), key).drop(key)
+    """Put the columns of a one-row table (a global aggregate) on every row, as a scalar subquery."""
+    row = one.select(F.struct(*one.columns).alias("__s")).scalar()
+    return df.withColumn("__s", row).select(*df.columns, *[F.col("__s")[c].alias(c) for c in one.columns])
 
 
 def column_medians(df: DataFrame, keys: Sequence[str], cols: Mapping[str, str]) -> DataFrame:

@@ -41,8 +41,9 @@ def did_sql(src: str, keys: str, out: str = "did", unit: str = "unit", extra: st
     {out} AS (SELECT {keys}, tau, sqrt(meat * ng / (ng - 1) * ({extra})) / (g * sb * (1 - sb) * q) AS se, n::BIGINT AS n_obs, g AS n_units, ng::BIGINT AS n_clusters FROM {out}_n)"""
 
 
-def one_cell(df):
-    return df.withColumn("cell", F.lit("all"))
+def one_cell(panel_of):
+    """A panel as a single cell; stored, so that the cell is a data column and joins on it stay equi joins."""
+    return lambda s, d: panel_of(s, d).withColumn("cell", F.lit("all"))
 
 
 ALL = "SELECT 'all' AS cell, * FROM panel"
@@ -50,7 +51,7 @@ ALL = "SELECT 'all' AS cell, * FROM panel"
 
 @query("e02_did_balanced", f"WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau, 4) + 0.0 AS tau, round(se, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
 def e02(s, d):
-    r = D.balanced_did(one_cell(stored(nation_panel, s, d)), ["cell"], "unit", "year", "y", "treat", "post")
+    r = D.balanced_did(stored(one_cell(nation_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
     return r.select("cell", rnd("tau", 4).alias("tau"), rnd("se", 4).alias("se"), "n_obs", "n_units", "status")
 
 
@@ -95,7 +96,7 @@ def e03(s, d):
     f"WITH {TIER_PANEL}, pc AS ({ALL}) {es_sql('pc', 'cell', 1997)} SELECT CAST(year AS INTEGER) AS year, CASE WHEN year < 1997 THEN 'pre' ELSE 'post' END AS label, round(beta, 3) + 0.0 AS beta, round(CASE WHEN year = 1997 THEN 0 ELSE se END, 3) + 0.0 AS se FROM es",
 )
 def e04(s, d):
-    r = D.event_study(one_cell(tier_panel(s, d)), ["cell"], "unit", "year", YEARS, "y", "treat", 1997)
+    r = D.event_study(one_cell(tier_panel)(s, d), ["cell"], "unit", "year", YEARS, "y", "treat", 1997)
     return r.select(F.col("period").alias("year"), F.when(F.col("period") < 1997, "pre").otherwise("post").alias("label"), rnd("beta", 3).alias("beta"), rnd("se", 3).alias("se"))
 
 
@@ -120,7 +121,7 @@ def e06(s, d):
 
 
 def tier_blocks(s, d):
-    return D.panel_blocks(one_cell(tier_panel(s, d)), ["cell"], "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
+    return D.panel_blocks(one_cell(tier_panel)(s, d), ["cell"], "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
 
 
 SIGNS = f""", pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, unit, s, a, ab, sb, q, g, tt FROM did_c JOIN did_m USING (cell)),
@@ -201,7 +202,7 @@ PLACEBO = f""", pm AS (SELECT r.range AS mask, p.year, p.unit, p.y, p.post, CAST
 
 
 def placebo(s, d):
-    return R.in_space_placebo(one_cell(stored(tier_panel, s, d)), ["cell"], "unit", "year", "y", "treat", "post")
+    return R.in_space_placebo(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
 
 
 @query("e11_in_space_placebo", f"WITH {TIER_PANEL} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
@@ -285,13 +286,13 @@ CRIT = {4: round(t_ppf(0.975, 3), 9), 8: round(t_ppf(0.975, 7), 9)}
     SELECT CAST(g AS INTEGER) AS "G", tau_true::DOUBLE AS tau_true, round(avg(CASE WHEN abs(tau) > CASE g WHEN 4 THEN {CRIT[4]} ELSE {CRIT[8]} END * se THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS power, count(*) AS n_reps FROM v GROUP BY 1, 2""",
 )
 def e16(s, d):
-    r = R.power_curve(one_cell(stored(tier_panel, s, d)), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
+    r = R.power_curve(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
     return r.select("G", "tau_true", rnd("power").alias("power"), "n_reps")
 
 
 def nation_deltas(s, d):
-    p = stored(nation_panel, s, d)
-    est = D.balanced_did(one_cell(p), ["cell"], "unit", "year", "y", "treat", "post").select("tau", "se")
+    p = stored(one_cell(nation_panel), s, d)
+    est = D.balanced_did(p, ["cell"], "unit", "year", "y", "treat", "post").select("tau", "se")
     return attach_scalar(baseline_delta(p, ["unit"], "year", "y", [1995, 1996], 1998), est)
 
 
