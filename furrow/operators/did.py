@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from furrow.functions.distributions import chi2_p, normal_p2, t_p2
 from furrow.functions.ranking import join_on
 from furrow.functions.scalar import C
+from furrow.operators.panel import deviation
 from furrow.session import cut_lineage
 
 Z95 = 1.959963984540054
+MAX_TERMS = 1500
 
 
 # --- balanced tables ----------------------------------------------------------------
@@ -192,6 +194,8 @@ def panel_blocks(df: DataFrame, cell: Sequence[str], unit: str, cluster: str, pe
     a NULL outcome or regressor drop out.  A unit must lie in one cluster.
     """
     cell, terms = list(cell), list(regressors)
+    if len(terms) + len(periods) > MAX_TERMS:
+        raise ValueError(f"{len(terms) + len(periods)} explicit terms; absorb the larger effect as the unit")
     if not cell:
         df, cell = df.withColumn("cell", F.lit("all")), ["cell"]
     p = len(terms)
@@ -289,21 +293,27 @@ def _scores(k: int, p: int, keys: list[str]):
     return run
 
 
-def panel_ols(b: Blocks, small_sample: str = "cr1") -> DataFrame:
+def cluster_scores(b: Blocks, sol: DataFrame) -> DataFrame:
+    """Per (cell, cluster): its contribution to each coefficient, as an array ``u``."""
+    per = b.gather([*b.cell, b.cluster])
+    j = join_on(per, sol.select(*b.cell, "beta", "bread"), b.cell)
+    keys = [*b.cell, b.cluster]
+    return j.mapInPandas(_scores(b.k, len(b.terms), keys), _cell_schema(j, keys, "u array<double>"))
+
+
+def panel_ols(b: Blocks, small_sample: str = "cr1", redundant: int = 0) -> DataFrame:
     """One row per (cell, term): estimate, cluster-robust error, counts, status.
 
-    K is the rank of the full design; a term whose regressor has no variation
-    left after the other effects is ``not_estimable``.
+    K is the rank of the full design; ``redundant`` adds columns that a design
+    counted although they carry nothing.  A term whose regressor has no
+    variation left after the other effects is ``not_estimable``.
     """
     p = len(b.terms)
     sol = solve_cells(b)
-    per = b.gather([*b.cell, b.cluster])
-    j = join_on(per, sol.select(*b.cell, "beta", "bread"), b.cell)
-    keys = [*b.cell, b.cluster]
-    sc = j.mapInPandas(_scores(b.k, p, keys), _cell_schema(j, keys, "u array<double>"))
+    sc = cluster_scores(b, sol)
     meat = sc.groupBy(*b.cell).agg(F.count(F.lit(1)).alias("n_clusters"), F.array(*[F.sum(F.col("u")[i] * F.col("u")[i]) for i in range(p)]).alias("meat"))
     r = join_on(sol, meat, b.cell)
-    g, n, k = F.col("n_clusters"), F.col("n_obs"), F.col("rank")
+    g, n, k = F.col("n_clusters"), F.col("n_obs"), F.col("rank") + redundant
     factor = g / (g - 1)
     if small_sample == "cr1":
         factor = factor * (n - 1) / F.nullif(n - k, F.lit(0))
@@ -315,7 +325,7 @@ def panel_ols(b: Blocks, small_sample: str = "cr1") -> DataFrame:
     ok = F.col("r.own") & (g > 1) & (n > k)
     return r.select(
         *b.cell, F.col("r.term").alias("term"), F.when(ok, F.col("r.est")).alias("est"), F.when(ok, F.sqrt(F.col("r.meat") * factor)).alias("se"),
-        "n_obs", "n_units", "n_clusters", F.col("rank").alias("k"), "r2_within", "ssr", F.when(ok, "ok").otherwise("not_estimable").alias("status"),
+        "n_obs", "n_units", "n_clusters", k.alias("k"), "r2_within", "ssr", F.when(ok, "ok").otherwise("not_estimable").alias("status"),
     )
 
 
@@ -340,10 +350,18 @@ def static_did(df: DataFrame, cell: Sequence[str], unit: str, period: str, perio
     return panel_ols(b, small_sample).drop("term").withColumnRenamed("est", "tau")
 
 
-def event_study(df: DataFrame, cell: Sequence[str], unit: str, period: str, periods: Sequence[int], y: str, treat: str, reference: int, cluster: str | None = None) -> DataFrame:
-    """Treatment x period coefficients against a reference period, which is kept as a zero row."""
+def event_blocks(df: DataFrame, cell: Sequence[str], unit: str, period: str, periods: Sequence[int], y: str, treat: str, reference: int, cluster: str | None = None) -> Blocks:
     regs = {str(t): F.col(treat) * (F.col(period) == int(t)).cast("int") for t in periods if t != reference}
-    r = panel_ols(panel_blocks(df, cell, unit, cluster or unit, period, periods, y, regs))
+    return panel_blocks(df, cell, unit, cluster or unit, period, periods, y, regs)
+
+
+def event_study(df: DataFrame, cell: Sequence[str], unit: str, period: str, periods: Sequence[int], y: str, treat: str, reference: int, cluster: str | None = None, redundant: int = 0) -> DataFrame:
+    """Treatment x period coefficients against a reference period, which is kept as a zero row.
+
+    Several rows of a unit in one period all count; reduce them first if they
+    are repeats of one measurement.
+    """
+    r = panel_ols(event_blocks(df, cell, unit, period, periods, y, treat, reference, cluster), redundant=redundant)
     out = r.select(*cell, F.col("term").cast("int").alias("period"), F.col("est").alias("beta"), "se", "n_obs", "status")
     ref = out.select(*cell, "n_obs").distinct().select(*cell, F.lit(int(reference)).alias("period"), F.lit(0.0).alias("beta"), F.lit(0.0).alias("se"), "n_obs", F.lit("reference").alias("status"))
     return out.unionByName(ref)
@@ -357,6 +375,54 @@ def wald_diagonal(rows: DataFrame, cell: Sequence[str], before: int) -> DataFram
     return g.withColumn("p_value", chi2_p("chi2", F.col("dof").cast("double")))
 
 
+def wald_joint(b: Blocks, terms: Sequence[str]) -> DataFrame:
+    """Joint test of several terms with their full clustered covariance."""
+    idx = [b.terms.index(t) for t in terms]
+    sol = solve_cells(b)
+    sc = cluster_scores(b, sol)
+    outer = F.array(*[F.sum(F.col("u")[i] * F.col("u")[j]) for i in idx for j in idx])
+    r = join_on(sol, sc.groupBy(*b.cell).agg(F.count(F.lit(1)).alias("n_clusters"), outer.alias("v")), b.cell)
+    keep = list(b.cell)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for coef, v, g, n, k in zip(f["coef"], f["v"], f["n_clusters"], f["n_obs"], f["rank"]):
+                beta = np.asarray(coef, dtype=float)[idx]
+                cov = np.asarray(v, dtype=float).reshape(len(idx), -1) * g / (g - 1) * (n - 1) / (n - k)
+                inv, rank = _pinv(cov)
+                out.append((float(beta @ inv @ beta), rank))
+            yield pd.concat([f[keep].reset_index(drop=True), pd.DataFrame(out, columns=["chi2", "dof"])], axis=1)
+
+    w = r.mapInPandas(solve, _cell_schema(r, keep, "chi2 double, dof int"))
+    return w.withColumn("p_value", chi2_p("chi2", F.col("dof").cast("double")))
+
+
+def one_pass_did(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, d: str, cluster: str) -> DataFrame:
+    """Effect after one round of unit and period demeaning.
+
+    Exact for balanced panels only; kept to reproduce results computed that way
+    on unbalanced ones.
+    """
+    cell = list(cell)
+    x = df.select(*cell, unit, period, cluster, F.col(y).cast("double").alias("__y"), F.col(d).cast("double").alias("__d")).where("__y is not null")
+    x = deviation(x, [*cell, unit], ["__y", "__d"], "1")
+    x = deviation(x, [*cell, period], ["__y1", "__d1"], "2")
+    x = x.select(*cell, unit, cluster, F.col("__y12").alias("yd"), F.col("__d12").alias("dd"))
+    per = x.groupBy(*cell, cluster).agg(F.sum(F.col("yd") * F.col("dd")).alias("xy"), F.sum(F.col("dd") * F.col("dd")).alias("xx"), F.count(F.lit(1)).alias("n"))
+    tot = per.groupBy(*cell).agg(F.sum("xy").alias("sxy"), F.sum("xx").alias("sxx"), F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_clusters"))
+    tot = tot.withColumn("tau", F.when(F.col("sxx") > 1e-10, F.try_divide("sxy", "sxx")))
+    sc = F.col("xy") - F.col("tau") * F.col("xx")
+    meat = join_on(per.drop("n"), tot, cell).groupBy(*cell).agg(F.sum(sc * sc).alias("meat"))
+    g = F.col("n_clusters")
+    return join_on(tot, meat, cell).select(*cell, "tau", (F.sqrt(F.col("meat") * g / (g - 1)) / F.col("sxx")).alias("se"), "n_obs", "n_clusters", F.when(F.col("tau").isNull(), "not_estimable").otherwise("ok").alias("status"))
+
+
+def missingness_verdict(est: str, p_value: str, small: float = 0.05, alpha: float = 0.10) -> Column:
+    """Is the failure rate unrelated to treatment?"""
+    return F.when((F.abs(est) < small) & (F.col(p_value) > alpha), "ignorable").otherwise("possibly selective")
+
+
 def pretrend_slope(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, treat: str, first_post: int, min_rows: int = 6, min_dof: int = 2) -> DataFrame:
     """Slope difference before treatment, with unit effects; thin cells keep a row and a note."""
     pre = df.where((F.col(period) < first_post) & F.col(y).isNotNull())

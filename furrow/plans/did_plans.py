@@ -386,3 +386,30 @@ def e21_trimmed(s, d):
         r = D.static_did(kept, CELL, "unit", "year", YEARS, "y", "treat", "post").select(*CELL, F.lit(side).alias("bound"), "tau", "se", "n_obs", "status")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+@query(
+    "e14_one_pass_demeaning",
+    f"""WITH {LOCATED}, cp AS (SELECT 'all' AS cell, o_custkey AS unit, n_nationkey AS cluster, year, avg(o_totalprice) AS y, CASE WHEN n_regionkey <= 1 AND year IN (1997, 1998, 1999) THEN 1.0 ELSE 0.0 END AS d FROM loc GROUP BY 2, 3, 4, 6),
+    a AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) AS y1, d - avg(d) OVER (PARTITION BY unit) AS d1 FROM cp), b AS (SELECT *, y1 - avg(y1) OVER (PARTITION BY year) AS yd, d1 - avg(d1) OVER (PARTITION BY year) AS dd FROM a),
+    p AS (SELECT cluster, sum(yd * dd) AS xy, sum(dd * dd) AS xx, count(*) AS n FROM b GROUP BY 1), t AS (SELECT sum(xy) / sum(xx) AS tau, sum(xx) AS sxx, sum(n)::BIGINT AS n_obs, count(*) AS g FROM p)
+    SELECT round(any_value(tau), 3) + 0.0 AS tau, round(sqrt(sum(pow(xy - tau * xx, 2)) * any_value(g / (g - 1.0))) / any_value(sxx), 3) + 0.0 AS se, any_value(n_obs) AS n_obs, any_value(g) AS n_clusters FROM p, t""",
+)
+def e14_one_pass(s, d):
+    p = stored(one_cell(customer_panel), s, d).withColumn("d", F.col("treat") * F.col("post"))
+    r = D.one_pass_did(p, ["cell"], "unit", "year", "y", "d", "cluster")
+    return r.select(rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), "n_obs", "n_clusters")
+
+
+@query("e05_joint_lead_test_full_covariance")
+def e05_full(s, d):
+    b = D.event_blocks(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1997)
+    return D.wald_joint(b, ["1995", "1996"])
+
+
+@query("e20_missingness_verdict")
+def e20_verdict(s, d):
+    fr = orders_located(s, d).groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey", "year").agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("y"))
+    fr = fr.withColumns({"treat": (F.col("n_regionkey") <= 1).cast("int"), "post": F.col("year").isin(POST).cast("int")})
+    r = D.with_inference(D.static_did(fr, [], "unit", "year", YEARS, "y", "treat", "post"))
+    return r.select("tau", "se", "p_value", D.missingness_verdict("tau", "p_value").alias("verdict"))

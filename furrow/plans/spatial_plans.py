@@ -124,6 +124,15 @@ def w09(s, d):
     return n.select("sid", "event_id", F.dayofyear("ts").alias("doy"), rnd("d2l").alias("d2l"), F.coalesce("wmo", "usa").alias("wind"))
 
 
+@query(
+    "w09_first_landfall_fix",
+    f"""WITH {FIX}, r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS rn FROM fix WHERE lon >= 84) SELECT sid, event_id, ts, round(lon, 6) AS lon FROM r WHERE rn = 1""",
+)
+def w09_first(s, d):
+    n = K.nearest_fix(fixes(s, d).where("lon >= 84"), "sid", [F.col("ts"), F.col("event_id")], ["event_id", "ts", "lon"])
+    return n.withColumn("lon", rnd("lon"))
+
+
 @query(
     "w12_breakpoint_percentile",
     f"""WITH {FIX}, m AS (SELECT sid, max(wmo) AS v, min(wmo) AS lo FROM fix GROUP BY 1)

@@ -79,6 +79,9 @@ def test_event_study(golden):
     assert round(got["raw", "SOS", 2017].se, 3) == 47.431
     assert round(got["raw", "SOS", 2019].se, 3) == 55.997
     assert got["raw", "SOS", 2018].status == "reference"
+    # a design that also counts a redundant control column
+    r = rows(D.event_study(golden.where("metric = 'SOS' and product = 'raw'"), CELL, "unit", "year", YEARS, "y", "treat", 2018, redundant=1), ["period"])
+    assert round(r[2017,].se, 3) == 48.006 and round(r[2019,].se, 3) == 56.676
 
 
 def test_pretrend(golden):

@@ -289,3 +289,43 @@ def test_placebo_guard_on_too_many_units(spark):
     df = spark.createDataFrame(rows, "cell string, u int, t int, y double, treat int, post int")
     with pytest.raises(Exception, match="too many units"):
         B.in_space_placebo(df, ["cell"], "u", "t", "y", "treat", "post").collect()
+
+
+def test_joint_test_matches_dense_algebra(spark):
+    rows = [r[:4] for r in unbalanced(seed=21, units=16, clusters=8)]
+    df = spark.createDataFrame(rows, "u int, c int, t int, y double").withColumn("cell", F.lit("x")).withColumn("treat", (F.col("c") < 4).cast("int"))
+    got = D.wald_joint(D.event_blocks(df, ["cell"], "u", "t", range(6), "y", "treat", 2, cluster="c"), ["0", "1"]).first()
+    us, cs = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    y = np.array([r[3] for r in rows])
+    ks = [t for t in range(6) if t != 2]
+    x = np.column_stack([[float(r[2] == k and r[1] < 4) for r in rows] for k in ks] + [[float(r[0] == u) for r in rows] for u in us] + [[float(r[2] == t) for r in rows] for t in range(1, 6)])
+    inv = np.linalg.pinv(x.T @ x)
+    b = inv @ x.T @ y
+    e = y - x @ b
+    meat = sum(np.outer(s, s) for s in (x[m].T @ e[m] for m in (np.array([r[1] == c for r in rows]) for c in cs)))
+    n, k, g = len(y), np.linalg.matrix_rank(x), len(cs)
+    v = (inv @ meat @ inv * g / (g - 1) * (n - 1) / (n - k))[:2, :2]
+    assert got.dof == 2 and got.chi2 == pytest.approx(b[:2] @ np.linalg.solve(v, b[:2]), rel=1e-6)
+
+
+def test_one_pass_equals_exact_only_when_balanced(spark):
+    rows = [(u, u % 4, t, float((u * 7 + t * 3) % 11) + (u < 4 and t > 1), float(u < 4 and t > 1)) for u in range(8) for t in range(4)]
+    df = spark.createDataFrame(rows, "u int, c int, t int, y double, d double").withColumn("cell", F.lit("x"))
+
+    def both(x):
+        exact = D.panel_ols(D.panel_blocks(x, ["cell"], "u", "u", "t", range(4), "y", {"d": F.col("d")})).first().est
+        return exact, D.one_pass_did(x, ["cell"], "u", "t", "y", "d", "u").first().tau
+
+    a, b = both(df)
+    assert a == pytest.approx(b)
+    a, b = both(df.where("not (u = 1 and t = 2) and not (u = 6 and t = 0)"))
+    assert a != pytest.approx(b, abs=1e-6)
+
+
+def test_trimmed_bounds_order(spark):
+    rows = [("c", u, t, float((u * 13 + t * 5) % 17), int(u < 10), int(t >= 2)) for u in range(20) for t in range(4)]
+    df = spark.createDataFrame(rows, "cell string, u int, t int, y double, treat int, post int")
+    hit = (F.col("treat") == 1) & (F.col("post") == 1)
+    taus = [D.static_did(B.trimmed(df, ["cell"], "y", hit, 0.2, side), ["cell"], "u", "t", range(4), "y", "treat", "post").first().tau for side in ("lower", "upper")]
+    full = D.static_did(df, ["cell"], "u", "t", range(4), "y", "treat", "post").first().tau
+    assert taus[0] < full < taus[1]
