@@ -17,8 +17,12 @@ def C(x) -> Column:
 
 
 def rnd(x, digits: int = 6) -> Column:
-    """Round and fold negative zero into zero."""
-    return F.round(C(x), digits) + F.lit(0.0)
+    """Round for reporting; negative zero becomes zero.
+
+    The nudge moves exact halves off the tie, so that the last bit of a sum,
+    which depends on the order of addition, does not decide the digit.
+    """
+    return F.round(C(x) + 1e-9, digits) + F.lit(0.0)
 
 
 # --- bands and indices -------------------------------------------------------

@@ -49,7 +49,7 @@ def one_cell(panel_of):
 ALL = "SELECT 'all' AS cell, * FROM panel"
 
 
-@query("e02_did_balanced", f"WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau, 4) + 0.0 AS tau, round(se, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
+@query("e02_did_balanced", f"WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau + 1e-9, 4) + 0.0 AS tau, round(se + 1e-9, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
 def e02(s, d):
     r = D.balanced_did(stored(one_cell(nation_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
     return r.select("cell", rnd("tau", 4).alias("tau"), rnd("se", 4).alias("se"), "n_obs", "n_units", "status")
@@ -61,7 +61,7 @@ def long_blocks(s, d, y="y"):
 
 @query(
     "e01_static_two_way_did",
-    f"WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, round(tau / se, 5) + 0.0 AS t_stat, n_obs, n_units, n_clusters, 'ok' AS status FROM did",
+    f"WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, round(tau / se + 1e-9, 5) + 0.0 AS t_stat, n_obs, n_units, n_clusters, 'ok' AS status FROM did",
 )
 def e01(s, d):
     r = D.panel_ols(long_blocks(s, d))
@@ -84,7 +84,7 @@ def es_sql(src: str, keys: str, ref: int) -> str:
 
 @query(
     "e03_event_study",
-    f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1996)} SELECT product, metric, CAST(year - 1997 AS INTEGER) AS event_k, round(beta, 2) + 0.0 AS beta, round(CASE WHEN year = 1996 THEN 0 ELSE se END, 2) + 0.0 AS se, n_obs FROM es",
+    f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1996)} SELECT product, metric, CAST(year - 1997 AS INTEGER) AS event_k, round(beta + 1e-9, 2) + 0.0 AS beta, round(CASE WHEN year = 1996 THEN 0 ELSE se END + 1e-9, 2) + 0.0 AS se, n_obs FROM es",
 )
 def e03(s, d):
     r = D.event_study(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1996)
@@ -93,7 +93,7 @@ def e03(s, d):
 
 @query(
     "e04_calendar_leads_lags",
-    f"WITH {TIER_PANEL}, pc AS ({ALL}) {es_sql('pc', 'cell', 1997)} SELECT CAST(year AS INTEGER) AS year, CASE WHEN year < 1997 THEN 'pre' ELSE 'post' END AS label, round(beta, 3) + 0.0 AS beta, round(CASE WHEN year = 1997 THEN 0 ELSE se END, 3) + 0.0 AS se FROM es",
+    f"WITH {TIER_PANEL}, pc AS ({ALL}) {es_sql('pc', 'cell', 1997)} SELECT CAST(year AS INTEGER) AS year, CASE WHEN year < 1997 THEN 'pre' ELSE 'post' END AS label, round(beta + 1e-9, 3) + 0.0 AS beta, round(CASE WHEN year = 1997 THEN 0 ELSE se END + 1e-9, 3) + 0.0 AS se FROM es",
 )
 def e04(s, d):
     r = D.event_study(one_cell(tier_panel)(s, d), ["cell"], "unit", "year", YEARS, "y", "treat", 1997)
@@ -102,7 +102,7 @@ def e04(s, d):
 
 @query(
     "e05_joint_lead_test",
-    f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1997)} SELECT product, metric, round(sum(pow(beta / se, 2)), 5) + 0.0 AS chi2, count(*) AS dof FROM es WHERE year < 1997 GROUP BY 1, 2",
+    f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1997)} SELECT product, metric, round(sum(pow(beta / se, 2)) + 1e-9, 5) + 0.0 AS chi2, count(*) AS dof FROM es WHERE year < 1997 GROUP BY 1, 2",
 )
 def e05(s, d):
     r = D.event_study(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1997)
@@ -113,7 +113,7 @@ def e05(s, d):
     "e06_pretrend_slope",
     f"""WITH {LONG_PANEL}, pre AS (SELECT *, year - 1996.5 AS tc FROM long WHERE year < 1999), sl AS (SELECT product, metric, unit, any_value(treat) AS treat, sum(tc * y) / sum(tc * tc) AS b FROM pre GROUP BY 1, 2, 3),
     g AS (SELECT product, metric, treat, avg(b) AS bb, count(*)::DOUBLE AS ng FROM sl GROUP BY 1, 2, 3), v AS (SELECT product, metric, treat, any_value(bb) AS bb, sum(pow(b - bb, 2)) / any_value(ng * ng) AS v FROM sl JOIN g USING (product, metric, treat) GROUP BY 1, 2, 3)
-    SELECT product, metric, round(sum(CASE WHEN treat = 1 THEN bb ELSE -bb END), 3) + 0.0 AS slope, round(sqrt(sum(v) * 25 / 24.0 * 99.0 / (100 - 27)), 3) + 0.0 AS se, 100::BIGINT AS n_pre FROM v GROUP BY 1, 2""",
+    SELECT product, metric, round(sum(CASE WHEN treat = 1 THEN bb ELSE -bb END) + 1e-9, 3) + 0.0 AS slope, round(sqrt(sum(v) * 25 / 24.0 * 99.0 / (100 - 27)) + 1e-9, 3) + 0.0 AS se, 100::BIGINT AS n_pre FROM v GROUP BY 1, 2""",
 )
 def e06(s, d):
     r = D.pretrend_slope(long_panel(s, d), CELL, "unit", "year", "y", "treat", 1999)
@@ -133,8 +133,8 @@ SIGNS = f""", pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() O
     f"""WITH {TIER_PANEL} {SIGNS}, b AS (SELECT draw, s, sb, q, g, tt, ab + (CASE WHEN (draw >> i) & 1 = 1 THEN 1 ELSE -1 END) * (a - ab) AS a2 FROM u, w),
     m AS (SELECT draw, avg(a2) AS ab2, sum((s - sb) * a2) / any_value(g * sb * (1 - sb) * q) AS tau FROM b GROUP BY 1),
     e AS (SELECT b.draw, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * 10 / 9.0 * 59.0 / (60 - 16)) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (draw) GROUP BY 1)
-    SELECT round(any_value(did.tau), 4) + 0.0 AS tau, round(any_value(did.tau / did.se), 6) + 0.0 AS t_obs, count(*) AS n_draws, count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) AS n_extreme,
-      round(count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) / count(*), 6) + 0.0 AS p_wcb FROM e, did""",
+    SELECT round(any_value(did.tau) + 1e-9, 4) + 0.0 AS tau, round(any_value(did.tau / did.se) + 1e-9, 6) + 0.0 AS t_obs, count(*) AS n_draws, count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) AS n_extreme,
+      round(count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) / count(*) + 1e-9, 6) + 0.0 AS p_wcb FROM e, did""",
 )
 def e07(s, d):
     r = R.wild_bootstrap_p(tier_blocks(s, d), draws=9999)
@@ -148,7 +148,7 @@ def e07(s, d):
     m AS (SELECT gi, draw, avg(a2) AS ab2, sum((s - sb) * a2) / any_value(g * sb * (1 - sb) * q) AS tau FROM b GROUP BY 1, 2),
     e AS (SELECT gi, draw, any_value(tau0) AS tau0, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * 10 / 9.0 * 59.0 / (60 - 16)) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (gi, draw) GROUP BY 1, 2),
     p AS (SELECT gi, any_value(tau0) AS tau0, count(CASE WHEN abs((e.tau - tau0) / e.se) >= abs((did.tau - tau0) / did.se) - 1e-9 THEN 1 END) / count(e.se) AS p FROM e, did GROUP BY 1)
-    SELECT round(min(CASE WHEN p >= 0.05 THEN tau0 END), 3) + 0.0 AS ci_lo, round(max(CASE WHEN p >= 0.05 THEN tau0 END), 3) + 0.0 AS ci_hi, max(CASE WHEN gi = 0 THEN p >= 0.05 END) AS ci_open_lo, max(CASE WHEN gi = 40 THEN p >= 0.05 END) AS ci_open_hi FROM p""",
+    SELECT round(min(CASE WHEN p >= 0.05 THEN tau0 END) + 1e-9, 3) + 0.0 AS ci_lo, round(max(CASE WHEN p >= 0.05 THEN tau0 END) + 1e-9, 3) + 0.0 AS ci_hi, max(CASE WHEN gi = 0 THEN p >= 0.05 END) AS ci_open_lo, max(CASE WHEN gi = 40 THEN p >= 0.05 END) AS ci_open_hi FROM p""",
 )
 def e08(s, d):
     r = R.wild_bootstrap_ci(tier_blocks(s, d), draws=1024)
@@ -165,7 +165,7 @@ def loo_units(s, d):
 
 @query(
     "e09_leave_one_unit_out",
-    f"WITH {LONG_PANEL} {LOO_U} SELECT product, metric, dropped, round(tau, 3) + 0.0 AS tau_loo, round(se, 3) + 0.0 AS se_loo, round(delta_pct, 4) + 0.0 AS delta_pct, 'ok' AS note FROM lr",
+    f"WITH {LONG_PANEL} {LOO_U} SELECT product, metric, dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, round(delta_pct + 1e-9, 4) + 0.0 AS delta_pct, 'ok' AS note FROM lr",
 )
 def e09(s, d):
     return loo_units(s, d).select(*CELL, "dropped", rnd("tau_loo", 3).alias("tau_loo"), rnd("se_loo", 3).alias("se_loo"), rnd("delta_pct", 4).alias("delta_pct"), "note")
@@ -174,7 +174,7 @@ def e09(s, d):
 @query(
     "e09_leave_one_period_out",
     f"""WITH {LONG_PANEL}, lu AS (SELECT l.*, x.year AS dropped FROM long l JOIN (SELECT DISTINCT year FROM long) x ON x.year <> l.year) {did_sql('lu', 'product, metric, dropped', 'lo')}
-    SELECT product, metric, dropped, round(tau, 3) + 0.0 AS tau_loo, round(se, 3) + 0.0 AS se_loo, 'ok' AS note FROM lo""",
+    SELECT product, metric, dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, 'ok' AS note FROM lo""",
 )
 def e09_period(s, d):
     r = R.leave_period_out(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
@@ -190,7 +190,7 @@ def e09_blocks(s, d):
 
 @query(
     "e10_sensitivity_verdict",
-    f"""WITH {LONG_PANEL} {LOO_U} SELECT product, metric, round(any_value(tau_full), 3) + 0.0 AS tau_full, round(max(abs(delta_pct)), 4) + 0.0 AS max_abs_delta_pct, arg_max(dropped, (abs(delta_pct), -dropped)) AS driver,
+    f"""WITH {LONG_PANEL} {LOO_U} SELECT product, metric, round(any_value(tau_full) + 1e-9, 3) + 0.0 AS tau_full, round(max(abs(delta_pct)) + 1e-9, 4) + 0.0 AS max_abs_delta_pct, arg_max(dropped, (abs(delta_pct), -dropped)) AS driver,
       CASE WHEN max(CASE WHEN sign(tau) <> sign(tau_full) THEN 1 ELSE 0 END) = 1 THEN 'fragile' WHEN max(abs(delta_pct)) > 25 THEN 'leverage' ELSE 'stable' END AS verdict FROM lr GROUP BY 1, 2""",
 )
 def e10(s, d):
@@ -205,7 +205,7 @@ def placebo(s, d):
     return R.in_space_placebo(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
 
 
-@query("e11_in_space_placebo", f"WITH {TIER_PANEL} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
+@query("e11_in_space_placebo", f"WITH {TIER_PANEL} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
 def e11(s, d):
     return placebo(s, d).select("mask", rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), "is_real")
 
@@ -213,8 +213,8 @@ def e11(s, d):
 @query(
     "e12_placebo_summary",
     f"""WITH {TIER_PANEL} {PLACEBO}, r AS (SELECT tau AS tr FROM pl WHERE mask = 31), o AS (SELECT tau, tr FROM pl, r WHERE mask <> 31)
-    SELECT count(*) + 1 AS n_perm, round(any_value(tr), 3) + 0.0 AS tau_real, round(quantile_cont(tau, 0.5), 3) + 0.0 AS median, round(quantile_cont(tau, 0.05), 3) + 0.0 AS p05, round(quantile_cont(tau, 0.95), 3) + 0.0 AS p95, round(max(abs(tau)), 3) + 0.0 AS max_abs,
-      count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) AS n_extreme, round((count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) + 1) / (count(*) + 1), 6) + 0.0 AS p_perm,
+    SELECT count(*) + 1 AS n_perm, round(any_value(tr) + 1e-9, 3) + 0.0 AS tau_real, round(quantile_cont(tau, 0.5) + 1e-9, 3) + 0.0 AS median, round(quantile_cont(tau, 0.05) + 1e-9, 3) + 0.0 AS p05, round(quantile_cont(tau, 0.95) + 1e-9, 3) + 0.0 AS p95, round(max(abs(tau)) + 1e-9, 3) + 0.0 AS max_abs,
+      count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) AS n_extreme, round((count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) + 1) / (count(*) + 1) + 1e-9, 6) + 0.0 AS p_perm,
       CASE WHEN (count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) + 1) / (count(*) + 1) <= 0.1 THEN 'passes' ELSE 'fails' END AS verdict FROM o""",
 )
 def e12(s, d):
@@ -225,7 +225,7 @@ def e12(s, d):
 @query(
     "e13_in_time_placebo",
     f"""WITH {LONG_PANEL}, fp AS (SELECT * EXCLUDE (post), CASE WHEN year = 1996 THEN 1 ELSE 0 END AS post FROM long WHERE year NOT IN (1997, 1998, 1999)) {did_sql('fp', 'product, metric', extra='1')}
-    SELECT product, metric, '1996' AS fake_post, round(tau, 3) + 0.0 AS tau_pseudo, round(se, 3) + 0.0 AS se_pseudo FROM did""",
+    SELECT product, metric, '1996' AS fake_post, round(tau + 1e-9, 3) + 0.0 AS tau_pseudo, round(se + 1e-9, 3) + 0.0 AS se_pseudo FROM did""",
 )
 def e13(s, d):
     p = stored(long_panel, s, d).where(~F.col("year").isin(POST)).withColumn("post", (F.col("year") == 1996).cast("int"))
@@ -249,7 +249,7 @@ def e14(s, d):
     "e14_cell_level_did_balanced",
     f"""WITH {LOCATED}, cp AS (SELECT 'all' AS cell, o_custkey AS unit, n_nationkey AS cluster, year, avg(o_totalprice) AS y, CASE WHEN n_regionkey <= 1 THEN 1 ELSE 0 END AS treat, CASE WHEN year IN (1997, 1998, 1999) THEN 1 ELSE 0 END AS post FROM loc GROUP BY 2, 3, 4, 6),
     full_ AS (SELECT unit FROM cp GROUP BY 1 HAVING count(*) = 6), bp AS (SELECT cp.* FROM cp JOIN full_ USING (unit)) {did_sql('bp', 'cell', score_by='cluster')}
-    SELECT round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, n_obs, n_units, n_clusters FROM did""",
+    SELECT round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, n_obs, n_units, n_clusters FROM did""",
 )
 def e14_balanced(s, d):
     p = customer_panel(s, d)
@@ -260,7 +260,7 @@ def e14_balanced(s, d):
 
 @query(
     "e15_minimum_detectable_effect",
-    f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau, 3) + 0.0 AS tau, round(se, 3) + 0.0 AS se, round(2.8 * se, 2) + 0.0 AS mde, CASE WHEN abs(tau) >= 2.8 * se THEN 'yes' ELSE 'no' END AS detectable FROM did""",
+    f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, round(2.8 * se + 1e-9, 2) + 0.0 AS mde, CASE WHEN abs(tau) >= 2.8 * se THEN 'yes' ELSE 'no' END AS detectable FROM did""",
 )
 def e15(s, d):
     r = D.balanced_did(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post").withColumn("mde", R.rule_of_thumb_mde(F.col("se")))
@@ -283,7 +283,7 @@ CRIT = {4: round(t_ppf(0.975, 3), 9), 8: round(t_ppf(0.975, 7), 9)}
     e AS (SELECT g, rep, tt.tau AS tau_true, CASE WHEN slot < g // 2 THEN 1 ELSE 0 END AS s, a + CASE WHEN slot < g // 2 THEN tt.tau * q ELSE 0 END AS a, q FROM sl JOIN u USING (idx), (VALUES (0.0), (15000.0), (40000.0)) tt(tau)),
     m AS (SELECT g, rep, tau_true, avg(a) AS ab, sum((s - 0.5) * a) / any_value(g * 0.25 * q) AS tau FROM e GROUP BY 1, 2, 3),
     v AS (SELECT g, rep, tau_true, any_value(tau) AS tau, sqrt(sum(pow((s - 0.5) * (a - ab) - tau * 0.25 * q, 2)) * any_value(g / (g - 1.0))) / any_value(g * 0.25 * q) AS se FROM e JOIN m USING (g, rep, tau_true) GROUP BY 1, 2, 3)
-    SELECT CAST(g AS INTEGER) AS "G", tau_true::DOUBLE AS tau_true, round(avg(CASE WHEN abs(tau) > CASE g WHEN 4 THEN {CRIT[4]} ELSE {CRIT[8]} END * se THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS power, count(*) AS n_reps FROM v GROUP BY 1, 2""",
+    SELECT CAST(g AS INTEGER) AS "G", tau_true::DOUBLE AS tau_true, round(avg(CASE WHEN abs(tau) > CASE g WHEN 4 THEN {CRIT[4]} ELSE {CRIT[8]} END * se THEN 1.0 ELSE 0.0 END) + 1e-9, 6) + 0.0 AS power, count(*) AS n_reps FROM v GROUP BY 1, 2""",
 )
 def e16(s, d):
     r = R.power_curve(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
@@ -301,7 +301,7 @@ DELTAS = f"""WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')}, dl AS (
 
 @query(
     "e17_transferability",
-    DELTAS + """ SELECT unit, round(delta, 3) + 0.0 AS delta, round(delta - tau, 3) + 0.0 AS residual, round(tau - 1.96 * se, 3) + 0.0 AS pi_lo, round(tau + 1.96 * se, 3) + 0.0 AS pi_hi, delta BETWEEN tau - 1.96 * se AND tau + 1.96 * se AS inside FROM dl, did""",
+    DELTAS + """ SELECT unit, round(delta + 1e-9, 3) + 0.0 AS delta, round(delta - tau + 1e-9, 3) + 0.0 AS residual, round(tau - 1.96 * se + 1e-9, 3) + 0.0 AS pi_lo, round(tau + 1.96 * se + 1e-9, 3) + 0.0 AS pi_hi, delta BETWEEN tau - 1.96 * se AND tau + 1.96 * se AS inside FROM dl, did""",
 )
 def e17(s, d):
     r = R.transferability(nation_deltas(s, d), "unit", F.col("tau"), F.col("se"))
@@ -312,7 +312,7 @@ def e17(s, d):
     "e18_transferability_verdict",
     DELTAS + """, sd AS (SELECT stddev_samp(baseline) AS sd FROM dl WHERE unit NOT IN (3, 7)), x AS (SELECT dl.*, tau, se, sd, delta BETWEEN tau - 1.96 * sqrt(se * se + sd * sd) AND tau + 1.96 * sqrt(se * se + sd * sd) AS inside FROM dl, did, sd WHERE unit NOT IN (3, 7)),
     g AS (SELECT count(delta) AS n, count(CASE WHEN inside THEN 1 END) AS n_in, avg(delta - tau) AS mr, stddev_samp(delta - tau) AS sr, max(sd) AS sd FROM x)
-    SELECT n, n_in, round(mr, 3) + 0.0 AS mean_residual, round(sr, 3) + 0.0 AS sd_residual, CASE WHEN n_in >= ceil(0.83 * n) AND abs(mr) < 1.96 * sd THEN 'pass' WHEN n_in < floor(n / 2) THEN 'fail' ELSE 'ambiguous' END AS verdict FROM g""",
+    SELECT n, n_in, round(mr + 1e-9, 3) + 0.0 AS mean_residual, round(sr + 1e-9, 3) + 0.0 AS sd_residual, CASE WHEN n_in >= ceil(0.83 * n) AND abs(mr) < 1.96 * sd THEN 'pass' WHEN n_in < floor(n / 2) THEN 'fail' ELSE 'ambiguous' END AS verdict FROM g""",
 )
 def e18(s, d):
     kept = nation_deltas(s, d).where(~F.col("unit").isin(3, 7))
@@ -325,7 +325,7 @@ def e18(s, d):
     f"""WITH {LONG_PANEL}, t AS (SELECT *, y - avg(y) OVER (PARTITION BY metric, unit) AS y1, share - avg(share) OVER (PARTITION BY metric, unit) AS f1 FROM long WHERE product = 'raw' AND treat = 1 AND post = 1),
     w AS (SELECT *, y1 - avg(y1) OVER (PARTITION BY metric, year) AS yw, f1 - avg(f1) OVER (PARTITION BY metric, year) AS fw FROM t), b AS (SELECT metric, sum(yw * fw) / sum(fw * fw) AS beta, sum(fw * fw) AS sxx, count(*) AS nb, count(DISTINCT unit) AS g, count(DISTINCT year) AS ty FROM w GROUP BY 1),
     r AS (SELECT metric, any_value(beta) AS beta, any_value(nb) AS n, any_value(nb - g - ty + 1) AS dof, sqrt(sum(pow(yw - beta * fw, 2)) / any_value(nb - g - ty + 1) / any_value(sxx)) AS se FROM w JOIN b USING (metric) GROUP BY 1)
-    SELECT metric, round(beta, 3) + 0.0 AS beta, round(se, 3) + 0.0 AS se, n AS n_obs, CAST(dof AS BIGINT) AS dof, beta - 2 * se <= 14 AND 14 <= beta + 2 * se AS consistent FROM r""",
+    SELECT metric, round(beta + 1e-9, 3) + 0.0 AS beta, round(se + 1e-9, 3) + 0.0 AS se, n AS n_obs, CAST(dof AS BIGINT) AS dof, beta - 2 * se <= 14 AND 14 <= beta + 2 * se AS consistent FROM r""",
 )
 def e19(s, d):
     p = long_panel(s, d).where("product = 'raw' and treat = 1 and post = 1")
@@ -337,7 +337,7 @@ def e19(s, d):
 @query(
     "e20_failure_rate_effect",
     f"""WITH {LOCATED}, fr AS (SELECT 'all' AS cell, n_nationkey AS unit, year, avg(CASE WHEN o_totalprice > 400000 THEN 1.0 ELSE 0.0 END) AS y, CASE WHEN n_regionkey <= 1 THEN 1 ELSE 0 END AS treat, CASE WHEN year IN (1997, 1998, 1999) THEN 1 ELSE 0 END AS post FROM loc GROUP BY 2, 3, 5) {did_sql('fr', 'cell')}
-    SELECT round(tau, 6) + 0.0 AS tau, round(se, 6) + 0.0 AS se, n_obs FROM did""",
+    SELECT round(tau + 1e-9, 6) + 0.0 AS tau, round(se + 1e-9, 6) + 0.0 AS se, n_obs FROM did""",
 )
 def e20(s, d):
     fr = orders_located(s, d).groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey", "year").agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("y"))
@@ -348,7 +348,7 @@ def e20(s, d):
 @query(
     "e21_selection_bounds",
     f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')}, sg AS (SELECT product, metric, stddev_samp(y) AS sigma, avg(share) AS f FROM long GROUP BY 1, 2)
-    SELECT product, metric, round(tau - f * sigma, 2) + 0.0 AS worst_lo, round(tau + f * sigma, 2) + 0.0 AS worst_hi, round(tau - sqrt(f) * sigma, 2) + 0.0 AS narrow_lo, round(tau + sqrt(f) * sigma, 2) + 0.0 AS narrow_hi,
+    SELECT product, metric, round(tau - f * sigma + 1e-9, 2) + 0.0 AS worst_lo, round(tau + f * sigma + 1e-9, 2) + 0.0 AS worst_hi, round(tau - sqrt(f) * sigma + 1e-9, 2) + 0.0 AS narrow_lo, round(tau + sqrt(f) * sigma + 1e-9, 2) + 0.0 AS narrow_hi,
       tau - f * sigma < 0 AND tau + f * sigma > 0 AS null_worst, tau - sqrt(f) * sigma < 0 AND tau + sqrt(f) * sigma > 0 AS null_narrow FROM did JOIN sg USING (product, metric)""",
 )
 def e21(s, d):
@@ -361,7 +361,7 @@ def e21(s, d):
 
 @query(
     "e22_interaction_contrast",
-    f"""WITH {LONG_PANEL} SELECT product, metric, count(y) AS n_obs, round((avg(CASE WHEN treat = 1 AND post = 1 THEN y END) - avg(CASE WHEN treat = 1 AND post = 0 THEN y END)) - (avg(CASE WHEN treat = 0 AND post = 1 THEN y END) - avg(CASE WHEN treat = 0 AND post = 0 THEN y END)), 3) + 0.0 AS contrast FROM long GROUP BY 1, 2""",
+    f"""WITH {LONG_PANEL} SELECT product, metric, count(y) AS n_obs, round((avg(CASE WHEN treat = 1 AND post = 1 THEN y END) - avg(CASE WHEN treat = 1 AND post = 0 THEN y END)) - (avg(CASE WHEN treat = 0 AND post = 1 THEN y END) - avg(CASE WHEN treat = 0 AND post = 0 THEN y END)) + 1e-9, 3) + 0.0 AS contrast FROM long GROUP BY 1, 2""",
 )
 def e22(s, d):
     return R.baci_contrast(long_panel(s, d), CELL, "y", "treat", "post").select(*CELL, "n_obs", rnd("contrast", 3).alias("contrast"))
@@ -393,7 +393,7 @@ def e21_trimmed(s, d):
     f"""WITH {LOCATED}, cp AS (SELECT 'all' AS cell, o_custkey AS unit, n_nationkey AS cluster, year, avg(o_totalprice) AS y, CASE WHEN n_regionkey <= 1 AND year IN (1997, 1998, 1999) THEN 1.0 ELSE 0.0 END AS d FROM loc GROUP BY 2, 3, 4, 6),
     a AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) AS y1, d - avg(d) OVER (PARTITION BY unit) AS d1 FROM cp), b AS (SELECT *, y1 - avg(y1) OVER (PARTITION BY year) AS yd, d1 - avg(d1) OVER (PARTITION BY year) AS dd FROM a),
     p AS (SELECT cluster, sum(yd * dd) AS xy, sum(dd * dd) AS xx, count(*) AS n FROM b GROUP BY 1), t AS (SELECT sum(xy) / sum(xx) AS tau, sum(xx) AS sxx, sum(n)::BIGINT AS n_obs, count(*) AS g FROM p)
-    SELECT round(any_value(tau), 3) + 0.0 AS tau, round(sqrt(sum(pow(xy - tau * xx, 2)) * any_value(g / (g - 1.0))) / any_value(sxx), 3) + 0.0 AS se, any_value(n_obs) AS n_obs, any_value(g) AS n_clusters FROM p, t""",
+    SELECT round(any_value(tau) + 1e-9, 3) + 0.0 AS tau, round(sqrt(sum(pow(xy - tau * xx, 2)) * any_value(g / (g - 1.0))) / any_value(sxx) + 1e-9, 3) + 0.0 AS se, any_value(n_obs) AS n_obs, any_value(g) AS n_clusters FROM p, t""",
 )
 def e14_one_pass(s, d):
     p = stored(one_cell(customer_panel), s, d).withColumn("d", F.col("treat") * F.col("post"))

@@ -32,7 +32,7 @@ from furrow.session import cut_lineage
 
 @query(
     "p01_filters",
-    """SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders
+    """SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice) + 1e-9, 2) + 0.0 AS total FROM orders
     WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 100000 AND 300000 AND list_contains([1996, 1998, 2000], year(o_orderdate)) GROUP BY 1""",
 )
 def p01(s, d):
@@ -87,7 +87,7 @@ def p14(s, d):
 
 @query(
     "p15_wide_to_long",
-    f"WITH {LONG_PANEL} SELECT unit, year, metric, product, n, round(y, 4) + 0.0 AS y FROM long",
+    f"WITH {LONG_PANEL} SELECT unit, year, metric, product, n, round(y + 1e-9, 4) + 0.0 AS y FROM long",
 )
 def p15(s, d):
     return long_panel(s, d).select("unit", "year", "metric", "product", "n", rnd("y", 4).alias("y"))
@@ -105,7 +105,7 @@ def p16(s, d):
 @query(
     "p17_usable_rows",
     f"""WITH {OBS}, u AS (SELECT user_id, p, avg(CASE WHEN event_type = 'signup' THEN value END) AS y, count(CASE WHEN k < 50 THEN 1 END) AS n FROM obs GROUP BY 1, 2)
-    SELECT user_id, p, round(y, 6) + 0.0 AS y, n FROM u WHERE y IS NOT NULL AND n > 0""",
+    SELECT user_id, p, round(y + 1e-9, 6) + 0.0 AS y, n FROM u WHERE y IS NOT NULL AND n > 0""",
 )
 def p17(s, d):
     u = obs(s, d).groupBy("user_id", "p").agg(
@@ -128,8 +128,8 @@ def shifted(s, d):
     "p18_bounded_shift_correction",
     f"""WITH {LONG_PANEL} {SHIFT}, j AS (SELECT b.*, coalesce(f, 0.0) AS f, coalesce(source, 'none') AS source, CASE metric WHEN 'p25' THEN 1400.0 WHEN 'p50' THEN 700.0 ELSE 2100.0 END AS dl FROM base b LEFT JOIN sh USING (unit, year)),
     k AS (SELECT *, region <= 1 AND year IN (1997, 1998, 1999) AND f >= 0.001 AS hit FROM j)
-    SELECT unit, year, metric, round(CASE WHEN hit THEN round(y - f * dl, 2) ELSE y END, 6) + 0.0 AS corrected, CASE WHEN hit THEN round(f, 6) ELSE 0.0 END AS shift_f, CASE WHEN hit THEN dl ELSE 0.0 END::DOUBLE AS shift_delta,
-      round(CASE WHEN hit THEN -f * dl ELSE 0.0 END, 2) + 0.0 AS shift_days, source AS share_source FROM k""",
+    SELECT unit, year, metric, round(CASE WHEN hit THEN round(y - f * dl, 2) ELSE y END + 1e-9, 6) + 0.0 AS corrected, CASE WHEN hit THEN round(f, 6) ELSE 0.0 END AS shift_f, CASE WHEN hit THEN dl ELSE 0.0 END::DOUBLE AS shift_delta,
+      round(CASE WHEN hit THEN -f * dl ELSE 0.0 END + 1e-9, 2) + 0.0 AS shift_days, source AS share_source FROM k""",
 )
 def p18(s, d):
     return shifted(s, d).select(
@@ -140,8 +140,8 @@ def p18(s, d):
 @query(
     "p19_uncertainty_envelope",
     f"""WITH {NATION_PANEL}, sd AS (SELECT region, year, coalesce(nullif(stddev_samp(y), 0), 7.0) AS sd FROM panel GROUP BY 1, 2)
-    SELECT unit, year, round(y - 0.6745 * sd, 4) + 0.0 AS p25, round(y + 0.6745 * sd, 4) + 0.0 AS p75, round(y - 1.96 * sd / greatest(1.0, sqrt(least(n, 100000) / 1000.0)), 4) + 0.0 AS lo95,
-      round(y + 1.96 * sd / greatest(1.0, sqrt(least(n, 100000) / 1000.0)), 4) + 0.0 AS hi95 FROM panel JOIN sd USING (region, year)""",
+    SELECT unit, year, round(y - 0.6745 * sd + 1e-9, 4) + 0.0 AS p25, round(y + 0.6745 * sd + 1e-9, 4) + 0.0 AS p75, round(y - 1.96 * sd / greatest(1.0, sqrt(least(n, 100000) / 1000.0)) + 1e-9, 4) + 0.0 AS lo95,
+      round(y + 1.96 * sd / greatest(1.0, sqrt(least(n, 100000) / 1000.0)) + 1e-9, 4) + 0.0 AS hi95 FROM panel JOIN sd USING (region, year)""",
 )
 def p19(s, d):
     p = nation_panel(s, d)
@@ -151,7 +151,7 @@ def p19(s, d):
 
 @query(
     "p20_exclusion_flag",
-    f"""WITH {NATION_PANEL} SELECT unit, year, unit IN (3, 7) AS exclude_flag, CASE unit WHEN 3 THEN 'forest' WHEN 7 THEN 'coverage' ELSE '' END AS exclude_reason, round(y, 4) + 0.0 AS y FROM panel""",
+    f"""WITH {NATION_PANEL} SELECT unit, year, unit IN (3, 7) AS exclude_flag, CASE unit WHEN 3 THEN 'forest' WHEN 7 THEN 'coverage' ELSE '' END AS exclude_reason, round(y + 1e-9, 4) + 0.0 AS y FROM panel""",
 )
 def p20(s, d):
     reasons = P.literal_table(table(s, d, "nation"), "unit int, reason string", [(3, "forest"), (7, "coverage")])
@@ -188,7 +188,7 @@ def p23(s, d):
 
 @query(
     "j02_left_join_with_default",
-    f"""WITH {NATION_PANEL}, sh AS (SELECT unit, year, share AS f, 'F' AS source FROM panel WHERE share > 0.34) SELECT p.unit, p.year, round(coalesce(f, 0.0), 6) + 0.0 AS f, coalesce(source, 'none') AS source FROM panel p LEFT JOIN sh USING (unit, year)""",
+    f"""WITH {NATION_PANEL}, sh AS (SELECT unit, year, share AS f, 'F' AS source FROM panel WHERE share > 0.34) SELECT p.unit, p.year, round(coalesce(f, 0.0) + 1e-9, 6) + 0.0 AS f, coalesce(source, 'none') AS source FROM panel p LEFT JOIN sh USING (unit, year)""",
 )
 def j02(s, d):
     p = nation_panel(s, d)
@@ -198,8 +198,8 @@ def j02(s, d):
 
 @query(
     "j11_key_aligned_pair",
-    f"""WITH {LONG_PANEL} SELECT unit, year, metric, round(max(CASE WHEN product = 'raw' THEN y END), 4) + 0.0 AS raw, round(max(CASE WHEN product = 'corrected' THEN y END), 4) + 0.0 AS corrected,
-      round(max(CASE WHEN product = 'raw' THEN y END) - max(CASE WHEN product = 'corrected' THEN y END), 4) + 0.0 AS delta FROM long GROUP BY 1, 2, 3""",
+    f"""WITH {LONG_PANEL} SELECT unit, year, metric, round(max(CASE WHEN product = 'raw' THEN y END) + 1e-9, 4) + 0.0 AS raw, round(max(CASE WHEN product = 'corrected' THEN y END) + 1e-9, 4) + 0.0 AS corrected,
+      round(max(CASE WHEN product = 'raw' THEN y END) - max(CASE WHEN product = 'corrected' THEN y END) + 1e-9, 4) + 0.0 AS delta FROM long GROUP BY 1, 2, 3""",
 )
 def j11(s, d):
     w = aligned(s, d)
@@ -215,7 +215,7 @@ def aligned(s, d):
 @query(
     "j12_pivot_then_join",
     f"""WITH {NATION_PANEL}, o AS (SELECT * FROM (VALUES (2, 0), (0, 1), (4, 2), (1, 3), (3, 4)) t(region, ord))
-    SELECT region, CAST(ord AS INTEGER) AS ord, {', '.join(f"round(avg(CASE WHEN year = {y} THEN share END), 6) + 0.0 AS share_{y}, round(avg(CASE WHEN year = {y} THEN y END), 4) + 0.0 AS y_{y}" for y in POST)}
+    SELECT region, CAST(ord AS INTEGER) AS ord, {', '.join(f"round(avg(CASE WHEN year = {y} THEN share END) + 1e-9, 6) + 0.0 AS share_{y}, round(avg(CASE WHEN year = {y} THEN y END) + 1e-9, 4) + 0.0 AS y_{y}" for y in POST)}
     FROM panel JOIN o USING (region) GROUP BY 1, 2""",
 )
 def j12(s, d):
@@ -283,7 +283,7 @@ def j16(s, d):
 
 @query(
     "a16_counts_and_distinct",
-    "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS n_cust, round(count(*) * 1.0 / (SELECT count(*) FROM orders), 6) + 0.0 AS frac FROM orders GROUP BY 1",
+    "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS n_cust, round(count(*) * 1.0 / (SELECT count(*) FROM orders) + 1e-9, 6) + 0.0 AS frac FROM orders GROUP BY 1",
 )
 def a16(s, d):
     o = table(s, d, "orders")
@@ -305,7 +305,7 @@ def features(s, d):
 @query(
     "a17_class_median_imputation",
     f"""WITH {FEAT}, c AS (SELECT quality, median(f1) AS m1, median(f2) AS m2 FROM f GROUP BY 1), g AS (SELECT median(f1) AS g1, median(f2) AS g2 FROM f)
-    SELECT doc_id, quality, round(coalesce(f1, m1, g1), 6) + 0.0 AS f1, round(coalesce(f2, m2, g2), 6) + 0.0 AS f2 FROM f JOIN c USING (quality), g""",
+    SELECT doc_id, quality, round(coalesce(f1, m1, g1) + 1e-9, 6) + 0.0 AS f1, round(coalesce(f2, m2, g2) + 1e-9, 6) + 0.0 AS f2 FROM f JOIN c USING (quality), g""",
 )
 def a17(s, d):
     return P.impute_by_class(features(s, d), "quality", ["f1", "f2"]).withColumns({"f1": rnd("f1"), "f2": rnd("f2")})
@@ -313,7 +313,7 @@ def a17(s, d):
 
 @query(
     "a18_group_spread",
-    f"""WITH {OBS} SELECT user_id, p, round(coalesce(nullif(stddev_samp(value), 0), 7.0), 5) + 0.0 AS sd FROM obs WHERE event_type = 'view' GROUP BY 1, 2""",
+    f"""WITH {OBS} SELECT user_id, p, round(coalesce(nullif(stddev_samp(value), 0), 7.0) + 1e-9, 5) + 0.0 AS sd FROM obs WHERE event_type = 'view' GROUP BY 1, 2""",
 )
 def a18(s, d):
     o = obs(s, d).where("event_type = 'view'")
@@ -342,14 +342,14 @@ def phases(s, d):
     return P.phase_means(obs(s, d).withColumn("doy", F.dayofyear("ts")).withColumnRenamed("value", "v"), ["x"], "doy", PHASES, ["v", "k"])
 
 
-@query("a20_phase_means", f"WITH {OBS}, {PHASE_SQL} SELECT x, phase, n, round(v, 6) + 0.0 AS v, round(k, 6) + 0.0 AS k FROM ps")
+@query("a20_phase_means", f"WITH {OBS}, {PHASE_SQL} SELECT x, phase, n, round(v + 1e-9, 6) + 0.0 AS v, round(k + 1e-9, 6) + 0.0 AS k FROM ps")
 def a20(s, d):
     return phases(s, d).withColumns({"v": rnd("v"), "k": rnd("k")})
 
 
 @query(
     "a21_phase_deltas",
-    f"WITH {OBS}, {PHASE_SQL} SELECT a.x, a.phase, round(a.v - b.v, 6) + 0.0 AS delta_v, round(a.k - b.k, 6) + 0.0 AS delta_k FROM ps a JOIN ps b ON a.x = b.x AND b.phase = 'baseline' WHERE a.phase <> 'baseline'",
+    f"WITH {OBS}, {PHASE_SQL} SELECT a.x, a.phase, round(a.v - b.v + 1e-9, 6) + 0.0 AS delta_v, round(a.k - b.k + 1e-9, 6) + 0.0 AS delta_k FROM ps a JOIN ps b ON a.x = b.x AND b.phase = 'baseline' WHERE a.phase <> 'baseline'",
 )
 def a21(s, d):
     return P.phase_deltas(phases(s, d), ["x"], "baseline", ["v", "k"]).withColumns({"delta_v": rnd("delta_v"), "delta_k": rnd("delta_k")})
@@ -357,7 +357,7 @@ def a21(s, d):
 
 @query(
     "a22_wide_pivot",
-    f"WITH {NATION_PANEL} SELECT unit, {', '.join(f'round(avg(CASE WHEN year = {y} THEN y END), 4) + 0.0 AS y_{y}' for y in YEARS)} FROM panel GROUP BY 1",
+    f"WITH {NATION_PANEL} SELECT unit, {', '.join(f'round(avg(CASE WHEN year = {y} THEN y END) + 1e-9, 4) + 0.0 AS y_{y}' for y in YEARS)} FROM panel GROUP BY 1",
 )
 def a22(s, d):
     w = nation_panel(s, d).groupBy("unit").pivot("year", YEARS).agg(F.avg("y"))
@@ -379,7 +379,7 @@ def benchmark(s, d):
     "a23_detail_and_pooled",
     f"""WITH {LONG_PANEL}, {BENCH}, u AS (SELECT metric, unit::VARCHAR AS unit, n, raw_med, cor_med, mad, xad FROM det UNION ALL
       SELECT metric, 'ALL', sum(n)::BIGINT, median(raw_med), median(cor_med), avg(mad), max(xad) FROM det GROUP BY 1)
-    SELECT metric, unit, n, round(raw_med, 6) + 0.0 AS raw_med, round(cor_med, 6) + 0.0 AS cor_med, round(mad, 4) + 0.0 AS mad, round(xad, 4) + 0.0 AS xad FROM u""",
+    SELECT metric, unit, n, round(raw_med + 1e-9, 6) + 0.0 AS raw_med, round(cor_med + 1e-9, 6) + 0.0 AS cor_med, round(mad + 1e-9, 4) + 0.0 AS mad, round(xad + 1e-9, 4) + 0.0 AS xad FROM u""",
 )
 def a23(s, d):
     det = cut_lineage(benchmark(s, d))
@@ -391,7 +391,7 @@ def a23(s, d):
 
 @query(
     "e23_correction_benchmark",
-    f"""WITH {LONG_PANEL}, {BENCH} SELECT metric, unit, n, round(mad, 4) + 0.0 AS mean_abs, round(xad, 4) + 0.0 AS max_abs, round(xad / 500, 6) + 0.0 AS ratio, xad < 250 AS below_half, xad < 600 AS within_sd FROM det""",
+    f"""WITH {LONG_PANEL}, {BENCH} SELECT metric, unit, n, round(mad + 1e-9, 4) + 0.0 AS mean_abs, round(xad + 1e-9, 4) + 0.0 AS max_abs, round(xad / 500 + 1e-9, 6) + 0.0 AS ratio, xad < 250 AS below_half, xad < 600 AS within_sd FROM det""",
 )
 def e23(s, d):
     return benchmark(s, d).select(
@@ -399,7 +399,7 @@ def e23(s, d):
     )
 
 
-@query("a24_group_trajectory", f"WITH {NATION_PANEL} SELECT treat, year, round(avg(y), 4) + 0.0 AS y, count(*) AS n_units FROM panel GROUP BY 1, 2")
+@query("a24_group_trajectory", f"WITH {NATION_PANEL} SELECT treat, year, round(avg(y) + 1e-9, 4) + 0.0 AS y, count(*) AS n_units FROM panel GROUP BY 1, 2")
 def a24(s, d):
     return nation_panel(s, d).groupBy("treat", "year").agg(rnd(F.avg("y"), 4).alias("y"), F.count("*").alias("n_units"))
 
@@ -407,7 +407,7 @@ def a24(s, d):
 @query(
     "a26_mode_share",
     """WITH c AS (SELECT l_returnflag, round(l_quantity) AS val, count(*) AS cnt FROM lineitem GROUP BY 1, 2), m AS (SELECT l_returnflag, max(cnt) AS mc FROM c GROUP BY 1)
-    SELECT c.l_returnflag, min(CASE WHEN cnt = mc THEN val END) AS mode_value, round(max(cnt) / sum(cnt), 6) + 0.0 AS mode_share, count(*) AS n_unique, sum(cnt)::BIGINT AS n FROM c JOIN m USING (l_returnflag) GROUP BY 1""",
+    SELECT c.l_returnflag, min(CASE WHEN cnt = mc THEN val END) AS mode_value, round(max(cnt) / sum(cnt) + 1e-9, 6) + 0.0 AS mode_share, count(*) AS n_unique, sum(cnt)::BIGINT AS n FROM c JOIN m USING (l_returnflag) GROUP BY 1""",
 )
 def a26(s, d):
     return P.mode_stats(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity").withColumn("mode_share", rnd("mode_share"))
@@ -417,7 +417,7 @@ def a26(s, d):
     "a28_correlation",
     f"""WITH {LONG_PANEL}, dv AS (SELECT product, metric, unit, year, treat * post AS ev, share, y - avg(y) OVER (PARTITION BY product, metric, unit) AS a FROM long),
     r AS (SELECT *, rank() OVER (PARTITION BY product, metric ORDER BY a) + (count(*) OVER (PARTITION BY product, metric, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY product, metric ORDER BY share) + (count(*) OVER (PARTITION BY product, metric, share) - 1) / 2.0 AS rb FROM dv)
-    SELECT product, metric, count(*) AS n, round(corr(a, share), 6) + 0.0 AS pearson, round(corr(ra, rb), 6) + 0.0 AS spearman FROM r GROUP BY 1, 2""",
+    SELECT product, metric, count(*) AS n, round(corr(a, share) + 1e-9, 6) + 0.0 AS pearson, round(corr(ra, rb) + 1e-9, 6) + 0.0 AS spearman FROM r GROUP BY 1, 2""",
 )
 def a28(s, d):
     dv = cut_lineage(P.deviation(long_panel(s, d), ["product", "metric", "unit"], ["y"]))
@@ -428,7 +428,7 @@ def a28(s, d):
     "a33_mcnemar",
     f"""WITH {LONG_PANEL}, {BENCH}, g AS (SELECT metric, median(v) AS med FROM (SELECT metric, raw AS v FROM pr UNION ALL SELECT metric, cor FROM pr) GROUP BY 1),
     t AS (SELECT metric, count(*) AS n_pairs, count(CASE WHEN raw >= med AND cor < med THEN 1 END) AS b, count(CASE WHEN raw < med AND cor >= med THEN 1 END) AS c FROM pr JOIN g USING (metric) GROUP BY 1)
-    SELECT metric, n_pairs, b, c, round(pow(abs(b - c) - 1, 2) / nullif(b + c, 0), 6) + 0.0 AS chi2 FROM t""",
+    SELECT metric, n_pairs, b, c, round(pow(abs(b - c) - 1, 2) / nullif(b + c, 0) + 1e-9, 6) + 0.0 AS chi2 FROM t""",
 )
 def a33(s, d):
     return P.mcnemar(aligned(s, d), ["metric"], "raw", "corrected").withColumn("chi2", rnd("chi2"))
@@ -438,7 +438,7 @@ def a33(s, d):
     "a34_cohens_d",
     f"""WITH {LONG_PANEL}, g AS (SELECT product, metric, avg(CASE WHEN post = 1 THEN y END) AS m1, avg(CASE WHEN post = 0 THEN y END) AS m0, var_samp(CASE WHEN post = 1 THEN y END) AS v1, var_samp(CASE WHEN post = 0 THEN y END) AS v0,
       count(CASE WHEN post = 1 THEN y END) AS n1, count(CASE WHEN post = 0 THEN y END) AS n0 FROM long WHERE treat = 1 GROUP BY 1, 2)
-    SELECT product, metric, n1, n0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) + 0.0 AS cohens_d FROM g""",
+    SELECT product, metric, n1, n0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) + 1e-9, 6) + 0.0 AS cohens_d FROM g""",
 )
 def a34(s, d):
     g = P.cohens_d(long_panel(s, d).where("treat = 1"), ["product", "metric"], F.col("post") == 1, "y")
@@ -450,7 +450,7 @@ def a34(s, d):
 
 @query(
     "w01_deviation_from_mean",
-    f"""WITH {NATION_PANEL}, a AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) AS d1 FROM panel) SELECT unit, year, round(d1, 4) + 0.0 AS unit_dev, round(d1 - avg(d1) OVER (PARTITION BY year), 4) + 0.0 AS two_way FROM a""",
+    f"""WITH {NATION_PANEL}, a AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) AS d1 FROM panel) SELECT unit, year, round(d1 + 1e-9, 4) + 0.0 AS unit_dev, round(d1 - avg(d1) OVER (PARTITION BY year) + 1e-9, 4) + 0.0 AS two_way FROM a""",
 )
 def w01(s, d):
     p = P.two_way_deviation(P.deviation(nation_panel(s, d), ["unit"], ["y"]), ["unit"], ["year"], "y")
@@ -459,8 +459,8 @@ def w01(s, d):
 
 @query(
     "w08_baseline_delta",
-    f"""WITH {NATION_PANEL} SELECT unit, round(avg(CASE WHEN year IN (1995, 1996) THEN y END), 4) + 0.0 AS baseline, round(max(CASE WHEN year = 1998 THEN y END), 4) + 0.0 AS post,
-      round(max(CASE WHEN year = 1998 THEN y END) - avg(CASE WHEN year IN (1995, 1996) THEN y END), 4) + 0.0 AS delta FROM panel GROUP BY 1""",
+    f"""WITH {NATION_PANEL} SELECT unit, round(avg(CASE WHEN year IN (1995, 1996) THEN y END) + 1e-9, 4) + 0.0 AS baseline, round(max(CASE WHEN year = 1998 THEN y END) + 1e-9, 4) + 0.0 AS post,
+      round(max(CASE WHEN year = 1998 THEN y END) - avg(CASE WHEN year IN (1995, 1996) THEN y END) + 1e-9, 4) + 0.0 AS delta FROM panel GROUP BY 1""",
 )
 def w08(s, d):
     from furrow.operators.season import baseline_delta
@@ -471,7 +471,7 @@ def w08(s, d):
 
 @query(
     "w11_rank_by_score",
-    f"""WITH {NATION_PANEL}, g AS (SELECT unit, avg(y) AS score FROM panel GROUP BY 1) SELECT unit, round(score, 4) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, unit) AS rank FROM g""",
+    f"""WITH {NATION_PANEL}, g AS (SELECT unit, avg(y) AS score FROM panel GROUP BY 1) SELECT unit, round(score + 1e-9, 4) + 0.0 AS score, row_number() OVER (ORDER BY score DESC, unit) AS rank FROM g""",
 )
 def w11(s, d):
     from furrow.functions.ranking import exact_row_number, value_bin
@@ -484,8 +484,8 @@ def w11(s, d):
     "w14_variance_components",
     f"""WITH {LONG_PANEL}, u AS (SELECT product, metric, unit, avg(y) AS um, count(*) AS n FROM long GROUP BY 1, 2, 3), k AS (SELECT l.*, um FROM long l JOIN u USING (product, metric, unit) WHERE u.n = (SELECT count(DISTINCT year) FROM long)),
     p AS (SELECT product, metric, year, avg(y) AS pm FROM k GROUP BY 1, 2, 3), g AS (SELECT product, metric, avg(y) AS mu, count(*) AS n FROM k GROUP BY 1, 2)
-    SELECT product, metric, round(any_value(mu), 4) + 0.0 AS mu, any_value(g.n) AS n_cells, (SELECT round(stddev_samp(um), 4) FROM u z WHERE z.product = k.product AND z.metric = k.metric) + 0.0 AS sigma_u,
-      (SELECT round(stddev_samp(pm), 4) FROM p z WHERE z.product = k.product AND z.metric = k.metric) + 0.0 AS sigma_t, round(stddev_samp(y - um - pm + mu), 4) + 0.0 AS sigma_e
+    SELECT product, metric, round(any_value(mu) + 1e-9, 4) + 0.0 AS mu, any_value(g.n) AS n_cells, (SELECT round(stddev_samp(um), 4) FROM u z WHERE z.product = k.product AND z.metric = k.metric) + 0.0 AS sigma_u,
+      (SELECT round(stddev_samp(pm), 4) FROM p z WHERE z.product = k.product AND z.metric = k.metric) + 0.0 AS sigma_t, round(stddev_samp(y - um - pm + mu) + 1e-9, 4) + 0.0 AS sigma_e
     FROM k JOIN p USING (product, metric, year) JOIN g USING (product, metric) GROUP BY 1, 2""",
 )
 def w14(s, d):
@@ -503,7 +503,7 @@ def t01(s, d):
 
 @query(
     "t02_top_by_magnitude",
-    f"WITH {LONG_PANEL}, {BENCH} SELECT unit, year, metric, round(raw - cor, 4) + 0.0 AS delta FROM pr WHERE abs(raw - cor) > 1 ORDER BY round(abs(raw - cor), 6) DESC, unit, year, metric LIMIT 15",
+    f"WITH {LONG_PANEL}, {BENCH} SELECT unit, year, metric, round(raw - cor + 1e-9, 4) + 0.0 AS delta FROM pr WHERE abs(raw - cor) > 1 ORDER BY round(abs(raw - cor), 6) DESC, unit, year, metric LIMIT 15",
 )
 def t02(s, d):
     w = aligned(s, d).withColumn("dl", F.col("raw") - F.col("corrected")).where("abs(dl) > 1")
@@ -528,7 +528,7 @@ def t04(s, d):
 
 @query(
     "u01_union_of_tables",
-    "SELECT kind, count(*) AS n, round(sum(bal), 2) + 0.0 AS bal FROM (SELECT 'c' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT 's', s_acctbal FROM supplier) GROUP BY 1",
+    "SELECT kind, count(*) AS n, round(sum(bal) + 1e-9, 2) + 0.0 AS bal FROM (SELECT 'c' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT 's', s_acctbal FROM supplier) GROUP BY 1",
 )
 def u01(s, d):
     c = table(s, d, "customer").select(F.lit("c").alias("kind"), F.col("c_acctbal").alias("bal"))
@@ -539,7 +539,7 @@ def u01(s, d):
 @query(
     "u02_union_with_priority_dedup",
     f"""WITH {NATION_PANEL}, a AS (SELECT unit, year, y, NULL::BIGINT AS n, 'A' AS sensor, 1 AS pr FROM panel WHERE year <= 1997), b AS (SELECT unit, year, y, n, 'B', 0 FROM panel WHERE year >= 1996), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
-    r AS (SELECT *, row_number() OVER (PARTITION BY unit, year ORDER BY pr) AS rn FROM u) SELECT unit, year, round(y, 4) + 0.0 AS y, n, sensor FROM r WHERE rn = 1""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY unit, year ORDER BY pr) AS rn FROM u) SELECT unit, year, round(y + 1e-9, 4) + 0.0 AS y, n, sensor FROM r WHERE rn = 1""",
 )
 def u02(s, d):
     from furrow.operators.provenance import union_by_priority

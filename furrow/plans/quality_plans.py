@@ -29,7 +29,7 @@ from furrow.sources import sinks as W
     px AS (SELECT max(poor) AS worst FROM (SELECT unit, avg(CASE WHEN share > 0.4 THEN 1.0 ELSE 0.0 END) AS poor FROM (SELECT DISTINCT unit, year, share FROM long) GROUP BY 1)),
     r AS (SELECT metric, 'A_rows' AS "check", n::DOUBLE AS observed, n >= 48 AS ok FROM mm UNION ALL SELECT metric, 'A_unique', nu::DOUBLE, nu >= 20 FROM mm UNION ALL SELECT metric, 'A_mode_share', ms, ms <= 0.2 FROM mm
       UNION ALL SELECT metric, 'B_window', med, med BETWEEN lo AND hi FROM md JOIN w USING (metric) UNION ALL SELECT metric, 'C_fit', worst, worst <= 0.5 FROM mm, px)
-    SELECT metric, "check", round(observed, 6) + 0.0 AS observed, ok FROM r""",
+    SELECT metric, "check", round(observed + 1e-9, 6) + 0.0 AS observed, ok FROM r""",
 )
 def a27(s, d):
     verdict, _ = gates(s, d)
@@ -106,7 +106,7 @@ def a29(s, d):
     return Q.union_rules(schema, one_pass, Q.count_rule("06_coverage", low), Q.count_rule("09_spread", spread), Q.count_rule("10_near_duplicates", dup))
 
 
-@query("a29_clean_sorted_panel", f"WITH {LABEL_SQL} SELECT vec_id, class_name, cyclone, round(lat, 6) AS lat, round(lon, 6) AS lon FROM lab ORDER BY cyclone, class_name, lat, lon")
+@query("a29_clean_sorted_panel", f"WITH {LABEL_SQL} SELECT vec_id, class_name, cyclone, round(lat + 1e-9, 6) AS lat, round(lon + 1e-9, 6) AS lon FROM lab ORDER BY cyclone, class_name, lat, lon")
 def a29_clean(s, d):
     return label_panel(s, d).orderBy("cyclone", "class_name", "lat", "lon").select("vec_id", "class_name", "cyclone", rnd("lat").alias("lat"), rnd("lon").alias("lon"))
 
@@ -140,7 +140,7 @@ PRED = """pr AS (SELECT d.doc_id, l.quality AS label, CASE WHEN n_chars BETWEEN
     f"""WITH {PRED}, t AS (SELECT count(*) AS n, count(CASE WHEN label = pred THEN 1 END) AS hit FROM pr), c AS (SELECT x.c AS cls, count(CASE WHEN label = x.c THEN 1 END) AS n_ref, count(CASE WHEN pred = x.c THEN 1 END) AS n_pred, count(CASE WHEN label = x.c AND pred = x.c THEN 1 END) AS tp FROM pr, (VALUES (0), (1)) x(c) GROUP BY 1),
     a AS (SELECT *, coalesce(tp / nullif(n_ref, 0), 0) AS pa, coalesce(tp / nullif(n_pred, 0), 0) AS ua FROM c), f AS (SELECT *, coalesce(2 * pa * ua / nullif(pa + ua, 0), 0) AS f1 FROM a),
     w AS (SELECT sum(n_ref * n_pred / (t.n * t.n)) AS pe, any_value(t.hit / t.n) AS oa, avg(f1) AS fm, sum(f1 * n_ref) / sum(n_ref) AS fw FROM f, t)
-    SELECT cls, n_ref, n_pred, tp, round(pa, 6) + 0.0 AS producer_acc, round(ua, 6) + 0.0 AS user_acc, round(f1, 6) + 0.0 AS f1, round(oa, 6) + 0.0 AS oa, round((oa - pe) / (1 - pe), 6) + 0.0 AS kappa, round(fm, 6) + 0.0 AS f1_macro, round(fw, 6) + 0.0 AS f1_weighted FROM f, w""",
+    SELECT cls, n_ref, n_pred, tp, round(pa + 1e-9, 6) + 0.0 AS producer_acc, round(ua + 1e-9, 6) + 0.0 AS user_acc, round(f1 + 1e-9, 6) + 0.0 AS f1, round(oa + 1e-9, 6) + 0.0 AS oa, round((oa - pe) / (1 - pe) + 1e-9, 6) + 0.0 AS kappa, round(fm + 1e-9, 6) + 0.0 AS f1_macro, round(fw + 1e-9, 6) + 0.0 AS f1_weighted FROM f, w""",
 )
 def a31(s, d):
     pr = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(
@@ -153,8 +153,8 @@ def a31(s, d):
 @query(
     "a32_class_separation_checks",
     f"""WITH {FEAT}, m AS (SELECT median(CASE WHEN quality = 1 THEN f1 END) - median(CASE WHEN quality = 0 THEN f1 END) AS g1, median(CASE WHEN quality = 1 THEN f2 END) - median(CASE WHEN quality = 0 THEN f2 END) AS g2 FROM f)
-    SELECT 'f1_gap' AS "check", round(g1, 6) + 0.0 AS observed, CASE WHEN g1 >= 100 THEN 'PASS' ELSE 'FAIL' END AS status FROM m UNION ALL SELECT 'f2_gap', round(g2, 6) + 0.0, CASE WHEN g2 >= 20 THEN 'PASS' ELSE 'FAIL' END FROM m
-    UNION ALL SELECT 'opposite_sign', round(g1 * g2, 6) + 0.0, CASE WHEN g1 * g2 < 0 THEN 'PASS' ELSE 'FAIL' END FROM m""",
+    SELECT 'f1_gap' AS "check", round(g1 + 1e-9, 6) + 0.0 AS observed, CASE WHEN g1 >= 100 THEN 'PASS' ELSE 'FAIL' END AS status FROM m UNION ALL SELECT 'f2_gap', round(g2 + 1e-9, 6) + 0.0, CASE WHEN g2 >= 20 THEN 'PASS' ELSE 'FAIL' END FROM m
+    UNION ALL SELECT 'opposite_sign', round(g1 * g2 + 1e-9, 6) + 0.0, CASE WHEN g1 * g2 < 0 THEN 'PASS' ELSE 'FAIL' END FROM m""",
 )
 def a32(s, d):
     m = column_medians(features(s, d), ["quality"], {"f1": "m1", "f2": "m2"})
@@ -223,7 +223,7 @@ def u03(s, d):
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
-@query("s01_panel_csv_scan", f"WITH {NATION_PANEL} SELECT year, count(*) AS n, round(sum(y), 2) + 0.0 AS y, sum(n)::BIGINT AS support FROM panel GROUP BY 1")
+@query("s01_panel_csv_scan", f"WITH {NATION_PANEL} SELECT year, count(*) AS n, round(sum(y) + 1e-9, 2) + 0.0 AS y, sum(n)::BIGINT AS support FROM panel GROUP BY 1")
 def s01(s, d):
     path = scratch_path(s, "panel")
     cols = ["unit", "region", "year", "y", "n", "treat"]
@@ -232,7 +232,7 @@ def s01(s, d):
     return back.groupBy("year").agg(F.count("*").alias("n"), rnd(F.sum("y"), 2).alias("y"), F.sum(back["n"]).alias("support"))
 
 
-@query("s02_track_csv_scan", f"WITH {FIX} SELECT sid, count(*) AS n, round(max(wmo), 6) + 0.0 AS wmo, count(usa) AS n_usa FROM fix WHERE dayofyear(ts) <= 31 GROUP BY 1")
+@query("s02_track_csv_scan", f"WITH {FIX} SELECT sid, count(*) AS n, round(max(wmo) + 1e-9, 6) + 0.0 AS wmo, count(usa) AS n_usa FROM fix WHERE dayofyear(ts) <= 31 GROUP BY 1")
 def s02(s, d):
     path = scratch_path(s, "tracks")
     f = fixes(s, d).select(
@@ -284,7 +284,7 @@ def s09(s, d):
     return s.read.parquet(path).groupBy("region").agg(F.count("*").alias("n"))
 
 
-@query("s10_stamped_partition_sink", f"WITH {OBS} SELECT event_type, x, y, round(avg(value), 6) + 0.0 AS v, 42 AS seed, 'grid' AS method FROM obs GROUP BY 1, 2, 3")
+@query("s10_stamped_partition_sink", f"WITH {OBS} SELECT event_type, x, y, round(avg(value) + 1e-9, 6) + 0.0 AS v, 42 AS seed, 'grid' AS method FROM obs GROUP BY 1, 2, 3")
 def s10(s, d):
     path = scratch_path(s, "raster")
     img = obs(s, d).groupBy("event_type", "x", "y").agg(F.avg("value").alias("v"))
@@ -299,7 +299,7 @@ def s11(s, d):
     return s.read.parquet(good).agg(n).select(F.lit("ok").alias("kind"), "n").unionByName(s.read.parquet(bad).agg(n).select(F.lit("reject").alias("kind"), "n"))
 
 
-@query("s12_track_line_sink", f"WITH {FIX} SELECT sid, count(*) AS n_points, round(sum(lon), 4) + 0.0 AS lon_sum FROM fix GROUP BY 1")
+@query("s12_track_line_sink", f"WITH {FIX} SELECT sid, count(*) AS n_points, round(sum(lon) + 1e-9, 4) + 0.0 AS lon_sum FROM fix GROUP BY 1")
 def s12(s, d):
     path = scratch_path(s, "lines")
     W.write_track_lines(K.track_parts(fixes(s, d), "sid", "ts", "event_id", 100), path, ["sid", "part"])
@@ -308,7 +308,7 @@ def s12(s, d):
     return pts.groupBy("sid").agg(F.count("*").alias("n_points"), rnd(F.sum(F.col("c")[0]), 4).alias("lon_sum"))
 
 
-@query("s13_nested_json_round_trip", f"WITH {NATION_PANEL}, g AS (SELECT region, count(*)::DOUBLE AS n, avg(y) AS y FROM panel GROUP BY 1) SELECT region, 'n' AS metric, round(n, 4) + 0.0 AS value FROM g UNION ALL SELECT region, 'y', round(y, 4) + 0.0 FROM g")
+@query("s13_nested_json_round_trip", f"WITH {NATION_PANEL}, g AS (SELECT region, count(*)::DOUBLE AS n, avg(y) AS y FROM panel GROUP BY 1) SELECT region, 'n' AS metric, round(n + 1e-9, 4) + 0.0 AS value FROM g UNION ALL SELECT region, 'y', round(y + 1e-9, 4) + 0.0 FROM g")
 def s13(s, d):
     path = scratch_path(s, "card")
     g = nation_panel(s, d).groupBy("region").agg(F.create_map(F.lit("n"), F.count("*").cast("double"), F.lit("y"), F.avg("y")).alias("metrics"))
@@ -326,7 +326,7 @@ def s14(s, d):
 
 @query(
     "s15_partition_refresh",
-    f"WITH {NATION_PANEL} SELECT unit, year, round(CASE WHEN year IN (1998, 1999) THEN share * 2 ELSE share END, 6) + 0.0 AS share, CASE WHEN year IN (1998, 1999) THEN 'refresh' ELSE 'base' END AS source FROM panel",
+    f"WITH {NATION_PANEL} SELECT unit, year, round(CASE WHEN year IN (1998, 1999) THEN share * 2 ELSE share END + 1e-9, 6) + 0.0 AS share, CASE WHEN year IN (1998, 1999) THEN 'refresh' ELSE 'base' END AS source FROM panel",
 )
 def s15(s, d):
     p = nation_panel(s, d).select("unit", "year", "share", F.lit("base").alias("source"))

@@ -16,7 +16,7 @@ PIXEL = f"WITH {OBS}, {STACK_D} "
 
 @query(
     "s05_scene_scan",
-    f"""WITH {OBS} SELECT event_type, count(*) AS n, min(value) AS v_min, round(avg(value), 6) + 0.0 AS v_mean FROM obs
+    f"""WITH {OBS} SELECT event_type, count(*) AS n, min(value) AS v_min, round(avg(value) + 1e-9, 6) + 0.0 AS v_mean FROM obs
     WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND event_type IN ('view', 'click') AND k < 60 AND x BETWEEN 2 AND 12
     GROUP BY 1""",
 )
@@ -37,7 +37,7 @@ def s05(s, d):
       FROM obs GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d) AS rn FROM cat
       WHERE x1 >= 3 AND x0 <= 9 AND y1 >= 1 AND y0 <= 5 AND d BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' AND cloud < 52)
-    SELECT event_type, d, n, CAST(rn AS INTEGER) AS rn, round(cloud, 6) + 0.0 AS cloud FROM r WHERE rn <= 8""",
+    SELECT event_type, d, n, CAST(rn AS INTEGER) AS rn, round(cloud + 1e-9, 6) + 0.0 AS cloud FROM r WHERE rn <= 8""",
 )
 def s06(s, d):
     from furrow.sources.catalog import scene_catalog, search
@@ -66,7 +66,7 @@ def layer(s, d):
 
 @query(
     "s07_static_layer_lookup",
-    f"""WITH {OBS}, {LAYER} SELECT l.landcover, count(*) AS n, round(avg(o.value), 6) + 0.0 AS v_mean
+    f"""WITH {OBS}, {LAYER} SELECT l.landcover, count(*) AS n, round(avg(o.value) + 1e-9, 6) + 0.0 AS v_mean
     FROM obs o JOIN layer l USING (user_id) WHERE l.occurrence < 55 AND l.seasonality >= 6 GROUP BY 1""",
 )
 def s07(s, d):
@@ -80,7 +80,7 @@ def s07(s, d):
       count(CASE WHEN (k & 4) = 0 AND (k & 8) = 0 AND (k % 12) NOT IN (3, 8, 9, 10) THEN value END) AS n_flag,
       count(CASE WHEN (k % 12) IN (4, 5, 6) THEN value END) AS n_keep,
       count(CASE WHEN (k & 26) = 0 AND k < 80 THEN value END) AS n_qa,
-      round(avg(CASE WHEN (k & 4) = 0 AND (k & 8) = 0 AND (k % 12) NOT IN (3, 8, 9, 10) THEN value END), 6) + 0.0 AS v_flag
+      round(avg(CASE WHEN (k & 4) = 0 AND (k & 8) = 0 AND (k % 12) NOT IN (3, 8, 9, 10) THEN value END) + 1e-9, 6) + 0.0 AS v_flag
     FROM obs GROUP BY 1""",
 )
 def p05(s, d):
@@ -100,7 +100,7 @@ def p05(s, d):
 
 @query(
     "p06_band_scaling",
-    f"""WITH {OBS} SELECT event_type, round(sum(value / 10000), 6) + 0.0 AS s_refl, round(sum(value * 0.0000275 - 0.2), 6) + 0.0 AS s_sr FROM obs GROUP BY 1""",
+    f"""WITH {OBS} SELECT event_type, round(sum(value / 10000) + 1e-9, 6) + 0.0 AS s_refl, round(sum(value * 0.0000275 - 0.2) + 1e-9, 6) + 0.0 AS s_sr FROM obs GROUP BY 1""",
 )
 def p06(s, d):
     return obs(s, d).groupBy("event_type").agg(
@@ -110,8 +110,8 @@ def p06(s, d):
 
 @query(
     "p07_normalised_difference",
-    PIXEL + """SELECT user_id, d, round((b8 - b4) / nullif(b8 + b4, 0), 6) + 0.0 AS ndvi, round((b3 - b8) / nullif(b3 + b8, 0), 6) + 0.0 AS ndwi,
-      round((b8 - b11) / nullif(b8 + b11, 0), 6) + 0.0 AS lswi, round((b11 - vh) / (b11 + vh + 0.000001), 6) + 0.0 AS si FROM stack""",
+    PIXEL + """SELECT user_id, d, round((b8 - b4) / nullif(b8 + b4, 0) + 1e-9, 6) + 0.0 AS ndvi, round((b3 - b8) / nullif(b3 + b8, 0) + 1e-9, 6) + 0.0 AS ndwi,
+      round((b8 - b11) / nullif(b8 + b11, 0) + 1e-9, 6) + 0.0 AS lswi, round((b11 - vh) / (b11 + vh + 0.000001) + 1e-9, 6) + 0.0 AS si FROM stack""",
 )
 def p07(s, d):
     st = stack(obs(s, d), ["user_id", "d"])
@@ -128,7 +128,7 @@ HARM_SQL = "CASE WHEN event_type IN ('click', 'error') THEN 0.9723 * value + 0.0
 
 @query(
     "p08_sensor_harmonisation",
-    f"WITH {OBS} SELECT event_type AS sensor, count(*) AS n, round(avg({HARM_SQL}), 6) + 0.0 AS v FROM obs GROUP BY 1",
+    f"WITH {OBS} SELECT event_type AS sensor, count(*) AS n, round(avg({HARM_SQL}) + 1e-9, 6) + 0.0 AS v FROM obs GROUP BY 1",
 )
 def p08(s, d):
     h = S.harmonised("event_type", "value", HARM)
@@ -137,9 +137,9 @@ def p08(s, d):
 
 @query(
     "p09_decibel_and_ratio",
-    PIXEL + """SELECT user_id, d, round(10 * log10(b8), 6) + 0.0 AS vh_db, round(10 * log10(b4), 6) + 0.0 AS vv_db,
-      round(10 * log10(b8) - 10 * log10(b4), 6) + 0.0 AS cr_db, round(b8 / b4, 6) + 0.0 AS cr_lin,
-      round(pow(10, b8 / 1000), 6) + 0.0 AS lin, round(sqrt(b3 * b3 + b11 * b11), 6) + 0.0 AS wind FROM stack WHERE (b8 IS NULL OR b8 > 0) AND (b4 IS NULL OR b4 > 0)""",
+    PIXEL + """SELECT user_id, d, round(10 * log10(b8) + 1e-9, 6) + 0.0 AS vh_db, round(10 * log10(b4) + 1e-9, 6) + 0.0 AS vv_db,
+      round(10 * log10(b8) - 10 * log10(b4) + 1e-9, 6) + 0.0 AS cr_db, round(b8 / b4 + 1e-9, 6) + 0.0 AS cr_lin,
+      round(pow(10, b8 / 1000) + 1e-9, 6) + 0.0 AS lin, round(sqrt(b3 * b3 + b11 * b11) + 1e-9, 6) + 0.0 AS wind FROM stack WHERE (b8 IS NULL OR b8 > 0) AND (b4 IS NULL OR b4 > 0)""",
 )
 def p09(s, d):
     st = stack(obs(s, d), ["user_id", "d"]).where("(b8 is null or b8 > 0) and (b4 is null or b4 > 0)")
@@ -171,7 +171,7 @@ def p10(s, d):
 @query(
     "p11_mask_algebra",
     PIXEL + """, m AS (SELECT user_id, CASE WHEN b8 > 50 THEN 1 END AS m, b4 FROM stack)
-    SELECT user_id, sum(coalesce(m, 0))::BIGINT AS n_unmasked, count(m) AS n_self, round(avg(CASE WHEN m = 1 THEN 0.0 ELSE b4 END), 6) + 0.0 AS v_where FROM m GROUP BY 1""",
+    SELECT user_id, sum(coalesce(m, 0))::BIGINT AS n_unmasked, count(m) AS n_self, round(avg(CASE WHEN m = 1 THEN 0.0 ELSE b4 END) + 1e-9, 6) + 0.0 AS v_where FROM m GROUP BY 1""",
 )
 def p11(s, d):
     m = stack(obs(s, d), ["user_id", "d"]).withColumn("m", F.when(F.col("b8") > 50, 1))
@@ -185,7 +185,7 @@ def p11(s, d):
     "p12_empty_window_guard",
     f"""WITH {OBS}, g AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, range(10) p(p)),
     c AS (SELECT user_id, p, avg(value) AS v FROM obs WHERE event_type = 'view' AND p < 10 GROUP BY 1, 2)
-    SELECT g.user_id, CAST(g.p AS INTEGER) AS p, round(coalesce(v, -25.0), 6) + 0.0 AS v, v IS NULL AS empty FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.p = c.p""",
+    SELECT g.user_id, CAST(g.p AS INTEGER) AS p, round(coalesce(v, -25.0) + 1e-9, 6) + 0.0 AS v, v IS NULL AS empty FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.p = c.p""",
 )
 def p12(s, d):
     o = obs(s, d)
@@ -217,7 +217,7 @@ def p13(s, d):
     "j01_scene_join_keep_first",
     f"""WITH {OBS}, a AS (SELECT user_id, d, avg(value) AS v FROM obs WHERE event_type = 'view' GROUP BY 1, 2),
     b AS (SELECT user_id, d, arg_min(k, event_id) AS prob FROM obs WHERE event_type = 'error' GROUP BY 1, 2)
-    SELECT a.user_id, a.d, round(CASE WHEN prob <= 50 THEN v END, 6) + 0.0 AS v, prob FROM a JOIN b USING (user_id, d)""",
+    SELECT a.user_id, a.d, round(CASE WHEN prob <= 50 THEN v END + 1e-9, 6) + 0.0 AS v, prob FROM a JOIN b USING (user_id, d)""",
 )
 def j01(s, d):
     o = obs(s, d)
@@ -228,8 +228,8 @@ def j01(s, d):
 
 @query(
     "j03_multi_layer_stack",
-    PIXEL + f""", {LAYER} SELECT s.user_id, s.d, {', '.join(f'round({b}, 6) + 0.0 AS {b}' for b in BANDS.values())},
-      round(occurrence, 6) + 0.0 AS occurrence, seasonality FROM stack s JOIN layer l USING (user_id)""",
+    PIXEL + f""", {LAYER} SELECT s.user_id, s.d, {', '.join(f'round({b} + 1e-9, 6) + 0.0 AS {b}' for b in BANDS.values())},
+      round(occurrence + 1e-9, 6) + 0.0 AS occurrence, seasonality FROM stack s JOIN layer l USING (user_id)""",
 )
 def j03(s, d):
     j = stack(obs(s, d), ["user_id", "d"]).join(layer(s, d), "user_id")
@@ -252,7 +252,7 @@ def around(w, before: int, after: int):
 
 @query(
     "j04_interval_join",
-    f"""WITH {OBS}, {WINDOWS} SELECT o.user_id, count(*) AS n, round(avg(value), 6) + 0.0 AS v, max(value) AS v_max FROM obs o JOIN w USING (user_id)
+    f"""WITH {OBS}, {WINDOWS} SELECT o.user_id, count(*) AS n, round(avg(value) + 1e-9, 6) + 0.0 AS v, max(value) AS v_max FROM obs o JOIN w USING (user_id)
     WHERE o.ts >= t0 - INTERVAL 3 DAY AND o.ts < t0 + INTERVAL 3 DAY GROUP BY 1""",
 )
 def j04(s, d):
@@ -264,8 +264,8 @@ def j04(s, d):
 
 @query(
     "a01_temporal_composite",
-    f"""WITH {OBS} SELECT x, y, min(value) AS v_min, max(value) AS v_max, round(avg(value), 6) + 0.0 AS v_mean, arg_min(value, event_id) AS v_first,
-      arg_max(value, event_id) AS v_latest, count(value) AS n_obs, round(median(value), 6) + 0.0 AS v_median FROM obs GROUP BY 1, 2""",
+    f"""WITH {OBS} SELECT x, y, min(value) AS v_min, max(value) AS v_max, round(avg(value) + 1e-9, 6) + 0.0 AS v_mean, arg_min(value, event_id) AS v_first,
+      arg_max(value, event_id) AS v_latest, count(value) AS n_obs, round(median(value) + 1e-9, 6) + 0.0 AS v_median FROM obs GROUP BY 1, 2""",
 )
 def a01(s, d):
     c = R.composite(obs(s, d), ["x", "y"], "value", ["ts", "event_id"])
@@ -276,7 +276,7 @@ def a01(s, d):
     "a02_period_composite_with_gaps",
     f"""WITH {OBS}, c AS (SELECT user_id, p, median(value) AS m, count(*) AS n FROM obs WHERE event_type = 'view' AND p < 10 GROUP BY 1, 2),
     u AS (SELECT DISTINCT user_id FROM c)
-    SELECT u.user_id, CAST(g.p AS INTEGER) AS p, round(m, 6) + 0.0 AS v_median, coalesce(n, 0) AS n_obs FROM u CROSS JOIN range(10) g(p) LEFT JOIN c ON c.user_id = u.user_id AND c.p = g.p""",
+    SELECT u.user_id, CAST(g.p AS INTEGER) AS p, round(m + 1e-9, 6) + 0.0 AS v_median, coalesce(n, 0) AS n_obs FROM u CROSS JOIN range(10) g(p) LEFT JOIN c ON c.user_id = u.user_id AND c.p = g.p""",
 )
 def a02(s, d):
     o = obs(s, d).where("event_type = 'view' and p < 10")
@@ -285,7 +285,7 @@ def a02(s, d):
 
 @query(
     "a03_dekad_composite",
-    f"""WITH {OBS} SELECT x, CAST(year(ts) AS INTEGER) AS year, CAST(least((dayofyear(ts) - 1) // 10, 36) AS INTEGER) AS dekad, round(avg(value), 6) + 0.0 AS value_mean,
+    f"""WITH {OBS} SELECT x, CAST(year(ts) AS INTEGER) AS year, CAST(least((dayofyear(ts) - 1) // 10, 36) AS INTEGER) AS dekad, round(avg(value) + 1e-9, 6) + 0.0 AS value_mean,
       count(DISTINCT d) AS n_scenes, count(*) AS n_obs, CAST(least((dayofyear(ts) - 1) // 10, 36) * 10 + 5 AS INTEGER) AS doy_centre,
       make_date(CAST(year(ts) AS INTEGER), 1, 1) + CAST(least((dayofyear(ts) - 1) // 10, 36) * 10 + 4 AS INTEGER) AS date_centre
     FROM obs GROUP BY x, 2, 3, 7, 8 HAVING count(*) >= 5""",
@@ -298,8 +298,8 @@ def a03(s, d):
 @query(
     "a04_seasonal_composite",
     """WITH o AS (SELECT o_custkey % 25 AS cell, CAST(year(o_orderdate) AS INTEGER) AS yr, o_totalprice AS v FROM orders WHERE month(o_orderdate) IN (7, 8) AND year(o_orderdate) IN (1996, 1998, 2000))
-    SELECT cell, yr, round(median(v), 6) + 0.0 AS v_median, count(*) AS n FROM o GROUP BY 1, 2
-    UNION ALL SELECT cell, NULL, round(median(v), 6) + 0.0, count(*) FROM o GROUP BY 1""",
+    SELECT cell, yr, round(median(v) + 1e-9, 6) + 0.0 AS v_median, count(*) AS n FROM o GROUP BY 1, 2
+    UNION ALL SELECT cell, NULL, round(median(v) + 1e-9, 6) + 0.0, count(*) FROM o GROUP BY 1""",
 )
 def a04(s, d):
     o = (
@@ -317,7 +317,7 @@ def a04(s, d):
     "a05_change_detection",
     f"""WITH {OBS}, {WINDOWS}, {LAYER}, c AS (SELECT o.user_id, median(CASE WHEN ts < t0 THEN value END) AS pre, median(CASE WHEN ts >= t0 THEN value END) AS post
       FROM obs o JOIN w USING (user_id) WHERE ts >= t0 - INTERVAL 7 DAY AND ts < t0 + INTERVAL 2 DAY GROUP BY 1)
-    SELECT user_id, round(pre, 6) + 0.0 AS pre, round(post, 6) + 0.0 AS post, coalesce(pre - post > 3 AND post < 30 AND occurrence < 60 AND seasonality >= 5, FALSE) AS flooded
+    SELECT user_id, round(pre + 1e-9, 6) + 0.0 AS pre, round(post + 1e-9, 6) + 0.0 AS post, coalesce(pre - post > 3 AND post < 30 AND occurrence < 60 AND seasonality >= 5, FALSE) AS flooded
     FROM c JOIN layer USING (user_id)""",
 )
 def a05(s, d):
@@ -337,8 +337,8 @@ def a05(s, d):
         min(CASE WHEN ts >= t0 AND event_type = 'click' THEN value END) AS vv_min, max(CASE WHEN ts >= t0 AND ts < t0 + INTERVAL 3 DAY AND event_type = 'error' THEN value END) AS wind,
         max(CASE WHEN ts >= t0 AND event_type = 'purchase' THEN value END) AS ndwi_max
       FROM obs o JOIN w USING (user_id) WHERE ts >= t0 - INTERVAL 7 DAY AND ts < t0 + INTERVAL 5 DAY GROUP BY 1)
-    SELECT user_id, round(coalesce(vh_evt, 25) - coalesce(vh_pre, 25), 6) + 0.0 AS delta_vh, round((coalesce(vv_evt, 15) - coalesce(vh_evt, 25)) - (coalesce(vv_pre, 15) - coalesce(vh_pre, 25)), 6) + 0.0 AS delta_cr,
-      coalesce(vv_min, 25) AS vv_min, coalesce(wind, 0) AS wind, coalesce(ndwi_max, 0) AS ndwi_max, round(occurrence, 6) + 0.0 AS occurrence FROM f JOIN layer USING (user_id)""",
+    SELECT user_id, round(coalesce(vh_evt, 25) - coalesce(vh_pre, 25) + 1e-9, 6) + 0.0 AS delta_vh, round((coalesce(vv_evt, 15) - coalesce(vh_evt, 25)) - (coalesce(vv_pre, 15) - coalesce(vh_pre, 25)) + 1e-9, 6) + 0.0 AS delta_cr,
+      coalesce(vv_min, 25) AS vv_min, coalesce(wind, 0) AS wind, coalesce(ndwi_max, 0) AS ndwi_max, round(occurrence + 1e-9, 6) + 0.0 AS occurrence FROM f JOIN layer USING (user_id)""",
 )
 def a06(s, d):
     j = R.interval_join(obs(s, d), around(windows(s, d), 7, 5), ["user_id"], "ts", "w_start", "w_end")
@@ -366,8 +366,8 @@ def a06(s, d):
     "a07_season_feature_stack",
     PIXEL + f""", {WINDOWS}, {LAYER}, b AS (SELECT user_id, min(b8) AS vh_min, min(b4) AS vv_min, max((b3 - b8) / nullif(b3 + b8, 0)) AS ndwi_max, max((b8 - b11) / nullif(b8 + b11, 0)) AS lswi_max FROM stack GROUP BY 1),
     e AS (SELECT o.user_id, max(sqrt(value * value + k * k)) AS wind, min(31 - day(t0)) AS dsl FROM obs o JOIN w USING (user_id) WHERE ts >= t0 - INTERVAL 3 DAY AND ts < t0 + INTERVAL 4 DAY GROUP BY 1)
-    SELECT b.user_id, round(vh_min, 6) + 0.0 AS vh_min, round(vv_min, 6) + 0.0 AS vv_min, round(pow(10, vh_min / 1000) / pow(10, vv_min / 1000), 6) + 0.0 AS ratio,
-      round(ndwi_max, 6) + 0.0 AS ndwi_max, round(lswi_max, 6) + 0.0 AS lswi_max, round(occurrence, 6) + 0.0 AS occurrence, round(coalesce(wind, 0), 6) + 0.0 AS event_wind, coalesce(dsl, 999) AS days_since
+    SELECT b.user_id, round(vh_min + 1e-9, 6) + 0.0 AS vh_min, round(vv_min + 1e-9, 6) + 0.0 AS vv_min, round(pow(10, vh_min / 1000) / pow(10, vv_min / 1000) + 1e-9, 6) + 0.0 AS ratio,
+      round(ndwi_max + 1e-9, 6) + 0.0 AS ndwi_max, round(lswi_max + 1e-9, 6) + 0.0 AS lswi_max, round(occurrence + 1e-9, 6) + 0.0 AS occurrence, round(coalesce(wind, 0) + 1e-9, 6) + 0.0 AS event_wind, coalesce(dsl, 999) AS days_since
     FROM b JOIN layer USING (user_id) LEFT JOIN e ON e.user_id = b.user_id""",
 )
 def a07(s, d):
@@ -397,7 +397,7 @@ def image(s, d):
 
 @query(
     "a08_focal_mean",
-    f"""WITH {OBS}, {MEANS} SELECT a.x, a.y, count(*) AS n_win, round(avg(b.v), 6) + 0.0 AS w_mean, round(var_pop(b.v), 4) + 0.0 AS w_var
+    f"""WITH {OBS}, {MEANS} SELECT a.x, a.y, count(*) AS n_win, round(avg(b.v) + 1e-9, 6) + 0.0 AS w_mean, round(var_pop(b.v) + 1e-9, 4) + 0.0 AS w_var
     FROM img a JOIN img b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY 1, 2""",
 )
 def a08(s, d):
@@ -409,7 +409,7 @@ def a08(s, d):
 @query(
     "a08_lee_filter",
     f"""WITH {OBS}, {MEANS}, m AS (SELECT a.x, a.y, a.v, avg(b.v) AS mu, var_pop(b.v) AS va FROM img a JOIN img b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY 1, 2, 3)
-    SELECT x, y, round(v, 6) + 0.0 AS v, round(mu + (va - 0.01 * mu * mu) / va * (v - mu), 4) + 0.0 AS filtered FROM m""",
+    SELECT x, y, round(v + 1e-9, 6) + 0.0 AS v, round(mu + (va - 0.01 * mu * mu) / va * (v - mu) + 1e-9, 4) + 0.0 AS filtered FROM m""",
 )
 def a08_lee(s, d):
     f = R.lee_filter(image(s, d), "v", 2, 0.01)
@@ -418,8 +418,8 @@ def a08_lee(s, d):
 
 @query(
     "a09_zonal_statistics",
-    f"""WITH {OBS} SELECT x AS zone, p, round(avg(value), 6) + 0.0 AS v_mean, count(*) AS n, round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.25), 6) + 0.0 AS p25,
-      round(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round(quantile_cont(value, 0.02), 6) + 0.0 AS p02, round(quantile_cont(value, 0.97), 6) + 0.0 AS p97 FROM obs GROUP BY 1, 2""",
+    f"""WITH {OBS} SELECT x AS zone, p, round(avg(value) + 1e-9, 6) + 0.0 AS v_mean, count(*) AS n, round(quantile_cont(value, 0.5) + 1e-9, 6) + 0.0 AS p50, round(quantile_cont(value, 0.25) + 1e-9, 6) + 0.0 AS p25,
+      round(quantile_cont(value, 0.75) + 1e-9, 6) + 0.0 AS p75, round(quantile_cont(value, 0.02) + 1e-9, 6) + 0.0 AS p02, round(quantile_cont(value, 0.97) + 1e-9, 6) + 0.0 AS p97 FROM obs GROUP BY 1, 2""",
 )
 def a09(s, d):
     probs = {"p50": 0.5, "p25": 0.25, "p75": 0.75, "p02": 0.02, "p97": 0.97}
@@ -456,7 +456,7 @@ def a11(s, d):
 
 @query(
     "a12_grid_coarsening",
-    f"""WITH {OBS}, {MEANS} SELECT x // 3 AS cx, y // 3 AS cy, round(avg(CASE WHEN v > 48 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS share_valid, count(*) AS n_fine,
+    f"""WITH {OBS}, {MEANS} SELECT x // 3 AS cx, y // 3 AS cy, round(avg(CASE WHEN v > 48 THEN 1.0 ELSE 0.0 END) + 1e-9, 6) + 0.0 AS share_valid, count(*) AS n_fine,
       avg(CASE WHEN v > 48 THEN 1.0 ELSE 0.0 END) >= 0.5 AS kept FROM img GROUP BY 1, 2""",
 )
 def a12(s, d):
@@ -488,7 +488,7 @@ def a14(s, d):
     "a36_multi_sensor_union_composite",
     f"""WITH {OBS}, u AS (SELECT user_id, p, 0.9723 * value + 0.0235 AS v, 'A' AS sensor FROM obs WHERE event_type IN ('click', 'error')
       UNION ALL SELECT user_id, p, value, 'B' FROM obs WHERE event_type = 'view')
-    SELECT user_id, p, round(median(v), 7) + 0.0 AS v_median, count(*) AS n, count(CASE WHEN sensor = 'A' THEN 1 END) AS n_a FROM u GROUP BY 1, 2""",
+    SELECT user_id, p, round(median(v) + 1e-9, 7) + 0.0 AS v_median, count(*) AS n, count(CASE WHEN sensor = 'A' THEN 1 END) AS n_a FROM u GROUP BY 1, 2""",
 )
 def a36(s, d):
     o = obs(s, d)

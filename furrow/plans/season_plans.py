@@ -64,7 +64,7 @@ def crossing(s, d):
     return N.crossing_date(t, ["user_id"], "doy", "v", 0.30, 140, 320)
 
 
-@query("w05_threshold_crossing_date", HEAD + CROSS_SQL + " SELECT user_id, n_points, round(sos, 6) + 0.0 AS sos FROM dates")
+@query("w05_threshold_crossing_date", HEAD + CROSS_SQL + " SELECT user_id, n_points, round(sos + 1e-9, 6) + 0.0 AS sos FROM dates")
 def w05(s, d):
     return crossing(s, d).withColumn("sos", rnd("sos"))
 
@@ -76,7 +76,7 @@ SMOOTH_SQL = """, sm AS (SELECT i.user_id, i.p, sum(exp(-pow(i.p - j.p, 2) / 4.5
 @query(
     "w06_gaussian_smoothing",
     HEAD + """, fl AS (SELECT user_id, max(k) >= 98 AS flooded FROM obs GROUP BY 1),
-      wser AS (SELECT s.*, CASE WHEN flooded AND p IN (2, 3) THEN 0.0 ELSE 1.0 END AS wt FROM series s JOIN fl USING (user_id))""" + SMOOTH_SQL + " SELECT user_id, CAST(p AS INTEGER) AS p, round(z, 6) + 0.0 AS z FROM sm",
+      wser AS (SELECT s.*, CASE WHEN flooded AND p IN (2, 3) THEN 0.0 ELSE 1.0 END AS wt FROM series s JOIN fl USING (user_id))""" + SMOOTH_SQL + " SELECT user_id, CAST(p AS INTEGER) AS p, round(z + 1e-9, 6) + 0.0 AS z FROM sm",
 )
 def w06(s, d):
     flood = obs(s, d).groupBy("user_id").agg((F.max("k") >= 98).alias("flooded"))
@@ -92,7 +92,7 @@ def weights(flooded):
 @query(
     "w07_estimate_choice",
     HEAD + CROSS_SQL + """, pd AS (SELECT user_id, min(CASE WHEN v >= 0.9 AND p >= 3 THEN 150 + 20 * p END) AS prim, count(v) AS n_valid FROM series GROUP BY 1)
-    SELECT user_id, n_valid, round(coalesce(prim, sos), 6) + 0.0 AS sos_used, prim IS NOT NULL AS is_primary FROM pd LEFT JOIN dates USING (user_id)""",
+    SELECT user_id, n_valid, round(coalesce(prim, sos) + 1e-9, 6) + 0.0 AS sos_used, prim IS NOT NULL AS is_primary FROM pd LEFT JOIN dates USING (user_id)""",
 )
 def w07(s, d):
     prim = series(s, d).groupBy("user_id").agg(
@@ -128,7 +128,7 @@ def fitted(s, d):
 
 @query(
     "c01_double_logistic_grid_fit",
-    f"WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')} SELECT user_id, pid AS p, round(ssr, 6) + 0.0 AS ssr, s AS d_rise, ms AS m_rise, a AS d_fall, ma AS m_fall FROM f",
+    f"WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')} SELECT user_id, pid AS p, round(ssr + 1e-9, 6) + 0.0 AS ssr, s AS d_rise, ms AS m_rise, a AS d_fall, ma AS m_fall FROM f",
 )
 def c01(s, d):
     return fitted(s, d).select("user_id", "fit.p", rnd("fit.ssr").alias("ssr"), "fit.d_rise", "fit.m_rise", "fit.d_fall", "fit.m_fall")
@@ -136,7 +136,7 @@ def c01(s, d):
 
 @query(
     "c02_dates_from_fit",
-    f"WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')} SELECT user_id, round(sos, 6) + 0.0 AS sos, round(pos, 6) + 0.0 AS pos, round(eos, 6) + 0.0 AS eos FROM f",
+    f"WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')} SELECT user_id, round(sos + 1e-9, 6) + 0.0 AS sos, round(pos + 1e-9, 6) + 0.0 AS pos, round(eos + 1e-9, 6) + 0.0 AS eos FROM f",
 )
 def c02(s, d):
     return fitted(s, d).select("user_id", *[rnd(c).alias(n) for n, c in N.fitted_dates(F.col("fit")).items()])
@@ -150,7 +150,7 @@ def c02(s, d):
     e AS (SELECT f.user_id, q, round(sum(pow(v - (lo + (hi - lo) * (1 / (1 + exp(-(ms * fr) * (150 + 20 * p - (s + ds)))) + 1 / (1 + exp((ma * fa) * (150 + 20 * p - (a + da)))) - 1)), 2)), 9) AS ssr, max(f.n) AS n
       FROM f JOIN series USING (user_id), off WHERE v IS NOT NULL GROUP BY 1, 2),
     b AS (SELECT user_id, min(ssr) AS ssr FROM e GROUP BY 1), w AS (SELECT user_id, ssr, min(q) AS q, max(n) AS n FROM e JOIN b USING (user_id, ssr) GROUP BY 1, 2)
-    SELECT user_id, CAST(q AS INTEGER) AS q, round(s + ds, 6) AS d_rise, round(a + da, 6) AS d_fall, round(sqrt(w.ssr / w.n), 6) + 0.0 AS rmsr FROM w JOIN off USING (q) JOIN f USING (user_id)""",
+    SELECT user_id, CAST(q AS INTEGER) AS q, round(s + ds + 1e-9, 6) AS d_rise, round(a + da + 1e-9, 6) AS d_fall, round(sqrt(w.ssr / w.n) + 1e-9, 6) + 0.0 AS rmsr FROM w JOIN off USING (q) JOIN f USING (user_id)""",
 )
 def c03(s, d):
     refine = N.refine_fit(DAYS)
@@ -163,8 +163,8 @@ def c03(s, d):
     f"""WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')},
     noisy AS (SELECT user_id * 100 + r.rep AS rk, s.p, v + (CAST('0x' || substr(md5(concat_ws('|', user_id, r.rep, s.p, '42')), 1, 13) AS BIGINT) / pow(16, 13) - 0.5) * 2 * sqrt(f.ssr / 10) AS v
       FROM series s JOIN f USING (user_id), range(8) r(rep)) {fit_sql('noisy', 'rk', 'g')}
-    SELECT rk // 100 AS user_id, round(quantile_cont(sos, 0.025), 6) + 0.0 AS sos_lo, round(quantile_cont(sos, 0.975), 6) + 0.0 AS sos_hi,
-      round(quantile_cont(eos, 0.025), 6) + 0.0 AS eos_lo, round(quantile_cont(eos, 0.975), 6) + 0.0 AS eos_hi, count(*) AS n_rep FROM g GROUP BY 1""",
+    SELECT rk // 100 AS user_id, round(quantile_cont(sos, 0.025) + 1e-9, 6) + 0.0 AS sos_lo, round(quantile_cont(sos, 0.975) + 1e-9, 6) + 0.0 AS sos_hi,
+      round(quantile_cont(eos, 0.025) + 1e-9, 6) + 0.0 AS eos_lo, round(quantile_cont(eos, 0.975) + 1e-9, 6) + 0.0 AS eos_hi, count(*) AS n_rep FROM g GROUP BY 1""",
 )
 def c04(s, d):
     fit = N.grid_fit(DAYS)
@@ -190,7 +190,7 @@ BAND_SERIES = """bs0 AS (SELECT user_id, event_type, p, avg(value) AS m FROM obs
 @query(
     "c05_fused_products",
     f"""WITH {OBS}, {BAND_SERIES}, {BASIS_SQL} {fit_sql('bsm', 'bk', 'f')}
-    SELECT a.bk // 4 AS user_id, CASE WHEN a.bk % 2 = 0 THEN 'raw' ELSE 'corrected' END AS product, round((a.sos + b.sos) / 2, 6) + 0.0 AS sos, round((a.pos + b.pos) / 2, 6) + 0.0 AS pos, round((a.eos + b.eos) / 2, 6) + 0.0 AS eos
+    SELECT a.bk // 4 AS user_id, CASE WHEN a.bk % 2 = 0 THEN 'raw' ELSE 'corrected' END AS product, round((a.sos + b.sos) / 2 + 1e-9, 6) + 0.0 AS sos, round((a.pos + b.pos) / 2 + 1e-9, 6) + 0.0 AS pos, round((a.eos + b.eos) / 2 + 1e-9, 6) + 0.0 AS eos
     FROM f a JOIN f b ON b.bk = a.bk + 2 WHERE a.bk % 4 < 2""",
 )
 def c05(s, d):

@@ -60,7 +60,7 @@ def j05(s, d):
 
 @query(
     "j06_tracks_within_radius",
-    f"WITH {FIX} SELECT sid, round(min({hav('lon', 'lat', '86.0', '18.6')}), 6) AS min_dist_km FROM fix GROUP BY 1 HAVING min({hav('lon', 'lat', '86.0', '18.6')}) <= 40",
+    f"WITH {FIX} SELECT sid, round(min({hav('lon', 'lat', '86.0', '18.6')}) + 1e-9, 6) AS min_dist_km FROM fix GROUP BY 1 HAVING min({hav('lon', 'lat', '86.0', '18.6')}) <= 40",
 )
 def j06(s, d):
     return G.groups_within(fixes(s, d), ["sid"], 86.0, 18.6, 40.0).withColumn("min_dist_km", rnd("min_dist_km"))
@@ -69,7 +69,7 @@ def j06(s, d):
 @query(
     "j07_as_of_landfall",
     f"""WITH {FIX}, a AS (SELECT sid, arg_min(ts, (pow(lon - 85, 2) + pow(lat - 19, 2), event_id)) AS t0 FROM fix GROUP BY 1)
-    SELECT sid, count(*) AS n, max(ts) AS last_ts, round(max(lon), 6) AS lon_max FROM fix JOIN a USING (sid) WHERE ts <= t0 + INTERVAL 12 HOUR GROUP BY 1""",
+    SELECT sid, count(*) AS n, max(ts) AS last_ts, round(max(lon) + 1e-9, 6) AS lon_max FROM fix JOIN a USING (sid) WHERE ts <= t0 + INTERVAL 12 HOUR GROUP BY 1""",
 )
 def j07(s, d):
     f = fixes(s, d)
@@ -94,7 +94,7 @@ def j08(s, d):
     "j09_footprint_overlay",
     f"""WITH {OBS}, z AS (SELECT DISTINCT x, y, x // 5 AS zone FROM obs), fp AS (SELECT DISTINCT event_type, x, y FROM obs WHERE value > 120),
     za AS (SELECT zone, count(*) * 0.01::DOUBLE AS zone_area FROM z GROUP BY 1)
-    SELECT event_type, zone, round(count(*) * 0.01::DOUBLE, 6) AS covered_area, round(count(*) * 0.01::DOUBLE / any_value(zone_area), 6) AS share FROM fp JOIN z USING (x, y) JOIN za USING (zone) GROUP BY 1, 2""",
+    SELECT event_type, zone, round(count(*) * 0.01::DOUBLE + 1e-9, 6) AS covered_area, round(count(*) * 0.01::DOUBLE / any_value(zone_area) + 1e-9, 6) AS share FROM fp JOIN z USING (x, y) JOIN za USING (zone) GROUP BY 1, 2""",
 )
 def j09(s, d):
     o = obs(s, d)
@@ -115,7 +115,7 @@ def j10(s, d):
     "w09_nearest_fix_per_track",
     f"""WITH {FIX}, c AS (SELECT *, abs(lon - 85) * 100 AS d2l FROM fix WHERE dayofyear(ts) BETWEEN 5 AND 25 AND lon BETWEEN 81 AND 89 AND lat BETWEEN 17.5 AND 23),
     r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2l, ts, event_id) AS rn FROM c)
-    SELECT sid, event_id, CAST(dayofyear(ts) AS INTEGER) AS doy, round(d2l, 6) + 0.0 AS d2l, coalesce(wmo, usa) AS wind FROM r WHERE rn = 1""",
+    SELECT sid, event_id, CAST(dayofyear(ts) AS INTEGER) AS doy, round(d2l + 1e-9, 6) + 0.0 AS d2l, coalesce(wmo, usa) AS wind FROM r WHERE rn = 1""",
 )
 def w09(s, d):
     f = fixes(s, d).withColumn("d2l", F.abs(F.col("lon") - 85) * 100)
@@ -126,7 +126,7 @@ def w09(s, d):
 
 @query(
     "w09_first_landfall_fix",
-    f"""WITH {FIX}, r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS rn FROM fix WHERE lon >= 84) SELECT sid, event_id, ts, round(lon, 6) AS lon FROM r WHERE rn = 1""",
+    f"""WITH {FIX}, r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS rn FROM fix WHERE lon >= 84) SELECT sid, event_id, ts, round(lon + 1e-9, 6) AS lon FROM r WHERE rn = 1""",
 )
 def w09_first(s, d):
     n = K.nearest_fix(fixes(s, d).where("lon >= 84"), "sid", [F.col("ts"), F.col("event_id")], ["event_id", "ts", "lon"])
@@ -136,8 +136,8 @@ def w09_first(s, d):
 @query(
     "w12_breakpoint_percentile",
     f"""WITH {FIX}, m AS (SELECT sid, max(wmo) AS v, min(wmo) AS lo FROM fix GROUP BY 1)
-    SELECT sid, round(CASE WHEN v <= 35 THEN 10.0 WHEN v >= 300 THEN 100.0 WHEN v <= 90 THEN 10 + (v - 35) / 55 * 40 WHEN v <= 180 THEN 50 + (v - 90) / 90 * 40 ELSE 90 + (v - 180) / 120 * 10 END, 6) + 0.0 AS pct,
-      round(CASE WHEN -lo <= -20 THEN 0.0 WHEN -lo >= -0.05 THEN 100.0 WHEN -lo <= -5 THEN (-lo + 20) / 15 * 50 ELSE 50 + (-lo + 5) / 4.95 * 50 END, 6) + 0.0 AS inv_pct FROM m""",
+    SELECT sid, round(CASE WHEN v <= 35 THEN 10.0 WHEN v >= 300 THEN 100.0 WHEN v <= 90 THEN 10 + (v - 35) / 55 * 40 WHEN v <= 180 THEN 50 + (v - 90) / 90 * 40 ELSE 90 + (v - 180) / 120 * 10 END + 1e-9, 6) + 0.0 AS pct,
+      round(CASE WHEN -lo <= -20 THEN 0.0 WHEN -lo >= -0.05 THEN 100.0 WHEN -lo <= -5 THEN (-lo + 20) / 15 * 50 ELSE 50 + (-lo + 5) / 4.95 * 50 END + 1e-9, 6) + 0.0 AS inv_pct FROM m""",
 )
 def w12(s, d):
     m = fixes(s, d).groupBy("sid").agg(F.max("wmo").alias("v"), F.min("wmo").alias("lo"))
@@ -157,7 +157,7 @@ def w13(s, d):
 @query(
     "w13_track_line_parts",
     f"""WITH {FIX}, n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS seq FROM fix)
-    SELECT sid, CAST((seq - 1) // 20 AS INTEGER) AS part, count(*) AS n, round(arg_min(lon, seq), 6) AS lon_first, round(arg_max(lon, seq), 6) AS lon_last FROM n GROUP BY 1, 2""",
+    SELECT sid, CAST((seq - 1) // 20 AS INTEGER) AS part, count(*) AS n, round(arg_min(lon, seq) + 1e-9, 6) AS lon_first, round(arg_max(lon, seq) + 1e-9, 6) AS lon_last FROM n GROUP BY 1, 2""",
 )
 def w13_parts(s, d):
     p = K.track_parts(fixes(s, d), "sid", "ts", "event_id", size=20)
@@ -167,7 +167,7 @@ def w13_parts(s, d):
 @query(
     "p22_multipoint_explode",
     f"""WITH {FIX}, n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS seq FROM fix)
-    SELECT sid, CAST((seq - 1) // 20 AS INTEGER) AS part, CAST((seq - 1) % 20 AS INTEGER) AS pos, round(lon, 6) AS lon, round(lat, 6) AS lat FROM n""",
+    SELECT sid, CAST((seq - 1) // 20 AS INTEGER) AS part, CAST((seq - 1) % 20 AS INTEGER) AS pos, round(lon + 1e-9, 6) AS lon, round(lat + 1e-9, 6) AS lat FROM n""",
 )
 def p22(s, d):
     p = K.track_parts(fixes(s, d), "sid", "ts", "event_id", size=20)
