@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.functions import scalar as S
 from furrow.operators import sampling as M
 from furrow.operators import spatial as G
 from furrow.operators import tracks as K

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The columns of a long unit x year panel file.
 PANEL_SCHEMA = (
     "district string, district_id string, year int, year_type string, cyclone_exposure string, cyclone_year_event string, "
     "pipeline string, metric string, median_doy double, p25_doy double, p75_doy double, boot_p025 double, boot_p975 double, n_pixels long"
