@@ -10,7 +10,7 @@ from furrow.llm.common import SPACES, whole_text
 K = 128
 WORDS = 5
 HASH_BITS = 48
-SPAN = 1024
+SPAN_BITS = 10
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -71,12 +71,12 @@ def with_next(rows: DataFrame, k: int = K) -> DataFrame:
     the span before it; which span that is comes from two further levels of the same kind
     over the span numbers alone.
     """
-    span = F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(F.floor(F.col("doc_id") / SPAN).cast("long"))
+    span = F.when(F.col("doc_id").isNull(), F.lit(2**62)).otherwise(F.shiftright(F.col("doc_id").cast("long"), SPAN_BITS))
     rows = rows.select("doc_id", "text", span.alias("span"), F.xxhash64("text").alias("tie"))
     order = Window.partitionBy("span").orderBy("doc_id", "tie")
     first = rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("span", "text")
 
-    spans = rows.select("span").distinct().withColumn("upper", F.floor(F.col("span") / SPAN))
+    spans = rows.select("span").distinct().withColumn("upper", F.shiftright("span", SPAN_BITS))
     links = spans.withColumn("to", F.lead("span").over(Window.partitionBy("upper").orderBy("span")))
     heads = spans.groupBy("upper").agg(F.min("span").alias("head"))
     around = Window.orderBy("upper")

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import exact_dedup, fingerprints, mixing
+from furrow.llm import bpe, exact_dedup, fingerprints, mixing, secrets, toxicity
 from furrow.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -20,11 +24,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(*exact_dedup.halves(documents(spark, sf_dir)))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("times")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_document_fingerprints, op7_exact_dedup, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op5_document_fingerprints, op7_exact_dedup, op8_bpe, op9_secret_scans, op10_source_mixing)}
 
 #: DuckDB SQL where SQL can express the result.
 ORACLES: dict[str, str] = {
