@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, exact_dedup, fingerprints, mixing, secrets, toxicity
+from furrow.llm import bpe, exact_dedup, fingerprints, html_text, licenses, lm_scoring, mixing, near_dedup, secrets, toxicity
 from furrow.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(*exact_dedup.halves(documents(spark, sf_dir)))
 
@@ -36,10 +52,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("times")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op5_document_fingerprints, op7_exact_dedup, op8_bpe, op9_secret_scans, op10_source_mixing)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_lm_scoring,
+        op3_html_extraction,
+        op4_license_scans,
+        op5_document_fingerprints,
+        op6_near_dedup,
+        op7_exact_dedup,
+        op8_bpe,
+        op9_secret_scans,
+        op10_source_mixing,
+    )
+}
 
 #: DuckDB SQL where SQL can express the result.
 ORACLES: dict[str, str] = {
+    "op4_license_scans": licenses.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
 }
