@@ -32,7 +32,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(256, len(LETTERS), np.int64)
 CODE[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
 #: Log-likelihood ratio per character, in nats, from which a candidate counts as random.
-RATIO = 0.6
+RATIO = 1.1
 SAMPLE_TEXTS = 2_000
 
 Span = tuple[str, int, int]

@@ -22,6 +22,8 @@ from furrow.llm.common import remainder, short_batches, whole_text
 #: Rows of either class that the fit may use, drawn by the hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 FEATURES = 4_096
+#: Standard errors by which a feature's log odds between the classes must differ from 0.
+LEAST_GAIN = 2.5
 BITS = 20
 THRESHOLD = 0.7
 
@@ -114,7 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     return docs.join(F.broadcast(small), docs["doc_id"] == small["__id"]).select(whole_text().alias("text"), F.col("__toxic").cast("int").alias("toxic"))
 
 
-def fit(sample: DataFrame, l2: float = 3e-5, fairness: float = 1.0, steps: int = 250) -> Toxicity:
+def fit(sample: DataFrame, prior: float = 1.0, fairness: float = 1.0, steps: int = 250) -> Toxicity:
     """Train on the sample; what reaches the driver is its hashed features, bounded by the sample's size.
 
     Without labelled rows, or with one class only, the score is constant: near 0, or near 1 if all are toxic.
@@ -131,10 +133,10 @@ def fit(sample: DataFrame, l2: float = 3e-5, fairness: float = 1.0, steps: int =
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, kind), pa.array(twin, kind)], ["toxic", "own", "twin"])
 
     got = sample.mapInArrow(featurise, "toxic int, own array<int>, twin array<int>").toArrow()
-    return solve(got, l2, fairness, steps)
+    return solve(got, prior, fairness, steps)
 
 
-def solve(got: pa.Table, l2: float, fairness: float, steps: int) -> Toxicity:
+def solve(got: pa.Table, prior: float, fairness: float, steps: int) -> Toxicity:
     got = got.combine_chunks()
     y = got.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -149,8 +151,8 @@ def solve(got: pa.Table, l2: float, fairness: float, steps: int) -> Toxicity:
     n1, n0 = y.sum(), len(y) - y.sum()
     d1 = np.bincount(own, weights=y[row], minlength=MASK + 1)
     d0 = np.bincount(own, minlength=MASK + 1) - d1
-    gain = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))) * np.sqrt(d1 + d0)
-    gain[d1 + d0 < 3] = 0
+    gain = np.abs(np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))) / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))
+    gain[(d1 + d0 < 3) | (gain < LEAST_GAIN)] = 0
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
     chosen = np.union1d(chosen[gain[chosen] > 0], sorted(f for t in TERMS for f in word_features(t)))
     place = np.full(MASK + 1, -1)
@@ -172,7 +174,7 @@ def solve(got: pa.Table, l2: float, fairness: float, steps: int) -> Toxicity:
         e = share * (1 / (1 + np.exp(-np.clip(z + b, -35, 35))) - y)
         pull = 2 * fairness * change
         g = np.bincount(f, weights=(e + pull)[r], minlength=k) - np.bincount(tf, weights=pull[tr], minlength=k)
-        g = np.append(g / n + l2 * w, e.mean())
+        g = np.append(g / n + prior / n * w, e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
