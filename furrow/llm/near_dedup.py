@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import short_batches, whole_text, written
@@ -26,8 +26,8 @@ WORDS = 4
 PERCENT = 80
 GROUPS = 12
 ROWS = 2
-#: Of 24 group values a pair of similarity 0.8 shares fewer than this with probability 3e-6.
-LEAST_SHARED = 5
+#: Of 48 minhashes, kept to four bits each, a pair of similarity 0.8 differs in more than this with probability 3e-5.
+MOST_DIFFERENT = 20
 
 _SEEDS = mix(np.arange(1, 2 * GROUPS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -40,8 +40,8 @@ def _sets(col: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
         yield [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
-def _group_values(sets: list[np.ndarray]) -> np.ndarray:
-    """2 x GROUPS values of each non-empty set."""
+def _group_values(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """2 x GROUPS values of each non-empty set, and its minhashes at four bits each, 16 to a number."""
     flat = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     low = [np.minimum.reduceat((flat ^ s) * (s | np.uint64(1)), start) for s in _SEEDS]
@@ -51,38 +51,54 @@ def _group_values(sets: list[np.ndarray]) -> np.ndarray:
         for m in low[g * ROWS : (g + 1) * ROWS]:
             v = mix(v * np.uint64(0x2545F4914F6CDD1D) + m)
         out.append(v)
-    return np.stack(out, axis=1).view(np.int64)
+    packed = [np.zeros(len(sets), np.uint64) for _ in range(len(low) // 16)]
+    for i, m in enumerate(low):
+        packed[i // 16] |= (mix(m) & np.uint64(15)) << np.uint64(4 * (i % 16))
+    return np.stack(out, axis=1).view(np.int64), np.stack(packed, axis=1).view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes that equal sets share), groups (empty without shingles)."""
+    """doc_id, n_shingles, set_id (16 bytes that equal sets share), groups and bits (empty without shingles)."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids, groups, start = [], [], [], 0
+            n, ids, groups, bits = [], [], [], []
             for sets in _sets(b.column(1), words):
                 n += [len(s) for s in sets]
                 full = [s for s in sets if len(s)]
-                values = iter(_group_values(full)) if full else iter(())
+                values = iter(zip(*_group_values(full))) if full else iter(())
                 for s in sets:
                     ids.append(np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes())
-                    groups.append(next(values) if len(s) else [])
-            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(groups, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_shingles", "set_id", "groups"])
+                    g, k = next(values) if len(s) else ([], [])
+                    groups.append(g)
+                    bits.append(k)
+            cols = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (groups, bits))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_shingles", "set_id", "groups", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, groups array<long>")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, groups array<long>, bits array<long>")
 
 
 def tensored_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): a key for each pair of an A value and a B value that are both shared."""
+    """(key, ga, gb, id): a key for each pair of an A value and a B value that are both shared."""
     rows = classes.select("id", F.posexplode("groups").alias("g", "v"))
     shared = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "v")
     rows = written(rows.join(shared, ["g", "v"]), "near-shared")
     a = rows.where(F.col("g") < GROUPS).select("id", F.col("g").alias("ga"), F.col("v").alias("va"))
     b = rows.where(F.col("g") >= GROUPS).select("id", F.col("g").alias("gb"), F.col("v").alias("vb"))
-    return a.join(b, "id").select(F.xxhash64("ga", "va", "gb", "vb").alias("key"), "id")
+    return a.join(b, "id").select(F.xxhash64("ga", "va", "gb", "vb").alias("key"), "ga", "gb", "id")
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many of the four-bit minhashes two rows differ."""
+    total = F.lit(0)
+    for i in range(2 * GROUPS * ROWS // 16):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -138,7 +154,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     sig = written(signatures(docs, words), "near-signatures")
     full = sig.where("n_shingles > 0")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"))
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("bits").alias("bits"))
     classes = written(classes.withColumn("id", F.coalesce(F.col("rep").cast("long"), F.xxhash64("set_id"))), "near-classes")
     own = classes.where("rep IS NOT NULL").dropDuplicates(["id"])
     keyed = written(tensored_keys(own), "near-keys")
@@ -166,11 +182,17 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     rows = placed(keyed)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = rows.join(mixed, "key").join(own.select("id", "n", "groups"), "id")
-    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "groups")]) for s in "ab")
-    close = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    alike = F.size(F.filter(F.zip_with("groups_a", "groups_b", lambda x, y: x == y), lambda x: x)) >= LEAST_SHARED
-    rest = a.join(b, "key").where(close & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    rows = rows.join(mixed, "key").join(own.select("id", "n", "groups", "bits"), "id")
+    a, b = (rows.select("key", "ga", "gb", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "groups", "bits")]) for s in "ab")
+    b = b.drop("ga", "gb")
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    alike = differing("bits_a", "bits_b") <= MOST_DIFFERENT
+    # a pair that meets in several tables is taken in the first of each collection that it shares
+    same = lambda i: F.get("groups_a", i) == F.get("groups_b", i)
+    earlier = F.lit(False)
+    for g in range(GROUPS - 1):
+        earlier = earlier | ((F.lit(g) < F.col("ga")) & same(F.lit(g))) | ((F.lit(GROUPS + g) < F.col("gb")) & same(F.lit(GROUPS + g)))
+    rest = a.join(b, "key").where(apart & alike & ~earlier).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     take(rest)
 
     label = classes.select("set_id", "rep", "id").join(comp, "id", "left").select("set_id", F.when(F.col("rep").isNotNull(), F.coalesce("comp", "id")).alias("component"))
