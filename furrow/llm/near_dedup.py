@@ -7,7 +7,9 @@ similarity 0.8 shares no key with probability about 1e-5 and one of 0.85 with 5e
 
 A key is formed only from values that some other document shares, so most documents form
 none. Inside a bucket every member is compared with one representative, not with every other;
-only buckets whose members then still lie in different components are compared pair by pair.
+only buckets whose members then still lie in different components are compared pair by pair,
+in blocks, by packed minhashes. The work of that last step grows with the square of the number
+of documents that are alike but not alike enough, as in a passage common to many short texts.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import short_batches, whole_text, written
@@ -28,6 +30,8 @@ GROUPS = 12
 ROWS = 2
 #: Of 48 minhashes, kept to four bits each, a pair of similarity 0.8 differs in more than this with probability 3e-5.
 MOST_DIFFERENT = 20
+BLOCK = 2_000
+BROADCAST_BYTES = 16 << 20
 
 _SEEDS = mix(np.arange(1, 2 * GROUPS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -90,15 +94,72 @@ def tensored_keys(classes: DataFrame) -> DataFrame:
     return a.join(b, "id").select(F.xxhash64("ga", "va", "gb", "vb").alias("key"), "ga", "gb", "id")
 
 
-def differing(a: str, b: str) -> Column:
-    """In how many of the four-bit minhashes two rows differ."""
-    total = F.lit(0)
-    for i in range(2 * GROUPS * ROWS // 16):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one key, in different components, that size and packed minhashes do not rule out.
+
+    A bucket is cut into blocks of about BLOCK members by the hash of their id, and each pair of
+    blocks is compared at once, so no task holds more than two blocks however large the bucket.
+    A pair that meets in several tables is taken in the first of each collection that it shares.
+    """
+    blocks = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
+    blocks = blocks.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["key", "i", "j", "own", "id", "comp", "n", "ga", "gb", "bits", "groups"]
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select(*names)
+
+    def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own, ids, comp, n, ga, gb = (part.column(c).to_numpy() for c in ("own", "id", "comp", "n", "ga", "gb"))
+        bits = part.column("bits").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ok = (comp[left][:, None] != comp[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+        if i == j:
+            ok &= ids[left][:, None] < ids[right][None, :]
+        x, y = n[left][:, None], n[right][None, :]
+        ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        at, to = np.nonzero(ok)
+        x, y = left[at], right[to]
+        different = np.zeros(len(x), np.int64)
+        for w in range(bits.shape[1]):
+            d = bits[x, w] ^ bits[y, w]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            different += np.bitwise_count(d & np.uint64(0x1111111111111111))
+        near = different <= MOST_DIFFERENT
+        x, y = x[near], y[near]
+        if len(x):
+            groups = part.column("groups").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            same = groups[x] == groups[y]
+            first = (same[:, :GROUPS].argmax(axis=1) == ga[x]) & (same[:, GROUPS:].argmax(axis=1) + GROUPS == gb[x])
+            x, y = x[first], y[first]
+        return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            out = [pairs(t.slice(a, e - a)) for a, e in zip([0, *cut], [*cut, len(k)]) if e - a > 1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[s] for o in out])) for s in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not t.num_rows:
+                continue
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            last = np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
+            if whole:
+                yield from done(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None and held.num_rows:
+            yield from done(held)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -122,6 +183,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     sets = written(texts.mapInArrow(as_sets, "id long, own binary"), "near-sets").dropDuplicates(["id"])
+    if (sets.agg(F.sum(F.length("own"))).first()[0] or 0) <= BROADCAST_BYTES:  # else the two joins shuffle them
+        sets = F.broadcast(sets)
     j = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     return j.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -180,20 +243,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         star = rows.join(lead, "key").where("comp <> lead.comp").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         take(similar_size(star))
 
-    rows = placed(keyed)
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = rows.join(mixed, "key").join(own.select("id", "n", "groups", "bits"), "id")
-    a, b = (rows.select("key", "ga", "gb", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "groups", "bits")]) for s in "ab")
-    b = b.drop("ga", "gb")
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    alike = differing("bits_a", "bits_b") <= MOST_DIFFERENT
-    # a pair that meets in several tables is taken in the first of each collection that it shares
-    same = lambda i: F.get("groups_a", i) == F.get("groups_b", i)
-    earlier = F.lit(False)
-    for g in range(GROUPS - 1):
-        earlier = earlier | ((F.lit(g) < F.col("ga")) & same(F.lit(g))) | ((F.lit(GROUPS + g) < F.col("gb")) & same(F.lit(GROUPS + g)))
-    rest = a.join(b, "key").where(apart & alike & ~earlier).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    take(rest)
+    take(close_pairs(placed(keyed).join(own.select("id", "n", "groups", "bits"), "id"), percent))
 
     label = classes.select("set_id", "rep", "id").join(comp, "id", "left").select("set_id", F.when(F.col("rep").isNotNull(), F.coalesce("comp", "id")).alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
