@@ -38,20 +38,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right, list(keys), how)
 
 
-def exact_row_number(df: DataFrame, keys: Sequence[str], order: Sequence, bin_col, name: str = "rn") -> DataFrame:
+def exact_row_number(df: DataFrame, keys: Sequence[str], order: Sequence, bin_col, name: str = "rn", nulls_first: bool = True) -> DataFrame:
     """``row_number`` over (keys, order), sorted only within bins.
 
     ``bin_col`` must be monotone in the leading order column, and the order must
-    be total for a reproducible result.
+    be total for a reproducible result.  Rows whose bin is NULL are a bin of their
+    own, before the others or after them as the leading order column has it.
     """
     keys = list(keys)
-    b = df.withColumn("__bin", C(bin_col))
-    counts = b.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    j = join_on(b, offsets, [*keys, "__bin"])
-    win = Window.partitionBy(*keys, "__bin").orderBy(*order)
-    return j.withColumn(name, (F.row_number().over(win) + F.col("__before")).cast("long")).drop("__bin", "__before")
+    b = df.withColumn("__bin", C(bin_col)).withColumn("__bk", F.coalesce(F.col("__bin").cast("string"), F.lit("null")))
+    counts = b.groupBy(*keys, "__bk").agg(F.min("__bin").alias("__at"), F.count(F.lit(1)).alias("__n"))
+    at = F.col("__at").asc_nulls_first() if nulls_first else F.col("__at").asc_nulls_last()
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n", "__at")
+    j = join_on(b, offsets, [*keys, "__bk"])
+    win = Window.partitionBy(*keys, "__bk").orderBy(*order)
+    return j.withColumn(name, (F.row_number().over(win) + F.col("__before")).cast("long")).drop("__bin", "__bk", "__before")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -477,7 +477,7 @@ def w11(s, d):
     from furrow.functions.ranking import exact_row_number, value_bin
 
     g = nation_panel(s, d).groupBy("unit").agg(F.avg("y").alias("score"))
-    return exact_row_number(g, [], [F.col("score").desc(), "unit"], -value_bin("score"), "rank").select("unit", rnd("score", 4).alias("score"), "rank")
+    return exact_row_number(g, [], [F.col("score").desc(), "unit"], -value_bin("score"), "rank", nulls_first=False).select("unit", rnd("score", 4).alias("score"), "rank")
 
 
 @query(
