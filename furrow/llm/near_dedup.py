@@ -8,8 +8,11 @@ similarity 0.8 shares no key with probability about 1e-5 and one of 0.85 with 5e
 A key is formed only from values that some other document shares, so most documents form
 none. Inside a bucket every member is compared with one representative, not with every other;
 only buckets whose members then still lie in different components are compared pair by pair,
-in blocks, by packed minhashes. The work of that last step grows with the square of the number
-of documents that are alike but not alike enough, as in a passage common to many short texts.
+in blocks, by parity sketches: of each set, which of 1,024 bins hold an odd number of its
+hashes. Bins that differ are at most as many as shingles that differ, so few pairs below the
+threshold reach the full sets. The arithmetic of that last step grows with the square of the
+number of documents that are alike but not alike enough, as in a passage common to many short
+texts; the rows that it makes do not.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import short_batches, whole_text, written
@@ -28,8 +31,9 @@ WORDS = 4
 PERCENT = 80
 GROUPS = 12
 ROWS = 2
-#: Of 48 minhashes, kept to four bits each, a pair of similarity 0.8 differs in more than this with probability 3e-5.
-MOST_DIFFERENT = 20
+BINS = 1024
+#: Odd bins of d hashes spread by at most sqrt(BINS) / 2 about their mean; beyond this many of those a linked pair falls with probability 1e-9.
+SPREADS = 6
 BLOCK = 2_000
 BROADCAST_BYTES = 16 << 20
 
@@ -45,7 +49,7 @@ def _sets(col: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
 
 
 def _group_values(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """2 x GROUPS values of each non-empty set, and its minhashes at four bits each, 16 to a number."""
+    """2 x GROUPS values of each non-empty set, and its parity sketch, 64 bins to a number."""
     flat = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     low = [np.minimum.reduceat((flat ^ s) * (s | np.uint64(1)), start) for s in _SEEDS]
@@ -55,10 +59,10 @@ def _group_values(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for m in low[g * ROWS : (g + 1) * ROWS]:
             v = mix(v * np.uint64(0x2545F4914F6CDD1D) + m)
         out.append(v)
-    packed = [np.zeros(len(sets), np.uint64) for _ in range(len(low) // 16)]
-    for i, m in enumerate(low):
-        packed[i // 16] |= (mix(m) & np.uint64(15)) << np.uint64(4 * (i % 16))
-    return np.stack(out, axis=1).view(np.int64), np.stack(packed, axis=1).view(np.int64)
+    which = np.repeat(np.arange(len(sets)) * BINS, [len(s) for s in sets])
+    count = np.bincount(which + (mix(flat) % np.uint64(BINS)).astype(np.int64), minlength=len(sets) * BINS)
+    odd = np.packbits((count & 1).astype(np.uint8).reshape(len(sets), BINS), axis=1)
+    return np.stack(out, axis=1).view(np.int64), odd.view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -85,31 +89,44 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def tensored_keys(classes: DataFrame) -> DataFrame:
-    """(key, ga, gb, id): a key for each pair of an A value and a B value that are both shared."""
+    """(key, id): a key for each pair of an A value and a B value that are both shared."""
     rows = classes.select("id", F.posexplode("groups").alias("g", "v"))
     shared = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "v")
     rows = written(rows.join(shared, ["g", "v"]), "near-shared")
     a = rows.where(F.col("g") < GROUPS).select("id", F.col("g").alias("ga"), F.col("v").alias("va"))
     b = rows.where(F.col("g") >= GROUPS).select("id", F.col("g").alias("gb"), F.col("v").alias("vb"))
-    return a.join(b, "id").select(F.xxhash64("ga", "va", "gb", "vb").alias("key"), "ga", "gb", "id")
+    return a.join(b, "id").select(F.xxhash64("ga", "va", "gb", "vb").alias("key"), "id")
+
+
+def most_bins(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bins in which two linked sets of n shingles together may differ."""
+    d = np.floor(n * (100 - percent) / (100 + percent))
+    return np.minimum(d, BINS / 2 * (1 - (1 - 2 / BINS) ** d) + SPREADS * BINS**0.5 / 2)
+
+
+def alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """The test of close_pairs on columns: sizes, then bins that differ, allow a link."""
+    d = F.floor((na + nb) * (100 - percent) / (100 + percent))
+    most = F.least(d.cast("double"), BINS / 2 * (1 - F.pow(F.lit(1 - 2 / BINS), d)) + SPREADS * BINS**0.5 / 2)
+    bins = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bins <= most)
 
 
 def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one key, in different components, that size and packed minhashes do not rule out.
+    """(a, b): pairs of one key, in different components, that size and parity sketches do not rule out.
 
     A bucket is cut into blocks of about BLOCK members by the hash of their id, and each pair of
     blocks is compared at once, so no task holds more than two blocks however large the bucket.
-    A pair that meets in several tables is taken in the first of each collection that it shares.
     """
     blocks = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
     blocks = blocks.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    names = ["key", "i", "j", "own", "id", "comp", "n", "ga", "gb", "bits", "groups"]
+    names = ["key", "i", "j", "own", "id", "comp", "n", "bits"]
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select(*names)
 
     def pairs(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, comp, n, ga, gb = (part.column(c).to_numpy() for c in ("own", "id", "comp", "n", "ga", "gb"))
+        own, ids, comp, n = (part.column(c).to_numpy() for c in ("own", "id", "comp", "n"))
         bits = part.column("bits").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -120,19 +137,12 @@ def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
         ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
         at, to = np.nonzero(ok)
         x, y = left[at], right[to]
+        most = most_bins(n[x] + n[y], percent)
         different = np.zeros(len(x), np.int64)
         for w in range(bits.shape[1]):
-            d = bits[x, w] ^ bits[y, w]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            different += np.bitwise_count(d & np.uint64(0x1111111111111111))
-        near = different <= MOST_DIFFERENT
+            different += np.bitwise_count(bits[x, w] ^ bits[y, w])
+        near = different <= most
         x, y = x[near], y[near]
-        if len(x):
-            groups = part.column("groups").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            same = groups[x] == groups[y]
-            first = (same[:, :GROUPS].argmax(axis=1) == ga[x]) & (same[:, GROUPS:].argmax(axis=1) + GROUPS == gb[x])
-            x, y = x[first], y[first]
         return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +231,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = written(classes.withColumn("id", F.coalesce(F.col("rep").cast("long"), F.xxhash64("set_id"))), "near-classes")
     own = classes.where("rep IS NOT NULL").dropDuplicates(["id"])
     keyed = written(tensored_keys(own), "near-keys")
-    sizes = own.select("id", "n")
+    sizes = own.select("id", "n", "bits")
     links, comp = None, None
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    def similar_size(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    def possible(pairs: DataFrame) -> DataFrame:
+        p = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        p = p.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        return p.where(alike(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     def take(pairs: DataFrame) -> None:
         nonlocal links, comp
@@ -241,9 +252,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         rows = placed(keyed)
         lead = rows.groupBy("key").agg(end(F.struct("id", "comp")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
         star = rows.join(lead, "key").where("comp <> lead.comp").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        take(similar_size(star))
+        take(possible(star))
 
-    take(close_pairs(placed(keyed).join(own.select("id", "n", "groups", "bits"), "id"), percent))
+    take(close_pairs(placed(keyed).join(sizes, "id"), percent))
 
     label = classes.select("set_id", "rep", "id").join(comp, "id", "left").select("set_id", F.when(F.col("rep").isNotNull(), F.coalesce("comp", "id")).alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import numpy as np
 import pytest
 
@@ -90,3 +91,14 @@ def test_a_large_group_and_a_common_passage(spark, copies):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {c for i, (_, c) in got.items() if i < copies} == {0}
     assert all(c == i for i, (_, c) in got.items() if i >= 1000)
+
+
+def test_parity_sketch_keeps_linked_pairs():
+    rng = np.random.default_rng(5)
+    for n in (5, 40, 300, 4000):
+        for _ in range(30):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[n // 9 :], rng.integers(0, 2**63, n // 9, dtype=np.uint64)])
+            assert 100 * (n - n // 9) >= 80 * (n + n // 9)
+            odd = near_dedup._group_values([np.unique(a), np.unique(b)])[1].view(np.uint64)
+            assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= near_dedup.most_bins(np.array([2 * n]), 80)[0]
