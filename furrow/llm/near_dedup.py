@@ -112,7 +112,7 @@ def alike(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bins <= most)
 
 
-def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def close_pairs(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of one key, in different components, that size and parity sketches do not rule out.
 
     A bucket is cut into blocks of about BLOCK members by the hash of their id, and each pair of
@@ -120,7 +120,7 @@ def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """
     blocks = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
     blocks = blocks.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.join(blocks, "key").join(sizes, "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["key", "i", "j", "own", "id", "comp", "n", "bits"]
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select(*names)
@@ -254,7 +254,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         star = rows.join(lead, "key").where("comp <> lead.comp").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         take(possible(star))
 
-    take(close_pairs(placed(keyed).join(sizes, "id"), percent))
+    take(close_pairs(placed(keyed), sizes, percent))
 
     label = classes.select("set_id", "rep", "id").join(comp, "id", "left").select("set_id", F.when(F.col("rep").isNotNull(), F.coalesce("comp", "id")).alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")

@@ -4,7 +4,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-import numpy as np
 import numpy as np
 import pytest
 
