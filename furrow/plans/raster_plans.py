@@ -24,7 +24,7 @@ def s05(s, d):
     o = obs(s, d).where(
         (F.col("ts") >= F.lit("2024-01-05").cast("timestamp"))
         & (F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
-        & F.array_contains(F.array(F.lit("view"), F.lit("click")), F.col("event_type"))
+        & F.col("event_type").isin("view", "click")
         & (F.col("k") < 60)
         & F.col("x").between(2, 12)
     )
