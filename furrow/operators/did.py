@@ -190,8 +190,9 @@ def panel_blocks(df: DataFrame, cell: Sequence[str], unit: str, cluster: str, pe
                  regressors: Mapping[str, Column], absorb: bool = True) -> Blocks:
     """Reduce a panel to cross-product blocks.
 
-    ``periods`` lists the levels of the period effects (empty: none).  Rows with
-    a NULL outcome or regressor drop out.  A unit must lie in one cluster.
+    ``periods`` lists the levels of the period effects (empty: none); a
+    row of another period is an error.  Rows with a NULL outcome, regressor or
+    period drop out.  A unit must lie in one cluster.
     """
     cell, terms = list(cell), list(regressors)
     if len(terms) + len(periods) > MAX_TERMS:
@@ -205,7 +206,8 @@ def panel_blocks(df: DataFrame, cell: Sequence[str], unit: str, cluster: str, pe
     for i in range(p):
         need = need & F.col(f"__x{i}").isNotNull()
     if periods:
-        need = need & F.col("__t").isin(*[int(v) for v in periods])
+        unlisted = F.raise_error(F.concat(F.lit("period outside the roster: "), F.col("__t").cast("string"))).cast("boolean")
+        need = need & F.when(F.col("__t").isin(*[int(v) for v in periods]), True).when(F.col("__t").isNull(), False).otherwise(unlisted)
     aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("__y").alias("y"), F.sum(F.col("__y") * F.col("__y")).alias("yy")]
     for i in range(p):
         aggs += [F.sum(f"__x{i}").alias(f"x{i}"), F.sum(F.col(f"__x{i}") * F.col("__y")).alias(f"xy{i}")]

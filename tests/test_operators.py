@@ -329,3 +329,11 @@ def test_trimmed_bounds_order(spark):
     taus = [D.static_did(B.trimmed(df, ["cell"], "y", hit, 0.2, side), ["cell"], "u", "t", range(4), "y", "treat", "post").first().tau for side in ("lower", "upper")]
     full = D.static_did(df, ["cell"], "u", "t", range(4), "y", "treat", "post").first().tau
     assert taus[0] < full < taus[1]
+
+
+def test_rows_outside_the_period_roster_are_an_error(spark):
+    df = spark.createDataFrame([(u, p, float(u * p), float(u % 2 * (p > 1))) for u in range(6) for p in range(4)], "u int, p int, y double, x double")
+    args = ("u", "u", "p")
+    assert D.panel_ols(D.panel_blocks(df, [], *args, [0, 1, 2, 3], "y", {"x": F.col("x")})).first()["n_obs"] == 24
+    with pytest.raises(Exception, match="period outside the roster: 3"):
+        D.panel_ols(D.panel_blocks(df, [], *args, [0, 1, 2], "y", {"x": F.col("x")})).collect()
