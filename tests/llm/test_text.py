@@ -83,6 +83,18 @@ def test_log_frequency_filter_gives_counts_rounded_down(spark):
     assert model.grams.counts(keys).tolist() == [0, 32, 0, 0, 2, 2, 0, 0, 0, 0, 0, 0]
 
 
+def test_lm_scores_do_not_depend_on_what_is_sent(spark, odd, monkeypatch):
+    for d in (documents(spark), odd):
+        key = lambda r: (r.doc_id or -1, r.held_out, r.n_tokens, r.score)
+        whole = sorted(lm_scoring.score_documents(d).collect(), key=key)
+        for name, most in (("HEAD_WORDS", 5), ("FILTER_BYTES", 16)):
+            with monkeypatch.context() as m:
+                m.setattr(lm_scoring, name, most)
+                got = sorted(lm_scoring.score_documents(d.repartition(3)).collect(), key=key)
+            assert [r[:5] for r in got] == [r[:5] for r in whole]
+            assert all(math.isclose(x, y, rel_tol=1e-9) for a, b in zip(got, whole) for x, y in zip(a[5:], b[5:]))
+
+
 def xx(*values):
     seed = 42
     for v in values:
