@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, exact_dedup, fingerprints, html_text, licenses, lm_scoring, mixing, near_dedup, secrets, toxicity
+from furrow.llm import bpe, exact_dedup, fingerprints, html_text, license_texts, licenses, lm_scoring, mixing, near_dedup, secrets, toxicity
 from furrow.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op4_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_texts.scan_license_texts(documents(spark, sf_dir))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
         op2_lm_scoring,
         op3_html_extraction,
         op4_license_scans,
+        op4_license_texts,
         op5_document_fingerprints,
         op6_near_dedup,
         op7_exact_dedup,

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, fingerprints, html_text, licenses, lm_scoring, mixing, secrets, toxicity
+from furrow.llm import bpe, fingerprints, html_text, license_texts, licenses, lm_scoring, mixing, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,6 +154,37 @@ def test_licenses_on_odd_rows(odd, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_whole_licenses_inside_documents(spark, odd, nothing):
+    known = {(n, len(t) > 2000 or n in ("mit", "bsd-2-clause", "bsd-3-clause")): t for n, t in license_texts.templates()}
+    flat = lambda t: " ".join(t.split())
+    before, after = "Some words of its own. And more of them.\n", "\nThe end of it; no more."
+    mit, bsd, gpl, apache = known["mit", True], known["bsd-3-clause", True], known["gpl-3.0", False], known["apache-2.0", True]
+    rows = [
+        (1, before + mit + after, (1, "mit")), (2, before + flat(mit) + after, (1, "mit")), (3, before + flat(bsd).replace("copyright holder", "Example Corp") + after, (1, "bsd-3-clause")),
+        (4, before + gpl + before + mit, (2, "gpl-3.0,mit")), (5, apache, (1, "apache-2.0")), (6, mit[: len(mit) // 2], (0, "")), (7, (mit + "\n") * 3, (1, "mit")), (8, flat(known["lgpl-2.1", False]), (1, "lgpl-2.1")),
+    ]
+    got = {r.doc_id: r for r in license_texts.scan_license_texts(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: (r.n_matches, r.licenses) for i, r in got.items()} == {i: want for i, _, want in rows}
+    assert got[1].best == got[7].best == 1.0
+    assert license_texts.scan_license_texts(odd).where("n_matches > 0").count() == 0
+    assert license_texts.scan_license_texts(odd).count() == odd.count()
+    assert license_texts.scan_license_texts(nothing).count() == 0
+
+
+def test_best_run_against_brute_force():
+    r = random.Random(4)
+    own = frozenset((a, b) for a in "abcd" for b in "abcd" if r.random() < 0.7)
+    for _ in range(200):
+        words, starts = license_texts.units_of("\n".join(" ".join(r.choices("abcdxy", k=r.randint(1, 5))) for _ in range(12)))
+        want = 0.0
+        for i, a in enumerate(starts[:-1]):
+            for b in starts[i + 1 :]:
+                s = set(zip(words[a:b], words[a + 1 : b]))
+                want = max(want, 2.0 * len(s & own) / (len(s) + len(own)))
+        got = license_texts.best_run(words, starts, own, 0.5)[0]
+        assert got == want or want < 0.5
+
+
 def test_secret_spans(odd, nothing, spark):
     base = secrets.base_spans('token = "abc" API_KEY: 12345678 then deadbeef' + "0" * 24 + " AKIAAKIA12345678 AKIA1234")
     assert base == [("assign", 14, 31), ("hex", 37, 69), ("access", 70, 86)]
