@@ -39,22 +39,39 @@ def indexed_units(c: DataFrame, cell: Sequence[str], unit: str, max_units: int =
     return idx.withColumn("idx", guard.cast("int"))
 
 
-def in_space_placebo(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, treat: str, post: str) -> DataFrame:
-    """Effect under every assignment of as many treated units as there are; the real one is flagged.
+def in_space_placebo(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, treat: str, post: str, assignments: str = "enumerated", draws: int = 9999, seed: int = 42) -> DataFrame:
+    """Effect under assignments of as many treated units as there are; the real one is flagged.
 
-    Every unit row is repeated once per bit mask (2^G of them, G guarded), after
-    the panel has shrunk to one row per unit.
+    ``enumerated`` takes every assignment: after the panel has shrunk to one row per unit, each is
+    repeated once per bit mask (2^G of them, G guarded). ``hashed`` takes the real one and as many
+    drawn ones as asked for, at any number of units; ``mask`` is then the draw, 0 the real one.
     """
     cell = list(cell)
     c = unit_contrasts(df, cell, unit, period, y, post, treat).withColumn("real", F.col(treat).cast("int"))
+    if assignments == "hashed":
+        return _hashed_assignments(c, cell, unit, draws, seed)
+    if assignments != "enumerated":
+        raise ValueError(f"assignments: {assignments}")
     c = indexed_units(c, cell, unit)
     wc = Window.partitionBy(*cell)
     c = c.withColumn("n_treated", F.sum("real").over(wc)).withColumn("real_mask", F.sum(F.call_function("shiftleft", F.col("real"), F.col("idx"))).over(wc))
     masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("g").cast("int")) - 1), lambda m: F.bit_count(m) == F.col("n_treated"))
     e = c.withColumn("mask", F.explode(masks)).withColumn("s", F.expr("shiftright(mask, idx) & 1"))
+    return _assigned(e, cell, unit, F.col("mask") == F.col("real_mask"))
+
+
+def _hashed_assignments(c: DataFrame, cell: list[str], unit: str, draws: int, seed: int) -> DataFrame:
+    """The real assignment and ``draws`` others, each the units of least hash."""
+    e = c.withColumn("n_treated", F.sum("real").over(Window.partitionBy(*cell))).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    order = Window.partitionBy(*cell, "mask").orderBy(F.xxhash64(unit, "mask", F.lit(seed)), unit)
+    drawn = (F.row_number().over(order) <= F.col("n_treated")).cast("int")
+    return _assigned(e.withColumn("s", F.when(F.col("mask") == 0, F.col("real")).otherwise(drawn)), cell, unit, F.col("mask") == 0)
+
+
+def _assigned(e: DataFrame, cell: list[str], unit: str, is_real: Column) -> DataFrame:
     est = did_from_contrasts(e, [*cell, "mask"], "s", small_sample="g")
     info = e.groupBy(*cell, "mask").agg(
-        F.max(F.col("mask") == F.col("real_mask")).alias("is_real"),
+        F.max(is_real).alias("is_real"),
         F.concat_ws("|", F.sort_array(F.collect_list(F.when(F.col("s") == 1, F.col(unit).cast("string"))))).alias("treated"),
     )
     return join_on(est, info, [*cell, "mask"])
@@ -65,7 +82,7 @@ def summarise_placebo(p: DataFrame, cell: Sequence[str], alpha: float = 0.10) ->
     real, other = F.col("is_real"), ~F.col("is_real")
     w = p.withColumn("tau_real", F.max(F.when(real, F.col("tau"))).over(Window.partitionBy(*cell)))
     t = F.when(other, F.col("tau"))
-    # the group is the enumerated assignments, bounded by the unit guard
+    # the group is the assignments, bounded by the unit guard or the draws
     g = w.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n_perm"), F.max("tau_real").alias("tau_real"), F.percentile(t, F.lit(0.5)).alias("median"), F.percentile(t, F.lit(0.05)).alias("p05"),
         F.percentile(t, F.lit(0.95)).alias("p95"), F.max(F.abs(t)).alias("max_abs"), F.count(F.when(F.abs(t) >= F.abs("tau_real") - 1e-9, 1)).alias("n_extreme"),
@@ -194,16 +211,18 @@ def cluster_influence(b: Blocks) -> DataFrame:
     return cut_lineage(join_on(inf, base, b.cell))
 
 
-def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, seed: int) -> DataFrame:
-    """One row per (cluster, draw): all 2^G sign vectors if they fit into ``draws``, else hashed signs."""
-    w = Window.partitionBy(*cell)
-    i = inf.withColumn("g", F.count(F.lit(1)).over(w)).withColumn("idx", F.row_number().over(w.orderBy(cluster)) - 1)
-    exact = F.pow(F.lit(2.0), F.col("g")) <= draws
-    n = F.when(exact, F.pow(F.lit(2.0), F.col("g"))).otherwise(F.lit(float(draws))).cast("int")
-    e = i.withColumn("n_draws", n).withColumn("exact", exact).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n_draws") - 1)))
-    bit = F.expr("shiftright(draw, CAST(least(idx, 30) AS INT)) & 1")
-    coin = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(2))
-    return e.withColumn("w", F.when(F.col("exact"), bit).otherwise(coin) * 2.0 - 1.0)
+def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, seed: int, signs: str) -> DataFrame:
+    """One row per (cluster, draw): all 2^G sign vectors (``enumerated``, G guarded) or ``draws`` hashed ones."""
+    if signs not in ("enumerated", "hashed"):
+        raise ValueError(f"signs: {signs}")
+    if signs == "hashed":
+        e = inf.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy(*cell))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        bit = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(2))
+    else:
+        i = indexed_units(inf, cell, cluster)
+        e = i.withColumn("draw", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("g").cast("int")) - 1)))
+        bit = F.expr("shiftright(draw, idx) & 1")
+    return e.withColumn("exact", F.lit(signs == "enumerated")).withColumn("w", bit * 2.0 - 1.0)
 
 
 def _draw_moments(e: DataFrame, keys: list[str], kk: int) -> DataFrame:
@@ -238,14 +257,14 @@ def _replicate(tau0: Column) -> tuple[Column, Column]:
     return F.col("shift0") - tau0 * F.col("shift1"), F.sqrt(F.greatest(ss, F.lit(0.0)) * F.col("factor"))
 
 
-def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42) -> DataFrame:
+def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42, signs: str = "enumerated") -> DataFrame:
     """Two-sided p of the restricted bootstrap at zero.
 
-    Exact enumeration divides by the number of sign vectors; sampled signs use
-    (1 + extreme)/(1 + draws).
+    ``enumerated`` signs divide by the number of sign vectors and do not use ``draws``;
+    ``hashed`` ones, for many clusters, use (1 + extreme)/(1 + draws).
     """
     inf = cluster_influence(b)
-    e = _with_signs(inf, b.cell, b.cluster, draws, seed)
+    e = _with_signs(inf, b.cell, b.cluster, draws, seed, signs)
     obs = _observed(b)
     shift, se = _replicate(F.lit(0.0))
     rep = _draw_moments(e, [*b.cell, "draw"], b.k - 1).withColumn("t", F.try_divide(shift, se))
@@ -263,16 +282,16 @@ def _observed(b: Blocks) -> DataFrame:
     return o.select(*b.cell, F.col("est").alias("tau"), F.col("se").alias("se_obs"), F.try_divide("est", "se").alias("t_obs"))
 
 
-def wild_bootstrap_ci(b: Blocks, draws: int = 999, seed: int = 42, alpha: float = 0.05, n_grid: int = 41, half_width: float = 8.0, studentise_at: str = "tau0") -> DataFrame:
+def wild_bootstrap_ci(b: Blocks, draws: int = 999, seed: int = 42, alpha: float = 0.05, n_grid: int = 41, half_width: float = 8.0, studentise_at: str = "tau0", signs: str = "enumerated") -> DataFrame:
     """Interval of values the bootstrap test does not reject, on a grid of +-half_width errors.
 
-    The grid multiplies per-draw sums only, never cluster rows.  ``studentise_at='zero'`` centres both statistics at
+    The grid multiplies per-draw sums only, never cluster rows.  ``signs`` as in wild_bootstrap_p.  ``studentise_at='zero'`` centres both statistics at
     zero and only serves to reproduce intervals computed that way.
     """
     inf = cluster_influence(b)
     obs = _observed(b).where("se_obs > 0")
     step = 2.0 * half_width / (n_grid - 1)
-    rep = join_on(_draw_moments(_with_signs(inf, b.cell, b.cluster, draws, seed), [*b.cell, "draw"], b.k - 1), obs, b.cell)
+    rep = join_on(_draw_moments(_with_signs(inf, b.cell, b.cluster, draws, seed, signs), [*b.cell, "draw"], b.k - 1), obs, b.cell)
     rep = rep.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
     t0 = F.col("tau") + (F.col("gi") * step - half_width) * F.col("se_obs")
     shift, se = _replicate(t0)

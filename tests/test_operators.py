@@ -291,6 +291,30 @@ def test_placebo_guard_on_too_many_units(spark):
         B.in_space_placebo(df, ["cell"], "u", "t", "y", "treat", "post").collect()
 
 
+def test_hashed_placebo_beyond_enumeration(spark):
+    rows = [("c", u, t, float((u * 7) % 11 + t * (u % 3) + 4 * (u < 4) * t), int(u < 4), int(t > 0)) for u in range(25) for t in range(2)]
+    df = spark.createDataFrame(rows, "cell string, u int, t int, y double, treat int, post int")
+    p = B.in_space_placebo(df, ["cell"], "u", "t", "y", "treat", "post", assignments="hashed", draws=60)
+    got = {r["mask"]: r for r in p.collect()}
+    assert sorted(got) == list(range(61)) and [m for m, r in got.items() if r.is_real] == [0]
+    change = {u: next(r[3] for r in rows if r[1:3] == (u, 1)) - next(r[3] for r in rows if r[1:3] == (u, 0)) for u in range(25)}
+    for r in got.values():
+        on = {int(u) for u in r.treated.split("|")}
+        assert len(on) == 4
+        assert r.tau == pytest.approx(np.mean([change[u] for u in on]) - np.mean([change[u] for u in range(25) if u not in on]))
+    assert {int(u) for u in got[0].treated.split("|")} == {0, 1, 2, 3} and len({r.treated for r in got.values()}) > 30
+    assert B.summarise_placebo(p, ["cell"]).first().n_perm == 61
+
+
+def test_sign_choice_does_not_follow_the_number_of_clusters(spark):
+    df = spark.createDataFrame(unbalanced(seed=4, units=12, clusters=6), "u int, c int, t int, y double, d double").withColumn("cell", F.lit("x"))
+    blocks = D.panel_blocks(df, ["cell"], "u", "c", "t", range(6), "y", {"d": F.col("d")})
+    few = B.wild_bootstrap_p(blocks, draws=10).first()
+    assert few.exact and few.n_draws == 64 and few.p_wcb == few.n_extreme / 64
+    many = B.wild_bootstrap_p(blocks, draws=99, signs="hashed").first()
+    assert not many.exact and many.n_draws == 99 and many.p_wcb == (many.n_extreme + 1) / 100
+
+
 def test_joint_test_matches_dense_algebra(spark):
     rows = [r[:4] for r in unbalanced(seed=21, units=16, clusters=8)]
     df = spark.createDataFrame(rows, "u int, c int, t int, y double").withColumn("cell", F.lit("x")).withColumn("treat", (F.col("c") < 4).cast("int"))
