@@ -63,11 +63,12 @@ class Page:
         self.open: list[tuple[str, Node]] = [("body", self.root)]  # every open element with its block
         self.run: Node | None = None
         self.anchors = 0
-        silent, at = 0, 0  # depth inside an element that shows nothing
+        hidden: list[str] = []  # an open element that shows nothing, and those open inside it
+        at = 0
         for m in TOKEN.finditer(html):
             if m.start() < at:
                 continue
-            if m.start() > at and not silent:
+            if m.start() > at and not hidden:
                 self.data(html[at : m.start()])
             at = m.end()
             tag = m.group(2) or m.group(5)
@@ -78,14 +79,24 @@ class Page:
                 if tag in RAW and not ends:
                     end = RAW[tag].search(html, at)
                     at = end.end() if end else len(html)
-                elif tag not in ("head", "title"):
-                    silent = max(0, silent - 1) if ends else silent + 1
-            elif not silent:
-                if ends:
+                    continue
+                if tag in RAW or tag == "head" or not (hidden or not ends):
+                    continue
+            if hidden or tag in SILENT:
+                if not ends:
+                    # a slash ends svg, math and what is inside of them only
+                    if not (tag in VOID or m.group().endswith("/>") and not {"svg", "math"}.isdisjoint([*hidden, tag])):
+                        hidden.append(tag)
+                elif tag in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                elif hidden[0] != "template" and tag not in INLINE and any(t == tag for t, _ in self.open[1:]):
+                    hidden.clear()  # it was never closed, and the block that holds it ends
                     self.end(tag)
-                else:
-                    self.start(tag, m.group(3) or m.group(6) or "")
-        if at < len(html) and not silent:
+            elif ends:
+                self.end(tag)
+            else:
+                self.start(tag, m.group(3) or m.group(6) or "")
+        if at < len(html) and not hidden:
             self.data(html[at:])
 
     def start(self, tag: str, attrs: str) -> None:

@@ -258,3 +258,14 @@ def test_pages_labelled_by_layout(spark, nothing):
     got = html_text.extract_pages(d).collect()
     assert len(got) == 5 and {r.page_id: r.n_chars for r in got}[2] == 0
     assert html_text.extract_pages(d.limit(0)).count() == 0
+
+
+def test_silent_elements_end_with_their_block():
+    said = lambda h: [n.text[0] for n in html_text.parse(h) if n.tag == "#text"]
+    for tag in ("<svg class=x/>", "<math/>", "<svg><path d='z'/><g><title>t</title></g></svg>", "<video><p>old</p></video>", "<select><option>one</select>"):
+        assert said(f"<div><p>a</p>{tag}<p>b</p></div><p>c</p>") == ["a", "b", "c"]
+    for tag in ("<video>", "<object>", "<select>", "<svg>", "<video><div>old</div>"):
+        assert said(f"<div><p>a</p>{tag}old</div><p>c</p>") == ["a", "c"]
+    assert said("<div>a<template>b</div></template>c</div>d") == ["ac", "d"]
+    assert said("<div>a<video><div/>b</div>c</video>d</div>") == ["ad"]
+    assert said("<p>a</p></video></svg><p>b</p>") == ["a", "b"]
