@@ -373,7 +373,7 @@ def e22_full(s, d):
     c = R.baci_contrast(lp, CELL, "y", "treat", "post").select(*CELL, "n_obs", "contrast")
     v = P.variance_components(lp, CELL, "unit", "year", "y").select(*CELL, (F.col("sigma_u") ** 2).alias("var_unit"), (F.col("sigma_t") ** 2).alias("var_period"))
     b = D.panel_blocks(lp, CELL, "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
-    w = R.wild_bootstrap_p(b, draws=199, signs="hashed").select(*CELL, "p_wcb")
+    w = R.wild_bootstrap_p(b, draws=9999, signs="hashed").select(*CELL, "p_wcb")
     return join_on(join_on(c, v, CELL), w, CELL)
 
 

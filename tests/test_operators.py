@@ -361,3 +361,11 @@ def test_rows_outside_the_period_roster_are_an_error(spark):
     assert D.panel_ols(D.panel_blocks(df, [], *args, [0, 1, 2, 3], "y", {"x": F.col("x")})).first()["n_obs"] == 24
     with pytest.raises(Exception, match="period outside the roster: 3"):
         D.panel_ols(D.panel_blocks(df, [], *args, [0, 1, 2], "y", {"x": F.col("x")})).collect()
+
+
+def test_component_contrast_registers_the_published_draws():
+    import inspect
+
+    from furrow.plans import did_plans
+
+    assert "draws=9999" in inspect.getsource(did_plans.e22_full)
