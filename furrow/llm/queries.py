@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, exact_dedup, fingerprints, html_text, license_texts, licenses, lm_scoring, mixing, near_dedup, secrets, toxicity
+from furrow.llm import bpe, embedding_dedup, exact_dedup, fingerprints, html_text, importance, license_texts, licenses, lm_scoring, merkle, mixing, near_dedup, secrets, toxicity
 from furrow.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("times")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +82,9 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_secret_scans,
         op10_source_mixing,
+        op11_importance_resampling,
+        op12_merkle_manifest,
+        op13_embedding_near_dedup,
     )
 }
 
