@@ -170,3 +170,45 @@ def manifest(docs: DataFrame) -> DataFrame:
     full = full.join(top.select(F.col("source").alias("s2"), "root", "upper"), same("source", "s2"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return full.select("total", "nodes", "subroot", "path", "upper", "root").mapInArrow(_proofs, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Level by level: nodes ``<name>0`` (tree, pos, h, cnt) upwards, and each node's siblings."""
+    out = []
+    for i in range(levels):
+        near = "PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out.append(
+            f"{name}s{i} AS (SELECT tree, pos, cnt, coalesce(string_agg(h, '') OVER ({near} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo, "
+            f"coalesce(string_agg(h, '') OVER ({near} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {name}{i})"
+        )
+        out.append(
+            f"{name}{i + 1} AS (SELECT tree, pos // 16 AS pos, CASE WHEN cnt = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, "
+            f"(cnt + 15) // 16 AS cnt FROM {name}{i} GROUP BY tree, pos // 16, cnt)"
+        )
+    return ", ".join(out)
+
+
+def _climb_sql(prefix: str, name: str, levels: int, tree: str, pos: str) -> str:
+    """One CTE per level: the digest carried by a leaf and what it has seen of siblings."""
+    return ", ".join(
+        f"{prefix}{i + 1} AS (SELECT p.* EXCLUDE (f, proof), CASE WHEN s.cnt > 1 THEN sha256(s.lo || p.f || s.hi) ELSE p.f END AS f, "
+        f"CASE WHEN s.cnt > 1 THEN p.proof || s.lo || s.hi ELSE p.proof END AS proof FROM {prefix}{i} p JOIN {name}s{i} s ON s.tree IS NOT DISTINCT FROM p.{tree} AND s.pos = p.{pos} // {16**i})"
+        for i in range(levels)
+    )
+
+
+def sql(levels: int = 6, upper: int = 4) -> str:
+    """DuckDB SQL of the manifest for up to 16^levels rows in a source and 16^upper sources."""
+    size = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(size(c) for c in FIELDS[:-1])
+    return f"""WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+h AS (SELECT doc_id, source, sha256({head} || {size("text")}) AS leaf, sha256({head} || {size(low)}) AS other,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {TAMPER} = 0 AS changed
+  FROM documents, crc),
+n AS (SELECT doc_id, source, leaf, CASE WHEN changed THEN other ELSE leaf END AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS cnt FROM h),
+a0 AS (SELECT source AS tree, pos, leaf AS h, cnt FROM n), {_tree_sql("a", levels)},
+b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS cnt, tree AS source FROM a{levels}), {_tree_sql("b", upper)},
+p0 AS (SELECT n.doc_id, n.source, n.pos, n.leaf, n.f, '' AS proof, b0.h AS subroot, b0.pos AS place, 0 AS top FROM n JOIN b0 ON b0.source IS NOT DISTINCT FROM n.source), {_climb_sql("p", "a", levels, "source", "pos")},
+q0 AS (SELECT * FROM p{levels}), {_climb_sql("q", "b", upper, "top", "place")}
+SELECT doc_id, leaf, subroot, b{upper}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b{upper}.h AS verified FROM q{upper}, b{upper}"""

@@ -93,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scans": licenses.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op12_merkle_manifest": merkle.sql(),
 }
