@@ -188,3 +188,26 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
     placed = positions(scored, ["open"], [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], "resample")
     drawn = F.col("open") & (F.col("position") < F.floor(F.col("total") * percent / 100))
     return placed.select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("position") + 1).cast("long").alias("rank"))
+
+
+_FEATURES_SQL = " UNION ALL ".join(
+    f"SELECT corpus, id, array_to_string(w[i:i + {n - 1}], ' ') AS f FROM (SELECT corpus, id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM words)" for n in range(1, LONGEST_RUN + 1)
+)
+#: For small tables: the crc32 of every distinct feature is worked out byte by byte.
+SQL = rf"""WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+texts AS (SELECT 's' AS corpus, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+words AS (SELECT corpus, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feats AS ({_FEATURES_SQL}),
+counted AS (SELECT corpus, id, f, count(*) AS n FROM feats GROUP BY ALL),
+bytes AS (SELECT f, list_transform(range(strlen(f)), lambda k: CAST('0x' || hex(encode(f))[2 * k + 1:2 * k + 2] AS BIGINT)) AS b FROM (SELECT DISTINCT f FROM counted)),
+buckets AS (SELECT f, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM bytes, crc),
+held AS (SELECT corpus, id, bucket, sum(n) AS n FROM counted JOIN buckets USING (f) GROUP BY ALL),
+per AS (SELECT bucket, coalesce(sum(n) FILTER (corpus = 's'), 0) AS s, coalesce(sum(n) FILTER (corpus = 't'), 0) AS t FROM held GROUP BY bucket),
+every AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM per),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + {BUCKETS}) / ((s + 1)::DOUBLE * (all_t + {BUCKETS})))) AS BIGINT) AS g FROM per, every),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM held JOIN gain USING (bucket) WHERE corpus = 's' GROUP BY id),
+scored AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{SEED}:' || w.id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights ON weights.id = w.id WHERE corpus = 's'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= {LEAST_WORDS}) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {LEAST_WORDS} AND r <= {PERCENT} * n // 100 THEN r END AS rank FROM placed"""

@@ -93,5 +93,7 @@ ORACLES: dict[str, str] = {
     "op4_license_scans": licenses.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op11_importance_resampling": importance.SQL,
     "op12_merkle_manifest": merkle.sql(),
+    "op13_embedding_near_dedup": embedding_dedup.SQL,
 }
