@@ -276,12 +276,21 @@ def s08(s, d):
     return s.read.schema("unit int, year int, n long").option("header", True).csv(path)
 
 
-@query("s09_managed_table_sink", "SELECT n_regionkey AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query(
+    "s09_managed_table_sink",
+    "SELECT n_regionkey AS region, count(DISTINCT c_custkey) AS n, count(o_orderkey) AS n_orders FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+)
 def s09(s, d):
-    path = scratch_path(s, "table")
+    """Two tables by name, bucketed alike: the join and the count per customer move no rows."""
     c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("region"))
-    c.write.mode("overwrite").parquet(path)
-    return s.read.parquet(path).groupBy("region").agg(F.count("*").alias("n"))
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    names = []
+    for df, kind in ((c, "customers"), (o, "orders")):
+        path = scratch_path(s, kind)
+        names.append("furrow_" + path.rsplit("-", 1)[-1])
+        W.save_bucketed(df, names[-1], "c_custkey", 16, path)
+    per = s.table(names[0]).join(s.table(names[1]), "c_custkey", "left").groupBy("c_custkey").agg(F.max("region").alias("region"), F.count("o_orderkey").alias("n_orders"))
+    return per.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_orders").alias("n_orders"))
 
 
 @query("s10_stamped_partition_sink", f"WITH {OBS} SELECT event_type, x, y, round(avg(value) + 1e-9, 6) + 0.0 AS v, 42 AS seed, 'grid' AS method FROM obs GROUP BY 1, 2, 3")
@@ -316,12 +325,15 @@ def s13(s, d):
     return W.flatten_metrics(s.read.schema("region int, metrics map<string,double>").json(path), ["region"], "metrics").withColumn("value", rnd("value", 4))
 
 
-@query("s14_resume_pending_units", f"WITH {NATION_PANEL} SELECT unit, year FROM panel WHERE NOT (year < 1998 AND n > 80)")
+@query("s14_resume_pending_units", f"WITH {NATION_PANEL} SELECT unit, year, n FROM panel")
 def s14(s, d):
-    p = nation_panel(s, d)
-    path = scratch_path(s, "done")
-    p.where("year < 1998 and n > 80").write.parquet(path)
-    return W.pending_units(p.select("unit", "year"), s.read.parquet(path), ["unit", "year"])
+    """Three runs into one table: the early years, what is pending of all, and nothing more."""
+    p = nation_panel(s, d).select("unit", "year", "n")
+    path = scratch_path(s, "resumed")
+    rows = lambda units: p.join(units, ["unit", "year"], "left_semi")
+    for todo in (p.where("year < 1998 and n > 80"), p, p):
+        W.append_pending(todo, rows, path, ["unit", "year"])
+    return W.finished_rows(s, path)
 
 
 @query(
@@ -329,11 +341,14 @@ def s14(s, d):
     f"WITH {NATION_PANEL} SELECT unit, year, round(CASE WHEN year IN (1998, 1999) THEN share * 2 ELSE share END + 1e-9, 6) + 0.0 AS share, CASE WHEN year IN (1998, 1999) THEN 'refresh' ELSE 'base' END AS source FROM panel",
 )
 def s15(s, d):
+    """A table written by year, two of whose years are replaced twice, read back."""
     p = nation_panel(s, d).select("unit", "year", "share", F.lit("base").alias("source"))
+    path = scratch_path(s, "refreshed")
+    W.write_partitioned(p, path, ["year"])
     new = p.withColumn("share", F.col("share") * 2).withColumn("source", F.lit("refresh"))
-    hit = F.col("year").isin(1998, 1999)
-    once = W.refresh(p, new, hit, ["year", "unit"])
-    return W.refresh(once, new, hit, ["year", "unit"]).withColumn("share", rnd("share"))
+    for _ in range(2):
+        W.refresh_partitions(new, path, ["year"], F.col("year").isin(1998, 1999))
+    return s.read.schema(p.schema).parquet(path).select("unit", "year", rnd("share").alias("share"), "source")
 
 
 @query("s16_missing_partitions", f"WITH {OBS}, e AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, range(10) p(p)), h AS (SELECT DISTINCT user_id, p FROM obs WHERE event_type = 'signup') SELECT user_id, CAST(p AS INTEGER) AS p FROM e WHERE (user_id, p) NOT IN (SELECT (user_id, p) FROM h)")
