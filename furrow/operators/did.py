@@ -243,6 +243,17 @@ def _pinv(a: np.ndarray) -> tuple[np.ndarray, int]:
     return inv * s[:, None] * s[None, :], int(keep.sum())
 
 
+def own_variation(x: np.ndarray, inv: np.ndarray, p: int) -> list[bool]:
+    """For the first p regressors: does each carry something that the others do not explain?"""
+    proj = inv @ x
+    scale = np.sqrt(np.maximum(np.diag(x), 0))
+    out = []
+    for i in range(p):
+        others = np.abs(np.delete(proj[i], i) * scale[i] / np.maximum(np.delete(scale, i), 1e-300)).max(initial=0.0)
+        out.append(bool(scale[i] > 1e-9 and abs(proj[i, i] - 1) < 1e-6 and others < 1e-5))
+    return out
+
+
 def _solve(k: int, p: int, absorb: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -253,9 +264,7 @@ def _solve(k: int, p: int, absorb: bool):
                 x, b, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
                 inv, rank = _pinv(x)
                 beta = inv @ b
-                proj = inv @ x
-                scale = np.sqrt(np.maximum(np.diag(x), 0))
-                own = [bool(scale[i] > 1e-9 and abs(proj[i, i] - 1) < 1e-6 and np.abs(np.delete(proj[i], i) * scale[i] / np.maximum(np.delete(scale, i), 1e-300)).max(initial=0.0) < 1e-5) for i in range(p)]
+                own = own_variation(x, inv, p)
                 # residual cross products without the regressors of interest: for the within R-squared
                 rest, _ = _pinv(x[p:, p:])
                 ssy = yy - b[p:] @ rest @ b[p:]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,18 +17,16 @@ from pyspark.sql import functions as F
 
 from furrow.functions.distributions import t_quantile
 from furrow.functions.ranking import exact_quantiles, join_on
-from furrow.functions.scalar import hash_uniform
+from furrow.functions.scalar import hash_key, hash_uniform
 from furrow.operators.did import (
     Blocks,
     _cell_schema,
     _pinv,
     _unpack,
     did_from_contrasts,
-    panel_ols,
-    solve_cells,
+    own_variation,
     unit_contrasts,
 )
-from furrow.session import cut_lineage
 
 MAX_ENUMERATED = 20
 
@@ -63,7 +63,7 @@ def in_space_placebo(df: DataFrame, cell: Sequence[str], unit: str, period: str,
 def _hashed_assignments(c: DataFrame, cell: list[str], unit: str, draws: int, seed: int) -> DataFrame:
     """The real assignment and ``draws`` others, each the units of least hash."""
     e = c.withColumn("n_treated", F.sum("real").over(Window.partitionBy(*cell))).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    order = Window.partitionBy(*cell, "mask").orderBy(F.xxhash64(unit, "mask", F.lit(seed)), unit)
+    order = Window.partitionBy(*cell, "mask").orderBy(hash_key(unit, "mask", seed=seed), unit)
     drawn = (F.row_number().over(order) <= F.col("n_treated")).cast("int")
     return _assigned(e.withColumn("s", F.when(F.col("mask") == 0, F.col("real")).otherwise(drawn)), cell, unit, F.col("mask") == 0)
 
@@ -149,15 +149,44 @@ def leave_period_out(df: DataFrame, cell: Sequence[str], unit: str, period: str,
     return est.select(*cell, "dropped", F.col("tau").alias("tau_loo"), F.col("se").alias("se_loo"), F.when(F.col("status") == "ok", "ok").otherwise("not_estimable").alias("note"))
 
 
-def leave_cluster_out_blocks(b: Blocks, clusters: Sequence) -> Blocks:
-    """Blocks of every leave-one-cluster-out sample of an unbalanced panel.
+def leave_cluster_out(b: Blocks, small_sample: str = "cr1") -> DataFrame:
+    """Refits of a panel, balanced or not, without one cluster each; the clusters are those of the data.
 
-    Cross products add over clusters, so the refits need no pass over the data;
-    ``clusters`` is the roster whose members are dropped in turn.
+    A refit's cross products are the cell's less the cluster's own block, so nothing is copied. Its
+    scores are linear in the blocks of the clusters that stay, and are one product with all of them.
     """
-    drops = F.explode(F.array(*[F.lit(c) for c in clusters]))
-    long = b.long.withColumn("dropped", drops).where(F.col("dropped") != F.col(b.cluster))
-    return b.replace(long, [*b.cell, "dropped"])
+    cells = cell_clusters(b)
+    more = "dropped string, term string, est double, se double, n_obs long, n_units long, n_clusters long, k int, status string"
+    out = cells.mapInPandas(_left_out(b.k, b.terms, b.absorb, b.cell, small_sample), _cell_schema(cells, b.cell, more))
+    kind = b.long.schema[b.cluster].dataType
+    return out.withColumn("dropped", F.col("dropped").cast(kind))
+
+
+def _left_out(k: int, terms: list[str], absorb: bool, cell: list[str], small_sample: str):
+    p = len(terms)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at, clusters in enumerate(f["clusters"]):
+                raw, stack = _stack(clusters, k)
+                whole, counts = stack.sum(axis=0), raw[:, -2:].sum(axis=0)
+                g, out = len(stack) - 1, []
+                for c, own in enumerate(clusters):
+                    m, (n, units) = whole - stack[c], counts - raw[c, -2:]
+                    x, xy = m[:-1, :-1], m[:-1, -1]
+                    inv, rank = _pinv(x)
+                    beta = inv @ xy
+                    score = (stack[:, :-1, -1] - stack[:, :-1, :-1] @ beta) @ inv[:p].T
+                    meat = (score * score).sum(axis=0) - score[c] ** 2
+                    used = rank + (int(units) if absorb else 0)
+                    for i, (term, fine) in enumerate(zip(terms, own_variation(x, inv, p))):
+                        fine = fine and g > 1 and n > used
+                        factor = g / (g - 1) * ((n - 1) / (n - used) if small_sample == "cr1" else 1.0) if fine else np.nan
+                        out.append((own["name"], term, beta[i] if fine else None, np.sqrt(max(meat[i], 0.0) * factor) if fine else None, int(n), int(units), g, used, "ok" if fine else "not_estimable"))
+                keys = pd.concat([f[cell].iloc[[at]]] * len(out), ignore_index=True)
+                yield pd.concat([keys, pd.DataFrame(out, columns=["dropped", "term", "est", "se", "n_obs", "n_units", "n_clusters", "k", "status"])], axis=1)
+
+    return run
 
 
 def verdicts(loo: DataFrame, cell: Sequence[str], leverage_pct: float = 25.0) -> DataFrame:
@@ -174,87 +203,107 @@ def verdicts(loo: DataFrame, cell: Sequence[str], leverage_pct: float = 25.0) ->
 
 # --- wild cluster bootstrap -------------------------------------------------------------
 
+DRAWS_PER_TASK = 512
 
-def _influence(k: int):
-    """Per cluster: theta and scores of the restricted fit for outcome (q0) and for the treatment itself (q1)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for blk, whole, bread in zip(f["block"], f["whole"], f["bread"]):
-                m, w = _unpack(np.asarray(blk, dtype=float), k), _unpack(np.asarray(whole, dtype=float), k)
-                x = w[:-1, :-1]
-                inv, _ = _pinv(x)
-                rest, _ = _pinv(x[1:, 1:])
-                b0 = np.concatenate([[0.0], rest @ w[1:-1, -1]])
-                b1 = np.concatenate([[0.0], rest @ x[1:, 0]])
-                q0 = m[:-1, -1] - m[:-1, :-1] @ b0
-                q1 = m[:-1, 0] - m[:-1, :-1] @ b1
-                row = inv[0]
-                r = row @ m[:-1, :-1] @ inv
-                out.append((float(row @ q0), float(row @ q1), q0.tolist(), q1.tolist(), r.tolist()))
-            keys = f.drop(columns=["block", "whole", "bread"]).reset_index(drop=True)
-            yield pd.concat([keys, pd.DataFrame(out, columns=["th0", "th1", "q0", "q1", "r"])], axis=1)
+def cell_clusters(b: Blocks) -> DataFrame:
+    """One row per cell: its clusters in order, each with its block. A cell's clusters, not its rows, must fit a task."""
+    per = b.gather([*b.cell, b.cluster]).withColumn("name", F.col(b.cluster).cast("string"))
+    return per.groupBy(*b.cell).agg(F.sort_array(F.collect_list(F.struct(F.col(b.cluster).alias("at"), "name", "block"))).alias("clusters"))
 
-    return run
 
+def _stack(clusters: Sequence, k: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.array([c["block"] for c in clusters], dtype=float)
+    return raw, np.stack([_unpack(r, k) for r in raw])
 
-def cluster_influence(b: Blocks) -> DataFrame:
-    """Cluster rows from which every bootstrap replicate is a weighted sum."""
-    whole = b.gather(b.cell).withColumnRenamed("block", "whole")
-    per = b.gather([*b.cell, b.cluster])
-    sol = solve_cells(b)
-    j = join_on(join_on(per, whole, b.cell), sol.select(*b.cell, "bread"), b.cell)
-    keys = [*b.cell, b.cluster]
-    inf = j.mapInPandas(_influence(b.k), _cell_schema(j, keys, "th0 double, th1 double, q0 array<double>, q1 array<double>, r array<double>"))
-    base = sol.select(*b.cell, F.col("coef")[0].alias("tau_hat"), "n_obs", F.col("rank").alias("k"), F.col("own")[0].alias("own"))
-    return cut_lineage(join_on(inf, base, b.cell))
 
+def signs_of(names: Sequence[str], start: int, stop: int, signs: str, seed: int) -> np.ndarray:
+    """Sign vectors of the draws start..stop, one row each: the bits of the draw, or of a hash of (cluster, draw)."""
+    draws = np.arange(start, stop)
+    if signs == "enumerated":
+        up = (draws[:, None] >> np.arange(len(names))) & 1
+    else:  # hash_uniform(cluster, draw) in the upper half
+        up = np.array([[md5(f"{c}|{d}|{seed}".encode()).hexdigest()[0] >= "8" for c in names] for d in draws.tolist()], dtype=int).reshape(len(draws), len(names))
+    return 2.0 * up - 1.0
 
-def _with_signs(inf: DataFrame, cell: Sequence[str], cluster: str, draws: int, seed: int, signs: str) -> DataFrame:
-    """One row per (cluster, draw): all 2^G sign vectors (``enumerated``, G guarded) or ``draws`` hashed ones."""
-    if signs not in ("enumerated", "hashed"):
-        raise ValueError(f"signs: {signs}")
-    if signs == "hashed":
-        e = inf.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy(*cell))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        bit = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(2))
-    else:
-        i = indexed_units(inf, cell, cluster)
-        e = i.withColumn("draw", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("g").cast("int")) - 1)))
-        bit = F.expr("shiftright(draw, idx) & 1")
-    return e.withColumn("exact", F.lit(signs == "enumerated")).withColumn("w", bit * 2.0 - 1.0)
-
-
-def _draw_moments(e: DataFrame, keys: list[str], kk: int) -> DataFrame:
-    """Per draw: the shift of the estimate and the squared scores as polynomials in the tested value.
-
-    Scores are s0 - tau0*s1 in every cluster, so their sum of squares needs
-    three sums per draw and any number of tested values costs no further pass
-    over the clusters.
-    """
-    w = F.col("w")
 
-    def weighted(q: str) -> Column:
-        return F.array(*[F.sum(w * F.col(q)[i]) for i in range(kk)])
+class Influence:
+    """What one cell's clusters contribute to estimate and scores, from which any replicate is a product.
 
-    v = e.groupBy(*keys).agg(weighted("q0").alias("v0"), weighted("q1").alias("v1"), F.sum(w * F.col("th0")).alias("shift0"), F.sum(w * F.col("th1")).alias("shift1"))
-    j = join_on(e, v, keys)
+    A restricted replicate with signs w has, for a tested value tau0, the estimate tau0 + shift0.w -
+    tau0 shift1.w and the scores s0 - tau0 s1, both linear in w; s0 and s1 are products with the
+    clusters' influence matrix, kept as its two thin factors.
+    """
 
-    def dot(v_: str) -> Column:
-        return F.aggregate(F.zip_with("r", v_, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
+    def __init__(self, raw: np.ndarray, stack: np.ndarray, absorb: bool):
+        whole, (n, units) = stack.sum(axis=0), raw[:, -2:].sum(axis=0)
+        x, xy, m = whole[:-1, :-1], whole[:-1, -1], stack[:, :-1, :-1]
+        inv, rank = _pinv(x)
+        rest, _ = _pinv(x[1:, 1:])
+        row, beta = inv[0], inv @ xy
+        b0, b1 = (np.concatenate([[0.0], rest @ v[1:]]) for v in (xy, x[:, 0]))
+        self.q0, self.q1 = stack[:, :-1, -1] - m @ b0, m[:, :, 0] - m @ b1
+        self.shift0, self.shift1 = self.q0 @ row, self.q1 @ row
+        self.r = np.einsum("i,gij,jk->gk", row, m, inv)
+        g, k = len(stack), rank + (int(units) if absorb else 0)
+        self.ok = own_variation(x, inv, 1)[0] and g > 1 and n > k
+        self.factor = g / (g - 1) * (n - 1) / (n - k) if self.ok else np.nan
+        score = (stack[:, :-1, -1] - m @ beta) @ row
+        self.tau, self.se = beta[0], np.sqrt((score * score).sum() * self.factor)
+
+    def replicates(self, w: np.ndarray, tau0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate less tau0, error) of every draw and tested value."""
+        s0 = w * self.shift0 - (w @ self.q0) @ self.r.T
+        s1 = w * self.shift1 - (w @ self.q1) @ self.r.T
+        s00, s01, s11 = ((a * b).sum(axis=1)[:, None] for a, b in ((s0, s0), (s0, s1), (s1, s1)))
+        ss = s00 - 2 * tau0 * s01 + tau0 * tau0 * s11
+        return (w @ self.shift0)[:, None] - tau0 * (w @ self.shift1)[:, None], np.sqrt(np.maximum(ss, 0.0) * self.factor)
+
+
+def _draw_ranges(k: int, absorb: bool, cell: list[str], offsets: Sequence[float] | None, studentise_at: str, signs: str, seed: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at, (clusters, start, total) in enumerate(zip(f["clusters"], f["start"], f["total"])):
+                inf = Influence(*_stack(clusters, k), absorb)
+                tau0 = np.zeros(1) if offsets is None else inf.tau + np.array(offsets) * inf.se
+                w = signs_of([c["name"] for c in clusters], start, min(start + DRAWS_PER_TASK, total), signs, seed)
+                shift, se = inf.replicates(w, tau0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(se > 0, (shift if studentise_at == "tau0" else tau0 + shift) / se, np.nan)
+                    t_obs = (inf.tau - tau0 if studentise_at == "tau0" else np.full(len(tau0), inf.tau)) / (inf.se if inf.se > 0 else np.nan)
+                known = np.isfinite(t)
+                out = pd.DataFrame({
+                    "gi": np.arange(len(tau0), dtype="int32"), "tau": inf.tau, "se": inf.se, "tau0": tau0, "t_obs": t_obs, "n": known.sum(axis=0),
+                    "m": (known & (np.abs(np.where(known, t, 0.0)) >= np.abs(t_obs) - 1e-9)).sum(axis=0),
+                })
+                if not inf.ok or not inf.se > 0:
+                    out[["tau0", "t_obs"]] = None
+                    out[["tau", "se"]] = (inf.tau, inf.se) if inf.ok else None
+                yield pd.concat([pd.concat([f[cell].iloc[[at]]] * len(out), ignore_index=True), out], axis=1)
+
+    return run
 
-    j = j.withColumn("s0", w * F.col("th0") - dot("v0")).withColumn("s1", w * F.col("th1") - dot("v1"))
-    g, n, k = F.col("g"), F.col("n_obs"), F.col("k")
-    return j.groupBy(*keys).agg(
-        F.max("shift0").alias("shift0"), F.max("shift1").alias("shift1"), F.sum(F.col("s0") * F.col("s0")).alias("s00"), F.sum(F.col("s0") * F.col("s1")).alias("s01"),
-        F.sum(F.col("s1") * F.col("s1")).alias("s11"), F.max(g / (g - 1) * (n - 1) / (n - k)).alias("factor"), F.max("exact").alias("exact"),
-    )
 
+def _bootstrap(b: Blocks, draws: int, seed: int, signs: str, offsets: Sequence[float] | None = None, studentise_at: str = "tau0") -> DataFrame:
+    """Per (cell, tested value): draws and how many of them are as extreme as the observed statistic.
 
-def _replicate(tau0: Column) -> tuple[Column, Column]:
-    """Shift and error of a replicate generated under ``tau0``."""
-    ss = F.col("s00") - 2 * tau0 * F.col("s01") + tau0 * tau0 * F.col("s11")
-    return F.col("shift0") - tau0 * F.col("shift1"), F.sqrt(F.greatest(ss, F.lit(0.0)) * F.col("factor"))
+    The cell's block is paired with ranges of draws; each range is one product, and only its counts
+    leave the task.
+    """
+    if signs not in ("enumerated", "hashed"):
+        raise ValueError(f"signs: {signs}")
+    g = F.size("clusters")
+    total = F.lit(draws)
+    if signs == "enumerated":
+        stop = F.raise_error(F.concat(F.lit("too many clusters to enumerate: "), g.cast("string"))).cast("int")
+        total = F.when(g <= MAX_ENUMERATED, F.call_function("shiftleft", F.lit(1), g)).otherwise(stop)
+    c = cell_clusters(b).withColumn("total", total).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("total") - 1, F.lit(DRAWS_PER_TASK))))
+    c = c.repartition(*b.cell, "start")
+    more = "gi int, tau double, se double, tau0 double, t_obs double, n long, m long"
+    r = c.mapInPandas(_draw_ranges(b.k, b.absorb, b.cell, offsets, studentise_at, signs, seed), _cell_schema(c, b.cell, more))
+    s = r.groupBy(*b.cell, "gi").agg(*[F.max(x).alias(x) for x in ("tau", "se", "tau0", "t_obs")], F.sum("n").alias("n"), F.sum("m").alias("m"))
+    p = F.try_divide("m", "n") if signs == "enumerated" else (F.col("m") + 1) / (F.col("n") + 1)
+    return s.withColumn("p", F.when(F.col("t_obs").isNotNull(), p))
 
 
 def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42, signs: str = "enumerated") -> DataFrame:
@@ -263,48 +312,19 @@ def wild_bootstrap_p(b: Blocks, draws: int = 9999, seed: int = 42, signs: str =
     ``enumerated`` signs divide by the number of sign vectors and do not use ``draws``;
     ``hashed`` ones, for many clusters, use (1 + extreme)/(1 + draws).
     """
-    inf = cluster_influence(b)
-    e = _with_signs(inf, b.cell, b.cluster, draws, seed, signs)
-    obs = _observed(b)
-    shift, se = _replicate(F.lit(0.0))
-    rep = _draw_moments(e, [*b.cell, "draw"], b.k - 1).withColumn("t", F.try_divide(shift, se))
-    j = join_on(rep, obs, b.cell)
-    g = j.groupBy(*b.cell).agg(
-        F.max("tau").alias("tau"), F.max("t_obs").alias("t_obs"), F.count("t").alias("n_draws"), F.max("exact").alias("exact"),
-        F.count(F.when(F.abs("t") >= F.abs("t_obs") - 1e-9, 1)).alias("n_extreme"),
-    )
-    p = F.when(F.col("exact"), F.col("n_extreme") / F.col("n_draws")).otherwise((F.col("n_extreme") + 1) / (F.col("n_draws") + 1))
-    return g.withColumn("p_wcb", F.when(F.col("t_obs").isNotNull(), p))
-
-
-def _observed(b: Blocks) -> DataFrame:
-    o = panel_ols(b)
-    return o.select(*b.cell, F.col("est").alias("tau"), F.col("se").alias("se_obs"), F.try_divide("est", "se").alias("t_obs"))
+    r = _bootstrap(b, draws, seed, signs)
+    return r.select(*b.cell, "tau", "t_obs", F.col("n").alias("n_draws"), F.col("m").alias("n_extreme"), F.lit(signs == "enumerated").alias("exact"), F.col("p").alias("p_wcb"))
 
 
 def wild_bootstrap_ci(b: Blocks, draws: int = 999, seed: int = 42, alpha: float = 0.05, n_grid: int = 41, half_width: float = 8.0, studentise_at: str = "tau0", signs: str = "enumerated") -> DataFrame:
     """Interval of values the bootstrap test does not reject, on a grid of +-half_width errors.
 
-    The grid multiplies per-draw sums only, never cluster rows.  ``signs`` as in wild_bootstrap_p.  ``studentise_at='zero'`` centres both statistics at
+    ``signs`` as in wild_bootstrap_p.  ``studentise_at='zero'`` centres both statistics at
     zero and only serves to reproduce intervals computed that way.
     """
-    inf = cluster_influence(b)
-    obs = _observed(b).where("se_obs > 0")
     step = 2.0 * half_width / (n_grid - 1)
-    rep = join_on(_draw_moments(_with_signs(inf, b.cell, b.cluster, draws, seed, signs), [*b.cell, "draw"], b.k - 1), obs, b.cell)
-    rep = rep.withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-    t0 = F.col("tau") + (F.col("gi") * step - half_width) * F.col("se_obs")
-    shift, se = _replicate(t0)
-    if studentise_at == "tau0":
-        t_star, t_obs = F.try_divide(shift, se), (F.col("tau") - t0) / F.col("se_obs")
-    else:
-        t_star, t_obs = F.try_divide(t0 + shift, se), F.col("t_obs")
-    hit = F.abs(t_star) >= F.abs(t_obs) - 1e-9
-    acc = rep.groupBy(*b.cell, "gi").agg(
-        F.max(t0).alias("tau0"), F.count(t_star).alias("n"), F.count(F.when(hit, 1)).alias("m"), F.max("exact").alias("exact"), F.max("tau").alias("tau"), F.max("se_obs").alias("se")
-    )
-    p = F.when(F.col("exact"), F.col("m") / F.col("n")).otherwise((F.col("m") + 1) / (F.col("n") + 1))
-    ok = p >= alpha
+    acc = _bootstrap(b, draws, seed, signs, [i * step - half_width for i in range(n_grid)], studentise_at).where("se > 0")
+    ok = F.col("p") >= alpha
     return acc.groupBy(*b.cell).agg(
         F.max("tau").alias("tau"), F.max("se").alias("se"), F.min(F.when(ok, F.col("tau0"))).alias("ci_lo"), F.max(F.when(ok, F.col("tau0"))).alias("ci_hi"),
         F.max(F.when(F.col("gi") == 0, ok)).alias("ci_open_lo"), F.max(F.when(F.col("gi") == n_grid - 1, ok)).alias("ci_open_hi"),
@@ -332,9 +352,10 @@ def rule_of_thumb_mde(se: Column, factor: float = 2.8) -> Column:
 def power_curve(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: str, post: str, taus: Sequence[float], sizes: Sequence[int], reps: int, t_crit: dict[int, float], seed: int = 42) -> DataFrame:
     """Rejection rate when clusters are redrawn from the observed panel and an effect is added.
 
-    A replicate draws G units with replacement by hash; the first half is
-    treated.  Adding tau to treated post cells moves a unit's contrast by
-    tau*Q, so replicates work on contrasts and never on rows.
+    A replicate draws G units with replacement by hash; the first half is treated.  It is used
+    through four numbers, mean and variance of the contrasts of either half.  An effect added to
+    treated post cells moves the estimate by its own size and leaves the scores as they are, so
+    every effect is read off the same replicate.  A replicate without error rejects nothing.
     """
     cell = list(cell)
     c = unit_contrasts(df, cell, unit, period, y, post)
@@ -345,11 +366,20 @@ def power_curve(df: DataFrame, cell: Sequence[str], unit: str, period: str, y: s
     slots = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("G") - 1)))
     slots = slots.withColumn("idx", F.floor(hash_uniform("G", "rep", "slot", seed=seed) * F.col("n_pool")).cast("int")).drop("n_pool")
     drawn = join_on(slots, c.drop("n_pool"), [*cell, "idx"])
-    e = drawn.withColumn("tau_true", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
-    e = e.withColumn("s", (F.col("slot") < F.floor(F.col("G") / 2)).cast("int")).withColumn("A", F.col("A") + F.col("s") * F.col("tau_true") * F.col("Q"))
-    est = did_from_contrasts(e, [*cell, "G", "tau_true", "rep"], "s", small_sample="g")
+    half = F.floor(F.col("G") / 2)
+    in_half = lambda agg, first: agg(F.when((F.col("slot") < half) == F.lit(first), F.col("A")))
+    r = drawn.groupBy(*cell, "G", "rep").agg(
+        in_half(F.avg, True).alias("m1"), in_half(F.avg, False).alias("m0"), in_half(F.var_pop, True).alias("v1"), in_half(F.var_pop, False).alias("v0"), F.max("Q").alias("q"), F.min("complete").alias("full")
+    )
+    g, n1 = F.col("G").cast("double"), half.cast("double")
+    s = n1 / g
+    meat = (1 - s) * (1 - s) * n1 * F.col("v1") + s * s * (g - n1) * F.col("v0")
+    se = F.sqrt(meat * g / (g - 1)) / (g * s * (1 - s) * F.col("q"))
+    r = r.where(F.col("full") & (F.col("q") > 1e-12)).select(*cell, "G", ((F.col("m1") - F.col("m0")) / F.col("q")).alias("tau"), se.alias("se"))
     crit = F.create_map(*[F.lit(z) for kv in t_crit.items() for z in kv])[F.col("G")]
-    return est.groupBy(*cell, "G", "tau_true").agg(F.avg((F.abs(F.col("tau")) > crit * F.col("se")).cast("double")).alias("power"), F.count("tau").alias("n_reps"))
+    e = r.withColumn("tau_true", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
+    rejected = (F.col("se") > 1e-9) & (F.abs(F.col("tau") + F.col("tau_true")) > crit * F.col("se"))
+    return e.groupBy(*cell, "G", "tau_true").agg(F.avg(rejected.cast("double")).alias("power"), F.count("tau").alias("n_reps"))
 
 
 # --- transferability and bounds -----------------------------------------------------------

@@ -7,6 +7,7 @@ and small, so per-unit arrays and windows stay bounded whatever the input size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.ranking import join_on
-from furrow.functions.scalar import C, hash_uniform
+from furrow.functions.scalar import C
 
 # The search grid of the double-logistic fit.
 RISE_DAYS = [165, 180, 195, 210, 225, 240]
@@ -132,7 +133,30 @@ FIT_TYPE = "struct<p:int,m_rise:double,d_rise:double,m_fall:double,d_fall:double
 
 
 def _matrix(ys: pd.Series, n: int) -> np.ndarray:
-    return np.array([[np.nan if x is None else x for x in y] for y in ys], dtype=float).reshape(len(ys), n)
+    """One row per series, NaN where a value is NULL."""
+    return np.array(ys.tolist(), dtype=float).reshape(len(ys), n)
+
+
+def least_curves(y: np.ndarray, basis: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(curve, squared error, floor, ceiling) of the best curve for each row of y, NaN being missing.
+
+    A curve is scaled to the row's floor and amplitude, so its squared error follows from three
+    products of rows and curves: one product serves all rows and all curves.
+    """
+    ok = np.isfinite(y)
+    some = ok.any(axis=1)
+    lo = np.where(some, np.where(ok, y, np.inf).min(axis=1, initial=np.inf), np.nan)
+    hi = np.where(some, np.where(ok, y, -np.inf).max(axis=1, initial=-np.inf), np.nan)
+    z = np.where(ok, y - lo[:, None], 0.0)
+    best, low = np.zeros(len(y), dtype=np.int32), np.full(len(y), np.inf)
+    for a in range(0, len(y), 2_000):
+        r = slice(a, a + 2_000)
+        amp = (hi - lo)[r, None]
+        s = (z[r] * z[r]).sum(axis=1, keepdims=True) - 2 * amp * (z[r] @ basis.T) + amp * amp * (ok[r].astype(float) @ (basis * basis).T)
+        s = np.where(np.isfinite(s), np.round(s, digits) + 0.0, np.inf)
+        best[r] = s.argmin(axis=1)
+        low[r] = s[np.arange(len(s)), best[r]]
+    return best, low, lo, hi
 
 
 def _fit_frame(y: np.ndarray, params: np.ndarray, best: np.ndarray, ssr: np.ndarray, lo, hi, n_ok, min_points: int) -> pd.DataFrame:
@@ -158,19 +182,8 @@ def grid_fit(days: Sequence[float], min_points: int = 6, digits: int = 9):
     @F.pandas_udf(FIT_TYPE)
     def fit(ys: pd.Series) -> pd.DataFrame:
         y = _matrix(ys, n)
-        ok = np.isfinite(y)
-        some = ok.any(axis=1)
-        y0 = np.where(ok, y, 0.0)
-        lo = np.where(some, np.where(ok, y, np.inf).min(axis=1, initial=np.inf), np.nan)
-        hi = np.where(some, np.where(ok, y, -np.inf).max(axis=1, initial=-np.inf), np.nan)
-        best = np.zeros(len(y), dtype=np.int32)
-        low = np.full(len(y), np.inf)
-        for p, b in enumerate(basis):
-            e = np.where(ok, y0 - (lo[:, None] + (hi - lo)[:, None] * b), 0.0)
-            s = np.round((e * e).sum(axis=1), digits)
-            better = s < low
-            best[better], low[better] = p, s[better]
-        return _fit_frame(y, params[best], best, low, lo, hi, ok.sum(axis=1), min_points)
+        best, low, lo, hi = least_curves(y, basis, digits)
+        return _fit_frame(y, params[best], best, low, lo, hi, np.isfinite(y).sum(axis=1), min_points)
 
     # declared non-deterministic so that a filter on the result does not run the fit twice
     return fit.asNondeterministic()
@@ -219,19 +232,39 @@ def fitted_dates(fit: Column, rise_fraction: float = 0.70, fall_fraction: float
     }
 
 
-def noisy_replicates(units: DataFrame, key: str, ys: str, ssr: str, n_rep: int, n: int, seed: int = 42, shared: bool = False) -> DataFrame:
-    """Copies of each series with uniform noise scaled by its residual deviation.
+def replicate_intervals(days: Sequence[float], n_rep: int, seed: int = 42, probs: tuple[float, float] = (0.025, 0.975), shared: bool = False, min_points: int = 6, digits: int = 9):
+    """Pandas UDF of (key, series, squared error of its fit): quantiles of the dates over noisy copies.
 
-    Noise comes from a hash of (unit, replicate, period).  ``shared`` uses one
-    draw for all periods of a replicate; that shifts floor and ceiling alike and
-    leaves the fitted curve unchanged, so it is only for comparison.
+    A copy adds uniform noise scaled by the residual deviation, from a hash of (key, replicate,
+    period).  All copies of a series are fitted in one product with the curves.  ``shared`` uses one
+    draw for all periods of a copy; that shifts floor and ceiling alike and leaves the fitted curve
+    unchanged, so it is only for comparison.
     """
-    sd = F.sqrt(F.col(ssr) / F.lit(float(n)))
-    rep = units.withColumn("rep", F.explode(F.array(*[F.lit(i) for i in range(n_rep)])))
-    draws = F.array(*[
-        (hash_uniform(key, "rep", F.lit(0 if shared else j), seed=seed) - 0.5) * 2 * sd for j in range(n)
-    ])
-    return rep.withColumn(ys, F.zip_with(C(ys), draws, lambda y, e: y + e))
+    n = len(days)
+    params, basis = curve_basis(days)
+    dates = {d: np.array(v) for d, v in zip(("sos", "eos"), _curve_dates(params))}
+    cols = [f"{d}_{t}" for d in dates for t in ("lo", "hi")]
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in cols) + ", n_rep long")
+    def intervals(keys: pd.Series, ys: pd.Series, ssr: pd.Series) -> pd.DataFrame:
+        out = []
+        for key, y, s in zip(keys, _matrix(ys, n), ssr):
+            if np.isfinite(y).sum() < min_points or not np.isfinite(s):
+                out.append((*[None] * len(cols), 0))
+                continue
+            names = [f"{key}|{r}|{0 if shared else j}|{seed}" for r in range(n_rep) for j in range(n)]
+            u = np.array([int(md5(x.encode()).hexdigest()[:13], 16) for x in names], dtype=float).reshape(n_rep, n) / 16.0**13
+            best, *_ = least_curves(y + (u - 0.5) * 2 * np.sqrt(s / n), basis, digits)
+            out.append((*[float(q) for d in dates.values() for q in np.quantile(d[best], probs)], n_rep))
+        return pd.DataFrame(out, columns=[*cols, "n_rep"])
+
+    return intervals.asNondeterministic()
+
+
+def _curve_dates(params: np.ndarray, rise_fraction: float = 0.70, fall_fraction: float = 0.20) -> tuple[np.ndarray, np.ndarray]:
+    """Rising and falling date of every curve of the grid, as ``fitted_dates`` has them."""
+    m_rise, d_rise, m_fall, d_fall = params.T
+    return d_rise - np.log(1 / rise_fraction - 1) / m_rise, d_fall + np.log(1 / fall_fraction - 1) / m_fall
 
 
 # --- penalised smoother --------------------------------------------------------------

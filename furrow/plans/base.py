@@ -14,6 +14,9 @@ from furrow.functions.scalar import rnd  # noqa: F401  (re-exported for the plan
 from furrow.session import cut_lineage
 
 GRID_WIDTH = 15
+#: First day of the season and days per period; a period is a span of days since then, in any month or year.
+SEASON_START = "2024-01-01"
+PERIOD_DAYS = 3
 BANDS = {"view": "b8", "click": "b4", "purchase": "b3", "error": "b11", "signup": "vh"}
 
 
@@ -43,15 +46,26 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        F.floor((F.dayofmonth("ts") - 1) / 3).cast("int").alias("p"),
+        F.floor(F.datediff(F.to_date("ts"), F.lit(SEASON_START).cast("date")) / PERIOD_DAYS).cast("int").alias("p"),
     )
 
 
 OBS = f"""obs AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS d, user_id, user_id % {GRID_WIDTH} AS x, user_id // {GRID_WIDTH} AS y,
          event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
-         CAST((day(ts) - 1) // 3 AS INTEGER) AS p
-  FROM events)"""
+         CAST(floor(date_diff('day', DATE '{SEASON_START}', CAST(ts AS DATE)) / {PERIOD_DAYS}.0) AS INTEGER) AS p
+  FROM events),
+gr AS (SELECT CAST(unnest(range(min(p), max(p) + 1)) AS INTEGER) AS p FROM obs)"""
+
+_PERIODS: dict[str, list[int]] = {}
+
+
+def periods(spark: SparkSession, sf_dir: str) -> list[int]:
+    """All periods between the first and the last observation: the grid that series are laid out on."""
+    if sf_dir not in _PERIODS:
+        r = obs(spark, sf_dir).agg(F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+        _PERIODS[sf_dir] = list(range(r.lo, r.hi + 1)) if r.lo is not None else []
+    return _PERIODS[sf_dir]
 
 
 def band_mean(name: str):
@@ -71,20 +85,19 @@ def stack_sql(keys: str) -> str:
 # --- pixel series ---------------------------------------------------------------
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unit x three-day period mean, scaled by the unit's own maximum, gaps as rows."""
-    o = obs(spark, sf_dir).where("p < 10")
-    s = o.groupBy("user_id", "p").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    """unit x period mean, scaled by the unit's own maximum, gaps as rows."""
+    s = obs(spark, sf_dir).groupBy("user_id", "p").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
     top = s.groupBy("user_id").agg(F.max("m").alias("mx"))
-    grid = top.withColumn("p", F.explode(F.array(*[F.lit(i) for i in range(10)])))
+    grid = top.withColumn("p", F.explode(F.array(*[F.lit(i) for i in periods(spark, sf_dir)])))
     return grid.join(s, ["user_id", "p"], "left").select(
         "user_id", "p", F.try_divide("m", "mx").alias("v"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
-SERIES = """s0 AS (SELECT user_id, p, avg(value) AS m, count(*) AS n FROM obs WHERE p < 10 GROUP BY 1, 2),
+SERIES = """s0 AS (SELECT user_id, p, avg(value) AS m, count(*) AS n FROM obs GROUP BY 1, 2),
 top AS (SELECT user_id, max(m) AS mx FROM s0 GROUP BY 1),
-series AS (SELECT t.user_id, CAST(g.p AS INTEGER) AS p, s0.m / t.mx AS v, coalesce(s0.n, 0) AS n
-  FROM top t CROSS JOIN range(10) g(p) LEFT JOIN s0 ON s0.user_id = t.user_id AND s0.p = g.p)"""
+series AS (SELECT t.user_id, g.p, s0.m / t.mx AS v, coalesce(s0.n, 0) AS n
+  FROM top t CROSS JOIN gr g LEFT JOIN s0 ON s0.user_id = t.user_id AND s0.p = g.p)"""
 
 
 # --- unit x year panels from the order tables ------------------------------------

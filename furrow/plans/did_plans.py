@@ -181,10 +181,13 @@ def e09_period(s, d):
     return r.select(*CELL, "dropped", rnd("tau_loo", 3).alias("tau_loo"), rnd("se_loo", 3).alias("se_loo"), "note")
 
 
-@query("e09_leave_one_cluster_out_blocks")
+@query(
+    "e09_leave_one_cluster_out_blocks",
+    f"""WITH {TIER_PANEL}, lu AS (SELECT l.*, x.unit AS dropped FROM panel l JOIN (SELECT DISTINCT unit FROM panel) x ON x.unit <> l.unit) {did_sql('lu', 'dropped', 'lo')}
+    SELECT dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, n_obs, 'ok' AS status FROM lo""",
+)
 def e09_blocks(s, d):
-    b = tier_blocks(s, d)
-    r = D.panel_ols(R.leave_cluster_out_blocks(b, list(range(10))))
+    r = R.leave_cluster_out(tier_blocks(s, d))
     return r.select("dropped", rnd("est", 3).alias("tau_loo"), rnd("se", 3).alias("se_loo"), "n_obs", "status")
 
 
@@ -273,20 +276,24 @@ def e15_t(s, d):
     return R.minimum_detectable(r, "tau", "se", "n_units").select(*CELL, "tau", "se", "mde_two", "mde_one", "tau_over_mde", "detectable")
 
 
-CRIT = {4: round(t_ppf(0.975, 3), 9), 8: round(t_ppf(0.975, 7), 9)}
+SIZES = [4, 6, 8, 12]
+EFFECTS = [0.0, 5000.0, 10000.0, 15000.0, 20000.0, 30000.0, 40000.0, 60000.0, 80000.0, 100000.0]
+REPS = 999
+CRIT = {g: round(t_ppf(0.975, g - 1), 9) for g in SIZES}
 
 
 @query(
     "e16_power_curve",
-    f"""WITH {TIER_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS idx, a, q FROM did_c JOIN did_m USING (cell)),
-    sl AS (SELECT g.g, r.range AS rep, t.range AS slot, floor(CAST('0x' || substr(md5(concat_ws('|', g.g, r.range, t.range, '42')), 1, 13) AS BIGINT) / pow(16, 13) * 10) AS idx FROM (VALUES (4), (8)) g(g), range(60) r, range(8) t WHERE t.range < g.g),
-    e AS (SELECT g, rep, tt.tau AS tau_true, CASE WHEN slot < g // 2 THEN 1 ELSE 0 END AS s, a + CASE WHEN slot < g // 2 THEN tt.tau * q ELSE 0 END AS a, q FROM sl JOIN u USING (idx), (VALUES (0.0), (15000.0), (40000.0)) tt(tau)),
-    m AS (SELECT g, rep, tau_true, avg(a) AS ab, sum((s - 0.5) * a) / any_value(g * 0.25 * q) AS tau FROM e GROUP BY 1, 2, 3),
-    v AS (SELECT g, rep, tau_true, any_value(tau) AS tau, sqrt(sum(pow((s - 0.5) * (a - ab) - tau * 0.25 * q, 2)) * any_value(g / (g - 1.0))) / any_value(g * 0.25 * q) AS se FROM e JOIN m USING (g, rep, tau_true) GROUP BY 1, 2, 3)
-    SELECT CAST(g AS INTEGER) AS "G", tau_true::DOUBLE AS tau_true, round(avg(CASE WHEN abs(tau) > CASE g WHEN 4 THEN {CRIT[4]} ELSE {CRIT[8]} END * se THEN 1.0 ELSE 0.0 END) + 1e-9, 6) + 0.0 AS power, count(*) AS n_reps FROM v GROUP BY 1, 2""",
+    f"""WITH {TIER_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS idx, a, q, count(*) OVER () AS pool FROM did_c JOIN did_m USING (cell)),
+    sl AS (SELECT g.g, r.range AS rep, t.range AS slot, floor(CAST('0x' || substr(md5(concat_ws('|', g.g, r.range, t.range, '42')), 1, 13) AS BIGINT) / pow(16, 13) * (SELECT max(pool) FROM u)) AS idx
+      FROM (VALUES {', '.join(f'({g}, {CRIT[g]}::DOUBLE)' for g in SIZES)}) g(g, crit), range({REPS}) r, range({max(SIZES)}) t WHERE t.range < g.g),
+    m AS (SELECT g, rep, avg(a) FILTER (slot < g // 2) AS m1, avg(a) FILTER (slot >= g // 2) AS m0, any_value(q) AS q FROM sl JOIN u USING (idx) GROUP BY 1, 2),
+    v AS (SELECT g, rep, any_value((m1 - m0) / m.q) AS tau, sqrt(sum(0.25 * pow(a - CASE WHEN slot < g // 2 THEN m1 ELSE m0 END, 2)) * any_value(g / (g - 1.0))) / any_value(g * 0.25 * m.q) AS se FROM sl JOIN u USING (idx) JOIN m USING (g, rep) GROUP BY 1, 2)
+    SELECT CAST(g AS INTEGER) AS "G", e.tau AS tau_true, round(avg(CASE WHEN se > 1e-9 AND abs(v.tau + e.tau) > CASE g {' '.join(f'WHEN {g} THEN {CRIT[g]}' for g in SIZES)} END * se THEN 1.0 ELSE 0.0 END) + 1e-9, 6) + 0.0 AS power, count(*) AS n_reps
+    FROM v, (SELECT unnest({EFFECTS}::DOUBLE[]) AS tau) e GROUP BY 1, 2""",
 )
 def e16(s, d):
-    r = R.power_curve(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "post", [0.0, 15000.0, 40000.0], [4, 8], 60, CRIT)
+    r = R.power_curve(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "post", EFFECTS, SIZES, REPS, CRIT)
     return r.select("G", "tau_true", rnd("power").alias("power"), "n_reps")
 
 
@@ -367,13 +374,29 @@ def e22(s, d):
     return R.baci_contrast(long_panel(s, d), CELL, "y", "treat", "post").select(*CELL, "n_obs", rnd("contrast", 3).alias("contrast"))
 
 
-@query("e22_contrast_with_components")
+HASHED_DRAWS = 9999
+
+
+@query(
+    "e22_contrast_with_components",
+    f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')}, u AS (SELECT product, metric, unit, s, a, ab, sb, q, g, tt FROM did_c JOIN did_m USING (product, metric)),
+    w AS (SELECT unit, range AS draw, CASE WHEN substr(md5(concat_ws('|', unit, range, '42')), 1, 1) >= '8' THEN 1 ELSE -1 END AS w FROM (SELECT DISTINCT unit FROM long), range({HASHED_DRAWS})),
+    b AS (SELECT product, metric, draw, s, sb, q, g, tt, ab + w * (a - ab) AS a2 FROM u JOIN w USING (unit)),
+    mm AS (SELECT product, metric, draw, avg(a2) AS ab2, sum((s - sb) * a2) / any_value(g * sb * (1 - sb) * q) AS tau FROM b GROUP BY 1, 2, 3),
+    e AS (SELECT product, metric, draw, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * any_value(g / (g - 1.0) * (g * tt - 1.0) / (g * tt - g - tt))) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN mm USING (product, metric, draw) GROUP BY 1, 2, 3),
+    p AS (SELECT product, metric, (count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) + 1) / (count(*) + 1) AS p FROM e JOIN did USING (product, metric) GROUP BY 1, 2),
+    um AS (SELECT product, metric, unit, avg(y) AS um FROM long GROUP BY 1, 2, 3), pm AS (SELECT product, metric, year, avg(y) AS pm FROM long GROUP BY 1, 2, 3),
+    c AS (SELECT product, metric, count(y) AS n_obs, (avg(CASE WHEN treat = 1 AND post = 1 THEN y END) - avg(CASE WHEN treat = 1 AND post = 0 THEN y END)) - (avg(CASE WHEN treat = 0 AND post = 1 THEN y END) - avg(CASE WHEN treat = 0 AND post = 0 THEN y END)) AS contrast FROM long GROUP BY 1, 2),
+    vu AS (SELECT product, metric, var_samp(um) AS v FROM um GROUP BY 1, 2), vt AS (SELECT product, metric, var_samp(pm) AS v FROM pm GROUP BY 1, 2)
+    SELECT product, metric, n_obs, round(contrast + 1e-9, 3) + 0.0 AS contrast, round(vu.v + 1e-9, 2) + 0.0 AS var_unit, round(vt.v + 1e-9, 2) + 0.0 AS var_period, round(p + 1e-9, 6) + 0.0 AS p_wcb
+    FROM c JOIN p USING (product, metric) JOIN vu USING (product, metric) JOIN vt USING (product, metric)""",
+)
 def e22_full(s, d):
     lp = stored(long_panel, s, d)
-    c = R.baci_contrast(lp, CELL, "y", "treat", "post").select(*CELL, "n_obs", "contrast")
-    v = P.variance_components(lp, CELL, "unit", "year", "y").select(*CELL, (F.col("sigma_u") ** 2).alias("var_unit"), (F.col("sigma_t") ** 2).alias("var_period"))
+    c = R.baci_contrast(lp, CELL, "y", "treat", "post").select(*CELL, "n_obs", rnd("contrast", 3).alias("contrast"))
+    v = P.variance_components(lp, CELL, "unit", "year", "y").select(*CELL, rnd(F.col("sigma_u") ** 2, 2).alias("var_unit"), rnd(F.col("sigma_t") ** 2, 2).alias("var_period"))
     b = D.panel_blocks(lp, CELL, "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
-    w = R.wild_bootstrap_p(b, draws=9999, signs="hashed").select(*CELL, "p_wcb")
+    w = R.wild_bootstrap_p(b, draws=HASHED_DRAWS, signs="hashed").select(*CELL, rnd("p_wcb").alias("p_wcb"))
     return join_on(join_on(c, v, CELL), w, CELL)
 
 

@@ -10,7 +10,7 @@ from furrow.operators import quality as Q
 from furrow.operators import spatial as G
 from furrow.operators import text_refs as X
 from furrow.operators import tracks as K
-from furrow.plans.base import LONG_PANEL, NATION_PANEL, OBS, long_panel, nation_panel, obs, rnd, table
+from furrow.plans.base import LONG_PANEL, NATION_PANEL, OBS, long_panel, nation_panel, obs, periods, rnd, table
 from furrow.plans.panel_plans import FEAT, features
 from furrow.plans.registry import query
 from furrow.plans.spatial_plans import FIX, PTS, fixes, hav, points
@@ -351,8 +351,8 @@ def s15(s, d):
     return s.read.schema(p.schema).parquet(path).select("unit", "year", rnd("share").alias("share"), "source")
 
 
-@query("s16_missing_partitions", f"WITH {OBS}, e AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, range(10) p(p)), h AS (SELECT DISTINCT user_id, p FROM obs WHERE event_type = 'signup') SELECT user_id, CAST(p AS INTEGER) AS p FROM e WHERE (user_id, p) NOT IN (SELECT (user_id, p) FROM h)")
+@query("s16_missing_partitions", f"WITH {OBS}, e AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, gr p), h AS (SELECT DISTINCT user_id, p FROM obs WHERE event_type = 'signup') SELECT user_id, CAST(p AS INTEGER) AS p FROM e WHERE (user_id, p) NOT IN (SELECT (user_id, p) FROM h)")
 def s16(s, d):
     o = obs(s, d)
-    expected = P.design_grid(o.select("user_id").distinct(), {"p": list(range(10))})
+    expected = P.design_grid(o.select("user_id").distinct(), {"p": periods(s, d)})
     return W.missing_partitions(expected, o.where("event_type = 'signup'"), ["user_id", "p"])

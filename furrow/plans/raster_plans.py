@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.functions import scalar as S
 from furrow.functions.ranking import grouped_stats
 from furrow.operators import raster as R
-from furrow.plans.base import BANDS, OBS, obs, rnd, stack, stack_sql, table
+from furrow.plans.base import BANDS, OBS, obs, periods, rnd, stack, stack_sql, table
 from furrow.plans.registry import query
 
 STACK_D = stack_sql("user_id, d")
@@ -183,14 +183,14 @@ def p11(s, d):
 
 @query(
     "p12_empty_window_guard",
-    f"""WITH {OBS}, g AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, range(10) p(p)),
-    c AS (SELECT user_id, p, avg(value) AS v FROM obs WHERE event_type = 'view' AND p < 10 GROUP BY 1, 2)
+    f"""WITH {OBS}, g AS (SELECT u.user_id, p.p FROM (SELECT DISTINCT user_id FROM obs) u, gr p),
+    c AS (SELECT user_id, p, avg(value) AS v FROM obs WHERE event_type = 'view' GROUP BY 1, 2)
     SELECT g.user_id, CAST(g.p AS INTEGER) AS p, round(coalesce(v, -25.0) + 1e-9, 6) + 0.0 AS v, v IS NULL AS empty FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.p = c.p""",
 )
 def p12(s, d):
     o = obs(s, d)
-    c = o.where("event_type = 'view' and p < 10").groupBy("user_id", "p").agg(F.avg("value").alias("v"))
-    g = o.select("user_id").distinct().withColumn("p", F.explode(F.array(*[F.lit(i) for i in range(10)])))
+    c = o.where("event_type = 'view'").groupBy("user_id", "p").agg(F.avg("value").alias("v"))
+    g = o.select("user_id").distinct().withColumn("p", F.explode(F.array(*[F.lit(i) for i in periods(s, d)])))
     j = g.join(c, ["user_id", "p"], "left")
     return j.select("user_id", "p", rnd(F.coalesce("v", F.lit(-25.0))).alias("v"), F.col("v").isNull().alias("empty"))
 
@@ -274,13 +274,13 @@ def a01(s, d):
 
 @query(
     "a02_period_composite_with_gaps",
-    f"""WITH {OBS}, c AS (SELECT user_id, p, median(value) AS m, count(*) AS n FROM obs WHERE event_type = 'view' AND p < 10 GROUP BY 1, 2),
+    f"""WITH {OBS}, c AS (SELECT user_id, p, median(value) AS m, count(*) AS n FROM obs WHERE event_type = 'view' GROUP BY 1, 2),
     u AS (SELECT DISTINCT user_id FROM c)
-    SELECT u.user_id, CAST(g.p AS INTEGER) AS p, round(m + 1e-9, 6) + 0.0 AS v_median, coalesce(n, 0) AS n_obs FROM u CROSS JOIN range(10) g(p) LEFT JOIN c ON c.user_id = u.user_id AND c.p = g.p""",
+    SELECT u.user_id, CAST(g.p AS INTEGER) AS p, round(m + 1e-9, 6) + 0.0 AS v_median, coalesce(n, 0) AS n_obs FROM u CROSS JOIN gr g LEFT JOIN c ON c.user_id = u.user_id AND c.p = g.p""",
 )
 def a02(s, d):
-    o = obs(s, d).where("event_type = 'view' and p < 10")
-    return R.period_medians(o, ["user_id"], "p", range(10), "value").withColumn("v_median", rnd("v_median"))
+    o = obs(s, d).where("event_type = 'view'")
+    return R.period_medians(o, ["user_id"], "p", periods(s, d), "value").withColumn("v_median", rnd("v_median"))
 
 
 @query(

@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from furrow.functions import scalar as S
 from furrow.operators import season as N
-from furrow.plans.base import OBS, SERIES, obs, rnd, series, table
+from furrow.plans.base import OBS, SERIES, obs, periods, rnd, series, table
 from furrow.plans.registry import query
 
-DAYS = [150 + 20 * k for k in range(10)]
-P = list(range(10))
+FIRST_DAY, DAY_STEP = 150, 20
 HEAD = f"WITH {OBS}, {SERIES} "
 
 
+def days(s, d):
+    """Day of the year that each period of the grid stands for."""
+    return [FIRST_DAY + DAY_STEP * p for p in periods(s, d)]
+
+
 @query(
     "w02_first_period_above_threshold",
     HEAD + "SELECT user_id, min(CASE WHEN v >= 0.4 THEN p END) AS sos, count(v) AS n_valid FROM series GROUP BY 1",
@@ -80,13 +84,13 @@ SMOOTH_SQL = """, sm AS (SELECT i.user_id, i.p, sum(exp(-pow(i.p - j.p, 2) / 4.5
 )
 def w06(s, d):
     flood = obs(s, d).groupBy("user_id").agg((F.max("k") >= 98).alias("flooded"))
-    a = N.series_array(series(s, d), ["user_id"], "p", "v", P).join(flood, "user_id")
-    z = N.gaussian_smooth(F.col("ys"), 10, 1.5, weights(F.col("flooded")))
-    return a.select("user_id", F.posexplode(z).alias("p", "z")).select("user_id", "p", rnd("z").alias("z"))
+    a = N.series_array(series(s, d), ["user_id"], "p", "v", periods(s, d)).join(flood, "user_id")
+    z = N.gaussian_smooth(F.col("ys"), len(periods(s, d)), 1.5, weights(F.col("flooded"), periods(s, d)))
+    return a.select("user_id", F.posexplode(z).alias("p", "z")).select("user_id", (F.col("p") + periods(s, d)[0]).alias("p"), rnd("z").alias("z"))
 
 
-def weights(flooded):
-    return F.array(*[F.when(flooded & F.lit(i in (2, 3)), 0.0).otherwise(1.0) for i in P])
+def weights(flooded, grid):
+    return F.array(*[F.when(flooded & F.lit(i in (2, 3)), 0.0).otherwise(1.0) for i in grid])
 
 
 @query(
@@ -108,7 +112,7 @@ BASIS_SQL = """sg AS (SELECT * FROM (VALUES (0, 165.0::DOUBLE), (1, 180), (2, 19
   rg AS (SELECT * FROM (VALUES (0, 0.05::DOUBLE), (1, 0.12), (2, 0.20), (3, 0.30)) t(i, m)),
   ag AS (SELECT * FROM (VALUES (0, 255.0::DOUBLE), (1, 270), (2, 285), (3, 300), (4, 315), (5, 330)) t(i, a)),
   par AS (SELECT ((sg.i * 4 + r1.i) * 6 + ag.i) * 4 + r2.i AS pid, s, r1.m AS ms, a, r2.m AS ma FROM sg, rg r1, ag, rg r2),
-  basis AS (SELECT pid, g.p, 1 / (1 + exp(-ms * (150 + 20 * g.p - s))) + 1 / (1 + exp(ma * (150 + 20 * g.p - a))) - 1 AS b FROM par, range(10) g(p))"""
+  basis AS (SELECT pid, g.p, 1 / (1 + exp(-ms * (150 + 20 * g.p - s))) + 1 / (1 + exp(ma * (150 + 20 * g.p - a))) - 1 AS b FROM par, gr g)"""
 
 
 def fit_sql(src: str, key: str, out: str) -> str:
@@ -121,8 +125,8 @@ def fit_sql(src: str, key: str, out: str) -> str:
 
 
 def fitted(s, d):
-    fit = N.grid_fit(DAYS)
-    a = N.series_array(series(s, d), ["user_id"], "p", "v", P)
+    fit = N.grid_fit(days(s, d))
+    a = N.series_array(series(s, d), ["user_id"], "p", "v", periods(s, d))
     return a.withColumn("fit", fit("ys")).where("fit.p is not null")
 
 
@@ -153,36 +157,38 @@ def c02(s, d):
     SELECT user_id, CAST(q AS INTEGER) AS q, round(s + ds + 1e-9, 6) AS d_rise, round(a + da + 1e-9, 6) AS d_fall, round(sqrt(w.ssr / w.n) + 1e-9, 6) + 0.0 AS rmsr FROM w JOIN off USING (q) JOIN f USING (user_id)""",
 )
 def c03(s, d):
-    refine = N.refine_fit(DAYS)
+    refine = N.refine_fit(days(s, d))
     r = fitted(s, d).withColumn("r", refine("ys", "fit.m_rise", "fit.d_rise", "fit.m_fall", "fit.d_fall"))
     return r.select("user_id", "r.q", rnd("r.d_rise").alias("d_rise"), rnd("r.d_fall").alias("d_fall"), rnd("r.rmsr").alias("rmsr"))
 
 
+REPLICATES = 1000
+
+
 @query(
     "c04_replicate_date_intervals",
     f"""WITH {OBS}, {SERIES}, {BASIS_SQL} {fit_sql('series', 'user_id', 'f')},
-    noisy AS (SELECT user_id * 100 + r.rep AS rk, s.p, v + (CAST('0x' || substr(md5(concat_ws('|', user_id, r.rep, s.p, '42')), 1, 13) AS BIGINT) / pow(16, 13) - 0.5) * 2 * sqrt(f.ssr / 10) AS v
-      FROM series s JOIN f USING (user_id), range(8) r(rep)) {fit_sql('noisy', 'rk', 'g')}
-    SELECT rk // 100 AS user_id, round(quantile_cont(sos, 0.025) + 1e-9, 6) + 0.0 AS sos_lo, round(quantile_cont(sos, 0.975) + 1e-9, 6) + 0.0 AS sos_hi,
-      round(quantile_cont(eos, 0.025) + 1e-9, 6) + 0.0 AS eos_lo, round(quantile_cont(eos, 0.975) + 1e-9, 6) + 0.0 AS eos_hi, count(*) AS n_rep FROM g GROUP BY 1""",
+    noisy AS (SELECT user_id, r.rep, s.p, v + (CAST('0x' || substr(md5(concat_ws('|', user_id, r.rep, s.p - (SELECT min(p) FROM gr), '42')), 1, 13) AS BIGINT) / pow(16, 13) - 0.5) * 2 * sqrt(f.ssr / (SELECT count(*) FROM gr)) AS v
+      FROM series s JOIN f USING (user_id), range({REPLICATES}) r(rep) WHERE v IS NOT NULL),
+    nl AS (SELECT user_id, rep, min(v) AS lo, max(v) AS hi, list(v ORDER BY p) AS vs FROM noisy GROUP BY 1, 2),
+    nz AS (SELECT user_id, rep, hi - lo AS amp, list_transform(vs, lambda x: x - lo) AS z FROM nl),
+    ub AS (SELECT user_id, pid, list(b ORDER BY p) AS bl, sum(b * b) AS bb FROM series JOIN basis USING (p) WHERE v IS NOT NULL GROUP BY 1, 2),
+    g AS (SELECT user_id, rep, min({{'s': round(list_inner_product(z, z) - 2 * amp * list_inner_product(z, bl) + amp * amp * bb, 9), 'pid': pid}}) AS m FROM nz JOIN ub USING (user_id) GROUP BY 1, 2),
+    dt AS (SELECT user_id, s - ln(1 / 0.7 - 1) / ms AS sos, a + ln(1 / 0.2 - 1) / ma AS eos FROM g JOIN par ON par.pid = g.m.pid)
+    SELECT user_id, round(quantile_cont(sos, 0.025) + 1e-9, 6) + 0.0 AS sos_lo, round(quantile_cont(sos, 0.975) + 1e-9, 6) + 0.0 AS sos_hi,
+      round(quantile_cont(eos, 0.025) + 1e-9, 6) + 0.0 AS eos_lo, round(quantile_cont(eos, 0.975) + 1e-9, 6) + 0.0 AS eos_hi, count(*) AS n_rep FROM dt GROUP BY 1""",
 )
 def c04(s, d):
-    fit = N.grid_fit(DAYS)
-    base = fitted(s, d).select("user_id", "ys", F.col("fit.ssr").alias("ssr"))
-    rep = N.noisy_replicates(base, "user_id", "ys", "ssr", 8, 10).withColumn("fit", fit("ys"))
-    dates = rep.where("fit.p is not null").select("user_id", *[c.alias(n) for n, c in N.fitted_dates(F.col("fit")).items()])
-    # the group is the replicates of one unit, eight rows by construction
-    out = dates.groupBy("user_id").agg(
-        *[F.percentile(c, F.lit(q)).alias(f"{c}_{t}") for c in ("sos", "eos") for t, q in (("lo", 0.025), ("hi", 0.975))], F.count(F.lit(1)).alias("n_rep")
-    )
-    return out.withColumns({c: rnd(c) for c in ("sos_lo", "sos_hi", "eos_lo", "eos_hi")})
+    ci = N.replicate_intervals(days(s, d), REPLICATES)
+    r = fitted(s, d).withColumn("r", ci("user_id", "ys", "fit.ssr"))
+    return r.select("user_id", *[rnd(f"r.{c}").alias(c) for c in ("sos_lo", "sos_hi", "eos_lo", "eos_hi")], "r.n_rep")
 
 
-BAND_SERIES = """bs0 AS (SELECT user_id, event_type, p, avg(value) AS m FROM obs WHERE p < 10 AND event_type IN ('view', 'click') GROUP BY 1, 2, 3),
+BAND_SERIES = """bs0 AS (SELECT user_id, event_type, p, avg(value) AS m FROM obs WHERE event_type IN ('view', 'click') GROUP BY 1, 2, 3),
   bt AS (SELECT user_id, event_type, max(m) AS mx FROM bs0 GROUP BY 1, 2), fl AS (SELECT user_id, max(k) >= 98 AS flooded FROM obs GROUP BY 1),
   br AS (SELECT t.user_id, t.event_type, g.p, pr.product, bs0.m / t.mx AS v, CASE WHEN pr.product = 'corrected' AND flooded AND g.p IN (2, 3) THEN 0.0 ELSE 1.0 END AS wt,
       t.user_id * 4 + CASE WHEN t.event_type = 'view' THEN 0 ELSE 2 END + CASE WHEN pr.product = 'raw' THEN 0 ELSE 1 END AS bk
-    FROM bt t JOIN fl USING (user_id) CROSS JOIN range(10) g(p) CROSS JOIN (VALUES ('raw'), ('corrected')) pr(product)
+    FROM bt t JOIN fl USING (user_id) CROSS JOIN gr g CROSS JOIN (VALUES ('raw'), ('corrected')) pr(product)
     LEFT JOIN bs0 ON bs0.user_id = t.user_id AND bs0.event_type = t.event_type AND bs0.p = g.p),
   bsm AS (SELECT i.bk, i.p, sum(exp(-pow(i.p - j.p, 2) / 4.5) * j.wt * j.v) / sum(exp(-pow(i.p - j.p, 2) / 4.5) * j.wt) AS v FROM br i JOIN br j ON i.bk = j.bk WHERE j.v IS NOT NULL GROUP BY 1, 2)"""
 
@@ -194,15 +200,15 @@ BAND_SERIES = """bs0 AS (SELECT user_id, event_type, p, avg(value) AS m FROM obs
     FROM f a JOIN f b ON b.bk = a.bk + 2 WHERE a.bk % 4 < 2""",
 )
 def c05(s, d):
-    fit = N.grid_fit(DAYS)
+    fit = N.grid_fit(days(s, d))
     o = obs(s, d)
-    m = o.where(F.col("event_type").isin("view", "click") & (F.col("p") < 10)).groupBy("user_id", "event_type", "p").agg(F.avg("value").alias("m"))
-    arr = N.series_array(m, ["user_id", "event_type"], "p", "m", P)
+    m = o.where(F.col("event_type").isin("view", "click")).groupBy("user_id", "event_type", "p").agg(F.avg("value").alias("m"))
+    arr = N.series_array(m, ["user_id", "event_type"], "p", "m", periods(s, d))
     flood = o.groupBy("user_id").agg((F.max("k") >= 98).alias("flooded"))
     top = F.array_max("ys")
     arr = arr.withColumn("ys", F.transform("ys", lambda y: F.try_divide(y, top))).join(flood, "user_id")
     both = arr.withColumn("product", F.explode(F.array(F.lit("raw"), F.lit("corrected"))))
-    z = N.gaussian_smooth(F.col("ys"), 10, 1.5, weights(F.col("flooded") & (F.col("product") == "corrected")))
+    z = N.gaussian_smooth(F.col("ys"), len(periods(s, d)), 1.5, weights(F.col("flooded") & (F.col("product") == "corrected"), periods(s, d)))
     # the generator keeps the higher-order expression out of the UDF's argument list
     f = both.withColumn("z", F.explode(F.array(z))).withColumn("fit", fit("z")).where("fit.p is not null")
     f = f.select("user_id", "event_type", "product", *[c.alias(n) for n, c in N.fitted_dates(F.col("fit")).items()])
@@ -210,11 +216,30 @@ def c05(s, d):
     return fused.select("user_id", "product", rnd("sos").alias("sos"), rnd("pos").alias("pos"), rnd("eos").alias("eos"))
 
 
-@query("c06_penalised_smoother")
+# The penalised system is five-banded: one pass down eliminates, one pass up substitutes. Right-hand
+# side -1 is the series; sides 0.. are unit vectors, whose solutions give the trace of the smoother.
+SMOOTHER_SQL = """x AS (SELECT user_id, p - (SELECT min(p) FROM gr) AS i, v, (SELECT count(*) FROM gr) AS n FROM series),
+  m AS (SELECT user_id, count(v) AS m, any_value(n) AS n FROM x GROUP BY 1),
+  a AS (SELECT x.user_id, lam, k.k, i, x.n, CASE WHEN v IS NULL THEN 0.0 ELSE 1.0 END + lam * ((i <= x.n - 3)::INT + 4 * (i BETWEEN 1 AND x.n - 2)::INT + (i >= 2)::INT) AS a,
+      -2.0 * lam * ((i <= x.n - 3)::INT + (i BETWEEN 1 AND x.n - 2)::INT) AS b, lam * (i <= x.n - 3)::INT AS c, CASE WHEN k.k = -1 THEN coalesce(v, 0.0) WHEN k.k = i AND v IS NOT NULL THEN 1.0 ELSE 0.0 END AS r
+    FROM x JOIN m ON m.user_id = x.user_id AND m.m >= 5, (VALUES (1.0::DOUBLE), (5), (10), (50), (100), (500), (1000), (5000)) l(lam), range(-1, x.n) k(k)),
+  dn AS (SELECT user_id, lam, k, n, 0 AS i, a AS d, b / a AS l1, c / a AS l2, r AS g, 0.0::DOUBLE AS pd, 0.0::DOUBLE AS pl2, 0.0::DOUBLE AS pg FROM a WHERE i = 0
+    UNION ALL SELECT q.user_id, q.lam, q.k, q.n, a.i, q.dd, (a.b - q.d * q.l1 * q.l2) / q.dd, a.c / q.dd, a.r - q.l1 * q.g - q.pl2 * q.pg, q.d, q.l2, q.g
+    FROM (SELECT dn.*, a.a - dn.d * dn.l1 * dn.l1 - dn.pd * dn.pl2 * dn.pl2 AS dd FROM dn JOIN a ON a.user_id = dn.user_id AND a.lam = dn.lam AND a.k = dn.k AND a.i = dn.i + 1) q
+      JOIN a ON a.user_id = q.user_id AND a.lam = q.lam AND a.k = q.k AND a.i = q.i + 1),
+  up AS (SELECT user_id, lam, k, n, i, g / d AS z, 0.0::DOUBLE AS z1 FROM dn WHERE i = n - 1
+    UNION ALL SELECT up.user_id, up.lam, up.k, up.n, dn.i, dn.g / dn.d - dn.l1 * up.z - dn.l2 * up.z1, up.z FROM up JOIN dn ON dn.user_id = up.user_id AND dn.lam = up.lam AND dn.k = up.k AND dn.i = up.i - 1),
+  tr AS (SELECT user_id, lam, sum(z) AS tr FROM up JOIN x USING (user_id, i) WHERE k = i AND v IS NOT NULL GROUP BY 1, 2),
+  rs AS (SELECT user_id, lam, sum((v - z) * (v - z)) AS rss, list(round(z + 1e-9, 6) + 0.0 ORDER BY i) AS z FROM up JOIN x USING (user_id, i) WHERE k = -1 GROUP BY 1, 2),
+  sc AS (SELECT user_id, lam, z, m.m, CASE WHEN m.m >= 8 THEN CASE WHEN m.m - tr > 1e-9 THEN round(m.m * rss / pow(m.m - tr, 2), 12) END WHEN lam = 100 THEN 0.0 END AS gcv FROM rs JOIN tr USING (user_id, lam) JOIN m USING (user_id)),
+  pick AS (SELECT user_id, arg_min(lam, (gcv, lam)) AS lam, arg_min(z, (gcv, lam)) AS z FROM sc WHERE gcv IS NOT NULL GROUP BY 1)"""
+
+
+@query("c06_penalised_smoother", f"WITH RECURSIVE {OBS}, {SERIES}, {SMOOTHER_SQL} SELECT user_id, CAST(m.m AS INTEGER) AS n, lam, z FROM m LEFT JOIN pick USING (user_id)")
 def c06(s, d):
-    smooth = N.penalised_smooth(10)
-    a = N.series_array(series(s, d), ["user_id"], "p", "v", P).withColumn("r", smooth("ys"))
-    return a.select("user_id", "r.n", "r.lam", F.transform("r.z", lambda z: F.round(z, 6)).alias("z"))
+    smooth = N.penalised_smooth(len(periods(s, d)))
+    a = N.series_array(series(s, d), ["user_id"], "p", "v", periods(s, d)).withColumn("r", smooth("ys"))
+    return a.select("user_id", "r.n", "r.lam", F.transform("r.z", lambda z: rnd(z)).alias("z"))
 
 
 @query(

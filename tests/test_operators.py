@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -128,14 +129,26 @@ def test_grid_fit_recovers_its_own_curve(spark):
     assert dates.sos == pytest.approx(f.d_rise - math.log(1 / 0.7 - 1) / f.m_rise)
 
 
-def test_shared_noise_leaves_dates_unchanged(spark):
-    days = [150 + 20 * k for k in range(10)]
-    _, basis = N.curve_basis(days)
-    df = spark.createDataFrame([(1, [float(v) for v in basis[100]], 0.5)], "u int, ys array<double>, ssr double")
-    fit = N.grid_fit(days)
-    shared = N.noisy_replicates(df, "u", "ys", "ssr", 6, 10, shared=True).withColumn("f", fit("ys")).select("f.p").distinct().count()
-    free = N.noisy_replicates(df, "u", "ys", "ssr", 6, 10).withColumn("f", fit("ys")).select("f.p").distinct().count()
-    assert shared == 1 and free > 1
+def test_replicate_intervals_against_single_fits(spark):
+    """Every replicate fitted on its own gives the same quantiles; one shared draw leaves the dates as they are."""
+    days, key, ssr, n_rep = [150 + 20 * k for k in range(10)], 7, 0.4, 60
+    params, basis = N.curve_basis(days)
+    y = [float(v) if i != 4 else None for i, v in enumerate(basis[100])]
+    df = spark.createDataFrame([(key, y, ssr), (8, [None] * 10, ssr), (9, y, None)], "u int, ys array<double>, ssr double")
+    got = {r.u: r.r for r in df.select("u", N.replicate_intervals(days, n_rep)("u", "ys", "ssr").alias("r")).collect()}
+    sos = []
+    for rep in range(n_rep):
+        z = [None if v is None else v + (int(hashlib.md5(f"{key}|{rep}|{j}|42".encode()).hexdigest()[:13], 16) / 16**13 - 0.5) * 2 * math.sqrt(ssr / 10) for j, v in enumerate(y)]
+        ok = [j for j in range(10) if z[j] is not None]
+        lo, hi = min(z[j] for j in ok), max(z[j] for j in ok)
+        errors = [round(sum((z[j] - (lo + (hi - lo) * b[j])) ** 2 for j in ok), 9) for b in basis]
+        m, s, *_ = params[errors.index(min(errors))]
+        sos.append(s - math.log(1 / 0.7 - 1) / m)
+    assert (got[key].sos_lo, got[key].sos_hi) == pytest.approx(tuple(np.quantile(sos, [0.025, 0.975])))
+    assert got[key].n_rep == n_rep and got[key].sos_lo < got[key].sos_hi
+    assert got[8].sos_lo is None and got[9].eos_hi is None and got[8].n_rep == 0
+    one = df.where(f"u = {key}").select(N.replicate_intervals(days, n_rep, shared=True)("u", "ys", "ssr").alias("r")).first().r
+    assert one.sos_lo == one.sos_hi and one.eos_lo == one.eos_hi
 
 
 def test_penalised_smoother_brute_force(spark):
@@ -261,6 +274,58 @@ def test_wild_bootstrap_matches_refits_on_unbalanced_panel(spark):
     assert got.n_draws == 64 and got.n_extreme == hits
 
 
+def test_hashed_bootstrap_matches_refits(spark):
+    """Draw by draw on an unbalanced panel, over several ranges of draws, with the signs that SQL can repeat."""
+    rows = unbalanced(seed=4, units=12, clusters=6)
+    df = spark.createDataFrame(rows, "u int, c int, t int, y double, d double").withColumn("cell", F.lit("x"))
+    blocks = D.panel_blocks(df, ["cell"], "u", "c", "t", range(6), "y", {"d": F.col("d")})
+    got = B.wild_bootstrap_p(blocks, draws=600, signs="hashed").first()
+    b, se, x, y, cs = dummy_ols(rows, None)
+    rest = x[:, 1:]
+    fit = rest @ np.linalg.pinv(rest) @ y
+    res, cl, hits = y - fit, np.array([cs.index(r[1]) for r in rows]), 0
+    for draw in range(600):
+        w = np.array([1.0 if hashlib.md5(f"{c}|{draw}|42".encode()).hexdigest()[0] >= "8" else -1.0 for c in cs])
+        bb, ss, *_ = dummy_ols([(*r[:3], ys, r[4]) for r, ys in zip(rows, fit + w[cl] * res)], None)
+        hits += abs(bb / ss) >= abs(b / se) - 1e-9
+    assert (got.n_draws, got.n_extreme) == (600, hits) and got.p_wcb == (hits + 1) / 601
+
+
+def test_leave_one_cluster_out_matches_refits(spark):
+    rows = unbalanced(seed=8, units=14, clusters=7)
+    df = spark.createDataFrame(rows, "u int, c int, t int, y double, d double").withColumn("cell", F.lit("x"))
+    got = {r.dropped: r for r in B.leave_cluster_out(D.panel_blocks(df, ["cell"], "u", "c", "t", range(6), "y", {"d": F.col("d")})).collect()}
+    assert sorted(got) == sorted({r[1] for r in rows})
+    for c, r in got.items():
+        b, se, *_ = dummy_ols([x for x in rows if x[1] != c], None)
+        if r.status == "ok":
+            assert r.est == pytest.approx(b, abs=1e-9) and r.se == pytest.approx(se, abs=1e-9)
+        assert r.n_obs == sum(x[1] != c for x in rows) and r.n_clusters == 6
+    assert sum(r.status == "ok" for r in got.values()) >= 5
+
+
+def test_power_by_refits(spark):
+    """Each replicate as a panel of its own, with the effect added to its rows."""
+    base = np.random.default_rng(3).normal(0, 5, (5, 4))
+    rows = [(u, t, float(base[u, t]), int(t >= 2)) for u in range(5) for t in range(4)]
+    df = spark.createDataFrame(rows, "u int, t int, y double, post int").withColumn("cell", F.lit("x"))
+    sizes, taus, reps, crit = [4, 5], [0.0, 6.0, 15.0], 40, {4: 3.182, 5: 2.776}
+    got = {(r.G, r.tau_true): r for r in B.power_curve(df, ["cell"], "u", "t", "y", "post", taus, sizes, reps, crit).collect()}
+    for g in sizes:
+        for tau in taus:
+            hits = 0
+            for rep in range(reps):
+                pick = [int(int(hashlib.md5(f"{g}|{rep}|{k}|42".encode()).hexdigest()[:13], 16) / 16**13 * 5) for k in range(g)]
+                s = np.array([k < g // 2 for k in range(g)], float)
+                y = base[pick] + tau * s[:, None] * np.array([0, 0, 1, 1])
+                x = (s - s.mean())[:, None] * (np.array([0, 0, 1, 1]) - 0.5)
+                yd = y - y.mean(axis=1, keepdims=True) - y.mean(axis=0) + y.mean()
+                b = (x * yd).sum() / (x * x).sum()
+                se = math.sqrt((((yd - b * x) * x).sum(axis=1) ** 2).sum() * g / (g - 1)) / (x * x).sum()
+                hits += se > 1e-9 and abs(b) > crit[g] * se
+            assert got[g, tau].n_reps == reps and got[g, tau].power == pytest.approx(hits / reps)
+
+
 def test_degenerate_cells_are_reported(spark):
     rows = [("always", u, t, float(u + t * t), int(u < 2), 1) for u in range(4) for t in range(4)]
     rows += [("fine", u, t, float(u * t + (u == 1) * t), int(u < 2), int(t >= 2)) for u in range(4) for t in range(4)]
