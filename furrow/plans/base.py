@@ -102,32 +102,50 @@ series AS (SELECT t.user_id, g.p, s0.m / t.mx AS v, coalesce(s0.n, 0) AS n
 
 # --- unit x year panels from the order tables ------------------------------------
 
-YEARS = list(range(1995, 2001))
+#: Years that reports with a column per year show, and that a panel may hold.
+YEARS = list(range(1995, 2002))
 POST = [1997, 1998, 1999]
+_YEARS: dict[str, dict[int, int]] = {}
 
 
-def orders_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of the complete years with customer, nation and region keys."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'2001-01-01'")
+def years(spark: SparkSession, sf_dir: str, complete: bool = False) -> list[int]:
+    """The years of the orders; ``complete`` leaves those that have orders in all twelve months."""
+    if sf_dir not in _YEARS:
+        o = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count_distinct(F.month("o_orderdate")).alias("months"))
+        _YEARS[sf_dir] = {r.y: r.months for r in o.collect() if r.y is not None}  # a row per year
+    return sorted(y for y, months in _YEARS[sf_dir].items() if months == 12 or not complete)
+
+
+def orders_located(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
+    """Orders with customer, nation and region keys; ``complete`` leaves the complete years."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    if complete:
+        o = o.where(F.col("year").isin(years(spark, sf_dir, True)))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
-    return (
-        o.join(c, o.o_custkey == c.c_custkey)
-        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        .withColumn("year", F.year("o_orderdate"))
-    )
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 LOCATED = """loc AS (
   SELECT o.*, c.*, n.n_nationkey, n.n_regionkey, n.n_name, CAST(year(o_orderdate) AS INTEGER) AS year
-  FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '2001-01-01')"""
+  FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey),
+cy AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders GROUP BY 1 HAVING count(DISTINCT month(o_orderdate)) = 12)"""
+
+
+def complete_sql(panel: str) -> str:
+    """The same panel over the complete years."""
+    return panel.replace("FROM loc GROUP BY", "FROM loc WHERE year IN (SELECT year FROM cy) GROUP BY")
+
+
+def complete(panel_of):
+    """The same panel over the complete years."""
+    return lambda s, d: panel_of(s, d, True)
 
 
-def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_panel(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
     """nation x year mean price; nations of regions 0 and 1 are the treated units."""
     return (
-        orders_located(spark, sf_dir)
+        orders_located(spark, sf_dir, complete)
         .groupBy(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"), "year")
         .agg(
             F.avg("o_totalprice").alias("y"),
@@ -154,12 +172,12 @@ METRICS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 DELTA = {"p25": 1400.0, "p50": 700.0, "p75": 2100.0}
 
 
-def long_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long_panel(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
     """product (raw/corrected) x metric (price quantile) x nation x year."""
     from furrow.functions.ranking import grouped_stats
     from furrow.operators.panel import unpivot_metrics
 
-    loc = orders_located(spark, sf_dir).select(
+    loc = orders_located(spark, sf_dir, complete).select(
         F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"), "year", "o_totalprice", "o_orderstatus"
     )
     stats = grouped_stats(
@@ -199,10 +217,10 @@ def stored(panel_of, spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(panel_of(spark, sf_dir))
 
 
-def tier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tier_panel(spark: SparkSession, sf_dir: str, complete: bool = False) -> DataFrame:
     """Ten units (region x balance tier) x year: few clusters, exact enumeration."""
     return (
-        orders_located(spark, sf_dir)
+        orders_located(spark, sf_dir, complete)
         .withColumn("unit", (F.col("n_regionkey") * 2 + (F.col("c_acctbal") >= 5000).cast("int")).cast("int"))
         .groupBy("unit", "year")
         .agg(F.avg("o_totalprice").alias("y"), F.count(F.lit(1)).alias("n"))

@@ -16,17 +16,21 @@ from furrow.plans.base import (
     NATION_PANEL,
     POST,
     TIER_PANEL,
-    YEARS,
+    complete,
+    complete_sql,
     long_panel,
     nation_panel,
     orders_located,
     rnd,
     stored,
     tier_panel,
+    years,
 )
 from furrow.plans.registry import query
 
 CELL = ["product", "metric"]
+# the balanced estimator needs whole years
+NATION_WHOLE, LONG_WHOLE, TIER_WHOLE = map(complete_sql, (NATION_PANEL, LONG_PANEL, TIER_PANEL))
 
 
 def did_sql(src: str, keys: str, out: str = "did", unit: str = "unit", extra: str = "(n - 1) / (n - k)", score_by: str | None = None) -> str:
@@ -49,14 +53,14 @@ def one_cell(panel_of):
 ALL = "SELECT 'all' AS cell, * FROM panel"
 
 
-@query("e02_did_balanced", f"WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau + 1e-9, 4) + 0.0 AS tau, round(se + 1e-9, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
+@query("e02_did_balanced", f"WITH {NATION_WHOLE}, pc AS ({ALL}) {did_sql('pc', 'cell')} SELECT cell, round(tau + 1e-9, 4) + 0.0 AS tau, round(se + 1e-9, 4) + 0.0 AS se, n_obs, n_units, 'ok' AS status FROM did")
 def e02(s, d):
-    r = D.balanced_did(stored(one_cell(nation_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
+    r = D.balanced_did(stored(one_cell(complete(nation_panel)), s, d), ["cell"], "unit", "year", "y", "treat", "post")
     return r.select("cell", rnd("tau", 4).alias("tau"), rnd("se", 4).alias("se"), "n_obs", "n_units", "status")
 
 
 def long_blocks(s, d, y="y"):
-    return D.panel_blocks(long_panel(s, d), CELL, "unit", "unit", "year", YEARS, y, {"did": F.col("treat") * F.col("post")})
+    return D.panel_blocks(long_panel(s, d), CELL, "unit", "unit", "year", years(s, d), y, {"did": F.col("treat") * F.col("post")})
 
 
 @query(
@@ -87,7 +91,7 @@ def es_sql(src: str, keys: str, ref: int) -> str:
     f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1996)} SELECT product, metric, CAST(year - 1997 AS INTEGER) AS event_k, round(beta + 1e-9, 2) + 0.0 AS beta, round(CASE WHEN year = 1996 THEN 0 ELSE se END + 1e-9, 2) + 0.0 AS se, n_obs FROM es",
 )
 def e03(s, d):
-    r = D.event_study(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1996)
+    r = D.event_study(long_panel(s, d), CELL, "unit", "year", years(s, d), "y", "treat", 1996)
     return r.select(*CELL, (F.col("period") - 1997).alias("event_k"), rnd("beta", 2).alias("beta"), rnd("se", 2).alias("se"), "n_obs")
 
 
@@ -96,7 +100,7 @@ def e03(s, d):
     f"WITH {TIER_PANEL}, pc AS ({ALL}) {es_sql('pc', 'cell', 1997)} SELECT CAST(year AS INTEGER) AS year, CASE WHEN year < 1997 THEN 'pre' ELSE 'post' END AS label, round(beta + 1e-9, 3) + 0.0 AS beta, round(CASE WHEN year = 1997 THEN 0 ELSE se END + 1e-9, 3) + 0.0 AS se FROM es",
 )
 def e04(s, d):
-    r = D.event_study(one_cell(tier_panel)(s, d), ["cell"], "unit", "year", YEARS, "y", "treat", 1997)
+    r = D.event_study(one_cell(tier_panel)(s, d), ["cell"], "unit", "year", years(s, d), "y", "treat", 1997)
     return r.select(F.col("period").alias("year"), F.when(F.col("period") < 1997, "pre").otherwise("post").alias("label"), rnd("beta", 3).alias("beta"), rnd("se", 3).alias("se"))
 
 
@@ -105,7 +109,7 @@ def e04(s, d):
     f"WITH {LONG_PANEL} {es_sql('long', 'product, metric', 1997)} SELECT product, metric, round(sum(pow(beta / se, 2)) + 1e-9, 5) + 0.0 AS chi2, count(*) AS dof FROM es WHERE year < 1997 GROUP BY 1, 2",
 )
 def e05(s, d):
-    r = D.event_study(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1997)
+    r = D.event_study(long_panel(s, d), CELL, "unit", "year", years(s, d), "y", "treat", 1997)
     return D.wald_diagonal(r, CELL, 1997).select(*CELL, rnd("chi2", 5).alias("chi2"), "dof")
 
 
@@ -121,7 +125,7 @@ def e06(s, d):
 
 
 def tier_blocks(s, d):
-    return D.panel_blocks(one_cell(tier_panel)(s, d), ["cell"], "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
+    return D.panel_blocks(one_cell(tier_panel)(s, d), ["cell"], "unit", "unit", "year", years(s, d), "y", {"did": F.col("treat") * F.col("post")})
 
 
 SIGNS = f""", pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, unit, s, a, ab, sb, q, g, tt FROM did_c JOIN did_m USING (cell)),
@@ -132,7 +136,7 @@ SIGNS = f""", pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() O
     "e07_wild_cluster_bootstrap",
     f"""WITH {TIER_PANEL} {SIGNS}, b AS (SELECT draw, s, sb, q, g, tt, ab + (CASE WHEN (draw >> i) & 1 = 1 THEN 1 ELSE -1 END) * (a - ab) AS a2 FROM u, w),
     m AS (SELECT draw, avg(a2) AS ab2, sum((s - sb) * a2) / any_value(g * sb * (1 - sb) * q) AS tau FROM b GROUP BY 1),
-    e AS (SELECT b.draw, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * 10 / 9.0 * 59.0 / (60 - 16)) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (draw) GROUP BY 1)
+    e AS (SELECT b.draw, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * any_value(g / (g - 1.0) * (g * tt - 1.0) / (g * tt - g - tt))) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (draw) GROUP BY 1)
     SELECT round(any_value(did.tau) + 1e-9, 4) + 0.0 AS tau, round(any_value(did.tau / did.se) + 1e-9, 6) + 0.0 AS t_obs, count(*) AS n_draws, count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) AS n_extreme,
       round(count(CASE WHEN abs(e.tau / e.se) >= abs(did.tau / did.se) - 1e-9 THEN 1 END) / count(*) + 1e-9, 6) + 0.0 AS p_wcb FROM e, did""",
 )
@@ -144,9 +148,9 @@ def e07(s, d):
 @query(
     "e08_bootstrap_interval",
     f"""WITH {TIER_PANEL} {SIGNS}, gr AS (SELECT range AS gi, did.tau + (range * 0.4 - 8.0) * did.se AS tau0 FROM range(41), did),
-    b AS (SELECT gi, tau0, draw, s, sb, q, g, ab + tau0 * (s - sb) * q + (CASE WHEN (draw >> i) & 1 = 1 THEN 1 ELSE -1 END) * ((a - ab) - tau0 * (s - sb) * q) AS a2 FROM u, w, gr),
+    b AS (SELECT gi, tau0, draw, s, sb, q, g, tt, ab + tau0 * (s - sb) * q + (CASE WHEN (draw >> i) & 1 = 1 THEN 1 ELSE -1 END) * ((a - ab) - tau0 * (s - sb) * q) AS a2 FROM u, w, gr),
     m AS (SELECT gi, draw, avg(a2) AS ab2, sum((s - sb) * a2) / any_value(g * sb * (1 - sb) * q) AS tau FROM b GROUP BY 1, 2),
-    e AS (SELECT gi, draw, any_value(tau0) AS tau0, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * 10 / 9.0 * 59.0 / (60 - 16)) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (gi, draw) GROUP BY 1, 2),
+    e AS (SELECT gi, draw, any_value(tau0) AS tau0, any_value(tau) AS tau, sqrt(sum(pow((s - sb) * (a2 - ab2) - tau * (s - sb) * (s - sb) * q, 2)) * any_value(g / (g - 1.0) * (g * tt - 1.0) / (g * tt - g - tt))) / any_value(g * sb * (1 - sb) * q) AS se FROM b JOIN m USING (gi, draw) GROUP BY 1, 2),
     p AS (SELECT gi, any_value(tau0) AS tau0, count(CASE WHEN abs((e.tau - tau0) / e.se) >= abs((did.tau - tau0) / did.se) - 1e-9 THEN 1 END) / count(e.se) AS p FROM e, did GROUP BY 1)
     SELECT round(min(CASE WHEN p >= 0.05 THEN tau0 END) + 1e-9, 3) + 0.0 AS ci_lo, round(max(CASE WHEN p >= 0.05 THEN tau0 END) + 1e-9, 3) + 0.0 AS ci_hi, max(CASE WHEN gi = 0 THEN p >= 0.05 END) AS ci_open_lo, max(CASE WHEN gi = 40 THEN p >= 0.05 END) AS ci_open_hi FROM p""",
 )
@@ -160,12 +164,12 @@ LOO_U = f""", lu AS (SELECT l.*, x.unit AS dropped FROM long l JOIN (SELECT DIST
 
 
 def loo_units(s, d):
-    return R.leave_unit_out(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
+    return R.leave_unit_out(stored(complete(long_panel), s, d), CELL, "unit", "year", "y", "treat", "post")
 
 
 @query(
     "e09_leave_one_unit_out",
-    f"WITH {LONG_PANEL} {LOO_U} SELECT product, metric, dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, round(delta_pct + 1e-9, 4) + 0.0 AS delta_pct, 'ok' AS note FROM lr",
+    f"WITH {LONG_WHOLE} {LOO_U} SELECT product, metric, dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, round(delta_pct + 1e-9, 4) + 0.0 AS delta_pct, 'ok' AS note FROM lr",
 )
 def e09(s, d):
     return loo_units(s, d).select(*CELL, "dropped", rnd("tau_loo", 3).alias("tau_loo"), rnd("se_loo", 3).alias("se_loo"), rnd("delta_pct", 4).alias("delta_pct"), "note")
@@ -173,11 +177,11 @@ def e09(s, d):
 
 @query(
     "e09_leave_one_period_out",
-    f"""WITH {LONG_PANEL}, lu AS (SELECT l.*, x.year AS dropped FROM long l JOIN (SELECT DISTINCT year FROM long) x ON x.year <> l.year) {did_sql('lu', 'product, metric, dropped', 'lo')}
+    f"""WITH {LONG_WHOLE}, lu AS (SELECT l.*, x.year AS dropped FROM long l JOIN (SELECT DISTINCT year FROM long) x ON x.year <> l.year) {did_sql('lu', 'product, metric, dropped', 'lo')}
     SELECT product, metric, dropped, round(tau + 1e-9, 3) + 0.0 AS tau_loo, round(se + 1e-9, 3) + 0.0 AS se_loo, 'ok' AS note FROM lo""",
 )
 def e09_period(s, d):
-    r = R.leave_period_out(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
+    r = R.leave_period_out(stored(complete(long_panel), s, d), CELL, "unit", "year", "y", "treat", "post")
     return r.select(*CELL, "dropped", rnd("tau_loo", 3).alias("tau_loo"), rnd("se_loo", 3).alias("se_loo"), "note")
 
 
@@ -193,7 +197,7 @@ def e09_blocks(s, d):
 
 @query(
     "e10_sensitivity_verdict",
-    f"""WITH {LONG_PANEL} {LOO_U} SELECT product, metric, round(any_value(tau_full) + 1e-9, 3) + 0.0 AS tau_full, round(max(abs(delta_pct)) + 1e-9, 4) + 0.0 AS max_abs_delta_pct, arg_max(dropped, (abs(delta_pct), -dropped)) AS driver,
+    f"""WITH {LONG_WHOLE} {LOO_U} SELECT product, metric, round(any_value(tau_full) + 1e-9, 3) + 0.0 AS tau_full, round(max(abs(delta_pct)) + 1e-9, 4) + 0.0 AS max_abs_delta_pct, arg_max(dropped, (abs(delta_pct), -dropped)) AS driver,
       CASE WHEN max(CASE WHEN sign(tau) <> sign(tau_full) THEN 1 ELSE 0 END) = 1 THEN 'fragile' WHEN max(abs(delta_pct)) > 25 THEN 'leverage' ELSE 'stable' END AS verdict FROM lr GROUP BY 1, 2""",
 )
 def e10(s, d):
@@ -205,17 +209,17 @@ PLACEBO = f""", pm AS (SELECT r.range AS mask, p.year, p.unit, p.y, p.post, CAST
 
 
 def placebo(s, d):
-    return R.in_space_placebo(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "treat", "post")
+    return R.in_space_placebo(stored(one_cell(complete(tier_panel)), s, d), ["cell"], "unit", "year", "y", "treat", "post")
 
 
-@query("e11_in_space_placebo", f"WITH {TIER_PANEL} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
+@query("e11_in_space_placebo", f"WITH {TIER_WHOLE} {PLACEBO} SELECT CAST(mask AS INTEGER) AS mask, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, mask = 31 AS is_real FROM pl")
 def e11(s, d):
     return placebo(s, d).select("mask", rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), "is_real")
 
 
 @query(
     "e12_placebo_summary",
-    f"""WITH {TIER_PANEL} {PLACEBO}, r AS (SELECT tau AS tr FROM pl WHERE mask = 31), o AS (SELECT tau, tr FROM pl, r WHERE mask <> 31)
+    f"""WITH {TIER_WHOLE} {PLACEBO}, r AS (SELECT tau AS tr FROM pl WHERE mask = 31), o AS (SELECT tau, tr FROM pl, r WHERE mask <> 31)
     SELECT count(*) + 1 AS n_perm, round(any_value(tr) + 1e-9, 3) + 0.0 AS tau_real, round(quantile_cont(tau, 0.5) + 1e-9, 3) + 0.0 AS median, round(quantile_cont(tau, 0.05) + 1e-9, 3) + 0.0 AS p05, round(quantile_cont(tau, 0.95) + 1e-9, 3) + 0.0 AS p95, round(max(abs(tau)) + 1e-9, 3) + 0.0 AS max_abs,
       count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) AS n_extreme, round((count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) + 1) / (count(*) + 1) + 1e-9, 6) + 0.0 AS p_perm,
       CASE WHEN (count(CASE WHEN abs(tau) >= abs(tr) - 1e-9 THEN 1 END) + 1) / (count(*) + 1) <= 0.1 THEN 'passes' ELSE 'fails' END AS verdict FROM o""",
@@ -227,11 +231,11 @@ def e12(s, d):
 
 @query(
     "e13_in_time_placebo",
-    f"""WITH {LONG_PANEL}, fp AS (SELECT * EXCLUDE (post), CASE WHEN year = 1996 THEN 1 ELSE 0 END AS post FROM long WHERE year NOT IN (1997, 1998, 1999)) {did_sql('fp', 'product, metric', extra='1')}
+    f"""WITH {LONG_WHOLE}, fp AS (SELECT * EXCLUDE (post), CASE WHEN year = 1996 THEN 1 ELSE 0 END AS post FROM long WHERE year NOT IN (1997, 1998, 1999)) {did_sql('fp', 'product, metric', extra='1')}
     SELECT product, metric, '1996' AS fake_post, round(tau + 1e-9, 3) + 0.0 AS tau_pseudo, round(se + 1e-9, 3) + 0.0 AS se_pseudo FROM did""",
 )
 def e13(s, d):
-    p = stored(long_panel, s, d).where(~F.col("year").isin(POST)).withColumn("post", (F.col("year") == 1996).cast("int"))
+    p = stored(complete(long_panel), s, d).where(~F.col("year").isin(POST)).withColumn("post", (F.col("year") == 1996).cast("int"))
     r = D.balanced_did(p, CELL, "unit", "year", "y", "treat", "post", small_sample="g")
     return r.select(*CELL, F.lit("1996").alias("fake_post"), rnd("tau", 3).alias("tau_pseudo"), rnd("se", 3).alias("se_pseudo"))
 
@@ -244,35 +248,35 @@ def customer_panel(s, d):
 
 @query("e14_cell_level_did_unbalanced")
 def e14(s, d):
-    r = D.static_did(customer_panel(s, d), [], "unit", "year", YEARS, "y", "treat", "post", cluster="cluster")
+    r = D.static_did(customer_panel(s, d), [], "unit", "year", years(s, d), "y", "treat", "post", cluster="cluster")
     return r.select("tau", "se", "n_obs", "n_units", "n_clusters", "k", "status")
 
 
 @query(
     "e14_cell_level_did_balanced",
     f"""WITH {LOCATED}, cp AS (SELECT 'all' AS cell, o_custkey AS unit, n_nationkey AS cluster, year, avg(o_totalprice) AS y, CASE WHEN n_regionkey <= 1 THEN 1 ELSE 0 END AS treat, CASE WHEN year IN (1997, 1998, 1999) THEN 1 ELSE 0 END AS post FROM loc GROUP BY 2, 3, 4, 6),
-    full_ AS (SELECT unit FROM cp GROUP BY 1 HAVING count(*) = 6), bp AS (SELECT cp.* FROM cp JOIN full_ USING (unit)) {did_sql('bp', 'cell', score_by='cluster')}
+    full_ AS (SELECT unit FROM cp GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT year) FROM cp)), bp AS (SELECT cp.* FROM cp JOIN full_ USING (unit)) {did_sql('bp', 'cell', score_by='cluster')}
     SELECT round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, n_obs, n_units, n_clusters FROM did""",
 )
 def e14_balanced(s, d):
     p = customer_panel(s, d)
-    full = p.groupBy("unit").agg(F.count("*").alias("c")).where("c = 6").select("unit")
-    r = D.static_did(p.join(full, "unit"), [], "unit", "year", YEARS, "y", "treat", "post", cluster="cluster")
+    full = p.groupBy("unit").agg(F.count("*").alias("c")).where(F.col("c") == len(years(s, d))).select("unit")
+    r = D.static_did(p.join(full, "unit"), [], "unit", "year", years(s, d), "y", "treat", "post", cluster="cluster")
     return r.select(rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), "n_obs", "n_units", "n_clusters")
 
 
 @query(
     "e15_minimum_detectable_effect",
-    f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, round(2.8 * se + 1e-9, 2) + 0.0 AS mde, CASE WHEN abs(tau) >= 2.8 * se THEN 'yes' ELSE 'no' END AS detectable FROM did""",
+    f"""WITH {LONG_WHOLE} {did_sql('long', 'product, metric')} SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, round(2.8 * se + 1e-9, 2) + 0.0 AS mde, CASE WHEN abs(tau) >= 2.8 * se THEN 'yes' ELSE 'no' END AS detectable FROM did""",
 )
 def e15(s, d):
-    r = D.balanced_did(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post").withColumn("mde", R.rule_of_thumb_mde(F.col("se")))
+    r = D.balanced_did(stored(complete(long_panel), s, d), CELL, "unit", "year", "y", "treat", "post").withColumn("mde", R.rule_of_thumb_mde(F.col("se")))
     return r.select(*CELL, rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), rnd("mde", 2).alias("mde"), F.when(F.abs("tau") >= F.col("mde"), "yes").otherwise("no").alias("detectable"))
 
 
 @query("e15_minimum_detectable_effect_t")
 def e15_t(s, d):
-    r = D.balanced_did(stored(long_panel, s, d), CELL, "unit", "year", "y", "treat", "post")
+    r = D.balanced_did(stored(complete(long_panel), s, d), CELL, "unit", "year", "y", "treat", "post")
     return R.minimum_detectable(r, "tau", "se", "n_units").select(*CELL, "tau", "se", "mde_two", "mde_one", "tau_over_mde", "detectable")
 
 
@@ -284,7 +288,7 @@ CRIT = {g: round(t_ppf(0.975, g - 1), 9) for g in SIZES}
 
 @query(
     "e16_power_curve",
-    f"""WITH {TIER_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS idx, a, q, count(*) OVER () AS pool FROM did_c JOIN did_m USING (cell)),
+    f"""WITH {TIER_WHOLE}, pc AS ({ALL}) {did_sql('pc', 'cell')}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS idx, a, q, count(*) OVER () AS pool FROM did_c JOIN did_m USING (cell)),
     sl AS (SELECT g.g, r.range AS rep, t.range AS slot, floor(CAST('0x' || substr(md5(concat_ws('|', g.g, r.range, t.range, '42')), 1, 13) AS BIGINT) / pow(16, 13) * (SELECT max(pool) FROM u)) AS idx
       FROM (VALUES {', '.join(f'({g}, {CRIT[g]}::DOUBLE)' for g in SIZES)}) g(g, crit), range({REPS}) r, range({max(SIZES)}) t WHERE t.range < g.g),
     m AS (SELECT g, rep, avg(a) FILTER (slot < g // 2) AS m1, avg(a) FILTER (slot >= g // 2) AS m0, any_value(q) AS q FROM sl JOIN u USING (idx) GROUP BY 1, 2),
@@ -293,17 +297,17 @@ CRIT = {g: round(t_ppf(0.975, g - 1), 9) for g in SIZES}
     FROM v, (SELECT unnest({EFFECTS}::DOUBLE[]) AS tau) e GROUP BY 1, 2""",
 )
 def e16(s, d):
-    r = R.power_curve(stored(one_cell(tier_panel), s, d), ["cell"], "unit", "year", "y", "post", EFFECTS, SIZES, REPS, CRIT)
+    r = R.power_curve(stored(one_cell(complete(tier_panel)), s, d), ["cell"], "unit", "year", "y", "post", EFFECTS, SIZES, REPS, CRIT)
     return r.select("G", "tau_true", rnd("power").alias("power"), "n_reps")
 
 
 def nation_deltas(s, d):
-    p = stored(one_cell(nation_panel), s, d)
+    p = stored(one_cell(complete(nation_panel)), s, d)
     est = D.balanced_did(p, ["cell"], "unit", "year", "y", "treat", "post").select("tau", "se")
     return attach_scalar(baseline_delta(p, ["unit"], "year", "y", [1995, 1996], 1998), est)
 
 
-DELTAS = f"""WITH {NATION_PANEL}, pc AS ({ALL}) {did_sql('pc', 'cell')}, dl AS (SELECT unit, avg(CASE WHEN year IN (1995, 1996) THEN y END) AS baseline, max(CASE WHEN year = 1998 THEN y END) - avg(CASE WHEN year IN (1995, 1996) THEN y END) AS delta FROM panel GROUP BY 1)"""
+DELTAS = f"""WITH {NATION_WHOLE}, pc AS ({ALL}) {did_sql('pc', 'cell')}, dl AS (SELECT unit, avg(CASE WHEN year IN (1995, 1996) THEN y END) AS baseline, max(CASE WHEN year = 1998 THEN y END) - avg(CASE WHEN year IN (1995, 1996) THEN y END) AS delta FROM panel GROUP BY 1)"""
 
 
 @query(
@@ -349,7 +353,7 @@ def e19(s, d):
 def e20(s, d):
     fr = orders_located(s, d).groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey", "year").agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("y"))
     fr = fr.withColumns({"treat": (F.col("n_regionkey") <= 1).cast("int"), "post": F.col("year").isin(POST).cast("int")})
-    return D.static_did(fr, [], "unit", "year", YEARS, "y", "treat", "post").select(rnd("tau").alias("tau"), rnd("se").alias("se"), "n_obs")
+    return D.static_did(fr, [], "unit", "year", years(s, d), "y", "treat", "post").select(rnd("tau").alias("tau"), rnd("se").alias("se"), "n_obs")
 
 
 @query(
@@ -395,7 +399,7 @@ def e22_full(s, d):
     lp = stored(long_panel, s, d)
     c = R.baci_contrast(lp, CELL, "y", "treat", "post").select(*CELL, "n_obs", rnd("contrast", 3).alias("contrast"))
     v = P.variance_components(lp, CELL, "unit", "year", "y").select(*CELL, rnd(F.col("sigma_u") ** 2, 2).alias("var_unit"), rnd(F.col("sigma_t") ** 2, 2).alias("var_period"))
-    b = D.panel_blocks(lp, CELL, "unit", "unit", "year", YEARS, "y", {"did": F.col("treat") * F.col("post")})
+    b = D.panel_blocks(lp, CELL, "unit", "unit", "year", years(s, d), "y", {"did": F.col("treat") * F.col("post")})
     w = R.wild_bootstrap_p(b, draws=HASHED_DRAWS, signs="hashed").select(*CELL, rnd("p_wcb").alias("p_wcb"))
     return join_on(join_on(c, v, CELL), w, CELL)
 
@@ -406,7 +410,7 @@ def e21_trimmed(s, d):
     out = None
     for side in ("lower", "upper"):
         kept = R.trimmed(lp, CELL, "y", (F.col("treat") == 1) & (F.col("post") == 1), 0.1, side)
-        r = D.static_did(kept, CELL, "unit", "year", YEARS, "y", "treat", "post").select(*CELL, F.lit(side).alias("bound"), "tau", "se", "n_obs", "status")
+        r = D.static_did(kept, CELL, "unit", "year", years(s, d), "y", "treat", "post").select(*CELL, F.lit(side).alias("bound"), "tau", "se", "n_obs", "status")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -426,7 +430,7 @@ def e14_one_pass(s, d):
 
 @query("e05_joint_lead_test_full_covariance")
 def e05_full(s, d):
-    b = D.event_blocks(long_panel(s, d), CELL, "unit", "year", YEARS, "y", "treat", 1997)
+    b = D.event_blocks(long_panel(s, d), CELL, "unit", "year", years(s, d), "y", "treat", 1997)
     return D.wald_joint(b, ["1995", "1996"])
 
 
@@ -434,5 +438,5 @@ def e05_full(s, d):
 def e20_verdict(s, d):
     fr = orders_located(s, d).groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey", "year").agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("y"))
     fr = fr.withColumns({"treat": (F.col("n_regionkey") <= 1).cast("int"), "post": F.col("year").isin(POST).cast("int")})
-    r = D.with_inference(D.static_did(fr, [], "unit", "year", YEARS, "y", "treat", "post"))
+    r = D.with_inference(D.static_did(fr, [], "unit", "year", years(s, d), "y", "treat", "post"))
     return r.select("tau", "se", "p_value", D.missingness_verdict("tau", "p_value").alias("verdict"))

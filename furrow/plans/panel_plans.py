@@ -22,6 +22,7 @@ from furrow.plans.base import (
     orders_located,
     rnd,
     table,
+    years,
 )
 from furrow.plans.registry import query
 from furrow.session import cut_lineage
@@ -230,12 +231,12 @@ def j12(s, d):
 
 @query(
     "j13_design_grid",
-    f"""WITH {LOCATED}, u AS (SELECT n_nationkey AS unit FROM nation), g AS (SELECT unit, CAST(y.y AS INTEGER) AS year, m.metric FROM u CROSS JOIN range(1995, 2001) y(y) CROSS JOIN (VALUES ('SOS'), ('POS'), ('EOS')) m(metric)),
+    f"""WITH {LOCATED}, u AS (SELECT n_nationkey AS unit FROM nation), g AS (SELECT unit, CAST(y.y AS INTEGER) AS year, m.metric FROM u CROSS JOIN (SELECT DISTINCT year FROM loc) y(y) CROSS JOIN (VALUES ('SOS'), ('POS'), ('EOS')) m(metric)),
     f AS (SELECT n_nationkey AS unit, year, count(*) AS n FROM loc WHERE o_totalprice > 450000 GROUP BY 1, 2) SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN f USING (unit, year)""",
 )
 def j13(s, d):
     units = table(s, d, "nation").select(F.col("n_nationkey").alias("unit"))
-    g = P.design_grid(units, {"year": YEARS, "metric": ["SOS", "POS", "EOS"]})
+    g = P.design_grid(units, {"year": years(s, d), "metric": ["SOS", "POS", "EOS"]})
     f = orders_located(s, d).where("o_totalprice > 450000").groupBy(F.col("n_nationkey").alias("unit"), "year").agg(F.count("*").alias("n"))
     return g.join(f, ["unit", "year"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -114,7 +114,7 @@ def a29_clean(s, d):
 @query(
     "a30_panel_quality_suite",
     f"""WITH {NATION_PANEL}, r AS (SELECT '01_columns' AS rule, 0::BIGINT AS n_bad UNION ALL SELECT '02_rows', CASE WHEN count(*) = 150 THEN 0 ELSE abs(count(*) - 150) END FROM panel UNION ALL SELECT '03_units', (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT unit FROM panel))
-      UNION ALL SELECT '04_years', count(CASE WHEN year NOT BETWEEN 1995 AND 2000 THEN 1 END) FROM panel UNION ALL SELECT '05_treatment', count(CASE WHEN (treat = 1) <> (region <= 1) THEN 1 END) FROM panel
+      UNION ALL SELECT '04_years', count(CASE WHEN year NOT BETWEEN 1995 AND 2001 THEN 1 END) FROM panel UNION ALL SELECT '05_treatment', count(CASE WHEN (treat = 1) <> (region <= 1) THEN 1 END) FROM panel
       UNION ALL SELECT '08_range', count(CASE WHEN NOT (y BETWEEN 1 AND 255000) THEN 1 END) FROM panel UNION ALL SELECT '09_support', count(CASE WHEN n < 60 THEN 1 END) FROM panel)
     SELECT rule, n_bad = 0 AS ok, n_bad FROM r""",
 )
@@ -122,7 +122,7 @@ def a30(s, d):
     p = nation_panel(s, d)
     rules = Q.run_rules(p, {
         "02_rows": F.abs(F.count("*") - 150),
-        "04_years": Q.bad_rows(F.col("year").between(1995, 2000)),
+        "04_years": Q.bad_rows(F.col("year").between(1995, 2001)),
         "05_treatment": Q.bad_rows((F.col("treat") == 1) == (F.col("region") <= 1)),
         "08_range": Q.bad_rows(F.col("y").isNull() | F.col("y").between(1, 255000)),
         "09_support": Q.bad_rows(F.col("n") >= 60),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.functions import scalar as S
 from furrow.functions.ranking import grouped_stats
 from furrow.operators import raster as R
-from furrow.plans.base import BANDS, OBS, obs, periods, rnd, stack, stack_sql, table
+from furrow.plans.base import BANDS, OBS, obs, periods, rnd, stack, stack_sql, table, years
 from furrow.plans.registry import query
 
 STACK_D = stack_sql("user_id, d")
@@ -443,15 +443,17 @@ def a10(s, d):
 
 @query(
     "a11_balanced_pixels",
-    """WITH v AS (SELECT o_custkey, year(o_orderdate) AS yr, count(DISTINCT month(o_orderdate)) AS months FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2)
-    SELECT o_custkey FROM v WHERE months >= 1 GROUP BY 1 HAVING count(*) = 6""",
+    """WITH cy AS (SELECT year(o_orderdate) AS yr FROM orders GROUP BY 1 HAVING count(DISTINCT month(o_orderdate)) = 12),
+    v AS (SELECT o_custkey, year(o_orderdate) AS yr, count(DISTINCT month(o_orderdate)) AS months FROM orders WHERE year(o_orderdate) IN (SELECT yr FROM cy) GROUP BY 1, 2)
+    SELECT o_custkey FROM v WHERE months >= 1 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM cy)""",
 )
 def a11(s, d):
+    whole = years(s, d, complete=True)
     v = (
-        table(s, d, "orders").where("o_orderdate < timestamp'2001-01-01'")
+        table(s, d, "orders").where(F.year("o_orderdate").isin(whole))
         .select("o_custkey", F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mo")).distinct().withColumn("valid", F.lit(True))
     )
-    return R.balanced_pixels(v, ["o_custkey"], "yr", months_needed=1, years=6)
+    return R.balanced_pixels(v, ["o_custkey"], "yr", months_needed=1, years=len(whole))
 
 
 @query(

@@ -429,8 +429,7 @@ def test_rows_outside_the_period_roster_are_an_error(spark):
 
 
 def test_component_contrast_registers_the_published_draws():
-    import inspect
+    from furrow.plans import did_plans, season_plans
 
-    from furrow.plans import did_plans
-
-    assert "draws=9999" in inspect.getsource(did_plans.e22_full)
+    assert did_plans.HASHED_DRAWS == 9999 and season_plans.REPLICATES == 1000
+    assert did_plans.REPS == 999 and len(did_plans.EFFECTS) == 10 and did_plans.SIZES == [4, 6, 8, 12]
