@@ -20,6 +20,24 @@ def literal_table(df: DataFrame, schema: str, rows: Sequence[tuple]) -> DataFram
     return df.sparkSession.createDataFrame(list(rows), schema)
 
 
+def spelling_key(name: Column) -> Column:
+    """What spellings of one name share: case, spaces and punctuation do not count."""
+    return F.nullif(F.regexp_replace(F.lower(name), "[^\\p{L}\\p{N}]+", ""), F.lit(""))
+
+
+def resolve_names(df: DataFrame, name: str, variants: DataFrame, canonical: str, spelling: str, priority: str, fallback: Column | None = None) -> DataFrame:
+    """Each row's name as the canonical one of the best candidate spelling it matches.
+
+    ``variants`` holds the candidate spellings of every canonical name; where a spelling belongs to
+    several names, the least priority wins and then the first name. Adds ``resolved`` and
+    ``match_priority``; a blank, NULL or unknown name has the fallback and a NULL priority.
+    """
+    best = variants.withColumn("__key", spelling_key(F.col(spelling))).where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min(F.struct(F.col(priority).alias("p"), F.col(canonical).alias("c"))).alias("__best"))
+    j = df.withColumn("__key", spelling_key(F.col(name))).join(best, "__key", "left")
+    found = F.col("__best.c")
+    return j.select(*df.columns, (F.coalesce(found, fallback) if fallback is not None else found).alias("resolved"), F.col("__best.p").alias("match_priority"))
+
+
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, value: str) -> DataFrame:
     return df.unpivot(list(ids), list(cols), name, value)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.ranking import join_on
@@ -24,28 +24,73 @@ def in_box(lon: str, lat: str, box: Sequence[float]) -> Column:
     return F.col(lon).between(x0, x1) & F.col(lat).between(y0, y1)
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius_km: float, cell: float = 0.5) -> DataFrame:
+CROWD = 50_000
+LEVELS = 5
+
+
+def crowd_cells(points: DataFrame, cell: float, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+    """Leaves of a quadtree over the occupied cells: a cell with more than ``crowd`` points is cut in four.
+
+    One row per finest cell (fx, fy) with its base cell, the leaf it belongs to (level, lx, ly) and
+    the number of lots that the points of a leaf still crowded at the last level are dealt into.
+    A cell's counts come from its at most 4^levels finest cells, never from its points.
+    """
+    n = 1 << levels
+    fine = points.groupBy(F.floor(F.col("lon") / cell * n).cast("long").alias("fx"), F.floor(F.col("lat") / cell * n).cast("long").alias("fy")).agg(F.count(F.lit(1)).alias("c"))
+    at = lambda c, i: F.shiftright(c, levels - i)
+    fine = fine.withColumn("bx", at("fx", 0)).withColumn("by", at("fy", 0))
+    level, count = F.lit(levels), F.col("c")
+    for i in reversed(range(levels)):
+        held = F.sum("c").over(Window.partitionBy("bx", "by", at("fx", i), at("fy", i)))
+        fine = fine.withColumn(f"c{i}", held)
+        level, count = F.when(F.col(f"c{i}") <= crowd, i).otherwise(level), F.when(F.col(f"c{i}") <= crowd, F.col(f"c{i}")).otherwise(count)
+    leaf = fine.select("bx", "by", "fx", "fy", level.alias("level"), F.ceil(count / crowd).cast("int").alias("lots"))
+    down = F.lit(levels) - F.col("level")
+    return leaf.withColumn("lx", F.call_function("shiftright", "fx", down)).withColumn("ly", F.call_function("shiftright", "fy", down))
+
+
+def cut_segments(segments: DataFrame, longest: float) -> DataFrame:
+    """Distinct segments as pieces of at most ``longest`` degrees along either axis; pieces join end to end."""
+    s = segments.select("lon1", "lat1", "lon2", "lat2").where("lon1 IS NOT NULL AND lat1 IS NOT NULL AND lon2 IS NOT NULL AND lat2 IS NOT NULL").distinct()
+    dx, dy = F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
+    s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / longest)).cast("int"))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    end = lambda a, b, i: F.when(i == F.col("n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * i / F.col("n"))
+    i = F.col("i")
+    return s.select(end("lon1", "lon2", i).alias("lon1"), end("lat1", "lat2", i).alias("lat1"), end("lon1", "lon2", i + 1).alias("lon2"), end("lat1", "lat2", i + 1).alias("lat2"))
+
+
+def near_segments(points: DataFrame, segments: DataFrame, radius_km: float, cell: float = 0.5, crowd: int = CROWD) -> DataFrame:
     """Points within ``radius_km`` of at least one segment (lon1, lat1, lon2, lat2).
 
-    Segments are spread over the grid cells of their buffered box; the semi join
-    stops at the first hit, so a crowded cell does not multiply its points.
+    Segments are cut into pieces no longer than a cell and meet the points in the leaves of
+    ``crowd_cells`` that a piece's buffered box touches, so a crowded spot is compared with what
+    lies near it and not with its whole cell; empty cells take part in nothing. The semi join
+    stops at the first hit. Points without coordinates are near nothing.
     """
     pad_y = radius_km / KM_PER_DEGREE * 1.01
     top = F.greatest(F.abs("lat1"), F.abs("lat2")) + pad_y
     pad_x = F.lit(pad_y) / F.cos(F.radians(F.least(top, F.lit(89.0))))
-
-    def span(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long")))
-
-    seg = segments.select(
-        "lon1", "lat1", "lon2", "lat2", span(F.least("lon1", "lon2") - pad_x, F.greatest("lon1", "lon2") + pad_x).alias("__cx")
+    base = lambda v: F.floor(v / cell).cast("long")
+    piece = cut_segments(segments, cell).select(
+        "*", (F.least("lon1", "lon2") - pad_x).alias("x0"), (F.greatest("lon1", "lon2") + pad_x).alias("x1"), (F.least("lat1", "lat2") - pad_y).alias("y0"), (F.greatest("lat1", "lat2") + pad_y).alias("y1")
     )
-    seg = seg.select("*", span(F.least("lat1", "lat2") - pad_y, F.greatest("lat1", "lat2") + pad_y).alias("__cy"))
-    seg = seg.withColumnsRenamed({"__cx": "__sx", "__cy": "__sy"})
-    p = points.withColumn("__cx", grid_cell("lon", cell)).withColumn("__cy", grid_cell("lat", cell))
+    piece = piece.withColumn("bx", F.explode(F.sequence(base(F.col("x0")), base(F.col("x1"))))).withColumn("by", F.explode(F.sequence(base(F.col("y0")), base(F.col("y1")))))
+
+    cells = crowd_cells(points.where("lon IS NOT NULL AND lat IS NOT NULL"), cell, crowd)
+    leaves = cells.groupBy("bx", "by", "level", "lx", "ly").agg(F.max("lots").alias("lots"))
+    size = F.lit(cell) / F.call_function("shiftleft", F.lit(1), F.col("level"))
+    meets = (F.col("x1") >= F.col("lx") * size) & (F.col("x0") <= (F.col("lx") + 1) * size) & (F.col("y1") >= F.col("ly") * size) & (F.col("y0") <= (F.col("ly") + 1) * size)
+    near = piece.join(leaves, ["bx", "by"]).where(meets).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    near = near.select("lon1", "lat1", "lon2", "lat2", F.struct("level", "lx", "ly", "lot").alias("__there"))
+
+    n = 1 << LEVELS
+    p = points.withColumn("__fx", F.floor(F.col("lon") / cell * n).cast("long")).withColumn("__fy", F.floor(F.col("lat") / cell * n).cast("long"))
+    p = p.join(cells.select(F.col("fx").alias("__fx"), F.col("fy").alias("__fy"), "level", "lx", "ly", "lots").withColumnsRenamed({"level": "__level", "lx": "__lx", "ly": "__ly", "lots": "__lots"}), ["__fx", "__fy"])
+    lot = F.pmod(F.xxhash64(*points.columns), F.col("__lots")).cast("int")
+    p = p.withColumn("__here", F.struct(F.col("__level").alias("level"), F.col("__lx").alias("lx"), F.col("__ly").alias("ly"), lot.alias("lot")))
     close = point_segment_km("lon", "lat", "lon1", "lat1", "lon2", "lat2") <= radius_km
-    cond = (F.col("__cx") == F.col("__sx")) & (F.col("__cy") == F.col("__sy")) & close
-    return p.join(seg, cond, "left_semi").drop("__cx", "__cy")
+    return p.join(near, (F.col("__here") == F.col("__there")) & close, "left_semi").select(*points.columns)
 
 
 def groups_within(df: DataFrame, keys: Sequence[str], lon: float, lat: float, radius_km: float) -> DataFrame:

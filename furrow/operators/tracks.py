@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.ranking import exact_row_number, join_on
@@ -13,8 +13,8 @@ PART_POINTS = 500
 
 
 def numbered(fixes: DataFrame, sid: str, ts: str, tie: str) -> DataFrame:
-    """Position of each fix in its track, ordered inside days only."""
-    return exact_row_number(fixes, [sid], [ts, tie], F.to_date(ts), "seq")
+    """Position of each fix in its track, ordered inside hours only."""
+    return exact_row_number(fixes, [sid], [ts, tie], F.date_trunc("hour", ts), "seq")
 
 
 def segments(fixes: DataFrame, sid: str, ts: str, tie: str) -> DataFrame:
@@ -57,13 +57,30 @@ def until_landfall(fixes: DataFrame, sid: str, ts: str, anchor: DataFrame, hours
     return j.where(F.col(ts) <= F.col("__t0") + F.expr(f"INTERVAL {hours} HOURS")).drop("__t0")
 
 
-def breakpoint_rank(value: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """Percentile by linear interpolation between (percentile, value) points, clamped.
+def breakpoint_segments(breaks: DataFrame, metric: str, point: str, value: str) -> DataFrame:
+    """Half-open pieces (metric, lo, hi, p_lo, p_hi) between the published points of a metric, open at both ends.
 
+    Points of one value are one step: the piece below ends at the least of their percentiles, the
+    piece above starts at the greatest.
+    """
+    at = breaks.groupBy(metric, F.col(value).cast("double").alias("lo")).agg(F.max(point).cast("double").alias("p_lo"), F.min(point).cast("double").alias("__below"))
+    w = Window.partitionBy(metric).orderBy("lo")
+    inner = at.select(metric, "lo", F.lead("lo").over(w).alias("hi"), "p_lo", F.lead("__below").over(w).alias("p_hi"))
+    first = at.groupBy(metric).agg(F.min("lo").alias("hi"), F.min_by("__below", "lo").alias("p_hi"))
+    return inner.unionByName(first.select(metric, F.lit(None).cast("double").alias("lo"), "hi", F.lit(None).cast("double").alias("p_lo"), "p_hi"))
+
+
+def breakpoint_ranks(values: DataFrame, metric: str, value: str, breaks: DataFrame, point: str, at: str, name: str = "pct") -> DataFrame:
+    """Percentile of every (metric, value) row by its metric's table of (percentile, value) points.
+
+    One equi join on the metric, narrowed to the piece that holds the value: linear between points,
+    the end point's percentile beyond them, NULL for a NULL or NaN value or a metric without points.
     Give values on an inverted scale negated, together with negated points.
     """
-    pts = sorted(points, key=lambda p: p[1])
-    out = F.when(value <= pts[0][1], F.lit(float(pts[0][0]))).when(value >= pts[-1][1], F.lit(float(pts[-1][0])))
-    for (p0, v0), (p1, v1) in zip(pts, pts[1:]):
-        out = out.when(value <= v1, p0 + (value - v0) / (v1 - v0) * (p1 - p0))
-    return out
+    s = breakpoint_segments(breaks, metric, point, at).withColumnsRenamed({c: f"__{c}" for c in (metric, "lo", "hi", "p_lo", "p_hi")})
+    v = F.col(value)
+    held = (F.col("__lo").isNull() | (v >= F.col("__lo"))) & (F.col("__hi").isNull() | (v < F.col("__hi"))) & ~F.isnan(v.cast("double"))
+    j = values.join(s, (F.col(metric) == F.col(f"__{metric}")) & held, "left")
+    share = (v - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    rank = F.when(F.col("__lo").isNull(), F.col("__p_hi")).when(F.col("__hi").isNull(), F.col("__p_lo")).otherwise(F.col("__p_lo") + share * (F.col("__p_hi") - F.col("__p_lo")))
+    return j.select(*[values[c] for c in values.columns], rank.alias(name))

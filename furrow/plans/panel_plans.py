@@ -79,6 +79,27 @@ def p04(s, d):
     return table(s, d, "supplier").select("s_suppkey", S.clean_name(raw, fallback=fallback).alias("name"))
 
 
+@query(
+    "p04_candidate_spellings",
+    """WITH r AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '  ' || upper(s_name) || ' ' WHEN 2 THEN 'supp. ' || right(s_name, 9) WHEN 3 THEN 'Supplier-' || s_suppkey ELSE 'unlisted ' || s_suppkey END AS raw FROM supplier),
+    v AS (SELECT s_name AS c, s_name AS sp, 0 AS p FROM supplier UNION ALL SELECT s_name, 'Supp ' || right(s_name, 9), 1 FROM supplier UNION ALL SELECT s_name, 'Supplier ' || s_suppkey, 2 FROM supplier UNION ALL SELECT s_name, 'Supplier ' || s_suppkey + 1, 3 FROM supplier),
+    k AS (SELECT regexp_replace(lower(sp), '[^\\p{L}\\p{N}]+', '', 'g') AS k, arg_min(c, (p, c)) AS c, min(p) AS p FROM v GROUP BY 1)
+    SELECT s_suppkey, coalesce(c, 'Unnamed_' || s_suppkey) AS resolved, CAST(p AS INTEGER) AS match_priority FROM r LEFT JOIN k ON k.k = nullif(regexp_replace(lower(raw), '[^\\p{L}\\p{N}]+', '', 'g'), '')""",
+)
+def p04_spellings(s, d):
+    """Suppliers under five spellings; each name's variants, one of them shared by two names."""
+    t = table(s, d, "supplier")
+    key, tail = F.col("s_suppkey").cast("string"), F.substring("s_name", -9, 9)
+    form = F.col("s_suppkey") % 5
+    raw = F.when(form == 0, " ").when(form == 1, F.concat(F.lit("  "), F.upper("s_name"), F.lit(" "))).when(form == 2, F.concat(F.lit("supp. "), tail)).when(form == 3, F.concat(F.lit("Supplier-"), key)).otherwise(F.concat(F.lit("unlisted "), key))
+    spell = lambda text, p: F.struct(text.alias("spelling"), F.lit(p).alias("priority"))
+    after = (F.col("s_suppkey") + 1).cast("string")
+    forms = F.array(spell(F.col("s_name"), 0), spell(F.concat(F.lit("Supp "), tail), 1), spell(F.concat(F.lit("Supplier "), key), 2), spell(F.concat(F.lit("Supplier "), after), 3))
+    variants = t.select("s_name", F.explode(forms).alias("f")).select("s_name", "f.spelling", "f.priority")
+    r = P.resolve_names(t.select("s_suppkey", raw.alias("raw")), "raw", variants, "s_name", "spelling", "priority", F.concat(F.lit("Unnamed_"), key))
+    return r.select("s_suppkey", "resolved", "match_priority")
+
+
 @query(
     "p14_support_bucketing",
     f"""WITH {NATION_PANEL} SELECT unit, year, CASE WHEN n < 70 THEN 'excluded' WHEN n < 95 THEN 'gap-filled' ELSE 'OK' END AS qa_flag, CASE WHEN share < 0.3 THEN 'poor' WHEN share < 0.36 THEN 'fair' ELSE 'good' END AS fit_quality FROM panel""",

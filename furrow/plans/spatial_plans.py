@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furrow.operators import panel as P
 from furrow.operators import sampling as M
 from furrow.operators import spatial as G
 from furrow.operators import tracks as K
@@ -132,17 +133,23 @@ def w09_first(s, d):
     return n.withColumn("lon", rnd("lon"))
 
 
+#: Published points of each metric as (metric, percentile, value); the inverted scale is negated.
+BREAKS = [("wind", 10, 35.0), ("wind", 50, 90.0), ("wind", 90, 180.0), ("wind", 100, 300.0), ("low", 0, -20.0), ("low", 50, -5.0), ("low", 100, -0.05), ("day", 0, 1.0), ("day", 25, 8.0), ("day", 75, 22.0), ("day", 100, 31.0)]
+
+
 @query(
     "w12_breakpoint_percentile",
-    f"""WITH {FIX}, m AS (SELECT sid, max(wmo) AS v, min(wmo) AS lo FROM fix GROUP BY 1)
-    SELECT sid, round(CASE WHEN v <= 35 THEN 10.0 WHEN v >= 300 THEN 100.0 WHEN v <= 90 THEN 10 + (v - 35) / 55 * 40 WHEN v <= 180 THEN 50 + (v - 90) / 90 * 40 ELSE 90 + (v - 180) / 120 * 10 END + 1e-9, 6) + 0.0 AS pct,
-      round(CASE WHEN -lo <= -20 THEN 0.0 WHEN -lo >= -0.05 THEN 100.0 WHEN -lo <= -5 THEN (-lo + 20) / 15 * 50 ELSE 50 + (-lo + 5) / 4.95 * 50 END + 1e-9, 6) + 0.0 AS inv_pct FROM m""",
+    f"""WITH {FIX}, m AS (SELECT sid, 'wind' AS metric, max(wmo) AS v FROM fix GROUP BY 1 UNION ALL SELECT sid, 'low', -min(wmo) FROM fix GROUP BY 1 UNION ALL SELECT sid, 'day', CAST(day(max(ts)) AS DOUBLE) FROM fix GROUP BY 1),
+    b AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {p}::DOUBLE, {v}::DOUBLE)" for m, p, v in BREAKS)}) t(metric, p, brk)),
+    lo AS (SELECT sid, metric, v, max(brk) AS a0, arg_max(p, brk) AS p0 FROM m JOIN b USING (metric) WHERE brk <= v GROUP BY 1, 2, 3), hi AS (SELECT sid, metric, min(brk) AS a1, arg_min(p, brk) AS p1 FROM m JOIN b USING (metric) WHERE brk > v GROUP BY 1, 2)
+    SELECT m.sid, m.metric, round(CASE WHEN m.v IS NULL THEN NULL WHEN a0 IS NULL THEN p1 WHEN a1 IS NULL THEN p0 ELSE p0 + (m.v - a0) / (a1 - a0) * (p1 - p0) END + 1e-9, 6) + 0.0 AS pct FROM m LEFT JOIN lo ON lo.sid = m.sid AND lo.metric = m.metric LEFT JOIN hi ON hi.sid = m.sid AND hi.metric = m.metric""",
 )
 def w12(s, d):
-    m = fixes(s, d).groupBy("sid").agg(F.max("wmo").alias("v"), F.min("wmo").alias("lo"))
-    pct = K.breakpoint_rank(F.col("v"), [(10, 35), (50, 90), (90, 180), (100, 300)])
-    inv = K.breakpoint_rank(-F.col("lo"), [(0, -20), (50, -5), (100, -0.05)])
-    return m.select("sid", rnd(pct).alias("pct"), rnd(inv).alias("inv_pct"))
+    """Three metrics of every system ranked by one join with their table of points."""
+    f = fixes(s, d).groupBy("sid").agg(F.max("wmo").alias("wind"), (-F.min("wmo")).alias("low"), F.dayofmonth(F.max("ts")).cast("double").alias("day"))
+    m = f.unpivot(["sid"], ["wind", "low", "day"], "metric", "v")
+    breaks = P.literal_table(f, "metric string, p double, at double", [(a, float(b), c) for a, b, c in BREAKS])
+    return K.breakpoint_ranks(m, "metric", "v", breaks, "p", "at").select("sid", "metric", rnd("pct").alias("pct"))
 
 
 @query(

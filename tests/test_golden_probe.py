@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions.ranking import attach_scalar
 from furrow.operators import resampling as R
 from furrow.operators.season import baseline_delta
-from furrow.operators.tracks import breakpoint_rank
+from furrow.operators.tracks import breakpoint_ranks
 
 # Start dates of 2017, 2018 and 2020, fitted (None where the fit failed) and by threshold.
 FITTED = {
@@ -57,7 +57,10 @@ def test_climatology_percentiles(spark):
     vmax = [(10, 35), (25, 50), (50, 65), (75, 90), (90, 115), (95, 130), (100, 140)]
     pmin = [(10, -992), (25, -985), (50, -975), (75, -955), (90, -935), (95, -925), (0, -912)]
     doy = [(0, 105), (25, 122), (50, 138), (75, 152), (100, 166)]
-    df = spark.createDataFrame([(135.0, 932.0, 123.0), (140.0, 925.0, 141.0), (100.0, 970.0, 146.0)], "v double, p double, d double")
-    got = df.select(*[c for c in (breakpoint_rank(F.col("v"), vmax), breakpoint_rank(-F.col("p"), pmin), breakpoint_rank(F.col("d"), doy))]).collect()
+    points = [(m, float(p), float(v)) for m, rows in (("v", vmax), ("p", pmin), ("d", doy)) for p, v in rows]
+    values = [(i, m, float(x)) for i, row in enumerate([(135.0, -932.0, 123.0), (140.0, -925.0, 141.0), (100.0, -970.0, 146.0)]) for m, x in zip("vpd", row)]
+    r = breakpoint_ranks(spark.createDataFrame(values, "i int, m string, x double"), "m", "x", spark.createDataFrame(points, "metric string, p double, at double").withColumnRenamed("metric", "m"), "p", "at")
+    by = {(x.i, x.m): x.pct for x in r.collect()}
+    got = [tuple(by[i, m] for m in "vpd") for i in range(3)]
     for row, want in zip(got, [(97.5, 91.5, 26.6), (100.0, 95.0, 55.4), (81.0, 56.2, 64.3)]):
         assert tuple(row) == pytest.approx(want, abs=0.051)

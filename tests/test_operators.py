@@ -14,6 +14,7 @@ from furrow.functions import distributions as dist
 from furrow.functions import ranking as rk
 from furrow.functions import scalar as S
 from furrow.operators import did as D
+from furrow.operators import panel as P
 from furrow.operators import raster as R
 from furrow.operators import resampling as B
 from furrow.operators import season as N
@@ -208,10 +209,42 @@ def test_track_parts_join_end_to_end(spark):
     assert K.segments(df, "sid", "ts", "eid").count() == 1202
 
 
-def test_breakpoint_rank_clamps(spark):
-    pts = [(10, 35), (50, 65), (100, 140)]
-    r = spark.createDataFrame([(20.0,), (35.0,), (50.0,), (65.0,), (500.0,)], "v double").select(K.breakpoint_rank(F.col("v"), pts).alias("p")).collect()
-    assert [x.p for x in r] == [10.0, 10.0, 30.0, 50.0, 100.0]
+def test_breakpoint_ranks_join_a_table_of_points(spark):
+    points = spark.createDataFrame([("a", 10.0, 35.0), ("a", 50.0, 65.0), ("a", 100.0, 140.0), ("one", 40.0, 7.0), ("step", 0.0, 1.0), ("step", 20.0, 2.0), ("step", 60.0, 2.0), ("step", 100.0, 3.0)], "m string, p double, at double")
+    asked = {("a", 20.0): 10.0, ("a", 35.0): 10.0, ("a", 50.0): 30.0, ("a", 65.0): 50.0, ("a", 140.0): 100.0, ("a", 500.0): 100.0, ("a", None): None, ("a", float("nan")): None,
+             ("one", 1.0): 40.0, ("one", 9.0): 40.0, ("none", 5.0): None, ("step", 1.5): 10.0, ("step", 2.0): 60.0, ("step", 2.5): 80.0}
+    v = spark.createDataFrame([(m, x, i) for i, (m, x) in enumerate(asked)], "m string, x double, lo int")
+    got = {r.lo: r.pct for r in K.breakpoint_ranks(v, "m", "x", points, "p", "at").collect()}
+    assert [got[i] for i in range(len(asked))] == [None if w is None else pytest.approx(w) for w in asked.values()]
+
+
+def test_points_near_segments_when_most_lie_in_one_cell(spark):
+    """Nine in ten points in one cell, many on one spot, and a long slanting segment: as by brute force."""
+    r = np.random.default_rng(11)
+    lon = np.concatenate([80.1 + 0.3 * r.random(3_000), np.full(1_500, 80.2), 70 + 20 * r.random(500)])
+    lat = np.concatenate([20.1 + 0.3 * r.random(3_000), np.full(1_500, 20.2), 10 + 20 * r.random(500)])
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat))] + [(-1, None, 20.0)]
+    seg = [(70.0, 10.0, 90.0, 30.0), (80.2, 20.2, 80.2, 20.2), (80.12, 20.4, 80.13, 20.41), (80.12, 20.4, 80.13, 20.41), (80.0, None, 80.0, 20.0)]
+    p, s = spark.createDataFrame(pts, "id long, lon double, lat double"), spark.createDataFrame(seg, "lon1 double, lat1 double, lon2 double, lat2 double")
+    want = set()
+    for x1, y1, x2, y2 in (q for q in seg if None not in q):
+        kx = np.cos(np.radians(lat)) * 111.32
+        ax, ay, bx, by = (x1 - lon) * kx, (y1 - lat) * 111.32, (x2 - lon) * kx, (y2 - lat) * 111.32
+        dx, dy = bx - ax, by - ay
+        n = dx * dx + dy * dy
+        t = np.clip(np.where(n > 0, -(ax * dx + ay * dy) / np.where(n > 0, n, 1), 0), 0, 1)
+        want |= set(np.flatnonzero(np.hypot(ax + t * dx, ay + t * dy) <= 3.0).tolist())
+    got = [x.id for x in G.near_segments(p, s, 3.0, crowd=100).collect()]
+    assert sorted(got) == sorted(want) and 1_500 < len(want) < 4_900
+    cells = G.crowd_cells(p.where("lon is not null"), 0.5, crowd=100).collect()
+    assert max(c.level for c in cells) == G.LEVELS and max(c.lots for c in cells) >= 15 and any(c.level == 0 for c in cells)
+
+
+def test_names_resolve_to_the_best_spelling(spark):
+    v = spark.createDataFrame([("Anugul", "Angul", 0), ("Anugul", "ANUGUL", 1), ("Other", "an-gul", 2), ("Puri", "Puri (Sadar)", 1), ("B", "same", 1), ("A", "Same", 1), ("X", " . ", 0)], "c string, s string, p int")
+    d = spark.createDataFrame([(1, " angul "), (2, "AN GUL"), (3, "anugul"), (4, "puri sadar"), (5, "SAME"), (6, None), (7, "  "), (8, "nowhere")], "id int, raw string")
+    got = {r.id: (r.resolved, r.match_priority) for r in P.resolve_names(d, "raw", v, "c", "s", "p", F.lit("unnamed")).collect()}
+    assert got == {1: ("Anugul", 0), 2: ("Anugul", 0), 3: ("Anugul", 1), 4: ("Puri", 1), 5: ("A", 1), 6: ("unnamed", None), 7: ("unnamed", None), 8: ("unnamed", None)}
 
 
 # --- estimators ------------------------------------------------------------------------
