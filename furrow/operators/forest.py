@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -52,14 +54,24 @@ def importance(spark, model: RandomForestClassificationModel, features: Sequence
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, keep: Sequence[str], **params) -> DataFrame:
-    """Out-of-fold predictions of every row, pooled; one fit per fold."""
-    parts = []
-    for k in range(folds):
-        model = train_forest(df.where(F.col(fold) != k), features, label, **params)
-        parts.append(predict(model, df.where(F.col(fold) == k), features, [*keep, label, fold]))
+    """Out-of-fold predictions of every row, pooled; one fit per fold, all submitted at once."""
+    fit = inheritable_thread_target(df.sparkSession)(lambda k: train_forest(df.where(F.col(fold) != k), features, label, **params))
+    with ThreadPoolExecutor(folds) as pool:  # a fit is many short stages: together they fill the cores
+        models = list(pool.map(fit, range(folds)))
+    parts = [predict(m, df.where(F.col(fold) == k), features, [*keep, label, fold]) for k, m in enumerate(models)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def pooled_scores(pred: DataFrame, label: str) -> DataFrame:
+    """One row over all out-of-fold predictions: accuracy, macro F1 over the labels, the largest label's share."""
+    hit = (F.col(label) == F.col("pred")).cast("long")
+    rows = pred.groupBy(F.col(label).alias("k")).agg(F.count(F.lit(1)).alias("ref"), F.sum(hit).alias("tp"))
+    cols = pred.groupBy(F.col("pred").alias("k")).agg(F.count(F.lit(1)).alias("got"))
+    c = rows.join(cols, "k", "left").withColumn("f1", 2 * F.col("tp") / (F.col("ref") + F.coalesce("got", F.lit(0))))
+    n = F.sum("ref")
+    return c.agg(n.alias("n"), (F.sum("tp") / n).alias("oa"), F.avg("f1").alias("macro_f1"), (F.max("ref") / n).alias("majority"))
+
+
 def fold_accuracy(pred: DataFrame, label: str, fold: str) -> DataFrame:
     """Overall accuracy and kappa per fold from marginal counts."""
     c = pred.groupBy(fold, label, "pred").agg(F.count(F.lit(1)).alias("n"))
@@ -70,3 +82,9 @@ def fold_accuracy(pred: DataFrame, label: str, fold: str) -> DataFrame:
     j = tot.join(pe, fold, "left")
     oa, e = F.col("hit") / F.col("n_val"), F.coalesce("agree", F.lit(0)) / (F.col("n_val") * F.col("n_val"))
     return j.select(fold, "n_val", oa.alias("oa"), F.try_divide(oa - e, 1 - e).alias("kappa"))
+
+
+def with_mean(scores: DataFrame, fold: str) -> DataFrame:
+    """The folds' scores and a last row, fold NULL, with their mean and the rows of all folds."""
+    mean = scores.agg(F.lit(None).cast("int").alias(fold), F.sum("n_val").alias("n_val"), F.avg("oa").alias("oa"), F.avg("kappa").alias("kappa"))
+    return scores.select(fold, "n_val", "oa", "kappa").unionByName(mean)

@@ -153,9 +153,9 @@ def least_curves(y: np.ndarray, basis: np.ndarray, digits: int) -> tuple[np.ndar
         r = slice(a, a + 2_000)
         amp = (hi - lo)[r, None]
         s = (z[r] * z[r]).sum(axis=1, keepdims=True) - 2 * amp * (z[r] @ basis.T) + amp * amp * (ok[r].astype(float) @ (basis * basis).T)
-        s = np.where(np.isfinite(s), np.round(s, digits) + 0.0, np.inf)
-        best[r] = s.argmin(axis=1)
-        low[r] = s[np.arange(len(s)), best[r]]
+        least = np.round(s.min(axis=1), digits)
+        best[r] = (s < (least + 0.5 * 10.0**-digits)[:, None]).argmax(axis=1)  # the first that rounds to the least
+        low[r] = np.where(np.isfinite(least), least + 0.0, np.inf)
     return best, low, lo, hi
 
 

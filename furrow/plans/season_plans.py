@@ -180,7 +180,9 @@ REPLICATES = 1000
 )
 def c04(s, d):
     ci = N.replicate_intervals(days(s, d), REPLICATES)
-    r = fitted(s, d).withColumn("r", ci("user_id", "ys", "fit.ssr"))
+    # few rows, much work each: dealt over all cores, which a coalesced shuffle would not do
+    units = fitted(s, d).repartition(4 * s.sparkContext.defaultParallelism, "user_id")
+    r = units.withColumn("r", ci("user_id", "ys", "fit.ssr"))
     return r.select("user_id", *[rnd(f"r.{c}").alias(c) for c in ("sos_lo", "sos_hi", "eos_lo", "eos_hi")], "r.n_rep")
 
 
