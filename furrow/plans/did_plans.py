@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import functions as F
 
 from furrow.functions.distributions import t_ppf
@@ -72,10 +74,30 @@ def e01(s, d):
     return r.select(*CELL, rnd("est", 3).alias("tau"), rnd("se", 3).alias("se"), rnd(F.col("est") / F.col("se"), 5).alias("t_stat"), "n_obs", "n_units", "n_clusters", "status")
 
 
-@query("e01_static_did_inference")
+#: Coefficients 2^n / (2n + 1)!! of the error function's series of positive terms.
+ERF_TERMS = [2.0**n / prod(range(1, 2 * n + 2, 2)) for n in range(100)]
+
+
+def normal_p_sql(t: str) -> str:
+    """Two-sided normal tail of t."""
+    x = f"abs({t}) / sqrt(2.0)"
+    terms = f"list_sum(list_transform(range({len(ERF_TERMS)}), lambda i: ({ERF_TERMS}::DOUBLE[])[i + 1] * pow({x}, 2 * i + 1)))"
+    return f"(CASE WHEN abs({t}) > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-pow({x}, 2)) * {terms} END)"
+
+
+@query(
+    "e01_static_did_inference",
+    f"""WITH {LONG_PANEL} {did_sql('long', 'product, metric')}, dd AS (SELECT product, metric, unit, year, y, treat * post * 1.0 AS x FROM long),
+    dm AS (SELECT product, metric, y - avg(y) OVER (PARTITION BY product, metric, unit) - avg(y) OVER (PARTITION BY product, metric, year) + avg(y) OVER (PARTITION BY product, metric) AS yw,
+      x - avg(x) OVER (PARTITION BY product, metric, unit) - avg(x) OVER (PARTITION BY product, metric, year) + avg(x) OVER (PARTITION BY product, metric) AS xw FROM dd),
+    r2 AS (SELECT product, metric, pow(sum(xw * yw), 2) / sum(xw * xw) / sum(yw * yw) AS r2 FROM dm GROUP BY 1, 2)
+    SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS est, round(se + 1e-9, 3) + 0.0 AS se, round(tau / se + 1e-9, 5) + 0.0 AS t_stat, round({normal_p_sql('(tau / se)')} + 1e-9, 6) + 0.0 AS p_value,
+      round(tau - {D.Z95} * se + 1e-9, 3) + 0.0 AS ci_lo, round(tau + {D.Z95} * se + 1e-9, 3) + 0.0 AS ci_hi, round(r2 + 1e-9, 6) + 0.0 AS r2_within, n_obs, 'ok' AS status FROM did JOIN r2 USING (product, metric)""",
+)
 def e01_p(s, d):
     r = D.with_inference(D.panel_ols(long_blocks(s, d)), "est", "se")
-    return r.select(*CELL, "est", "se", "t_stat", "p_value", "ci_lo", "ci_hi", "r2_within", "n_obs", "status")
+    digits = {"est": 3, "se": 3, "t_stat": 5, "p_value": 6, "ci_lo": 3, "ci_hi": 3, "r2_within": 6}
+    return r.select(*CELL, *[rnd(c, k).alias(c) for c, k in digits.items()], "n_obs", "status")
 
 
 def es_sql(src: str, keys: str, ref: int) -> str:
@@ -274,10 +296,20 @@ def e15(s, d):
     return r.select(*CELL, rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), rnd("mde", 2).alias("mde"), F.when(F.abs("tau") >= F.col("mde"), "yes").otherwise("no").alias("detectable"))
 
 
-@query("e15_minimum_detectable_effect_t")
+#: t quantiles by degrees of freedom, for panels of up to 60 units.
+T_POINTS = {p: [round(t_ppf(p, k), 9) for k in range(1, 60)] for p in (0.975, 0.95, 0.80)}
+T_SQL = {p: f"({v}::DOUBLE[])[g - 1]" for p, v in T_POINTS.items()}
+
+
+@query(
+    "e15_minimum_detectable_effect_t",
+    f"""WITH {LONG_WHOLE} {did_sql('long', 'product, metric')}, md AS (SELECT product, metric, tau, se, ({T_SQL[0.975]} + {T_SQL[0.80]}) * se AS two, ({T_SQL[0.95]} + {T_SQL[0.80]}) * se AS one FROM (SELECT *, n_units AS g FROM did))
+    SELECT product, metric, round(tau + 1e-9, 3) + 0.0 AS tau, round(se + 1e-9, 3) + 0.0 AS se, round(two + 1e-9, 2) + 0.0 AS mde_two, round(one + 1e-9, 2) + 0.0 AS mde_one, round(abs(tau) / two + 1e-9, 5) + 0.0 AS tau_over_mde, CASE WHEN abs(tau) >= two THEN 'yes' ELSE 'no' END AS detectable FROM md""",
+)
 def e15_t(s, d):
     r = D.balanced_did(stored(complete(long_panel), s, d), CELL, "unit", "year", "y", "treat", "post")
-    return R.minimum_detectable(r, "tau", "se", "n_units").select(*CELL, "tau", "se", "mde_two", "mde_one", "tau_over_mde", "detectable")
+    m = R.minimum_detectable(r, "tau", "se", "n_units")
+    return m.select(*CELL, *[rnd(c, k).alias(c) for c, k in {"tau": 3, "se": 3, "mde_two": 2, "mde_one": 2, "tau_over_mde": 5}.items()], "detectable")
 
 
 SIZES = [4, 6, 8, 12]
@@ -428,15 +460,29 @@ def e14_one_pass(s, d):
     return r.select(rnd("tau", 3).alias("tau"), rnd("se", 3).alias("se"), "n_obs", "n_clusters")
 
 
-@query("e05_joint_lead_test_full_covariance")
+@query(
+    "e05_joint_lead_test_full_covariance",
+    f"""WITH {LONG_PANEL}, z AS (SELECT product, metric, unit, any_value(treat) AS treat, max(y) FILTER (year = 1995) - max(y) FILTER (year = 1997) AS z1, max(y) FILTER (year = 1996) - max(y) FILTER (year = 1997) AS z2 FROM long GROUP BY 1, 2, 3),
+    g AS (SELECT product, metric, treat, avg(z1) AS m1, avg(z2) AS m2, covar_pop(z1, z1) / count(*) AS v11, covar_pop(z2, z2) / count(*) AS v22, covar_pop(z1, z2) / count(*) AS v12 FROM z GROUP BY 1, 2, 3),
+    n AS (SELECT product, metric, count(DISTINCT unit)::DOUBLE AS g, count(DISTINCT year)::DOUBLE AS tt FROM long GROUP BY 1, 2),
+    e AS (SELECT product, metric, sum(CASE WHEN treat = 1 THEN m1 ELSE -m1 END) AS b1, sum(CASE WHEN treat = 1 THEN m2 ELSE -m2 END) AS b2, any_value(g / (g - 1) * (g * tt - 1) / (g * tt - (g + 2 * (tt - 1)))) AS f, sum(v11) AS v11, sum(v22) AS v22, sum(v12) AS v12 FROM g JOIN n USING (product, metric) GROUP BY 1, 2),
+    w AS (SELECT product, metric, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) / (v11 * v22 - v12 * v12) / f AS chi2 FROM e)
+    SELECT product, metric, round(chi2 + 1e-9, 4) + 0.0 AS chi2, 2 AS dof, round(exp(-chi2 / 2) + 1e-9, 6) + 0.0 AS p_value FROM w""",
+)
 def e05_full(s, d):
     b = D.event_blocks(long_panel(s, d), CELL, "unit", "year", years(s, d), "y", "treat", 1997)
-    return D.wald_joint(b, ["1995", "1996"])
+    r = D.wald_joint(b, ["1995", "1996"])
+    return r.select(*CELL, rnd("chi2", 4).alias("chi2"), "dof", rnd("p_value").alias("p_value"))
 
 
-@query("e20_missingness_verdict")
+@query(
+    "e20_missingness_verdict",
+    f"""WITH {LOCATED}, fr AS (SELECT 'all' AS cell, n_nationkey AS unit, year, avg(CASE WHEN o_totalprice > 400000 THEN 1.0 ELSE 0.0 END) AS y, CASE WHEN n_regionkey <= 1 THEN 1 ELSE 0 END AS treat, CASE WHEN year IN (1997, 1998, 1999) THEN 1 ELSE 0 END AS post FROM loc GROUP BY 2, 3, 5) {did_sql('fr', 'cell')},
+    p AS (SELECT tau, se, {normal_p_sql('(tau / se)')} AS p FROM did)
+    SELECT round(tau + 1e-9, 6) + 0.0 AS tau, round(se + 1e-9, 6) + 0.0 AS se, round(p + 1e-9, 6) + 0.0 AS p_value, CASE WHEN abs(tau) < 0.05 AND p > 0.1 THEN 'ignorable' ELSE 'possibly selective' END AS verdict FROM p""",
+)
 def e20_verdict(s, d):
     fr = orders_located(s, d).groupBy(F.col("n_nationkey").alias("unit"), "n_regionkey", "year").agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("y"))
     fr = fr.withColumns({"treat": (F.col("n_regionkey") <= 1).cast("int"), "post": F.col("year").isin(POST).cast("int")})
     r = D.with_inference(D.static_did(fr, [], "unit", "year", years(s, d), "y", "treat", "post"))
-    return r.select("tau", "se", "p_value", D.missingness_verdict("tau", "p_value").alias("verdict"))
+    return r.select(*[rnd(c).alias(c) for c in ("tau", "se", "p_value")], D.missingness_verdict("tau", "p_value").alias("verdict"))

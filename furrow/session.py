@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,21 @@ def build_session(app: str = "furrow", master: str | None = None, **conf: str) -
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which need not have it installed."""
+    top = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="furrow-ship-")) / "furrow.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(top.rglob("*")):
+            if f.is_file() and "__pycache__" not in f.parts:
+                z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(out))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
