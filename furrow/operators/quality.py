@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.ranking import exact_quantiles, join_on
@@ -111,3 +111,15 @@ def accuracy(counts: DataFrame, label: str = "label", pred: str = "pred") -> Dat
         (F.max("hit") / F.max("total")).alias("oa"), F.avg("f1").alias("f1_macro"), (F.sum(F.col("f1") * F.col("n_ref")) / F.sum("n_ref")).alias("f1_weighted"),
     ).withColumn("kappa", F.try_divide(F.col("oa") - F.col("pe"), 1 - F.col("pe")))
     return attach_scalar(pc, whole).select("cls", "n_ref", "n_pred", "tp", "producer_acc", "user_acc", "f1", "oa", "kappa", "f1_macro", "f1_weighted")
+
+
+def confusion_rows(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """The confusion table as rows, every pair of classes with its count, 0 included, and its share of the label's rows.
+
+    The classes, those that occur as label or prediction, are gathered as one small set.
+    """
+    c = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
+    every = c.agg(F.array_sort(F.array_union(F.collect_set(label), F.collect_set(pred))).alias("k"))
+    grid = every.select(F.explode("k").alias(label), "k").select(label, F.explode("k").alias(pred))
+    rows = grid.join(c, [label, pred], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.withColumn("share_of_label", F.try_divide("n", F.sum("n").over(Window.partitionBy(label))))

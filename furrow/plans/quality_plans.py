@@ -113,17 +113,25 @@ def a29_clean(s, d):
 
 @query(
     "a30_panel_quality_suite",
-    f"""WITH {NATION_PANEL}, r AS (SELECT '01_columns' AS rule, 0::BIGINT AS n_bad UNION ALL SELECT '02_rows', CASE WHEN count(*) = 150 THEN 0 ELSE abs(count(*) - 150) END FROM panel UNION ALL SELECT '03_units', (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT unit FROM panel))
+    f"""WITH {NATION_PANEL}, r AS (SELECT '01_columns' AS rule, 0::BIGINT AS n_bad UNION ALL SELECT '02_rows', abs(count(*) - (SELECT count(*) FROM nation) * count(DISTINCT year)) FROM panel UNION ALL SELECT '03_units', (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT unit FROM panel))
       UNION ALL SELECT '04_years', count(CASE WHEN year NOT BETWEEN 1995 AND 2001 THEN 1 END) FROM panel UNION ALL SELECT '05_treatment', count(CASE WHEN (treat = 1) <> (region <= 1) THEN 1 END) FROM panel
+      UNION ALL SELECT '06_event', count(CASE WHEN coalesce(CASE WHEN treat = 1 AND post = 1 THEN 'wave' ELSE 'none' END, '') NOT IN ('wave', 'none') OR (treat = 1 AND post = 1) <> (region <= 1 AND year IN (1997, 1998, 1999)) THEN 1 END) FROM panel
+      UNION ALL SELECT '07_qa', count(CASE WHEN n < 95 THEN 1 END) FROM panel
       UNION ALL SELECT '08_range', count(CASE WHEN NOT (y BETWEEN 1 AND 255000) THEN 1 END) FROM panel UNION ALL SELECT '09_support', count(CASE WHEN n < 60 THEN 1 END) FROM panel)
     SELECT rule, n_bad = 0 AS ok, n_bad FROM r""",
 )
 def a30(s, d):
-    p = nation_panel(s, d)
+    p = nation_panel(s, d).withColumns({
+        "event": F.when((F.col("treat") == 1) & (F.col("post") == 1), "wave").otherwise("none"),
+        "qa": F.when(F.col("n") < 70, "excluded").when(F.col("n") < 95, "gap-filled").otherwise("OK"),
+    })
+    wave = (F.col("region") <= 1) & F.col("year").isin(1997, 1998, 1999)
     rules = Q.run_rules(p, {
-        "02_rows": F.abs(F.count("*") - 150),
+        "02_rows": F.abs(F.count("*") - table(s, d, "nation").count() * F.count_distinct("year")),
         "04_years": Q.bad_rows(F.col("year").between(1995, 2001)),
         "05_treatment": Q.bad_rows((F.col("treat") == 1) == (F.col("region") <= 1)),
+        "06_event": Q.bad_rows(F.col("event").isin("wave", "none") & ((F.col("event") == "wave") == wave)),
+        "07_qa": Q.bad_rows(F.col("qa") == "OK"),
         "08_range": Q.bad_rows(F.col("y").isNull() | F.col("y").between(1, 255000)),
         "09_support": Q.bad_rows(F.col("n") >= 60),
     })
@@ -150,6 +158,19 @@ def a31(s, d):
     return acc.withColumns({c: rnd(c) for c in ("producer_acc", "user_acc", "f1", "oa", "kappa", "f1_macro", "f1_weighted")})
 
 
+@query(
+    "a31_confusion_rows",
+    f"""WITH {PRED}, c AS (SELECT label, pred, count(*) AS n FROM pr GROUP BY 1, 2), k AS (SELECT label AS k FROM pr UNION SELECT pred FROM pr), g AS (SELECT a.k AS label, b.k AS pred FROM k a, k b)
+    SELECT g.label, g.pred, coalesce(n, 0) AS n, round(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY g.label), 0) + 1e-9, 6) + 0.0 AS share_of_label FROM g LEFT JOIN c ON c.label = g.label AND c.pred = g.pred""",
+)
+def a31_rows(s, d):
+    pr = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(
+        F.col("quality").alias("label"), F.when(F.col("n_chars").between(350, 4000) & (F.col("lang") != "de"), 1).otherwise(0).alias("pred")
+    )
+    r = Q.confusion_rows(pr, "label", "pred")
+    return r.withColumn("share_of_label", rnd("share_of_label"))
+
+
 @query(
     "a32_class_separation_checks",
     f"""WITH {FEAT}, m AS (SELECT median(CASE WHEN quality = 1 THEN f1 END) - median(CASE WHEN quality = 0 THEN f1 END) AS g1, median(CASE WHEN quality = 1 THEN f2 END) - median(CASE WHEN quality = 0 THEN f2 END) AS g2 FROM f)
