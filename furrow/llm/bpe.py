@@ -3,7 +3,9 @@
 Merges happen in rank order, so whether two neighbours end in one token depends on the text
 to the right only through chains of earlier merges. The longest such chain of a merge list is
 its sufficient lookahead: a token that ends at least so far before the end of what has been
-read is final. The transducer keeps a window of a few lookaheads, whatever a word's length.
+read is final. The bytes at hand mostly settle a boundary much sooner: no merge of the list joins
+the token to anything that begins with the symbol after it. The transducer emits whatever is
+settled and keeps a window of a few lookaheads at most, whatever a word's length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from furrow.llm.common import short_batches, whole_text
 
 PIECE_CHARS = 1 << 16
+READ = 8  # bytes read before tokens are looked for that are final
 CACHE = 400_000
 MARKS = ",.;:!?*%$&#|-"
 SHIFT = 20
@@ -82,8 +85,8 @@ class Bpe:
             self.merges[left << SHIFT | right] = rank << SHIFT | whole
             self.parts.append((left, right, whole))
         self.id_text = {i: b"%d" % i for i in self.token}
-        self.token_text = {i: t.encode() for i, t in self.token.items()}
         self.lookahead = self._sufficient_lookahead()
+        self.reach, self.reach_to = self._reach()
 
     def _length(self, i: int) -> int:
         t = self.token[i]
@@ -108,6 +111,47 @@ class Bpe:
             most = max(most, d)
         return most
 
+    def _reach(self) -> tuple[dict[int, int], dict[int, int]]:
+        """The first merge in which a symbol is the left side: with anything, and with a right side that begins with a given symbol."""
+        head = {whole: left for left, _, whole in self.parts}
+        anything: dict[int, int] = {}
+        given: dict[int, int] = {}
+        for left, right, whole in self.parts:
+            m, x = self.merges[left << SHIFT | right], right
+            anything.setdefault(left, m)
+            while x is not None:
+                given.setdefault(left << SHIFT | x, m)
+                x = head.get(x)
+        return anything, given
+
+    def settled(self, ids: list[int]) -> list[int]:
+        """The first tokens of a symbol list, as far as they are the same whatever follows the list.
+
+        Merges run in rank order over the certain symbols. Before each, the last certain symbol
+        becomes uncertain if an earlier merge could join it to what follows; a boundary that no
+        merge of the list can close is final.
+        """
+        get, ids = self.merges.get, list(ids)
+        ranks = [get(a << SHIFT | b, NEVER) for a, b in zip(ids, ids[1:])]
+        after = None
+        while ids:
+            m = min(ranks, default=NEVER)
+            first = self.reach.get(ids[-1]) if after is None else self.reach_to.get(ids[-1] << SHIFT | after)
+            if first is not None and first <= m:
+                after = ids.pop()
+                del ranks[-1:]
+                continue
+            if m == NEVER:
+                break
+            i = ranks.index(m)
+            whole = ids[i] = m & ID
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << SHIFT | whole, NEVER)
+            if i < len(ranks):
+                ranks[i] = get(whole << SHIFT | ids[i + 1], NEVER)
+        return ids
+
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a symbol list: lowest rank first, leftmost of equals first."""
         if len(ids) > 48:
@@ -151,26 +195,32 @@ class Bpe:
         """Ids of one word given as byte chunks, emitted once they are final; memory does not grow with the word."""
         window: list[int] = []  # bytes not yet emitted
         most = max(4 * self.lookahead, 256)
+        due = READ
         for chunk in chunks:
-            for at in range(0, len(chunk), most):
-                window.extend(chunk[at : at + most])
+            for at in range(0, len(chunk), READ):
+                window.extend(chunk[at : at + READ])
+                if len(window) <= due:
+                    continue
+                done = 0
+                for t in self.settled([self.inner[b] for b in window[:-1]]):  # the last byte read may be the word's last
+                    yield t
+                    done += self._length(t)
+                del window[:done]
                 if len(window) > 2 * most:
                     done = 0
                     for t in self.merge([self.inner[b] for b in window]):
                         end = done + self._length(t)
-                        if end + self.lookahead >= len(window):  # the last byte read may still be the word's last
+                        if end + self.lookahead >= len(window):
                             break
                         yield t
                         done = end
                     del window[:done]
+                due = min(2 * len(window), 2 * most) + READ
         if window:
             yield from self.merge([*(self.inner[b] for b in window[:-1]), self.last[window[-1]]])
 
     def word(self, word: str) -> Iterator[int]:
-        raw = word.encode("utf-8", "surrogatepass")
-        if len(raw) <= 64:
-            return iter(self.merge([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]))
-        return self.transduce(raw[i : i + 4096] for i in range(0, len(raw), 4096))
+        return self.transduce((word.encode("utf-8", "surrogatepass"),))
 
     def words(self, piece: str) -> Iterator[str]:
         """The words of a normalised piece of text, lazily."""
@@ -268,15 +318,18 @@ Piece = tuple[int, bytes, bytes]
 class Digester:
     """text -> (number of ids, SHA-256 of the ids, SHA-256 of the decoded text), both as streams.
 
-    Short words met before come from a bounded cache of what the transducer gave for them;
-    longer ones always run through it, a thousand ids at a time.
+    Every word's ids come from the transducer and its text from the decoder, fed id by id. What
+    they gave for short words is kept in a bounded cache; longer words always run through them, a
+    thousand ids at a time. The joined decoding puts one space between pieces as between ids.
     """
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.seen = bpe, {}
 
     def of(self, ids: list[int]) -> Piece:
-        return len(ids), b" ".join([self.bpe.id_text[i] for i in ids]), b" ".join([self.bpe.token_text[i] for i in ids])
+        decoder = Decoder(self.bpe)
+        back = "".join(map(decoder.feed, ids)) + decoder.finish()
+        return len(ids), b" ".join([self.bpe.id_text[i] for i in ids]), back.encode()
 
     def miss(self, p: str) -> Piece:
         if len(self.seen) >= CACHE:

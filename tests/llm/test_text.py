@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+TEXTS = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
@@ -57,6 +61,28 @@ def test_bpe_streams_long_words_and_decodes(spark, library):
     assert {x.doc_id: x.text for x in bpe.decode_ids(bpe.encode_ids(d)).collect()} == {1: "grüße an alle , 日本 ! ", 2: ""}
 
 
+def test_bpe_emits_inside_ordinary_words():
+    own, r = bpe.load(bpe.default_path()), random.Random(8)
+    words = sorted({w for t in bpe.normalised(" ".join(x or "" for x in TEXTS)) for w in t if w.isalpha()})
+    drawn = ["".join(r.choices(letters, k=r.randint(1, 400))) for letters in ("abcdeinrst", "ah", "éß日!-=_") for _ in range(150)]
+    early = late = 0
+    for w in [*words, *drawn, *(c * n for c in "a-=" for n in (5, 60, 3000))]:
+        raw, ended = w.encode(), []
+
+        def fed(raw=raw, ended=ended):
+            for i in range(0, len(raw), 4):
+                yield raw[i : i + 4]
+            ended.append(True)
+
+        got = []
+        for t in own.transduce(fed()):
+            got.append(t)
+            if w in words:
+                early, late = early + (not ended), late + bool(ended)
+        assert got == own.merge([*(own.inner[b] for b in raw[:-1]), own.last[raw[-1]]]), w
+    assert early > 0.1 * (early + late)
+
+
 def test_lm_counts_and_base_scores(spark, odd, nothing, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 500)
     for d in (documents(spark), odd):
