@@ -217,16 +217,46 @@ def test_secret_spans(odd, nothing, spark):
     model = secrets.train(documents(spark))
     r = random.Random(5)
     drawn = ["".join(r.choices(secrets.LETTERS[:62], k=32)) for _ in range(200)]
-    plain = secrets.identifiers("value index reader buffer window token_count total_size handler factory".split(), 300, seed=3)
-    plain = [x for x in plain if len(x) >= 20]
-    assert sum(model.ratio(s) >= secrets.RATIO for s in drawn) > 190
-    assert sum(model.ratio(s) >= secrets.RATIO for s in plain) < 0.1 * len(plain)
+    plain = secrets.identifiers("value index reader window token_count total_size handler factory message service property".split(), 1300, seed=3)
+    assert sum(bool(model.found(x, [])) for x in drawn) > 190
+    assert sum(bool(model.found(x, [])) for x in plain) < 0.05 * len(plain)
+    clean = ["-" * 40, "=-" * 20, "_" * 30, "+-+-" * 9, "usr/local/lib/python/site-packages", "20240101-120000", "4111111111111111", "getElementsByClassName", "org/example/app/MainActivity"]
+    assert not any(model.found(x, []) for x in clean)
+    assert model.spans(f"see {drawn[0]} and token = abcdefgh1 or {'-' * 30}")[0] == ("random", 4, 36)
     got = {x.doc_id: x for x in secrets.scan_documents(odd, model).collect()}
     assert (got[None].n_assign, got[9].n_access, got[4].spans) == (1, 3, "")
     assert got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.scan_documents(nothing).count() == 0
 
 
+def test_secret_models_find_hidden_values_of_held_out_rows(spark):
+    """With the patterns hidden, the models alone find the values of rows they never learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = secrets.train(docs)
+    values = hits = flagged = plain = 0
+    for i, x in docs.where("text IS NOT NULL").toPandas().itertuples(index=False):
+        base = secrets.base_spans(x)
+        taken = secrets.apart(base)
+        plain += sum(1 for _ in secrets.candidates(x, taken))
+        flagged += len(model.found(x, taken))
+        if base and zlib.crc32(str(i).encode()) % 10 == 0:
+            alone = model.found(x, [])
+            at = [secrets.ASSIGN.fullmatch(x, a, e).span(2) if k == "assign" else (a, e) for k, a, e in base]
+            values += len(at)
+            hits += sum(any(b < e and a < c for _, b, c in alone) for a, e in at)
+    assert values > 20 and hits >= 0.9 * values
+    assert flagged <= 0.001 * plain
+
+
+def test_stretches_apart_and_candidates_equal_the_pairwise_rule():
+    r = random.Random(2)
+    for _ in range(200):
+        text = "".join(r.choices("abcdefghijkl -=", weights=[6] * 12 + [1, 1, 1], k=400))
+        spans = sorted([("hex", a, a + r.randint(1, 40)) for a in r.sample(range(360), 5)], key=lambda s: s[1])
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if len({c for c in m.group() if c.isalnum()}) >= secrets.LEAST_DIFFERENT]
+        assert list(secrets.candidates(text, secrets.apart(spans))) == [(a, e) for a, e in want if all(e <= b or a >= c for _, b, c in spans)]
+
+
 def test_toxicity_held_out(spark, odd, labels, nothing):
     d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = toxicity.toxicity_scores(d, lab).join(lab, "doc_id").where("held_out").collect()
