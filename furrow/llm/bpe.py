@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from furrow.llm.common import short_batches, whole_text
 
 PIECE_CHARS = 1 << 16
-READ = 8  # bytes read before tokens are looked for that are final
+READ = 16  # bytes read before tokens are looked for that are final
+SETTLE = 512  # bytes up to which they are looked for symbol by symbol; a longer window waits for the list's own lookahead
 CACHE = 400_000
 MARKS = ",.;:!?*%$&#|-"
 SHIFT = 20
@@ -201,11 +202,12 @@ class Bpe:
                 window.extend(chunk[at : at + READ])
                 if len(window) <= due:
                     continue
-                done = 0
-                for t in self.settled([self.inner[b] for b in window[:-1]]):  # the last byte read may be the word's last
-                    yield t
-                    done += self._length(t)
-                del window[:done]
+                if len(window) <= SETTLE:
+                    done = 0
+                    for t in self.settled([self.inner[b] for b in window[:-1]]):  # the last byte read may be the word's last
+                        yield t
+                        done += self._length(t)
+                    del window[:done]
                 if len(window) > 2 * most:
                     done = 0
                     for t in self.merge([self.inner[b] for b in window]):
@@ -215,12 +217,15 @@ class Bpe:
                         yield t
                         done = end
                     del window[:done]
-                due = min(2 * len(window), 2 * most) + READ
+                due = min(len(window) + max(len(window), READ), 2 * most) if window else READ
         if window:
             yield from self.merge([*(self.inner[b] for b in window[:-1]), self.last[window[-1]]])
 
     def word(self, word: str) -> Iterator[int]:
-        return self.transduce((word.encode("utf-8", "surrogatepass"),))
+        raw = word.encode("utf-8", "surrogatepass")
+        if len(raw) <= READ:  # the word ends with the first read: its only step is the last
+            return iter(self.merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]))
+        return self.transduce((raw,))
 
     def words(self, piece: str) -> Iterator[str]:
         """The words of a normalised piece of text, lazily."""
@@ -285,7 +290,7 @@ class Decoder:
 
     def __init__(self, bpe: Bpe, joined: bool = True):
         self.bpe, self.joined, self.first = bpe, joined, True
-        self.state = UTF8("replace")
+        self.state = None if joined else UTF8("replace")
 
     def feed(self, i: int) -> str:
         t = self.bpe.token[i]
@@ -328,7 +333,7 @@ class Digester:
 
     def of(self, ids: list[int]) -> Piece:
         decoder = Decoder(self.bpe)
-        back = "".join(map(decoder.feed, ids)) + decoder.finish()
+        back = "".join([decoder.feed(i) for i in ids]) + decoder.finish()
         return len(ids), b" ".join([self.bpe.id_text[i] for i in ids]), back.encode()
 
     def miss(self, p: str) -> Piece:
