@@ -57,14 +57,18 @@ def coverage(df: DataFrame, grid: DataFrame, keys: Sequence[str], minimum: int)
 
 
 def three_gates(panel: DataFrame, pixels: DataFrame, metric: str, v: str, windows: Mapping[str, tuple[float, float]], unit: Sequence[str],
-                min_rows: int, min_unique: int, max_mode: float, max_rmsr: float, max_poor: float) -> tuple[DataFrame, DataFrame]:
-    """Gate A: mode share and counts per metric; B: dates inside the metric's window;
-    C: share of badly fitted pixels per unit.  Returns (verdict rows, passing panel)."""
+                min_rows: int, min_unique: Mapping[str, int], max_mode: float, max_rmsr: float, max_poor: float, min_ok: int) -> tuple[DataFrame, DataFrame]:
+    """Gate A: mode share, counts and the metric's own least number of different values, and the
+    least number of well fitted pixels of a cell (``unit``, such as unit and year); B: dates inside
+    the metric's window; C: share of badly fitted pixels per cell, a NULL residual being bad.
+    Returns (verdict rows, passing panel): the panel loses failing metrics, dates outside the window
+    and cells with too few good or too many bad pixels, cells without pixels among them."""
     unit = list(unit)
     modes = mode_stats(panel, [metric], v)
+    needed = reduce(lambda o, m: F.when(F.col(metric) == m, min_unique[m]).otherwise(o), min_unique, F.lit(None).cast("int"))
     checks = F.explode(F.array(
         F.struct(F.lit("A_rows").alias("check"), F.col("n").cast("double").alias("observed"), (F.col("n") >= min_rows).alias("ok")),
-        F.struct(F.lit("A_unique").alias("check"), F.col("n_unique").cast("double").alias("observed"), (F.col("n_unique") >= min_unique).alias("ok")),
+        F.struct(F.lit("A_unique").alias("check"), F.col("n_unique").cast("double").alias("observed"), F.coalesce(F.col("n_unique") >= needed, F.lit(False)).alias("ok")),
         F.struct(F.lit("A_mode_share").alias("check"), F.col("mode_share").alias("observed"), (F.col("mode_share") <= max_mode).alias("ok")),
     ))
     a = modes.select(metric, checks.alias("c")).select(metric, "c.*")
@@ -73,13 +77,19 @@ def three_gates(panel: DataFrame, pixels: DataFrame, metric: str, v: str, window
     in_window = F.coalesce(F.col(v).between(lo, hi), F.lit(False))
     med = exact_quantiles(panel, [metric], v, {"observed": 0.5})
     b = med.select(metric, F.lit("B_window").alias("check"), "observed", F.coalesce(F.col("observed").between(lo, hi), F.lit(False)).alias("ok"))
-    poor = pixels.groupBy(*unit).agg(F.avg((F.col("rmsr") > max_rmsr).cast("double")).alias("poor"))
-    worst = attach_scalar(panel.select(metric).distinct(), poor.agg(F.max("poor").alias("observed")))
-    c = worst.select(metric, F.lit("C_fit").alias("check"), "observed", (F.col("observed") <= max_poor).alias("ok"))
+    bad = F.coalesce(F.col("rmsr") > max_rmsr, F.lit(True)).cast("int")
+    cells = pixels.groupBy(*unit).agg(F.avg(bad.cast("double")).alias("poor"), F.sum(1 - bad).alias("n_ok"))
+    worst = attach_scalar(panel.select(metric).distinct(), cells.agg(F.max("poor").alias("poor"), F.min("n_ok").cast("double").alias("n_ok")))
+    both = F.explode(F.array(
+        F.struct(F.lit("A_n_ok").alias("check"), F.col("n_ok").alias("observed"), (F.col("n_ok") >= min_ok).alias("ok")),
+        F.struct(F.lit("C_fit").alias("check"), F.col("poor").alias("observed"), (F.col("poor") <= max_poor).alias("ok")),
+    ))
+    c = worst.select(metric, both.alias("c")).select(metric, "c.*")
     verdict = a.unionByName(b).unionByName(c)
     good_metric = a.groupBy(metric).agg(F.min("ok").alias("__a"))
-    passed = join_on(join_on(panel, good_metric, [metric]), poor, unit, "left")
-    passed = passed.where(F.col("__a") & in_window & (F.coalesce("poor", F.lit(1.0)) <= max_poor)).select(*panel.columns)
+    good_cell = cells.select(*unit, ((F.col("poor") <= max_poor) & (F.col("n_ok") >= min_ok)).alias("__c"))
+    passed = join_on(join_on(panel, good_metric, [metric]), good_cell, unit, "left")
+    passed = passed.where(F.col("__a") & in_window & F.coalesce("__c", F.lit(False))).select(*panel.columns)
     return verdict, passed
 
 

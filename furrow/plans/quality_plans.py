@@ -10,7 +10,7 @@ from furrow.operators import quality as Q
 from furrow.operators import spatial as G
 from furrow.operators import text_refs as X
 from furrow.operators import tracks as K
-from furrow.plans.base import LONG_PANEL, NATION_PANEL, OBS, long_panel, nation_panel, obs, periods, rnd, table
+from furrow.plans.base import LONG_PANEL, NATION_PANEL, OBS, long_panel, nation_panel, obs, orders_located, periods, rnd, table
 from furrow.plans.panel_plans import FEAT, features
 from furrow.plans.registry import query
 from furrow.plans.spatial_plans import FIX, PTS, fixes, hav, points
@@ -18,6 +18,9 @@ from furrow.session import cut_lineage, scratch_path
 from furrow.sources import readers as R
 from furrow.sources import sinks as W
 
+PIXELS = """pix AS (SELECT n_nationkey AS unit, year, month(o_orderdate) AS mo, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS rmsr FROM loc GROUP BY 1, 2, 3),
+    cells AS (SELECT unit, year, avg(CASE WHEN rmsr > 0.5 THEN 1.0 ELSE 0.0 END) AS poor, count(CASE WHEN NOT rmsr > 0.5 THEN 1 END) AS n_ok FROM pix GROUP BY 1, 2)"""
+
 # --- rule suites ---------------------------------------------------------------------------
 
 
@@ -26,9 +29,9 @@ from furrow.sources import sinks as W
     f"""WITH {LONG_PANEL}, pn AS (SELECT unit, year, metric, round(y / 1000) AS v FROM long WHERE product = 'corrected'),
     c AS (SELECT metric, v, count(*) AS cnt FROM pn GROUP BY 1, 2), mm AS (SELECT metric, sum(cnt)::BIGINT AS n, count(*) AS nu, max(cnt) / sum(cnt) AS ms FROM c GROUP BY 1),
     w AS (SELECT * FROM (VALUES ('p25', 100, 160), ('p50', 220, 260), ('p75', 300, 340)) t(metric, lo, hi)), md AS (SELECT metric, median(v) AS med FROM pn GROUP BY 1),
-    px AS (SELECT max(poor) AS worst FROM (SELECT unit, avg(CASE WHEN share > 0.4 THEN 1.0 ELSE 0.0 END) AS poor FROM (SELECT DISTINCT unit, year, share FROM long) GROUP BY 1)),
-    r AS (SELECT metric, 'A_rows' AS "check", n::DOUBLE AS observed, n >= 48 AS ok FROM mm UNION ALL SELECT metric, 'A_unique', nu::DOUBLE, nu >= 20 FROM mm UNION ALL SELECT metric, 'A_mode_share', ms, ms <= 0.2 FROM mm
-      UNION ALL SELECT metric, 'B_window', med, med BETWEEN lo AND hi FROM md JOIN w USING (metric) UNION ALL SELECT metric, 'C_fit', worst, worst <= 0.5 FROM mm, px)
+    {PIXELS}, px AS (SELECT max(poor) AS worst, min(n_ok) AS least FROM cells), need AS (SELECT * FROM (VALUES ('p25', 20), ('p50', 20), ('p75', 25)) t(metric, k)),
+    r AS (SELECT metric, 'A_rows' AS "check", n::DOUBLE AS observed, n >= 48 AS ok FROM mm UNION ALL SELECT metric, 'A_unique', nu::DOUBLE, nu >= k FROM mm JOIN need USING (metric) UNION ALL SELECT metric, 'A_mode_share', ms, ms <= 0.2 FROM mm
+      UNION ALL SELECT metric, 'B_window', med, med BETWEEN lo AND hi FROM md JOIN w USING (metric) UNION ALL SELECT metric, 'C_fit', worst, worst <= 0.5 FROM mm, px UNION ALL SELECT metric, 'A_n_ok', least::DOUBLE, least >= 5 FROM mm, px)
     SELECT metric, "check", round(observed + 1e-9, 6) + 0.0 AS observed, ok FROM r""",
 )
 def a27(s, d):
@@ -36,23 +39,28 @@ def a27(s, d):
     return verdict.withColumn("observed", rnd("observed"))
 
 
-GATE = dict(windows={"p25": (100.0, 160.0), "p50": (220.0, 260.0), "p75": (300.0, 340.0)}, min_rows=48, min_unique=20, max_mode=0.2, max_rmsr=0.4, max_poor=0.5)
+def pixels(s, d):
+    """A pixel is a month of a nation's year; its residual is the share of finished orders."""
+    keys = [F.col("n_nationkey").alias("unit"), "year", F.month("o_orderdate").alias("month")]
+    return orders_located(s, d).groupBy(*keys).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("rmsr"))
+
+
+GATE = dict(windows={"p25": (100.0, 160.0), "p50": (220.0, 260.0), "p75": (300.0, 340.0)}, min_rows=48, min_unique={"p25": 20, "p50": 20, "p75": 25}, max_mode=0.2, max_rmsr=0.5, max_poor=0.5, min_ok=5)
 
 
 def gates(s, d):
     lp = cut_lineage(long_panel(s, d))
     pn = lp.where("product = 'corrected'").select("unit", "year", "metric", F.round(F.col("y") / 1000).alias("v"))
-    px = lp.select("unit", "year", F.col("share").alias("rmsr")).distinct()
-    return Q.three_gates(pn, px, "metric", "v", unit=["unit"], **GATE)
+    return Q.three_gates(pn, pixels(s, d), "metric", "v", unit=["unit", "year"], **GATE)
 
 
 @query(
     "a27_passing_panel",
     f"""WITH {LONG_PANEL}, pn AS (SELECT unit, year, metric, round(y / 1000) AS v FROM long WHERE product = 'corrected'),
-    c AS (SELECT metric, v, count(*) AS cnt FROM pn GROUP BY 1, 2), mm AS (SELECT metric FROM c GROUP BY 1 HAVING sum(cnt) >= 48 AND count(*) >= 20 AND max(cnt) / sum(cnt) <= 0.2),
+    c AS (SELECT metric, v, count(*) AS cnt FROM pn GROUP BY 1, 2), mm AS (SELECT metric FROM c GROUP BY 1 HAVING sum(cnt) >= 48 AND count(*) >= CASE metric WHEN 'p75' THEN 25 ELSE 20 END AND max(cnt) / sum(cnt) <= 0.2),
     w AS (SELECT * FROM (VALUES ('p25', 100, 160), ('p50', 220, 260), ('p75', 300, 340)) t(metric, lo, hi)),
-    px AS (SELECT unit, avg(CASE WHEN share > 0.4 THEN 1.0 ELSE 0.0 END) AS poor FROM (SELECT DISTINCT unit, year, share FROM long) GROUP BY 1)
-    SELECT unit, year, metric, v FROM pn JOIN mm USING (metric) JOIN w USING (metric) JOIN px USING (unit) WHERE v BETWEEN lo AND hi AND poor <= 0.5""",
+    {PIXELS}
+    SELECT unit, year, metric, v FROM pn JOIN mm USING (metric) JOIN w USING (metric) JOIN cells USING (unit, year) WHERE v BETWEEN lo AND hi AND poor <= 0.5 AND n_ok >= 5""",
 )
 def a27_panel(s, d):
     return gates(s, d)[1]

@@ -466,3 +466,20 @@ def test_component_contrast_registers_the_published_draws():
 
     assert did_plans.HASHED_DRAWS == 9999 and season_plans.REPLICATES == 1000
     assert did_plans.REPS == 999 and len(did_plans.EFFECTS) == 10 and did_plans.SIZES == [4, 6, 8, 12]
+
+
+def test_gates_work_by_cell(spark):
+    from furrow.operators import quality as Q
+
+    panel = spark.createDataFrame([(u, y, "m", float(10 + 3 * u + y)) for u in (1, 2, 3) for y in (1, 2)], "unit int, year int, metric string, v double")
+    # (1, 1) has one bad pixel of four, (2, 1) three bad ones, one of them without a residual, (1, 2) two good pixels only, (3, 2) none
+    rmsr = {(1, 1): [0.1, 0.1, 0.1, 0.9], (1, 2): [0.1, 0.1], (2, 1): [0.9, 0.9, None, 0.1, 0.1, 0.1], (2, 2): [0.1] * 3, (3, 1): [0.2] * 5}
+    pixels = spark.createDataFrame([(u, y, r) for (u, y), rs in rmsr.items() for r in rs], "unit int, year int, rmsr double")
+    args = dict(windows={"m": (0.0, 100.0)}, unit=["unit", "year"], min_rows=6, max_mode=0.5, max_rmsr=0.5, max_poor=0.3, min_ok=3)
+    verdict, passed = Q.three_gates(panel, pixels, "metric", "v", min_unique={"m": 5}, **args)
+    got = {r.check: (r.observed, r.ok) for r in verdict.collect()}
+    assert got["A_n_ok"] == (2.0, False) and got["C_fit"] == (0.5, False) and got["A_unique"] == (6.0, True)
+    assert sorted((r.unit, r.year) for r in passed.collect()) == [(1, 1), (2, 2), (3, 1)]
+    assert Q.three_gates(panel, pixels, "metric", "v", min_unique={"m": 7}, **args)[1].count() == 0
+    assert Q.three_gates(panel, pixels, "metric", "v", min_unique={"other": 1}, **args)[1].count() == 0
+    assert Q.three_gates(panel.limit(0), pixels.limit(0), "metric", "v", min_unique={"m": 5}, **args)[1].count() == 0

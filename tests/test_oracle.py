@@ -16,7 +16,7 @@ NAMES = [
     "a29_label_quality_suite", "c01_double_logistic_grid_fit", "c05_fused_products", "e11_in_space_placebo", "j04_interval_join", "j05_points_near_track",
     "j10_near_duplicate_points", "j17_reference_counts", "m01_stratified_split", "p04_name_normalisation", "s02_track_csv_scan", "s12_track_line_sink", "s15_partition_refresh",
     "s09_managed_table_sink", "s14_resume_pending_units", "w12_breakpoint_percentile", "p04_candidate_spellings", "e07_wild_cluster_bootstrap", "e16_power_curve", "c04_replicate_date_intervals",
-    "c06_penalised_smoother", "e09_leave_one_cluster_out_blocks", "a31_confusion_rows",
+    "c06_penalised_smoother", "e09_leave_one_cluster_out_blocks", "a31_confusion_rows", "a27_three_gate_check", "a27_passing_panel", "a30_panel_quality_suite",
     "u03_run_difference", "w05_threshold_crossing_date", "w10_sequential_ids", "w13_track_line_parts",
 ]
 
