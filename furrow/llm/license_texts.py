@@ -1,28 +1,27 @@
 """Whole licence texts and their usual notices: Dice over word bigrams against runs of consecutive units.
 
 A run is any number of consecutive sentences or lines, so a licence is found however its lines
-are broken and whatever stands before and after it. A document is looked at run by run only if
-it holds as many of a template's bigrams as the coefficient needs.
+are broken and whatever stands before and after it. Size bounds prune twice: a text is looked at
+run by run only if it holds as many of a template's bigrams as the coefficient needs, and a run
+has at most as many words as a run of all different bigrams could have. Texts that hold no
+candidate, nearly all, pass through one projection; the bigrams of the others are joined with
+the run starts of their own text, bucketed by the longest run.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from pathlib import Path
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from furrow.llm.common import short_batches, whole_text
-from furrow.llm.licenses import LEAST, UNIT_END, bounds
+from furrow.llm.common import whole_text, written
+from furrow.llm.licenses import LEAST, OTHER, UNIT_END, bounds, normal_words
 
-FOLDER = Path(__file__).with_name("license_texts")
-ENDS = re.compile(UNIT_END)
-WORDS = re.compile("[a-z0-9]+")
-
-Pair = tuple[str, str]
+FOLDER = Path(__file__).with_name("license_files")
+FOUND = "array<struct<worse: double, k: int, start: int, stop: int>>"
 
 
 def templates() -> list[tuple[str, str]]:
@@ -30,46 +29,59 @@ def templates() -> list[tuple[str, str]]:
     return [(p.name.removesuffix(".txt").removesuffix(".notice"), p.read_text()) for p in sorted(FOLDER.glob("*.txt"))]
 
 
-def units_of(text: str) -> tuple[list[str], list[int]]:
-    """All words of a text and where each unit that has words begins, and the end."""
-    words: list[str] = []
-    starts = []
-    for unit in ENDS.split(text.lower()):
-        own = WORDS.findall(unit)
-        if own:
-            starts.append(len(words))
-            words += own
-    return words, [*starts, len(words)]
+def bigram(a: str, b: str) -> int:
+    """``xxhash64(a, b)`` of two words."""
+    h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def longest(n_words: int, least: float) -> int:
+    """Words of the longest run compared with a template of ``n_words``."""
+    return bounds(n_words, least)[1]
+
+
+def _longs(values: Sequence[int]) -> Column:
+    """An array constant; one literal however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _grams(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
 
 
-def best_run(words: list[str], starts: list[int], own: frozenset[Pair], least: float) -> tuple[float, int, int]:
-    """(coefficient, first word, end) of the run of units most like a template, or 0.
+def best_runs(texts: DataFrame, known: Sequence[tuple[list[str], list[int]]], least: float) -> DataFrame:
+    """(text, k, worse, start, stop): the best run of each text and candidate template.
 
-    A run that starts with a unit without any of the template's bigrams is never the best, and
-    one that holds all of them that the text has does not gain by going on.
+    ``texts`` has a key ``text``, the words of its ``units`` and its candidates ``ks``; ``known``
+    the words and bigrams of each template. A run starts with a unit that holds one of the
+    template's bigrams and has at most ``longest`` words. Of equal coefficients (``worse`` is
+    the coefficient's negative) the first start counts, then the first end.
     """
-    pairs = list(zip(words, words[1:]))
-    all_hits = len(own.intersection(pairs))
-    low, high = bounds(len(own), least)
-    best = (0.0, 0, 0)
-    for u, start in enumerate(starts[:-1]):
-        if own.isdisjoint(pairs[start : starts[u + 1]]):
-            continue
-        seen: set[Pair] = set()
-        common, at = 0, start
-        for end in starts[u + 1 :]:
-            for p in pairs[at : end - 1]:
-                if p not in seen:
-                    seen.add(p)
-                    common += p in own
-            at = end - 1
-            if len(seen) > high:
-                break
-            if len(seen) >= low:
-                best = max(best, (2.0 * common / (len(seen) + len(own)), start, end), key=lambda x: (x[0], -x[1], -x[2]))
-            if common == all_hits:
-                break
-    return best
+    info = [F.struct(F.lit(k).alias("k"), F.lit(longest(len(w), least)).alias("most"), F.lit(len(own)).alias("n_own"), F.lit(bounds(len(own), least)[0]).alias("low"), F.lit(bounds(len(own), least)[1]).alias("high")) for k, (w, own) in enumerate(known)]
+    owned = [F.struct(F.lit(k).alias("k"), _longs(own).alias("own")) for k, (_, own) in enumerate(known)]
+    one = texts.sparkSession.range(1)
+    own = one.select(F.explode(F.array(*owned)).alias("t")).select("t.k", F.explode("t.own").alias("h"), F.lit(1).alias("hit"))
+    info = one.select(F.explode(F.array(*info)).alias("t")).select("t.*")
+
+    ends = F.aggregate("units", F.array(F.lit(0)), lambda a, u: F.concat(a, F.array(F.element_at(a, -1) + F.size(u))))
+    place = texts.select("text", "ks", F.flatten("units").alias("w"), ends.alias("ends"), F.flatten(F.transform("units", lambda u, i: F.array_repeat(i, F.size(u)))).alias("of"))
+    at = place.select("text", "ks", "ends", "of", F.posexplode(_grams(F.col("w"))).alias("pos", "h"))
+    first = F.get("of", F.col("pos"))
+    at = at.select("text", "ks", "h", "pos", first.alias("unit"), F.get("ends", first).alias("start"), F.get("ends", F.get("of", F.col("pos") + 1) + 1).alias("stop"))
+    at = at.withColumn("before", F.lag("pos").over(Window.partitionBy("text", "h").orderBy("pos")))
+    at = written(at.withColumn("k", F.explode("ks")).drop("ks").join(F.broadcast(info), "k").join(F.broadcast(own), ["k", "h"], "left"), "license-bigrams")
+
+    bucket = F.floor(F.col("pos") / F.col("most"))
+    starts = at.where("hit = 1").select("text", "k", F.col("start").alias("s"), "most").distinct()
+    starts = starts.select("text", "k", "s", F.explode(F.array(F.floor(F.col("s") / F.col("most")), F.floor(F.col("s") / F.col("most")) + 1)).alias("bucket"))
+    met = at.withColumn("bucket", bucket).join(starts, ["text", "k", "bucket"]).where("pos >= s AND stop <= s + most AND (before IS NULL OR before < s)")
+    # a bigram counts once in a run, where it first occurs after the start
+    new = met.groupBy("text", "k", "s", "stop").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("c"), *[F.first(c).alias(c) for c in ("n_own", "low", "high")])
+    upto = Window.partitionBy("text", "k", "s").orderBy("stop").rowsBetween(Window.unboundedPreceding, 0)
+    runs = new.select("text", "k", "s", "stop", "n_own", "low", "high", F.sum("n").over(upto).alias("n"), F.sum("c").over(upto).alias("c")).where("n BETWEEN low AND high")
+    dice = 2.0 * F.col("c") / (F.col("n") + F.col("n_own"))
+    best = runs.groupBy("text", "k").agg(F.min(F.struct((-dice).alias("worse"), F.col("s").alias("start"), "stop")).alias("best"))
+    return best.select("text", "k", "best.*").where(F.col("worse") <= -least)
 
 
 def scan_license_texts(docs: DataFrame, known: Sequence[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -77,41 +89,36 @@ def scan_license_texts(docs: DataFrame, known: Sequence[tuple[str, str]] | None
 
     Of each template the best run counts, from ``least`` up; of runs that overlap, the one of
     larger coefficient, then the first template. ``licenses`` lists the licences by name. NULL
-    and empty texts match nothing. Other columns are ignored.
+    and empty texts match nothing; equal texts match alike and are compared once; repeated ids
+    keep a row each; long texts are read whole. Other columns are ignored.
     """
-    short_batches(docs.sparkSession)
-    kept = [(name, frozenset(zip(w, w[1:]))) for name, t in (templates() if known is None else known) if len(w := units_of(t)[0]) > 1]
-    of: dict[Pair, list[int]] = {}
-    for k, (_, own) in enumerate(kept):
-        for p in own:
-            of.setdefault(p, []).append(k)
-    need = [bounds(len(own), least)[0] for _, own in kept]
-    fewest = min(need)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def matches(text: str) -> list[tuple[float, str]]:
-        words = WORDS.findall(text.lower())
-        hits = of.keys() & set(zip(words, words[1:]))
-        if len(hits) < fewest:
-            return []
-        count = Counter(k for p in hits for k in of[p])
-        words, starts = units_of(text)
-        found = []
-        for k, c in count.items():
-            if c >= need[k]:
-                dice, start, end = best_run(words, starts, kept[k][1], least)
-                if dice >= least:
-                    found.append((-dice, k, start, end))
-        out: list[tuple[float, int, int, int]] = []
-        for f in sorted(found):
-            if all(f[3] <= o[2] or o[3] <= f[2] for o in out):
-                out.append(f)
-        return [(-f[0], kept[f[1]][0]) for f in out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [matches(t.as_py()) for t in b.column(1)]
-            cols = [pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(sorted({n for _, n in f})) for f in found], pa.string()), pa.array([max((d for d, _ in f), default=0.0) for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_matches", "licenses", "best"])
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_matches long, licenses string, best double")
+    kept = [(name, w, sorted({bigram(*p) for p in zip(w, w[1:])})) for name, t in (templates() if known is None else known) if len(w := normal_words(t)) > 1]
+    flat = F.regexp_replace(F.lower(F.regexp_replace("text", UNIT_END, "\n")), OTHER, " ")
+    units = F.filter(F.transform(F.split(flat, "\n"), lambda u: F.filter(F.split(u, " "), lambda w: w != "")), lambda u: F.size(u) > 0)
+    need = [bounds(len(own), least)[0] for _, _, own in kept]
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    texts = rows.select(F.sha2("text", 256).alias("key"), units.alias("units"))
+    words = F.flatten("units")
+    texts = texts.select("key", "units", words.alias("w")).select("key", "units", F.when(F.size("w") > 1, F.array_distinct(_grams(F.col("w")))).otherwise(F.array().cast("array<bigint>")).alias("b"))
+    # of a text with fewer bigrams than a template needs none is looked up
+    hits = [F.when(F.size("b") >= n, F.when(F.size(F.array_intersect("b", _longs(own))) >= n, F.lit(k))) for k, ((_, _, own), n) in enumerate(zip(kept, need))]
+    texts = texts.select("key", "units", F.array_compact(F.array(*hits)).alias("ks"))
+    # written before it is filtered: a filter would be pushed below and repeat the projections
+    texts = written(texts.select(F.col("key").alias("text"), F.when(F.size("ks") > 0, F.col("units")).alias("units"), "ks"), "license-candidates")
+    texts = texts.where("units IS NOT NULL").groupBy("text").agg(F.first("units").alias("units"), F.first("ks").alias("ks"))
+    runs = best_runs(texts, [(w, own) for _, w, own in kept], least)
+
+    def add(taken: Column, f: Column) -> Column:
+        apart = F.forall(taken, lambda o: (f["stop"] <= o["start"]) | (o["stop"] <= f["start"]))
+        return F.when(apart, F.concat(taken, F.array(f))).otherwise(taken)
+
+    found = runs.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("worse", "k", "start", "stop"))).cast(FOUND).alias("all"))  # a template each at most
+    found = found.select(F.col("text").alias("key"), F.aggregate("all", F.array().cast(FOUND), add).alias("own"))
+    names = F.transform("own", lambda f: F.get(F.array(*[F.lit(name) for name, _, _ in kept]), f["k"]))
+    out = rows.select("doc_id", F.sha2("text", 256).alias("key")).join(found, "key", "left")
+    return out.select(
+        "doc_id",
+        F.when(F.col("own").isNull(), 0).otherwise(F.size("own")).cast("long").alias("n_matches"),
+        F.coalesce(F.array_join(F.sort_array(F.array_distinct(names)), ","), F.lit("")).alias("licenses"),
+        F.coalesce(-F.array_min(F.col("own.worse")), F.lit(0.0)).alias("best"),
+    )

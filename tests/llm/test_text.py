@@ -198,18 +198,32 @@ def test_whole_licenses_inside_documents(spark, odd, nothing):
     assert license_texts.scan_license_texts(nothing).count() == 0
 
 
-def test_best_run_against_brute_force():
+def test_license_runs_against_brute_force(spark):
     r = random.Random(4)
-    own = frozenset((a, b) for a in "abcd" for b in "abcd" if r.random() < 0.7)
-    for _ in range(200):
-        words, starts = license_texts.units_of("\n".join(" ".join(r.choices("abcdxy", k=r.randint(1, 5))) for _ in range(12)))
-        want = 0.0
-        for i, a in enumerate(starts[:-1]):
-            for b in starts[i + 1 :]:
-                s = set(zip(words[a:b], words[a + 1 : b]))
-                want = max(want, 2.0 * len(s & own) / (len(s) + len(own)))
-        got = license_texts.best_run(words, starts, own, 0.5)[0]
-        assert got == want or want < 0.5
+    draw = lambda letters, n: "\n".join(" ".join(r.choices(letters, k=r.randint(1, 5))) for _ in range(n))
+    known = [("one", draw("abcde", 8)), ("two", draw("abcdef", 5)), ("word", "a")]
+    texts = [draw("abcdefg", r.randint(0, 14)) for _ in range(60)] + [f"{draw('xy', 2)}\n{known[0][1]}\n{draw('xyab', 3)}\n{known[1][1]}. Z", known[1][1] + "\n" + known[1][1]]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[-1], None])), "doc_id long, text string")
+    got = {x.doc_id: (x.n_matches, x.licenses, x.best) for x in license_texts.scan_license_texts(docs, known, 0.5).collect()}
+    for i, text in enumerate([*texts, texts[-1], ""]):
+        units = [w for u in re.split(licenses.UNIT_END, text.lower()) if (w := licenses.normal_words(u))]
+        found = []
+        for k, (_, t) in enumerate(known[:2]):
+            w = licenses.normal_words(t)
+            own, runs = set(zip(w, w[1:])), []
+            for a in range(len(units)):
+                for b in range(a + 1, len(units) + 1):
+                    run, at = sum(units[a:b], []), sum(map(len, units[:a]))
+                    s = set(zip(run, run[1:]))
+                    begun = own & set(zip(run[: len(units[a])], run[1:]))
+                    if begun and len(run) <= license_texts.longest(len(w), 0.5) and s:
+                        runs.append((-2.0 * len(s & own) / (len(s) + len(own)), k, at, at + len(run)))
+            found += [x for x in sorted(runs)[:1] if x[0] <= -0.5]
+        took = []
+        for f in sorted(found):
+            if all(f[3] <= o[2] or o[3] <= f[2] for o in took):
+                took.append(f)
+        assert got[i] == (len(took), ",".join(sorted({known[f[1]][0] for f in took})), max((-f[0] for f in took), default=0.0)), text
 
 
 def test_secret_spans(odd, nothing, spark):
