@@ -114,6 +114,7 @@ def scan_license_texts(docs: DataFrame, known: Sequence[tuple[str, str]] | None
 
     found = runs.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("worse", "k", "start", "stop"))).cast(FOUND).alias("all"))  # a template each at most
     found = found.select(F.col("text").alias("key"), F.aggregate("all", F.array().cast(FOUND), add).alias("own"))
+    found = written(found, "license-found")  # of known size: small, it is sent, and rows of one text stay where they are
     names = F.transform("own", lambda f: F.get(F.array(*[F.lit(name) for name, _, _ in kept]), f["k"]))
     out = rows.select("doc_id", F.sha2("text", 256).alias("key")).join(found, "key", "left")
     return out.select(
@@ -122,3 +123,38 @@ def scan_license_texts(docs: DataFrame, known: Sequence[tuple[str, str]] | None
         F.coalesce(F.array_join(F.sort_array(F.array_distinct(names)), ","), F.lit("")).alias("licenses"),
         F.coalesce(-F.array_min(F.col("own.worse")), F.lit(0.0)).alias("best"),
     )
+
+
+def sql(known: Sequence[tuple[str, str]] | None = None, least: float = LEAST) -> str:
+    """DuckDB SQL for the rows of ``scan_license_texts`` over ``documents``."""
+    kept = [(name, w, len(set(zip(w, w[1:])))) for name, t in (templates() if known is None else known) if len(w := normal_words(t)) > 1]
+    rows = ", ".join(f"({k}, '{name}', '{' '.join(w)}', {n}, {bounds(n, least)[0]}, {bounds(n, least)[1]}, {longest(len(w), least)})" for k, (name, w, n) in enumerate(kept))
+    return f"""
+WITH RECURSIVE t0(k, name, body, n_own, low, high, most) AS (VALUES {rows}),
+t AS (SELECT *, string_split(body, ' ') AS w FROM t0),
+own AS (SELECT k, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM t),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT text, row_number() OVER () AS id FROM (SELECT DISTINCT text FROM d)),
+u0 AS (SELECT id, string_split(regexp_replace(lower(regexp_replace(text, '{UNIT_END}', chr(10), 'g')), '{OTHER}', ' ', 'g'), chr(10)) AS us FROM x),
+u1 AS (SELECT id, list_filter(list_transform(us, lambda u: list_filter(string_split(u, ' '), lambda v: v <> '')), lambda u: len(u) > 0) AS us FROM u0),
+u2 AS (SELECT id, unnest(us) AS u, generate_subscripts(us, 1) AS n FROM u1),
+u AS (SELECT id, u, sum(len(u)) OVER (PARTITION BY id ORDER BY n) AS stop FROM u2),
+w AS (SELECT id, stop, stop - len(u) AS start, unnest(u) AS word, stop - len(u) + generate_subscripts(u, 1) - 1 AS pos FROM u),
+g0 AS (SELECT id, pos, start, word || ' ' || lead(word) OVER o AS g, lead(stop) OVER o AS stop FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT *, lag(pos) OVER (PARTITION BY id, g ORDER BY pos) AS before FROM g0 WHERE g IS NOT NULL),
+c AS (SELECT id, k FROM g JOIN own USING (g) JOIN t USING (k) WHERE before IS NULL GROUP BY id, k, low HAVING count(*) >= low),
+a AS (SELECT g.id, c.k, g.pos, g.start, g.stop, g.before, own.g IS NOT NULL AS hit FROM g JOIN c USING (id) LEFT JOIN own ON own.k = c.k AND own.g = g.g),
+s AS (SELECT DISTINCT id, k, start AS s FROM a WHERE hit),
+m AS (SELECT s.id, s.k, s.s, a.stop, count(*) AS n, count(*) FILTER (WHERE hit) AS c FROM s JOIN t USING (k) JOIN a ON a.id = s.id AND a.k = s.k AND a.pos >= s.s AND a.stop <= s.s + most AND (a.before IS NULL OR a.before < s.s) GROUP BY ALL),
+r0 AS (SELECT id, k, s, stop, sum(n) OVER o AS n, sum(c) OVER o AS c FROM m WINDOW o AS (PARTITION BY id, k, s ORDER BY stop)),
+r1 AS (SELECT id, k, s, stop, 2.0::DOUBLE * c / (n + n_own) AS dice FROM r0 JOIN t USING (k) WHERE n BETWEEN low AND high),
+r2 AS (SELECT * FROM r1 WHERE dice >= {least} QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY dice DESC, s, stop) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dice DESC, k) AS rank FROM r2),
+f(id, rank, took) AS (
+  SELECT id, rank, [{{'s': s, 'stop': stop, 'k': k, 'dice': dice}}] FROM r WHERE rank = 1
+  UNION ALL
+  SELECT r.id, r.rank, CASE WHEN len(list_filter(took, lambda o: o.s < r.stop AND r.s < o.stop)) = 0 THEN list_append(took, {{'s': r.s, 'stop': r.stop, 'k': r.k, 'dice': r.dice}}) ELSE took END
+  FROM f JOIN r ON r.id = f.id AND r.rank = f.rank + 1),
+e AS (SELECT id, unnest(arg_max(took, rank)) AS o FROM f GROUP BY id),
+b AS (SELECT text, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(o.dice) AS best FROM e JOIN t ON t.k = e.o.k JOIN x USING (id) GROUP BY text)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licenses, coalesce(best, 0.0::DOUBLE) AS best FROM d LEFT JOIN b USING (text)"""

@@ -91,6 +91,7 @@ QUERIES: dict[str, Query] = {
 #: DuckDB SQL where SQL can express the result.
 ORACLES: dict[str, str] = {
     "op4_license_scans": licenses.SQL,
+    "op4_license_texts": license_texts.sql(),
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
     "op11_importance_resampling": importance.SQL,

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -193,6 +194,10 @@ def test_whole_licenses_inside_documents(spark, odd, nothing):
     got = {r.doc_id: r for r in license_texts.scan_license_texts(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert {i: (r.n_matches, r.licenses) for i, r in got.items()} == {i: want for i, _, want in rows}
     assert got[1].best == got[7].best == 1.0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {r[0]: r[1:] for r in con.sql(license_texts.sql()).fetchall()} == {i: tuple(r)[1:] for i, r in got.items()}
     assert license_texts.scan_license_texts(odd).where("n_matches > 0").count() == 0
     assert license_texts.scan_license_texts(odd).count() == odd.count()
     assert license_texts.scan_license_texts(nothing).count() == 0
@@ -224,6 +229,9 @@ def test_license_runs_against_brute_force(spark):
             if all(f[3] <= o[2] or o[3] <= f[2] for o in took):
                 took.append(f)
         assert got[i] == (len(took), ",".join(sorted({known[f[1]][0] for f in took})), max((-f[0] for f in took), default=0.0)), text
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[1:] for r in con.sql(license_texts.sql(known, 0.5)).fetchall()} == got
 
 
 def test_secret_spans(odd, nothing, spark):
