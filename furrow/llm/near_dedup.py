@@ -222,7 +222,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Documents are linked when their sets of distinct word shingles reach the similarity; a
     component is all that links reach. NULL and empty texts have no shingles and no links.
-    Rows of one doc_id belong together. A row without doc_id is linked with rows of the same
+    Rows of one doc_id belong together; of an id given to different texts one text's set is
+    compared, so links of the others can be lost. A row without doc_id is linked with rows of the same
     set only, and has their smallest doc_id, or NULL, as component. Other columns are ignored.
     """
     sig = written(signatures(docs, words), "near-signatures")
